@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calorgrid.llm import lineclean, mixing, store, warc
+from calorgrid.llm import lineclean, mixing, rans, store, tokcount, warc
+
+BYTE_BPE = "byte_bpe_50k.json"
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -86,3 +89,13 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM r
 """
+
+
+@query
+def op2_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokcount.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
