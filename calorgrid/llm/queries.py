@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calorgrid.llm import lineclean, mixing, rans, store, tokcount, warc
+from calorgrid.llm import langid, lineclean, mixing, rans, spsample, store, tokcount, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -99,3 +100,13 @@ def op2_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spsample.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
