@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calorgrid.llm import langid, lineclean, mixing, rans, spsample, store, tokcount, warc
+from calorgrid.llm import langid, linededup, lineclean, mixing, ordminhash, rans, spsample, store, tokcount, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -110,3 +110,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spsample.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordminhash.digest(table(spark, sf_dir, "documents"))
