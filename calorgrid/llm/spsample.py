@@ -28,7 +28,8 @@ from calorgrid.llm import kernel
 
 THETA = 2e-4
 SEED = 7
-CACHE = 400_000
+CACHE = 150_000
+SLICE = 1 << 19
 SPACE, OWN = 0x2581, sys.maxunicode + 1  # OWN: a U+2581 of the text
 UNUSABLE = -1e8  # pieces with such scores are never chosen; single code points count as the least of the others
 U = np.uint64
@@ -39,6 +40,34 @@ def load(path: str, theta: float) -> "Lattice":
     return Lattice(path, theta)
 
 
+@lru_cache(4)
+def pieces_of(path: str) -> "Pieces":
+    return Pieces(path)
+
+
+class Pieces:
+    """The bytes of each piece, for decoding."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        raw = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.vocab_size())]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([len(r) for r in raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts in a row, without the space in front, and the offset of each text."""
+        size = self.raw_size[ids].copy()
+        start = self.raw_start[ids].copy()
+        head = offsets[:-1][offsets[1:] > offsets[:-1]]
+        start[head] += 1
+        size[head] -= 1
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.raw[kernel.ragged(start, size)], total[offsets]
+
+
 class Lattice:
     def __init__(self, path: str, theta: float) -> None:
         import sentencepiece
@@ -60,14 +89,6 @@ class Lattice:
         self.longest = max(len(p) for _, p in usable)
         self.unknown = self.scores.min() - 10.0
         self.byte_ids = np.array([m.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
-        raw = [b""] * m.vocab_size()
-        for i, p in pieces:
-            raw[i] = p.replace("▁", " ").encode()
-        for b, i in enumerate(self.byte_ids):
-            raw[i] = bytes([b])
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_size = np.array([len(r) for r in raw], np.int64)
-        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.reset()
 
     def reset(self) -> None:
@@ -199,16 +220,6 @@ class Lattice:
             return wide, begin[total]
         return ids, total
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all texts in a row, without the space in front, and the offset of each text."""
-        size = self.raw_size[ids].copy()
-        start = self.raw_start[ids].copy()
-        head = offsets[:-1][offsets[1:] > offsets[:-1]]
-        start[head] += 1
-        size[head] -= 1
-        total = np.concatenate([[0], np.cumsum(size)])
-        return self.raw[kernel.ragged(start, size)], total[offsets]
-
 
 def key_hash(keys: pa.Array, seed: int) -> np.ndarray:
     """A 64-bit number of each row key; of a key that is no integer the crc of its text."""
@@ -224,7 +235,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches):
         lattice = load(path, theta)
-        for batch in kernel.slices(batches, text):
+        for batch in kernel.slices(batches, text, SLICE):
             data, offsets = kernel.flat(kernel.column(batch, text))
             ids, total = lattice.encode(data, offsets, key_hash(kernel.column(batch, key), seed))
             pieces = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
@@ -237,16 +248,16 @@ def decode(docs: DataFrame, path: str, pieces: str = "piece_ids", out: str = "de
     """Add the text of a column of piece ids; null ids give null."""
 
     def run(batches):
-        lattice = load(path, THETA)
+        known = pieces_of(path)
         for batch in batches:
             lists = kernel.column(batch, pieces)
-            for at in range(0, batch.num_rows, 512):
-                part = lists.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = lists.slice(at, 128)
                 offsets = np.concatenate([[0], np.cumsum(np.asarray(part.value_lengths().fill_null(0)))]).astype(np.int64)
-                raw, total = lattice.decode(np.asarray(part.flatten()).astype(np.int64), offsets)
+                raw, total = known.decode(np.asarray(part.flatten()).astype(np.int64), offsets)
                 whole = raw.tobytes()
                 texts = [None if null else whole[a:b].decode("utf-8", "replace") for a, b, null in zip(total[:-1].tolist(), total[1:].tolist(), part.is_null().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, 512).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, 128).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
