@@ -65,11 +65,11 @@ def numbered(h: np.ndarray) -> np.ndarray:
 
 
 def signature(text: str) -> np.ndarray:
-    """SKETCHES 32-bit components."""
+    """SKETCHES 16-bit components."""
     h = kmers(text)
     n = len(h)
     if not n:
-        return np.zeros(SKETCHES, np.uint32)
+        return np.zeros(SKETCHES, np.uint16)
     h2 = numbered(h)
     rows = np.arange(SKETCHES)
     keys, places = [], []
@@ -88,11 +88,11 @@ def signature(text: str) -> np.ndarray:
     out = np.zeros(SKETCHES, U)
     for j in range(places.shape[1]):
         out = kernel.mix(out * U(0x9E3779B97F4A7C15) + h[places[:, j]] + U(j + 1))
-    return np.maximum(out >> U(32), U(1)).astype(np.uint32)
+    return np.maximum(out >> U(48), U(1)).astype(np.uint16)
 
 
-def fingerprint(sig: np.ndarray) -> str:
-    return sig.astype(">u4").tobytes().hex()
+def fingerprint(sig: np.ndarray) -> bytes:
+    return sig.astype(">u2").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -100,8 +100,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-_COLUMNS = [("kind", pa.string()), ("part", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_SCHEMA = ", ".join(f"{n} {'string' if t == pa.string() else 'double' if t == pa.float64() else 'long'}" for n, t in _COLUMNS)
+_COLUMNS = [("kind", pa.string()), ("part", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_SCHEMA = ", ".join(f"{n} {'string' if t == pa.string() else 'binary' if t == pa.binary() else 'double' if t == pa.float64() else 'long'}" for n, t in _COLUMNS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -113,7 +113,7 @@ def compare(part: int, key, text: str, sig: np.ndarray, after: str, after_sig: n
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     of_edited = signature(edited)
-    return ("done", part, key, None, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(sig), fingerprint(of_edited), likeness(sig, of_edited), likeness(sig, after_sig))
+    return ("done", part, key, None, len(text), hashlib.sha256(edited.encode()).digest(), fingerprint(sig), fingerprint(of_edited), likeness(sig, of_edited), likeness(sig, after_sig))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -155,4 +155,5 @@ def digest(docs: DataFrame) -> DataFrame:
     following = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(1)))).alias("_next"))
     pairs = lasts.join(following, "part").join(firsts.withColumnRenamed("part", "_next"), "_next").select("part", "doc_id", "text", "after")
     done = rows.where("kind = 'done'").union(pairs.mapInArrow(edges, _SCHEMA))
-    return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    as_hex = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    return done.select("doc_id", "n_chars", *as_hex, "near_edited", "near_next")
