@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calorgrid.llm import langid, linededup, lineclean, mixing, ordminhash, rans, spsample, store, tokcount, warc
+from calorgrid.llm import langid, linededup, lineclean, mixing, ngramjoin, ordminhash, rans, spsample, store, tokcount, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -120,3 +120,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordminhash.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
