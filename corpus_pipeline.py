@@ -1,22 +1,68 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read by the next.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds the sampled pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from calorgrid.llm import langid, linededup, mixing, ngramjoin, spsample, store
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_SCORE = 0.5
+PIECES = "piece_bpe_32k.model"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of a learned language; lang becomes the predicted one."""
+    model = langid.fit(docs)
+    found = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
-from calorgrid.llm import mixing, store
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete runs of lines that stand earlier; documents of which nothing is left go."""
+    left = linededup.dedup(docs).where("n_removed = 0 or n_removed < n_lines")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similar n-gram sets join, keep the one with the least id. Of rows that share
+    an id and a text one stays; only such ids are shuffled again for it."""
+    kept = ngramjoin.join(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
+    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS, "_again")
+    once = found.where("not _again").select(*COLUMNS)
+    return once.union(found.where("_again").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    """Repeat documents so that the sources come near their target weights."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add a sampled segmentation and whether it decodes to the text."""
+    path = public_tokenizers.path(PIECES)
+    got = spsample.decode(spsample.encode(docs, path), path)
+    return got.select(*COLUMNS, "piece_ids", (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
-STAGES = [("mixing sources to target weights", mix_sources)]
+STAGES = [
+    ("language", identify_language),
+    ("lines", remove_repeated_lines),
+    ("near-duplicates", keep_one_of_each_group),
+    ("mixing", mix_sources),
+    ("pieces", sample_pieces),
+]
+#: Hashed n-grams, winnowing and sampled segmentations have no form in SQL; tests/llm holds each stage against
+#: a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store.cut(stage(spark, docs, sf_dir), name.split()[0])
+        docs = store.cut(stage(spark, docs, sf_dir), name)
     return docs
