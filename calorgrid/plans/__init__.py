@@ -1 +1,3 @@
-"""See README.md for what lives here."""
+"""Queries over the star-schema tables, which stand in for maps; importing this package registers them."""
+
+from calorgrid.plans import layout, lines, plane, records  # noqa: F401
