@@ -1,0 +1,200 @@
+"""Joins in the plane: windows, cells, polygons, clearances, crossings, nearest lines.
+
+Customers and suppliers are points, parts are boxes, and suppliers' segments lead to where their nation's next
+supplier stands in; all coordinates are integers, so Spark and the oracle agree exactly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from calorgrid.functions import catalog, geometry
+from calorgrid.operators import spatial
+from calorgrid.plans.tables import table
+from calorgrid.queries import register
+
+CELL = 100
+XY = "({0} * 7919) % 5000 AS x, ({0} * 104729) % 5000 AS y"
+POINTS = f"points AS (SELECT c_custkey AS point, {XY.format('c_custkey')} FROM customer)"
+BOXES = f"boxes AS (SELECT box, feature, x - r AS x1, y - r AS y1, x + r AS x2, y + r AS y2 FROM (SELECT p_partkey AS box, p_partkey // 5 AS feature, {XY.format('p_partkey')}, 5 + p_partkey % 20 AS r FROM part))"
+SEGMENTS = "segments AS (SELECT s_suppkey AS seg, (s_suppkey * 7919) % 5000 AS ax, (s_suppkey * 104729) % 5000 AS ay, (s_suppkey * 7919) % 5000 + (s_suppkey * 31) % 400 - 200 AS bx, (s_suppkey * 104729) % 5000 + (s_suppkey * 57) % 400 - 200 AS by_ FROM supplier)"
+
+
+def _xy(key):
+    return ((key * 7919) % 5000).alias("x"), ((key * 104729) % 5000).alias("y")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("point"), *_xy(k))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    b = table(spark, sf_dir, "part").select(k.alias("box"), F.floor(k / 5).cast("long").alias("feature"), *_xy(k), (5 + k % 20).alias("r"))
+    return b.selectExpr("box", "feature", "x - r AS x1", "y - r AS y1", "x + r AS x2", "y + r AS y2")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    ax, ay = (k * 7919) % 5000, (k * 104729) % 5000
+    return table(spark, sf_dir, "supplier").select(k.alias("seg"), ax.alias("ax"), ay.alias("ay"), (ax + (k * 31) % 400 - 200).alias("bx"), (ay + (k * 57) % 400 - 200).alias("by_"))
+
+
+def _at(margin: int = 0):
+    x, y = F.col("x"), F.col("y")
+    return (x - margin, y - margin, x + margin, y + margin)
+
+
+
+def _box(*names: str):
+    return tuple(F.col(c) for c in names)
+
+
+def _span(margin: int = 0):
+    a, b, c, d = _box("ax", "ay", "bx", "by_")
+    return (F.least(a, c) - margin, F.least(b, d) - margin, F.greatest(a, c) + margin, F.greatest(b, d) + margin)
+
+
+@register("bbox_window", f"WITH {BOXES} SELECT box, x1, y1, x2, y2 FROM boxes WHERE x1 <= 2600 AND x2 >= 1200 AND y1 <= 3300 AND y2 >= 900")
+def bbox_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes(spark, sf_dir).where("x1 <= 2600 and x2 >= 1200 and y1 <= 3300 and y2 >= 900").drop("feature")
+
+
+@register("cell_join", f"WITH {POINTS}, {BOXES} SELECT p.point, b.box FROM points p JOIN boxes b ON p.x - 30 <= b.x2 AND p.x + 30 >= b.x1 AND p.y - 30 <= b.y2 AND p.y + 30 >= b.y1")
+def cell_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.near(points(spark, sf_dir), boxes(spark, sf_dir), _at(30), _box("x1", "y1", "x2", "y2"), CELL).select("point", "box")
+
+
+RINGS = """corners AS (SELECT box, x1, y1, x2, y2, (x2 - x1) // 4 AS h FROM boxes), rings AS (
+SELECT box AS ring, x1, y1, x2, y1 AS y2 FROM corners UNION ALL SELECT box, x2, y1, x2, y2 FROM corners UNION ALL SELECT box, x2, y2, x1, y2 FROM corners UNION ALL SELECT box, x1, y2, x1, y1 FROM corners
+UNION ALL SELECT box, x1 + h, y1 + h, x2 - h, y1 + h FROM corners UNION ALL SELECT box, x2 - h, y1 + h, x2 - h, y2 - h FROM corners UNION ALL SELECT box, x2 - h, y2 - h, x1 + h, y2 - h FROM corners UNION ALL SELECT box, x1 + h, y2 - h, x1 + h, y1 + h FROM corners)"""
+
+
+@register("point_in_polygon", f"""WITH {POINTS}, {BOXES}, {RINGS} SELECT point, ring FROM (SELECT p.point, r.ring, count(*) AS n FROM points p JOIN rings r ON
+(r.y1 <= p.y AND p.y < r.y2 AND (r.x2 - r.x1) * (p.y - r.y1) - (r.y2 - r.y1) * (p.x - r.x1) > 0) OR (r.y2 <= p.y AND p.y < r.y1 AND (r.x2 - r.x1) * (p.y - r.y1) - (r.y2 - r.y1) * (p.x - r.x1) < 0) GROUP BY p.point, r.ring) WHERE n % 2 = 1""")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in boxes with a square hole."""
+    c = boxes(spark, sf_dir).withColumn("h", F.floor((F.col("x2") - F.col("x1")) / 4).cast("long"))
+    sides = []
+    for m in ("0", "h"):
+        p = [(f"x1 + {m}", f"y1 + {m}"), (f"x2 - {m}", f"y1 + {m}"), (f"x2 - {m}", f"y2 - {m}"), (f"x1 + {m}", f"y2 - {m}")]
+        sides += [f"struct({a[0]} AS x1, {a[1]} AS y1, {b[0]} AS x2, {b[1]} AS y2)" for a, b in zip(p, p[1:] + p[:1])]
+    edges = c.select(F.col("box").alias("ring"), F.explode(F.expr(f"array({', '.join(sides)})")).alias("e")).select("ring", "e.x1", "e.y1", "e.x2", "e.y2")
+    return spatial.inside(points(spark, sf_dir), edges, CELL)
+
+
+@register("host_sibling", f"WITH {BOXES} SELECT a.box, b.box AS sibling FROM boxes a JOIN boxes b ON a.feature = b.feature AND a.box <> b.box")
+def host_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = boxes(spark, sf_dir).select("feature", "box"), boxes(spark, sf_dir).select("feature", F.col("box").alias("sibling"))
+    return a.join(b, "feature").where("box <> sibling").select("box", "sibling")
+
+
+D2 = "CASE WHEN (x - ax) * (bx - ax) + (y - ay) * (by_ - ay) <= 0 OR (x - ax) * (bx - ax) + (y - ay) * (by_ - ay) >= (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) THEN least((x - ax) * (x - ax) + (y - ay) * (y - ay), (x - bx) * (x - bx) + (y - by_) * (y - by_)) <= {r} * {r} ELSE ((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) * ((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) <= {r} * {r} * ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) END"
+
+
+def _reach(r):
+    return geometry.within(*_box("x", "y", "ax", "ay", "bx", "by_"), r)
+
+
+@register("clearance_violations", f"WITH {POINTS}, {SEGMENTS} SELECT point, seg FROM points, segments WHERE {D2.format(r=40)}")
+def clearance_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points closer to a segment than 40, ends included."""
+    return spatial.near(points(spark, sf_dir), segments(spark, sf_dir), _at(40), _span(), CELL).where(_reach(F.lit(40))).select("point", "seg")
+
+
+SIDE = "sign(({a}.bx - {a}.ax) * ({b}.{y} - {a}.ay) - ({a}.by_ - {a}.ay) * ({b}.{x} - {a}.ax))"
+CROSSING = " AND ".join(f"{SIDE.format(a=a, b=b, x='ax', y='ay')} * {SIDE.format(a=a, b=b, x='bx', y='by_')} < 0" for a, b in (("a", "b"), ("b", "a")))
+
+
+def _crossing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = segments(spark, sf_dir).select(*[F.col(c).alias("o_" + c) for c in ("seg", "ax", "ay", "bx", "by_")])
+    o = [F.col("o_" + c) for c in ("ax", "ay", "bx", "by_")]
+    pairs = spatial.near(segments(spark, sf_dir), other, _span(), (F.least(o[0], o[2]), F.least(o[1], o[3]), F.greatest(o[0], o[2]), F.greatest(o[1], o[3])), CELL).where("seg < o_seg")
+    return pairs.where(geometry.crosses(_box("ax", "ay"), _box("bx", "by_"), tuple(o[:2]), tuple(o[2:])))
+
+
+@register("segment_crossings", f"WITH {SEGMENTS} SELECT a.seg, b.seg AS other FROM segments a JOIN segments b ON a.seg < b.seg WHERE {CROSSING}")
+def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crossing_pairs(spark, sf_dir).select("seg", F.col("o_seg").alias("other"))
+
+
+@register("edge_conflicts", f"WITH {SEGMENTS} SELECT seg, count(*) AS conflicts FROM (SELECT a.seg FROM segments a JOIN segments b ON a.seg < b.seg WHERE {CROSSING} UNION ALL SELECT b.seg FROM segments a JOIN segments b ON a.seg < b.seg WHERE {CROSSING}) GROUP BY seg")
+def edge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other segments each crosses."""
+    return _crossing_pairs(spark, sf_dir).select(F.explode(F.array("seg", "o_seg")).alias("seg")).groupBy("seg").agg(F.count("*").alias("conflicts"))
+
+
+@register("part_overlap", f"WITH {BOXES}, m AS (SELECT box, x1 // 200 AS zone, x1 % 200 AS x1, y1 % 200 AS y1, x1 % 200 + x2 - x1 AS x2, y1 % 200 + y2 - y1 AS y2 FROM boxes) SELECT a.box, b.box AS other, b.x1 >= a.x1 AND b.x2 <= a.x2 AND b.y1 >= a.y1 AND b.y2 <= a.y2 AS nested FROM m a JOIN m b ON a.zone = b.zone AND a.box < b.box AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2")
+def part_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one zone that overlap by more than a boundary, and whether the second lies within the first."""
+    m = boxes(spark, sf_dir).selectExpr("box", "CAST(floor(x1 / 200) AS BIGINT) AS zone", "x1 % 200 AS x1", "y1 % 200 AS y1", "x1 % 200 + x2 - x1 AS x2", "y1 % 200 + y2 - y1 AS y2")
+    m = m.where("box is not null")
+    o = m.select("zone", *[F.col(c).alias("o_" + c) for c in ("box", "x1", "y1", "x2", "y2")])
+    pairs = spatial.near(m, o, _box("x1", "y1", "x2", "y2"), _box("o_x1", "o_y1", "o_x2", "o_y2"), 50, ["zone"])
+    pairs = pairs.where("box < o_box and x1 < o_x2 and o_x1 < x2 and y1 < o_y2 and o_y1 < y2")
+    return pairs.select("box", F.col("o_box").alias("other"), F.expr("o_x1 >= x1 and o_x2 <= x2 and o_y1 >= y1 and o_y2 <= y2").alias("nested"))
+
+
+@register("nearest_line", f"WITH {POINTS}, c AS (SELECT s_suppkey AS line, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier), d AS (SELECT p.point, c.line, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d2 FROM points p JOIN c ON abs(p.x - c.x) <= 300 AND abs(p.y - c.y) <= 300), r AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, line) AS rn FROM d WHERE d2 <= 90000) SELECT point, line, d2 FROM r WHERE rn = 1")
+def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest line within 300 m of each point, ties to the least id: a grouped minimum, no sort."""
+    k = F.col("s_suppkey")
+    c = table(spark, sf_dir, "supplier").select(k.alias("line"), ((k * 7919) % 5000).alias("lx"), ((k * 104729) % 5000).alias("ly"))
+    pairs = spatial.near(points(spark, sf_dir), c, _at(300), _box("lx", "ly", "lx", "ly"), 300)
+    pairs = pairs.withColumn("d2", F.expr("(x - lx) * (x - lx) + (y - ly) * (y - ly)")).where("d2 <= 90000")
+    return pairs.groupBy("point").agg(F.min(F.struct("d2", "line")).alias("m")).select("point", "m.line", "m.d2")
+
+
+@register("forces_chamber", f"WITH {POINTS}, c AS (SELECT s_suppkey AS chamber, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier WHERE s_suppkey % 4 < 3) SELECT point FROM points p WHERE EXISTS (SELECT 1 FROM c WHERE (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 10000)")
+def forces_chamber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within 100 m of an eligible chamber."""
+    k = F.col("s_suppkey")
+    c = table(spark, sf_dir, "supplier").where(k % 4 < 3).select(k.alias("chamber"), ((k * 7919) % 5000).alias("lx"), ((k * 104729) % 5000).alias("ly"))
+    pairs = spatial.near(points(spark, sf_dir), c, _at(100), _box("lx", "ly", "lx", "ly"), CELL)
+    return pairs.where("(x - lx) * (x - lx) + (y - ly) * (y - ly) <= 10000").select("point").distinct()
+
+
+@register("snap_marks", f"WITH {POINTS}, h AS (SELECT s_suppkey AS line, (s_suppkey * 104729) % 5000 AS y0, (s_suppkey * 7919) % 5000 AS xa, (s_suppkey * 7919) % 5000 + 300 AS xb FROM supplier) SELECT p.point, h.line, CASE WHEN p.x - h.xa <= 10 THEN 0 WHEN h.xb - p.x <= 10 THEN 300 ELSE p.x - h.xa END AS station FROM points p JOIN h ON abs(p.y - h.y0) <= 10 AND p.x BETWEEN h.xa - 10 AND h.xb + 10")
+def snap_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations of points within 10 m of level lines; those within 10 m of an end are the end."""
+    k = F.col("s_suppkey")
+    h = table(spark, sf_dir, "supplier").select(k.alias("line"), ((k * 104729) % 5000).alias("y0"), ((k * 7919) % 5000).alias("xa")).withColumn("xb", F.col("xa") + 300)
+    pairs = spatial.near(points(spark, sf_dir), h, _at(10), _box("xa", "y0", "xb", "y0"), CELL)
+    return pairs.select("point", "line", F.expr("CASE WHEN x - xa <= 10 THEN 0 WHEN xb - x <= 10 THEN 300 ELSE x - xa END").cast("long").alias("station"))
+
+
+@register("coincident_demands", "WITH p AS (SELECT c_custkey AS point, (c_custkey * 7919) % 50 AS x, (c_custkey * 104729) % 50 AS y FROM customer) SELECT x, y, min(point) AS leaf, count(*) AS demands FROM p GROUP BY x, y")
+def coincident_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), ((F.col("c_custkey") * 7919) % 50).alias("x"), ((F.col("c_custkey") * 104729) % 50).alias("y"))
+    return p.groupBy("x", "y").agg(F.min("point").alias("leaf"), F.count("*").alias("demands"))
+
+
+@register("clearance_matrix", f"""WITH k(kind) AS (VALUES ('building'), ('road'), ('tram_tracks'), ('gas_pipeline'), ('power_cable'), ('park'))
+SELECT kind, dn, CAST((CASE kind WHEN 'building' THEN CASE WHEN dn < 500 THEN 5 WHEN dn < 900 THEN 7 ELSE 9 END WHEN 'road' THEN 1.5 WHEN 'tram_tracks' THEN 1.5 WHEN 'gas_pipeline' THEN 2 WHEN 'power_cable' THEN 2 ELSE 1 END) * 10000 + width * 5000 + CASE kind WHEN 'gas_pipeline' THEN 2000 WHEN 'power_cable' THEN 1000 ELSE 0 END AS BIGINT) AS required FROM k CROSS JOIN (SELECT * FROM {catalog.VALUES_SQL})""")
+def clearance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance each kind needs from each pipe, in tenths of a millimetre: 108 rows of two fixed lists."""
+    names = ("building", "road", "tram_tracks", "gas_pipeline", "power_cable", "park")
+    m = catalog.frame(spark).select("dn", F.explode(F.array(*[F.lit(n) for n in names])).alias("kind"))
+    own = catalog.by_kind(F.col("kind"), catalog.OWN_WIDTH, "0")
+    return m.select("kind", "dn", (catalog.required_distance(F.col("kind"), F.col("dn"), own) * 10000).cast("long").alias("required"))
+
+
+@register("utm_forward")
+def utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a lattice of degrees in metres, and back; rows only."""
+    p = points(spark, sf_dir).select("point", (37.0 + F.col("x") / 1250).alias("lon"), (54.0 + F.col("y") / 1250).alias("lat"))
+    e, n = geometry.utm(F.col("lon"), F.col("lat"))
+    p = p.withColumns({"east": e, "north": n})
+    lon, lat = geometry.degrees(F.col("east"), F.col("north"))
+    return p.withColumns({"back_lon": lon, "back_lat": lat})
+
+
+@register("topk_roots", f"WITH {POINTS}, c AS (SELECT s_suppkey AS root, s_suppkey % 3 = 0 AS chamber, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier), d AS (SELECT p.point, c.root, c.chamber, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d2 FROM points p JOIN c ON abs(p.x - c.x) <= 900 AND abs(p.y - c.y) <= 900), r AS (SELECT *, row_number() OVER (PARTITION BY point, chamber ORDER BY d2, root) AS rn FROM d) SELECT point, root, chamber, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= CASE WHEN chamber THEN 3 ELSE 5 END")
+def topk_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest chambers and five nearest line roots around each point."""
+    k = F.col("s_suppkey")
+    c = table(spark, sf_dir, "supplier").select(k.alias("root"), (k % 3 == 0).alias("chamber"), ((k * 7919) % 5000).alias("lx"), ((k * 104729) % 5000).alias("ly"))
+    pairs = spatial.near(points(spark, sf_dir), c, _at(900), _box("lx", "ly", "lx", "ly"), 900)
+    ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("point", "chamber").orderBy(F.expr("(x - lx) * (x - lx) + (y - ly) * (y - ly)"), "root")))
+    return ranked.where("rn <= if(chamber, 3, 5)").select("point", "root", "chamber", "rn")
