@@ -35,9 +35,9 @@ def zones_union_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.union_max(zones(spark, sf_dir))
 
 
-@register("zone_factor_at", f"WITH {ZONES}, p AS (SELECT DISTINCT user_id AS line, (event_id * 13) % 1000 AS s FROM events WHERE event_id % 4 = 0) SELECT p.line, p.s, coalesce(max(z.k), CAST(1 AS DECIMAL(4,2))) AS k FROM p LEFT JOIN zones z ON z.line = p.line AND p.s BETWEEN z.a AND z.b GROUP BY p.line, p.s")
+@register("zone_factor_at", f"WITH {ZONES}, p AS (SELECT DISTINCT user_id AS line, (event_id * 13) % 1000 AS s FROM events) SELECT p.line, p.s, coalesce(max(z.k), CAST(1 AS DECIMAL(4,2))) AS k FROM p LEFT JOIN zones z ON z.line = p.line AND p.s BETWEEN z.a AND z.b GROUP BY p.line, p.s")
 def zone_factor_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = table(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.col("user_id").alias("line"), ((F.col("event_id") * 13) % 1000).alias("s")).distinct()
+    probes = table(spark, sf_dir, "events").select(F.col("user_id").alias("line"), ((F.col("event_id") * 13) % 1000).alias("s")).distinct()
     return intervals.factor_at(zones(spark, sf_dir), probes)
 
 

@@ -128,7 +128,7 @@ def edge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("part_overlap", f"WITH {BOXES}, m AS (SELECT box, x1 // 200 AS zone, x1 % 200 AS x1, y1 % 200 AS y1, x1 % 200 + x2 - x1 AS x2, y1 % 200 + y2 - y1 AS y2 FROM boxes) SELECT a.box, b.box AS other, b.x1 >= a.x1 AND b.x2 <= a.x2 AND b.y1 >= a.y1 AND b.y2 <= a.y2 AS nested FROM m a JOIN m b ON a.zone = b.zone AND a.box < b.box AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2")
 def part_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of one zone that overlap by more than a boundary, and whether the second lies within the first."""
-    m = boxes(spark, sf_dir).selectExpr("box", "CAST(floor(x1 / 200) AS BIGINT) AS zone", "x1 % 200 AS x1", "y1 % 200 AS y1", "x1 % 200 + x2 - x1 AS x2", "y1 % 200 + y2 - y1 AS y2")
+    m = boxes(spark, sf_dir).selectExpr("box", "x1 div 200 AS zone", "x1 % 200 AS x1", "y1 % 200 AS y1", "x1 % 200 + x2 - x1 AS x2", "y1 % 200 + y2 - y1 AS y2")
     m = m.where("box is not null")
     o = m.select("zone", *[F.col(c).alias("o_" + c) for c in ("box", "x1", "y1", "x2", "y2")])
     pairs = spatial.near(m, o, _box("x1", "y1", "x2", "y2"), _box("o_x1", "o_y1", "o_x2", "o_y2"), 50, ["zone"])
@@ -180,14 +180,18 @@ def clearance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("kind", "dn", (catalog.required_distance(F.col("kind"), F.col("dn"), own) * 10000).cast("long").alias("required"))
 
 
-@register("utm_forward")
+# Both engines round to the millimetre, and degrees to nine places.
+LATTICE = f"WITH {POINTS}, lattice AS (SELECT point, 37.0::DOUBLE + x / 1250.0::DOUBLE AS lon, 54.0::DOUBLE + y / 1250.0::DOUBLE AS lat FROM points)"
+
+
+@register("utm_forward", f"{LATTICE}, {geometry.UTM_SQL.format('lattice')} SELECT point, round(lon, 9) AS back_lon, round(lat, 9) AS back_lat, round(east, 3) AS east, round(north, 3) AS north FROM utm")
 def utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of a lattice of degrees in metres, and back; rows only."""
+    """Points of a lattice of degrees in metres and back to the degrees they came from."""
     p = points(spark, sf_dir).select("point", (37.0 + F.col("x") / 1250).alias("lon"), (54.0 + F.col("y") / 1250).alias("lat"))
     e, n = geometry.utm(F.col("lon"), F.col("lat"))
-    p = p.withColumns({"east": e, "north": n})
+    p = p.select("point", e.alias("east"), n.alias("north"))
     lon, lat = geometry.degrees(F.col("east"), F.col("north"))
-    return p.withColumns({"back_lon": lon, "back_lat": lat})
+    return p.select("point", F.round(lon, 9).alias("back_lon"), F.round(lat, 9).alias("back_lat"), F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
 
 
 @register("topk_roots", f"WITH {POINTS}, c AS (SELECT s_suppkey AS root, s_suppkey % 3 = 0 AS chamber, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier), d AS (SELECT p.point, c.root, c.chamber, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d2 FROM points p JOIN c ON abs(p.x - c.x) <= 900 AND abs(p.y - c.y) <= 900), r AS (SELECT *, row_number() OVER (PARTITION BY point, chamber ORDER BY d2, root) AS rn FROM d) SELECT point, root, chamber, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= CASE WHEN chamber THEN 3 ELSE 5 END")
