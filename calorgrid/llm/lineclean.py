@@ -77,8 +77,8 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
         marked = F.filter(lines, lambda x: ~(has_word(x) & fails(x)))
         return F.struct(let(full, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).alias("n"), F.length(F.array_join(x, "")).alias("chars"))).alias("all"), let(marked, lambda x: F.struct(F.array_join(x, "\n").alias("text"), let(F.filter(x, has_word), lambda y: F.struct(F.size(y).alias("n"), F.length(F.array_join(y, "")).alias("chars"))).alias("full"))).alias("kept"))
 
-    got = docs.withColumns({"_words": of_words, "_lines": let(F.split(whole, "\n", -1), of_lines), "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long")})
-    lost = F.col("_lines.all.chars") - F.col("_lines.kept.full.chars")
-    base = (F.col("_words.n_words") < MIN_WORDS) | (100 * F.col("_words.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_words.n_words"))
-    kept = ~base & (100 * lost <= MAX_LOSS_PERCENT * F.col("_lines.all.chars"))
-    return got.withColumns({"n_words": F.col("_words.n_words"), "word_chars": F.col("_words.word_chars"), "n_dup_lines": F.col("_lines.all.dup"), "n_repeat_words": F.col("_words.n_repeat_words"), "base_failed": base, "kept": kept, "n_lines_removed": (F.col("_lines.all.n") - F.col("_lines.kept.full.n")).cast("long"), "loss": F.coalesce(100.0 * lost / F.nullif(F.col("_lines.all.chars"), F.lit(0)), F.lit(0.0)), "cleaned": F.col("_lines.kept.text")}).drop("_words", "_lines")
+    got = docs.withColumns({"__words": of_words, "__lines": let(F.split(whole, "\n", -1), of_lines), "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long")})
+    lost = F.col("__lines.all.chars") - F.col("__lines.kept.full.chars")
+    base = (F.col("__words.n_words") < MIN_WORDS) | (100 * F.col("__words.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__words.n_words"))
+    kept = ~base & (100 * lost <= MAX_LOSS_PERCENT * F.col("__lines.all.chars"))
+    return got.withColumns({"n_words": F.col("__words.n_words"), "word_chars": F.col("__words.word_chars"), "n_dup_lines": F.col("__lines.all.dup"), "n_repeat_words": F.col("__words.n_repeat_words"), "base_failed": base, "kept": kept, "n_lines_removed": (F.col("__lines.all.n") - F.col("__lines.kept.full.n")).cast("long"), "loss": F.coalesce(100.0 * lost / F.nullif(F.col("__lines.all.chars"), F.lit(0)), F.lit(0.0)), "cleaned": F.col("__lines.kept.text")}).drop("__words", "__lines")

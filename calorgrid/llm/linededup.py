@@ -11,7 +11,7 @@ deleted. The line of a first place that is deleted itself stands earlier still,
 Defined cases: a null or empty text has no lines and stays as it is; lines without a word are no part of a
 run and stay; rows that share doc_id and text are one document and keep or lose the same lines; rows that
 share only the doc_id come in order of a hash of their texts; null doc_ids come first; other columns are kept,
-those named as the added ones are replaced; a text that loses all its lines with words becomes empty.
+those named as the added ones are replaced, and no name may begin with two underscores; a text that loses all its lines with words becomes empty.
 """
 
 from __future__ import annotations
@@ -116,9 +116,9 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by what is left of it; add n_lines (with a word) and n_removed. The texts are shuffled
     once, to meet the lines that they lose; grams are a small part of them."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    cuts = repeats(docs, text).select(F.col("doc_id").alias("_id"), F.col("_t").alias("_h"), F.col("cuts").alias("_cuts"))
+    cuts = repeats(docs, text).select(F.col("doc_id").alias("__id"), F.col("_t").alias("__h"), F.col("cuts").alias("__cuts"))
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    joined = rows.join(cuts, (F.xxhash64(text) == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id", "_h")
+    joined = rows.join(cuts, (F.xxhash64(text) == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
 
     def run(batches):
         for batch in kernel.slices(batches, text):
@@ -127,7 +127,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
             n = np.bincount(doc, minlength=batch.num_rows)
             first = np.cumsum(n) - n
             lost = np.zeros(batch.num_rows, np.int64)
-            cuts_of = kernel.column(batch, "_cuts")
+            cuts_of = kernel.column(batch, "__cuts")
             texts = kernel.column(batch, text)
             hit = np.flatnonzero(np.asarray(cuts_of.is_valid()))
             if len(hit):

@@ -6,7 +6,8 @@ weight (water filling, in closed form over running sums of the sources). A docum
 floor(rate) times, and once more with the probability of the rest, by a hash of its id.
 
 Defined cases: a null text has size 0; a source without words has target 0 and its documents a rate of 0;
-a null doc_id is hashed as such; repeated rows are drawn alike; extra columns are kept by `mix`.
+a null doc_id is hashed as such; repeated rows are drawn alike; `mix` keeps extra columns of any name but those
+that begin with two underscores, which are kept for the steps inside.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Add _size: the words of the text."""
-    return docs.withColumn("_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    """Add __size: the words of the text."""
+    return docs.withColumn("__size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size, target of a table with source and _size. One row per source."""
-    by = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    """source, source_size, target of a table with source and __size. One row per source."""
+    by = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     w = by.withColumn("weight", F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("long"))
     # Sources are capped from the least cap per weight on; the k-th is capped if the level that the others
@@ -42,27 +43,35 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS) -> Data
     return w.select("source", "source_size", F.when(F.col("capped"), (epochs * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def rates(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """Add _size, source_size, target and copies."""
+def _rated(docs: DataFrame, weights, epochs: int, seed: int) -> DataFrame:
+    """Add __size, __source_size, __target and __copies."""
     sizes = sized(docs)
-    goal = targets(sizes.select("source", "_size"), weights, epochs).withColumnRenamed("source", "_source")
-    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
+    goal = targets(sizes.select("source", "__size"), weights, epochs).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    rate = F.coalesce(F.col("__target") / F.nullif(F.col("__source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
     draw = bits / F.lit(float(1 << 52))
     # A source may hold a third of all rows: its row of `goal` is repeated over SALTS keys.
-    goal = goal.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sizes = sizes.withColumn("_salt", F.pmod(bits, F.lit(SALTS)).cast("int"))
-    joined = sizes.join(goal, (sizes["_salt"] == goal["_salt"]) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_salt").withColumn("_rate", rate)
-    return joined.withColumn("copies", (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("int")).cast("long")).drop("_rate")
+    goal = goal.withColumn("__key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sizes = sizes.withColumn("__salt", F.pmod(bits, F.lit(SALTS)).cast("int"))
+    joined = sizes.join(goal, (F.col("__salt") == F.col("__key")) & F.col("source").eqNullSafe(F.col("__source"))).withColumn("__rate", rate)
+    copies = (F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("int")).cast("long")
+    return joined.withColumn("__copies", copies).drop("__source", "__salt", "__key", "__rate")
+
+
+def rates(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """Add size, source_size, target and copies; columns of these names are replaced."""
+    added = ("size", "source_size", "target", "copies")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return _rated(docs, weights, epochs, seed).select(*kept, *[F.col(f"__{c}").alias(c) for c in added])
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns of the input."""
-    got = rates(docs, weights, epochs, seed).where("copies > 0")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[got[f"`{c}`"] for c in docs.columns])
+    got = _rated(docs, weights, epochs, seed).where("__copies > 0")
+    return got.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken words of each document."""
     got = rates(docs.select("doc_id", "text", "source"))
-    return got.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

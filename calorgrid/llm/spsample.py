@@ -231,7 +231,8 @@ def key_hash(keys: pa.Array, seed: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """Add piece_ids, a sampled segmentation."""
+    """Add piece_ids, a sampled segmentation; a column of this name is replaced."""
+    docs = docs.drop("piece_ids")
 
     def run(batches):
         lattice = load(path, theta)
@@ -245,7 +246,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
 
 def decode(docs: DataFrame, path: str, pieces: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """Add the text of a column of piece ids; null ids give null."""
+    """Add the text of a column of piece ids; null ids give null. A column of the name `out` is replaced."""
+    docs = docs.drop(out)
 
     def run(batches):
         known = pieces_of(path)

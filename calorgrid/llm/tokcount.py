@@ -164,7 +164,8 @@ def data_of(text: str) -> np.ndarray:
 
 def count(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT, prefixes: bool = True) -> DataFrame:
     """Add n_bytes, n_tokens, over_limit and, if asked for, prefix_deltas (little-endian 16-bit integers,
-    one per code point) to documents."""
+    one per code point) to documents; columns of these names are replaced."""
+    docs = docs.drop("n_bytes", "n_tokens", "over_limit", *(["prefix_deltas"] if prefixes else []))
 
     def run(batches):
         bpe = load(path)
