@@ -24,6 +24,7 @@ equal sets; a null doc_id takes part and counts for no minimum; extra columns ar
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ MAX_HEAVY = 1 << 17
 DENSE = 128
 BLOCK = 384
 RANGE_SHINGLES = 1 << 19
+PART = 1 << 19
 NONE = (1 << 63) - 1  # stands for a null id
 U = np.uint64
 _TOP = U(1 << 63)
@@ -52,7 +54,7 @@ def prefix_size(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def _sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 63-bit hashes."""
     h, first = kernel.shingles(data, offsets, WORDS)
     h &= _TOP - U(1)
@@ -66,6 +68,16 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
+def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 63-bit hashes, in steps of about PART bytes of text."""
+    sets, at = [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART, side="right")) - 1)
+        sets += _sets_of(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        at = to
+    return sets
+
+
 def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -98,11 +110,12 @@ def _candidates(docs: DataFrame, ranges: int) -> DataFrame:
             which = ((v >> U(47)) * U(ranges) >> U(16)).astype(np.int64)
             bounds = np.searchsorted(which, np.arange(ranges + 1))
             rows = []
+            home = zlib.crc32(b"%d %d" % (part, slice_no)) % ranges  # the range that carries the slice's documents
             for r in range(ranges):
                 a, b = bounds[r], bounds[r + 1]
-                if a < b or r == 0:
+                if a < b or r == home:
                     one = single[a:b]
-                    rows.append((part, slice_no, r, short[a:b][one].tobytes(), who[a:b][one].astype("<u2" if len(sets) < 1 << 16 else "<u4").tobytes(), short[a:b][~one].tobytes(), local.astype("<i4").tobytes() if r == 0 else None, sink.getvalue().to_pybytes() if r == 0 else None))
+                    rows.append((part, slice_no, r, short[a:b][one].tobytes(), who[a:b][one].astype("<u2" if len(sets) < 1 << 16 else "<u4").tobytes(), short[a:b][~one].tobytes(), local.astype("<i4").tobytes() if r == home else None, sink.getvalue().to_pybytes() if r == home else None))
             slice_no += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5))], names=["part", "slice", "range", "one", "who", "more", "local", "info"])
 
@@ -177,7 +190,7 @@ def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: n
         return int(differ[0]) if len(differ) else m
 
     lcp = [0, *(common(a, b) for a, b in zip(seqs[:-1], seqs[1:])), 0]
-    step = max(1, (1 << 23) // len(both))
+    step = max(1, (1 << 22) // len(both))
     for p0 in range(0, len(probes), step):
         some = probes[p0 : p0 + step]
         has = np.zeros((len(both), len(some)), np.uint8)
