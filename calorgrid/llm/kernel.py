@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))

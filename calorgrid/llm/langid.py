@@ -32,6 +32,7 @@ TRAIN_DOCS = 4000
 MAX_LANGS = 64
 FOLDS = 5
 SMOOTHING = 0.1
+SLICE = 1 << 18  # bytes of text scored at once
 U = np.uint64
 
 
@@ -91,7 +92,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def counted(batches):
         total: dict[int, np.ndarray] = {}
-        for batch in kernel.slices(batches, "_text"):
+        for batch in kernel.slices(batches, "_text", SLICE):
             which = np.asarray(kernel.column(batch, "_index"))
             data, offsets = kernel.flat(kernel.column(batch, "_text"))
             for bucket, of in features(data, offsets)[0]:
@@ -117,7 +118,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in kernel.slices(batches, text, 1 << 20):
+        for batch in kernel.slices(batches, text, SLICE):
             data, offsets = kernel.flat(kernel.column(batch, text))
             n = batch.num_rows
             if m.langs:

@@ -29,7 +29,7 @@ from calorgrid.llm import kernel
 THETA = 2e-4
 SEED = 7
 CACHE = 150_000
-SLICE = 1 << 19
+SLICE = 1 << 18
 SPACE, OWN = 0x2581, sys.maxunicode + 1  # OWN: a U+2581 of the text
 UNUSABLE = -1e8  # pieces with such scores are never chosen; single code points count as the least of the others
 U = np.uint64
