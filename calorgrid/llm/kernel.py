@@ -6,6 +6,7 @@ the memory of a Python worker follows the slice and not the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 19
+_libc = ctypes.CDLL(None)
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
@@ -67,6 +69,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back: workers outlive their tasks, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):  # glibc alone has it
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about `size` bytes of text, or one row."""
     for batch in batches:
@@ -78,6 +87,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch, offsets
+        release()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

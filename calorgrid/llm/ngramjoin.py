@@ -255,6 +255,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
         sizes = np.array([len(s) for s in sets], np.int64)
         probes, cands = np.flatnonzero(is_probe), np.flatnonzero(is_cand)
         links = tree_join(nodes, probes, cands, sizes, sets, comp) if len(probes) and len(cands) else []
+        if len(nodes) > BLOCK // 2:
+            kernel.release()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return rows.groupBy("block").applyInArrow(run, "a long, b long")

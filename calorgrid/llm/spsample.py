@@ -260,6 +260,7 @@ def decode(docs: DataFrame, path: str, pieces: str = "piece_ids", out: str = "de
                 whole = raw.tobytes()
                 texts = [None if null else whole[a:b].decode("utf-8", "replace") for a, b, null in zip(total[:-1].tolist(), total[1:].tolist(), part.is_null().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, 128).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            kernel.release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
