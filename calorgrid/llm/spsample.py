@@ -230,19 +230,26 @@ def key_hash(keys: pa.Array, seed: int) -> np.ndarray:
     return kernel.mix(whole ^ kernel.mix(np.full(1, seed, U)))
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """Add piece_ids, a sampled segmentation; a column of this name is replaced."""
-    docs = docs.drop("piece_ids")
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = SEED, decoded: str | None = None) -> DataFrame:
+    """Add piece_ids, a sampled segmentation, and if `decoded` names a column, the text that its pieces give,
+    in the same pass. Columns of these names are replaced."""
+    names = ["piece_ids", *([decoded] if decoded else [])]
+    docs = docs.drop(*names)
 
     def run(batches):
         lattice = load(path, theta)
         for batch in kernel.slices(batches, text, SLICE):
             data, offsets = kernel.flat(kernel.column(batch, text))
             ids, total = lattice.encode(data, offsets, key_hash(kernel.column(batch, key), seed))
-            pieces = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pieces], names=[*batch.schema.names, "piece_ids"])
+            added = [pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded:
+                raw, at = pieces_of(path).decode(ids, np.asarray(total))
+                whole = raw.tobytes()
+                added.append(pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds))]))
 
 
 def decode(docs: DataFrame, path: str, pieces: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -267,5 +274,5 @@ def decode(docs: DataFrame, path: str, pieces: str = "piece_ids", out: str = "de
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, a crc32 of its first 64 ids (as text) and whether decoding gives the text back."""
-    got = decode(encode(docs.select("doc_id", "text"), path), path)
+    got = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return got.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.array_join(F.slice("piece_ids", 1, 64), ",")).alias("head_crc32"), F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("lossless"))

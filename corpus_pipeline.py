@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add a sampled segmentation and whether it decodes to the text."""
     path = public_tokenizers.path(PIECES)
-    got = spsample.decode(spsample.encode(docs, path), path)
+    got = spsample.encode(docs, path, decoded="decoded")
     return got.select(*COLUMNS, "piece_ids", (F.col("decoded") == F.col("text")).alias("lossless"))
 
 

@@ -206,6 +206,8 @@ def test_pieces_lossless(docs, edge, piece_bpe):
     for table in (docs, edge):
         for r in spsample.decode(spsample.encode(table, piece_bpe), piece_bpe).select("text", "piece_ids", "decoded").collect():
             assert r["decoded"] == (r["text"] or "")
+        twice, once = (sorted(map(repr, d.select("doc_id", "piece_ids", "decoded").collect())) for d in (spsample.decode(spsample.encode(table, piece_bpe), piece_bpe), spsample.encode(table, piece_bpe, decoded="decoded")))
+        assert once == twice
 
 
 def test_sampled_shares(spark, piece_bpe):
