@@ -14,6 +14,11 @@ by hash. Two sets of Jaccard similarity t share a shingle among their first n -
    it is traversed once for all probing sets, which share the partial overlaps along common paths, and a
    subtree is left when what remains of its longest set and of the probes cannot reach the overlap needed.
 
+Steps 2 and 3 leave out pairs of one component, which is enough for components alone. Where links are counted
+nothing is left out: the nodes that large groups put together form families, all pairs of a family are compared
+in its blocks, each pair in one block, and all other pairs by the counts of step 3; a node counts for as many
+links as documents have its set.
+
 No cap drops a pair; the least ids of components follow from grouped minima. Shingles, sets and nodes are told
 apart by 64-bit hashes (32 bits within a range in step 1, where a collision only keeps a document).
 
@@ -41,6 +46,7 @@ BLOCK = 384
 RANGE_SHINGLES = 1 << 19
 PART = 1 << 19
 NONE = (1 << 63) - 1  # stands for a null id
+JOINED, LINK, COUNT = range(3)  # what a row a, b of blocks says: one component, a link, b links of a
 U = np.uint64
 _TOP = U(1 << 63)
 
@@ -158,9 +164,10 @@ def ordered(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.sort(np.where(hit, _TOP | rank[at], s)) if hit.any() else s
 
 
-def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
+def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, every: bool = False) -> list[tuple[int, int]] | np.ndarray:
     """Links between probing sets and candidate sets (positions in `sets`), as a spanning forest: pairs that
-    are in one component, given or found before, are not reported again."""
+    are in one component, given or found before, are not reported again. With `every`, all linked pairs of
+    different given components, as positions, the lower first, each once."""
     root = {}
 
     def find(x):
@@ -172,7 +179,7 @@ def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: n
     # only shingles that both sides have matter; the sizes stay those of the whole sets
     both = np.intersect1d(np.unique(np.concatenate([sets[p] for p in probes])), np.unique(np.concatenate([sets[c] for c in cands])), assume_unique=True)
     if not len(both):
-        return []
+        return np.zeros((0, 2), np.int64) if every else []
 
     def codes(k):
         at = np.searchsorted(both, sets[k])
@@ -230,13 +237,30 @@ def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: n
             left = len(seq) - depth
             if (overlap + left >= goal).any():
                 got = overlap + has[seq[depth:]].sum(axis=0, dtype=np.int32)
-                for j in np.flatnonzero(got >= goal):
+                if every:
+                    a = some[got >= goal]
+                    a = a[comp[a] != comp[cands[i]]]
+                    links.append(np.stack([np.minimum(a, cands[i]), np.maximum(a, cands[i])], 1))
+                for j in () if every else np.flatnonzero(got >= goal):
                     a, b = some[j], cands[i]
                     if a != b and find(("c", comp[a])) != find(("c", comp[b])):
                         root[find(("c", comp[a]))] = find(("c", comp[b]))
                         links.append((int(nodes[a]), int(nodes[b])))
             i += 1
-    return links
+    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *links]), axis=0) if every else links
+
+
+def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n positions that pairs a, b join each to."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -262,6 +286,37 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").applyInArrow(run, "a long, b long")
 
 
+def _every_link(rows: DataFrame, count: bool) -> DataFrame:
+    """All links of blocks as rows kind, a, b: what is joined, and each link, or if `count` the number of
+    linked documents of each node; rows as in _blocks, and copies, the documents of a node."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, at, back = np.unique(np.asarray(table.column("node").combine_chunks()), return_index=True, return_inverse=True)
+        probe, cand = (np.bincount(back, np.asarray(table.column(c).combine_chunks()).astype(float)) > 0 for c in ("probe", "cand"))
+        comp, copies = (np.asarray(table.column(c).combine_chunks())[at] for c in ("comp", "copies"))
+        sets = [np.frombuffer(t, "<u8") for t in table.column("toks").take(pa.array(at)).to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        probes, cands = np.flatnonzero(probe), np.flatnonzero(cand)
+        a, b = (tree_join(node, probes, cands, sizes, sets, comp, True) if len(probes) and len(cands) else np.zeros((0, 2), np.int64)).T
+        label = least_joined(len(node), a, b)
+        own = np.flatnonzero(label != np.arange(len(node)))
+        out = [(JOINED, node[own], node[label[own]])]
+        if count:
+            n = np.zeros(len(node), np.int64)
+            np.add.at(n, a, copies[b])
+            np.add.at(n, b, copies[a])
+            some = np.flatnonzero(n)
+            out.append((COUNT, node[some], n[some]))
+        else:
+            out.append((LINK, node[a], node[b]))
+        if len(node) > BLOCK // 2:
+            kernel.release()
+        kind = np.repeat(np.array([k for k, _, _ in out], np.int32), [len(x) for _, x, _ in out])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([x for _, x, _ in out])), "b": pa.array(np.concatenate([y for _, _, y in out]))})
+
+    return rows.groupBy("block").applyInArrow(run, "kind int, a long, b long")
+
+
 def _compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among given pairs a, b: pairs of about the same a share a block."""
     n = pairs.count()
@@ -312,9 +367,18 @@ def _pair_counts(entries: DataFrame) -> DataFrame:
 
 
 def _families(entries: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Links within families: the nodes that groups of more than DENSE nodes put together."""
+    """Links within families."""
+    return _blocks(_family_blocks(_family_of(entries), sets, comp))
+
+
+def _family_of(entries: DataFrame) -> DataFrame:
+    """node and component of the nodes that groups of more than DENSE nodes put together."""
     hub = entries.groupBy("key").agg(F.min("node").alias("hub"))
-    family = components.components(entries.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    return components.components(entries.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+
+def _family_blocks(family: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """The blocks that hold each pair of a family which may be linked, and is not of one comp, once."""
     # a linked pair lies in one band of sizes or in two that follow each other
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * (1 + 1e-9))).cast("int")
     rows = family.join(sets.select("node", "n"), "node").join(comp, "node", "left").select("node", "component", band.alias("band"), F.coalesce("comp", "node").alias("comp"), F.xxhash64("node").alias("h"))
@@ -327,18 +391,69 @@ def _families(entries: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame
     pairs = near.join(other, (F.col("component") == F.col("c2")) & (F.col("next") == F.col("band2"))).where("band <> band2 or part <= part2").where("least(lo, lo2) <> greatest(hi, hi2)")
     pairs = pairs.select("component", F.xxhash64("component", "band", "part", "band2", "part2").alias("block"), "band", "part", "band2", "part2")
     sides = pairs.select("component", "block", "band", "part", F.lit(True).alias("probe"), F.lit(False).alias("cand")).union(pairs.select("component", "block", F.col("band2").alias("band"), F.col("part2").alias("part"), F.lit(False).alias("probe"), F.lit(True).alias("cand")))
-    return _blocks(rows.select("component", "band", "part", "node", "comp").join(sides, ["component", "band", "part"]).join(sets.select("node", "toks"), "node").select("block", "probe", "cand", "node", "comp", "toks"))
+    return rows.select("component", "band", "part", "node", "comp").join(sides, ["component", "band", "part"]).join(sets.select("node", "toks"), "node").select("block", "probe", "cand", "node", "comp", "toks")
+
+
+def _fewest(na: str, nb: str):
+    """The least number of shingles that the prefixes of linked sets share."""
+    larger = F.greatest(na, nb)
+    return F.ceil(PERCENT * (F.col(na) + F.col(nb)) / F.lit(100 + PERCENT)) - F.ceil(PERCENT * larger / F.lit(100)) + 1
+
+
+def _all_links(entries: DataFrame, sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b that join the nodes of each component, and node and linked (documents of the nodes linked to it)."""
+    copies = nodes.select("node", "copies")
+    family = store.cut(_family_of(entries.where(F.col("g") > DENSE)), "family")
+    inside = _every_link(_family_blocks(family, sets, nodes.select("node", F.col("node").alias("comp"))).join(copies, "node"), True)
+    inside = store.cut(inside, "links")
+    # pairs of one family are settled; others share no large group, so that small groups count all that they share
+    rows = entries.where(F.col("g") <= DENSE).join(family, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    pairs = store.cut(_pair_counts(rows).where(F.col("shared") >= _fewest("na", "nb")).select("a", "b"), "pairs")
+    # pairs around one least node share a block, so that a set is seldom sent twice
+    hub = pairs.select(F.col("a").alias("node"), F.col("a").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))).groupBy("node").agg(F.min("other").alias("hub"))
+    width = max(1, pairs.count() // 256)
+    keyed = pairs.join(hub, F.col("a") == F.col("node")).select(F.pmod(F.xxhash64("hub"), F.lit(width)).alias("block"), "a", "b")
+    sides = keyed.select("block", F.col("a").alias("node"), F.lit(True).alias("probe"), F.lit(False).alias("cand")).union(keyed.select("block", F.col("b").alias("node"), F.lit(False).alias("probe"), F.lit(True).alias("cand")))
+    sides = sides.groupBy("block", "node").agg(F.max("probe").alias("probe"), F.max("cand").alias("cand"))
+    placed = sides.join(sets.select("node", "toks"), "node").join(copies, "node").join(family, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    outside = store.cut(_every_link(placed, False), "links")
+    # a block may also link two of its nodes whose pair belongs to another
+    links = outside.where(F.col("kind") == LINK).select("a", "b").distinct()
+    ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = ends.join(copies.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("n"))
+    found = found.union(inside.where(F.col("kind") == COUNT).select(F.col("a").alias("node"), F.col("b").alias("n")))
+    return inside.union(outside).where(F.col("kind") == JOINED).select("a", "b"), found.groupBy("node").agg(F.sum("n").alias("linked"))
+
+
+def _joining_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b that join the nodes of each component."""
+    from pyspark.sql import Window
+
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    chain = entries.select("node", "n", F.lead("node").over(by_size).alias("b"), F.lead("n").over(by_size).alias("nb")).where(f"b is not null and 100 * n >= {PERCENT} * nb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    links = store.cut(_compare_pairs(store.cut(chain, "pairs"), sets), "links")
+    comp = store.cut(components.components(links).select("node", F.col("component").alias("comp")), "comp")
+
+    with_comp = entries.join(comp, "node", "left").select("key", "node", "n", "g", F.coalesce("comp", "node").alias("comp"))
+    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    with_comp = store.cut(with_comp.join(mixed, "key", "left_semi"), "mixed")
+    light = _pair_counts(with_comp.where(F.col("g") <= DENSE)).where(F.col("shared") >= _fewest("na", "nb")).select("a", "b")
+    links2 = _compare_pairs(store.cut(light, "pairs"), sets)
+    links3 = _families(with_comp.where(F.col("g") > DENSE), sets, comp)
+    return store.cut(links.union(links2).union(links3), "links")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of documents."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and n_links (the other rows that it
+    links with, those of an equal set among them) of each row of documents; without `links` no n_links, for
+    which pairs of one component need not be compared."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("doc_id"), F.col(text).alias("text"))
     letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(min(max(12, letters // (6 * RANGE_SHINGLES)), 1 << 16))
     all_docs = store.cut(_candidates(rows, ranges), "sizes")
     open_ = all_docs.where(f"n > 0 and 100 * shared >= {PERCENT} * n")
-    nodes = store.cut(open_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
+    nodes = store.cut(open_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
 
     def whole_sets(batches):
         for batch in kernel.slices(batches, "text"):
@@ -380,26 +495,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     groups = entries.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
     entries = store.cut(entries.join(groups, "key"), "entries")
 
-    from pyspark.sql import Window
-
-    by_size = Window.partitionBy("key").orderBy("n", "node")
-    chain = entries.select("node", "n", F.lead("node").over(by_size).alias("b"), F.lead("n").over(by_size).alias("nb")).where(f"b is not null and 100 * n >= {PERCENT} * nb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = store.cut(_compare_pairs(store.cut(chain, "pairs"), sets), "links")
-    comp = store.cut(components.components(links).select("node", F.col("component").alias("comp")), "comp")
-
-    with_comp = entries.join(comp, "node", "left").select("key", "node", "n", "g", F.coalesce("comp", "node").alias("comp"))
-    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    with_comp = store.cut(with_comp.join(mixed, "key", "left_semi"), "mixed")
-    larger = F.greatest("na", "nb")
-    least = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / F.lit(100 + PERCENT)) - F.ceil(PERCENT * larger / F.lit(100)) + 1
-    light = _pair_counts(with_comp.where(F.col("g") <= DENSE)).where(F.col("shared") >= least).select("a", "b")
-    links2 = _compare_pairs(store.cut(light, "pairs"), sets)
-    links3 = _families(with_comp.where(F.col("g") > DENSE), sets, comp)
-    every = store.cut(links.union(links2).union(links3), "links")
+    if links:
+        every, linked = _all_links(entries, sets, nodes)
+    else:
+        every, linked = _joining_links(entries, sets), None
     last = components.components(every)
 
-    least_id = nodes.join(last, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least_id = nodes.join(last, "node", "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("component"))
     ids = least_id.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = least_id.join(ids, "component").select("node", "component_id")
-    none = F.lit(NONE)
-    return all_docs.join(found, "node", "left").select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("_c")).select("doc_id", "n_shingles", F.nullif("_c", none).alias("component_id"))
+    found = least_id.join(ids, "component").select("node", "copies", "component_id")
+    if links:
+        found = found.join(linked, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+    none, more = F.lit(NONE), [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return all_docs.join(found, "node", "left").select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("_c"), *more).select("doc_id", "n_shingles", F.nullif("_c", none).alias("component_id"), *(["n_links"] if links else []))

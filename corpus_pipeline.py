@@ -31,7 +31,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similar n-gram sets join, keep the one with the least id. Of rows that share
     an id and a text one stays; only such ids are shuffled again for it."""
-    kept = ngramjoin.join(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
+    kept = ngramjoin.join(docs, links=False).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
     found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS, "_again")
     once = found.where("not _again").select(*COLUMNS)
     return once.union(found.where("_again").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))

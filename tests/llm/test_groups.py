@@ -76,6 +76,35 @@ def test_join_edges(edge, edge_rows):
     assert by[1]["component_id"] == 1 and by[2]["component_id"] == 2
 
 
+def n_links(rows):
+    """doc_id -> rows of which the set is linked, by comparing all pairs."""
+    sets = [(k, shingles(t)) for k, t in rows]
+    n = {k: 0 for k, _ in sets}
+    for i, (k, a) in enumerate(sets):
+        for other, b in sets[:i]:
+            if a and b and 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b):
+                n[k] += 1
+                n[other] += 1
+    return n
+
+
+def test_links_planted(spark):
+    """All links are counted, within groups of near copies too; what families and small groups do is the same."""
+    rows = planted(4)
+    rows += [(k + 10000, t) for k, t in rows[:60]]  # equal sets
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = n_links(rows)
+    assert {r["doc_id"]: r["n_links"] for r in ngramjoin.join(d).collect()} == want
+    assert max(want.values()) > ngramjoin.DENSE
+    once, twice = (sorted(map(tuple, x.select("doc_id", "n_shingles", "component_id").collect())) for x in (ngramjoin.join(d), ngramjoin.join(d, links=False)))
+    assert once == twice
+
+
+def test_links_tables(docs):
+    want = n_links([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"]: r["n_links"] for r in ngramjoin.join(docs).collect()} == want
+
+
 def lines_of(text):
     return [x.strip(" \t\n\r\v\f") for x in (text or "").split("\n") if WORD.search(x)]
 
