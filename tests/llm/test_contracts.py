@@ -210,6 +210,15 @@ def test_pieces_lossless(docs, edge, piece_bpe):
         assert once == twice
 
 
+def test_query_holds_whole_segmentations(spark, docs, sf_dir, piece_bpe):
+    """The registered query gives all ids, beyond the first 64 too."""
+    want = {r["doc_id"]: r["piece_ids"] for r in spsample.encode(docs, piece_bpe).select("doc_id", "piece_ids").collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_sentencepiece_sampling"](spark, sf_dir).collect()}
+    assert max(map(len, want.values())) > 64
+    assert {k: r["piece_ids"] for k, r in got.items()} == want
+    assert all(r["n_pieces"] == len(r["piece_ids"]) and r["lossless"] for r in got.values())
+
+
 def test_sampled_shares(spark, piece_bpe):
     """Samples of a word come as often as exp(theta * score) says, over all its segmentations."""
     import sentencepiece
