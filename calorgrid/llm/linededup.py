@@ -3,9 +3,9 @@
 A document is the sequence of its lines with a word, without white space at their ends. A gram is the
 shortest run of lines from a line on with GRAM_WORDS words or more. Of the grams that start in any stretch of
 lines with GUARANTEE words the one with the least hash is selected, so every run of GUARANTEE words that two
-places share has a selected gram in common. A selected gram that stands earlier (by doc_id, then place) is
+places share, be it a single line or a whole text, has a selected gram in common. A selected gram that stands earlier (by doc_id, then place) is
 matched with its first place; the match is extended both ways line by line as long as the lines are equal, by
-up to GUARANTEE words, beyond which the next selected gram of the run takes over. The lines of later places are
+up to REACH words, beyond which the next selected gram of the run takes over. The lines of later places are
 deleted. The line of a first place that is deleted itself stands earlier still, so one copy of each stays.
 
 Defined cases: a null or empty text has no lines and stays as it is; lines without a word are no part of a
@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from calorgrid.llm import kernel
 
 GRAM_WORDS = 25
-GUARANTEE = 50
+GUARANTEE = GRAM_WORDS  # a single line of GRAM_WORDS words is a stretch, and so is a text of as many
+REACH = 50
 U = np.uint64
 
 
@@ -83,8 +84,8 @@ def _grams(docs: DataFrame, text: str) -> DataFrame:
                 continue
             total = np.concatenate([[0], np.cumsum(n_words)])
             open_, close = np.searchsorted(doc, doc[at]), np.searchsorted(doc, doc[at], side="right")
-            low = np.maximum(open_, np.searchsorted(total, total[at] - GUARANTEE, side="right") - 1)
-            high = np.minimum(close, np.searchsorted(total, total[end] + GUARANTEE))
+            low = np.maximum(open_, np.searchsorted(total, total[at] - REACH, side="right") - 1)
+            high = np.minimum(close, np.searchsorted(total, total[end] + REACH))
             signed = h.view(np.int64)
             before = signed[np.repeat(at - 1, at - low) - kernel.ragged(np.zeros(len(at), np.int64), at - low)]
             after = signed[kernel.ragged(end, high - end)]

@@ -178,3 +178,13 @@ def test_lines_planted(spark):
         assert left == ([x for x in want if x not in run] if k % 2 and k > 1 else want)
         assert got[k]["n_removed"] == len(want) - len(left) and got[k]["n_lines"] == len(want)
     assert {k: lines_of(r["text"]) for k, r in got.items()} == by_hand(rows)
+
+
+def test_lines_short_runs(spark):
+    """Single lines of GRAM_WORDS words and texts of fewer than 50 words stand once."""
+    rng = random.Random(9)
+    line, text = prose(rng, 25), "\n".join(prose(rng, 10) for _ in range(3))
+    rows = [(1, prose(rng, 40) + "\n" + line + "\n" + prose(rng, 9)), (2, prose(rng, 8) + "\n" + line), (3, line), (4, text), (5, text)]
+    got = {r["doc_id"]: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r["n_removed"] for k, r in got.items()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 3}
+    assert got[2]["text"] == rows[1][1].split("\n")[0] and got[3]["text"] == got[5]["text"] == ""
