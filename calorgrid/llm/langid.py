@@ -2,15 +2,15 @@
 
 Features are the n-grams of 1 to ORDERS characters of the lower-cased text, every character that is no letter
 being a blank; n-grams of blanks alone don't count. Each is hashed into one of BUCKETS. The matrix of log
-probabilities (buckets x languages, at most MAX_LANGS of them) is broadcast; batches are scored in numpy by
+probabilities (buckets x languages, at most CELLS) is broadcast: beyond 64 languages neighbouring buckets are
+one, so that every language is learned, and beyond MAX_LANGS of them fitting fails; batches are scored in numpy by
 summing its rows.
 
 Fitting takes a bounded sample, TRAIN_DOCS documents per language, the least by a hash of their ids; the prior
 counts all labelled documents of the training folds.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if there was
-nothing to learn from; of equally likely languages the first by code points wins; beyond MAX_LANGS languages
-those with the fewest documents are not learned; a null doc_id is hashed as an empty text and so is held out;
+nothing to learn from; of equally likely languages the first by code points wins; a null doc_id is hashed as an empty text and so is held out;
 other columns are kept, columns of the names that are added are replaced.
 """
 
@@ -29,7 +29,8 @@ from calorgrid.llm import kernel
 ORDERS = 3
 BUCKETS = 1 << 17
 TRAIN_DOCS = 4000
-MAX_LANGS = 64
+CELLS = BUCKETS * 64
+MAX_LANGS = 8192
 FOLDS = 5
 SMOOTHING = 0.1
 SLICE = 1 << 18  # bytes of text scored at once
@@ -76,15 +77,22 @@ def held_out(key: Column) -> Column:
 class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, prior: np.ndarray) -> None:
         self.langs, self.weights, self.prior = langs, weights, prior
+        self.shift = BUCKETS.bit_length() - len(weights).bit_length()  # of a bucket, to its row of weights
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from documents outside the held-out fold that have a language."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where(~held_out(F.col("_key")) & F.col("_lang").isNotNull() & (F.col("_lang") != "und") & F.col("_text").isNotNull())
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.encode("_lang", "utf-8")).limit(MAX_LANGS).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    shift = 0
+    while (BUCKETS >> shift) * len(langs) > CELLS:
+        shift += 1
+    buckets = BUCKETS >> shift
     spark = docs.sparkSession
     part = spark.createDataFrame([(lg, k, min(1.0, train_docs / counts[lg])) for k, lg in enumerate(langs)], "_lang string, _index int, _share double")
     draw = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -97,14 +105,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             data, offsets = kernel.flat(kernel.column(batch, "_text"))
             for bucket, of in features(data, offsets)[0]:
                 for k in np.unique(which):
-                    got = np.bincount(bucket[which[of] == k], minlength=BUCKETS)
+                    got = np.bincount(bucket[which[of] == k] >> shift, minlength=buckets)
                     total[k] = total[k] + got if k in total else got
         for k, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["k", "bucket", "n"])
 
-    found = sample.mapInArrow(counted, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_LANGS * BUCKETS rows
-    n = np.zeros((BUCKETS, len(langs)))
+    found = sample.mapInArrow(counted, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    n = np.zeros((buckets, len(langs)))
     n[found.column("bucket").to_numpy(), found.column("k").to_numpy()] = found.column("n").to_numpy()
     n += SMOOTHING
     prior = np.log(np.array([counts[lg] for lg in langs], float) / sum(counts.values()))
@@ -113,7 +121,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred and score, the posterior probability of the language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGS * BUCKETS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CELLS floats
     docs = docs.drop("lang_pred", "score")
 
     def run(batches):
@@ -127,7 +135,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 for bucket, of in parts:
                     if len(bucket):
                         head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                        total[of[head]] += np.add.reduceat(m.weights[bucket], head, axis=0, dtype=np.float64)
+                        total[of[head]] += np.add.reduceat(m.weights[bucket >> m.shift], head, axis=0, dtype=np.float64)
                 best = total.argmax(axis=1)
                 score = np.where(known, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
                 name = [m.langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]

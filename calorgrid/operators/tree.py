@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from calorgrid.functions import catalog
 
-MAX_LEVELS = 200
+COUNT_AT = 200  # the level from which levels are held against the number of nodes
 
 
 def levels(nodes: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """node, parent, depth and path (from the root, node included) of all nodes that a root reaches.
 
-    One join a level; nodes on a cycle are reached from no root and are left out. Every few levels the
-    frontier is checkpointed if the session has a checkpoint folder, so that plans stay short.
+    One join a level, until one is empty; nodes on a cycle are reached from no root and are left out. Every few
+    levels the frontier is checkpointed if the session has a checkpoint folder, so that plans stay short.
     """
     spark = nodes.sparkSession
     nodes = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
     front = nodes.where("parent is null").select("node", "parent", F.lit(0).alias("depth"), F.array("node").alias("path"))
     found = [front]
-    for depth in range(1, MAX_LEVELS):
+    for depth in count(1):
         above = front.select(F.col("node").alias("parent"), F.col("path").alias("_path"))
         front = nodes.join(above, "parent").select("node", "parent", F.lit(depth).alias("depth"), F.concat("_path", F.array("node")).alias("path"))
         if spark.sparkContext.getCheckpointDir() and depth % 8 == 0:
             front = front.checkpoint()
         if front.isEmpty():
             break
+        if depth == COUNT_AT:
+            rows = nodes.count()
+        if depth >= COUNT_AT and depth >= rows:
+            raise RuntimeError("a node of two parents lies on a cycle")
         found.append(front)
     out = found[0]
     for f in found[1:]:

@@ -115,6 +115,16 @@ def test_language(docs):
     assert seen and right >= 0.9 * seen
 
 
+def test_every_language_is_learned(spark):
+    """Beyond 64 languages none is dropped."""
+    words = ["".join(chr(0x4E00 + 97 * k + i) for i in range(4)) for k in range(70)]
+    rows = [(40 * k + i, " ".join([words[k]] * 5), f"l{k:02}") for k in range(70) for i in range(40 - k // 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 70 and model.weights.size <= langid.CELLS
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(docs, model).collect())
+
+
 def test_language_scores_by_hand(docs):
     """Posteriors from the weights by a plain loop over the n-grams of a text."""
     model = langid.fit(docs)
