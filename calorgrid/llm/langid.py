@@ -9,8 +9,9 @@ summing its rows.
 Fitting takes a bounded sample, TRAIN_DOCS documents per language, the least by a hash of their ids; the prior
 counts all labelled documents of the training folds.
 
-Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if there was
-nothing to learn from; of equally likely languages the first by code points wins; a null doc_id is hashed as an empty text and so is held out;
+Defined cases: a text that is null or has no letter (a mark alone is none) is `und` with score 0, as is every
+text if there was nothing to learn from; rows labelled `und` say that their language is unknown and are not
+learned from; of equally likely languages the first by code points wins; a null doc_id is hashed as an empty text and so is held out;
 other columns are kept, columns of the names that are added are replaced.
 """
 
@@ -38,24 +39,29 @@ U = np.uint64
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    """The lower-case form of each letter, a blank for other characters."""
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """The lower-case form of each letter and each mark, a blank for other characters; and whether each
+    character is a letter."""
     low = np.full(sys.maxunicode + 1, 0x20, np.uint32)
+    letter = np.zeros(sys.maxunicode + 1, bool)
     for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] in "LM":
+        kind = unicodedata.category(chr(c))[0]
+        letter[c] = kind == "L"
+        if kind in "LM":
             s = chr(c).lower()
             low[c] = ord(s) if len(s) == 1 else c
-    return low
+    return low, letter
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
     """For each order the bucket of each n-gram and the text it is of, and which texts have a letter."""
     cps, edge = kernel.code_points(data, offsets)
-    chars = _letters()[cps].astype(U)
+    low, letter = _letters()
+    chars = low[cps].astype(U)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(edge))
     full = chars != 0x20
     lettered = np.zeros(len(offsets) - 1, bool)
-    lettered[owner[full]] = True
+    lettered[owner[letter[cps]]] = True
     code, some = chars.copy(), full.copy()
     parts = []
     for n in range(1, ORDERS + 1):

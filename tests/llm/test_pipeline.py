@@ -23,4 +23,4 @@ def test_stages(spark, docs, sf_dir, tmp_path):
     assert sorted(r[0] for r in mixed) == sorted(k for k, n in copies.items() for _ in range(n))
     pieces = tables[-1].collect()
     assert len(pieces) == len(mixed) and all(r["lossless"] for r in pieces)
-    assert linededup.GUARANTEE == 50
+    assert linededup.GUARANTEE == linededup.GRAM_WORDS == 25
