@@ -1,15 +1,19 @@
 """Similarity join of word n-gram sets by prefix filtering and a prefix tree, and its components.
 
 Sets of hashed shingles are put into one global order: shingles that are frequent in prefixes last, the others
-by hash. Two sets of Jaccard similarity t share a shingle among their first n - ceil(t n) + 1. The steps:
-
-1. Documents of which fewer than t of the shingles occur in another document link with nothing. Shingles are
-   packed by slices of documents and by ranges of hashes; a range answers each slice with counts.
-2. Of the others, equal sets become one node. Their prefixes are joined: in each group of a shared shingle only
+by hash. Two sets of Jaccard similarity t share a shingle among their first n - ceil(t n) + 1, and among the
+first n - ceil(2 t / (1 + t) n) + 1 of the smaller one (its index prefix). The steps:
+
+1. Of every set the first part by hash, long enough that two linked sets share a quarter of what must be equal
+   (`sent`, `least_shared`), goes out as rows of hash and node. Sorted by hash they are read as a stream, and sets
+   that share too little with any other link with nothing but their copies. Nothing is gathered: shingles that
+   several sets of a slice have are counted there and go out once.
+2. Of the others, equal sets are one node. Their prefixes are joined: in each group of a shared shingle only
    neighbours by size are compared at first, and what links is contracted.
-3. Pairs of different components are compared. In groups of at most DENSE nodes pairs are counted, and those
-   that share fewer prefix shingles than any linked pair must are dropped. Nodes of larger groups form families,
-   which are cut into blocks by size; blocks that may differ by more than t or lie in one component are left out.
+3. Pairs of different components are compared. In groups of at most DENSE nodes pairs are counted of which the
+   smaller has the shingle in its index prefix, and those that share fewer than any linked pair must are dropped.
+   Nodes of larger groups form families, which are cut into blocks by size and bytes; blocks whose sizes differ by
+   more than t, or which lie in one component, are left out.
 4. Every comparison is made in blocks by a prefix tree: the sets of a block, in the global order, form a tree;
    it is traversed once for all probing sets, which share the partial overlaps along common paths, and a
    subtree is left when what remains of its longest set and of the probes cannot reach the overlap needed.
@@ -17,10 +21,10 @@ by hash. Two sets of Jaccard similarity t share a shingle among their first n -
 Steps 2 and 3 leave out pairs of one component, which is enough for components alone. Where links are counted
 nothing is left out: the nodes that large groups put together form families, all pairs of a family are compared
 in its blocks, each pair in one block, and all other pairs by the counts of step 3; a node counts for as many
-links as documents have its set.
+links as documents have its set. The work of a family that is linked throughout thus grows with its links.
 
 No cap drops a pair; the least ids of components follow from grouped minima. Shingles, sets and nodes are told
-apart by 64-bit hashes (32 bits within a range in step 1, where a collision only keeps a document).
+apart by 64-bit hashes. Keys that many rows share are spread (`hot`), and long groups are cut into chunks.
 
 Defined cases: a null text and one without words has an empty set and links with nothing; repeated rows are
 equal sets; a null doc_id takes part and counts for no minimum; extra columns are ignored.
@@ -29,21 +33,20 @@ equal sets; a null doc_id takes part and counts for no minimum; extra columns ar
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from calorgrid.llm import components, kernel, store
+from calorgrid.llm import components, hot, kernel, store
 
 WORDS = 5
 PERCENT = 75
 HEAVY = 32  # nodes with a shingle in their prefix, from which it comes last in the global order
 MAX_HEAVY = 1 << 17
 DENSE = 128
-BLOCK = 384
-RANGE_SHINGLES = 1 << 19
+BLOCK_BYTES = 1 << 21  # of the sets of a block
+CHUNK = 4096  # nodes of a group that are put in order together
 PART = 1 << 19
 NONE = (1 << 63) - 1  # stands for a null id
 JOINED, LINK, COUNT = range(3)  # what a row a, b of blocks says: one component, a link, b links of a
@@ -60,6 +63,22 @@ def prefix_size(n):
     return n - -(-PERCENT * n // 100) + 1
 
 
+def index_size(n):
+    """The first shingles of a set of which one is in the prefix of each linked set that is no smaller."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+
+
+def sent(n):
+    """How many first shingles by hash are held against those of others."""
+    return n - -(-PERCENT * n // 100) + np.maximum(1, n // 4)
+
+
+def least_shared(n: str):
+    """The fewest of its first shingles that a set with a link shares with another's. Prefixes that are longer by
+    k than the number of shingles that may differ share k, and the other set has t of this one's size at least."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(PERCENT * F.col(n) / F.lit(100)) / 4))
+
+
 def _sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 63-bit hashes."""
     h, first = kernel.shingles(data, offsets, WORDS)
@@ -88,70 +107,78 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _candidates(docs: DataFrame, ranges: int) -> DataFrame:
-    """doc_id, node, n and shared (shingles that may occur in another document) of each document."""
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, node and n of each document."""
+
+    def run(batches):
+        for batch in kernel.slices(batches, "text"):
+            sets = sets_of(*kernel.flat(kernel.column(batch, "text")))
+            columns = [kernel.column(batch, "doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, n long")
+
 
-    def pack(batches):
-        from pyspark import TaskContext
+ONE, SEVERAL, COUNTED = range(3)  # a shingle of one set of a slice, of several, and shingles counted in the slice
 
-        part, slice_no = TaskContext.get().partitionId(), 0
+
+def _first_shingles(docs: DataFrame) -> DataFrame:
+    """key, node, kind and n: the first shingles of the sets, those that several sets of a slice have once; and of
+    each set how many of these it has (its node as key, so that such rows go anywhere)."""
+
+    def run(batches):
         for batch in kernel.slices(batches, "text", 1 << 22):
-            data, offsets = kernel.flat(kernel.column(batch, "text"))
-            sets = sets_of(data, offsets)
-            n = np.array([len(s) for s in sets], np.int64)
-            info = pa.RecordBatch.from_arrays([kernel.column(batch, "doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(n)], names=["doc_id", "node", "n"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, info.schema) as w:
-                w.write_batch(info)
-            h = np.concatenate(sets) if len(sets) else np.zeros(0, U)
-            owner = np.repeat(np.arange(len(sets)), n)
+            sets = sets_of(*kernel.flat(kernel.column(batch, "text")))
+            sets = list({node_of(s): s for s in sets if len(s)}.items())
+            if not sets:
+                continue
+            node = np.array([k for k, _ in sets], np.int64)
+            heads = [s[: sent(len(s))] for _, s in sets]
+            h, owner = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(x) for x in heads])
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
-            head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             size = np.diff(np.append(head, len(h)))
-            local = np.zeros(len(sets), np.int64)  # shingles that two documents of this slice have
-            np.add.at(local, owner[np.repeat(size > 1, size)], 1)
-            v, single, who = h[head], size == 1, owner[head]
-            short = ((v >> U(15)) & U(0xFFFFFFFF)).astype("<u4")
-            which = ((v >> U(47)) * U(ranges) >> U(16)).astype(np.int64)
-            bounds = np.searchsorted(which, np.arange(ranges + 1))
-            rows = []
-            home = zlib.crc32(b"%d %d" % (part, slice_no)) % ranges  # the range that carries the slice's documents
-            for r in range(ranges):
-                a, b = bounds[r], bounds[r + 1]
-                if a < b or r == home:
-                    one = single[a:b]
-                    rows.append((part, slice_no, r, short[a:b][one].tobytes(), who[a:b][one].astype("<u2" if len(sets) < 1 << 16 else "<u4").tobytes(), short[a:b][~one].tobytes(), local.astype("<i4").tobytes() if r == home else None, sink.getvalue().to_pybytes() if r == home else None))
-            slice_no += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5))], names=["part", "slice", "range", "one", "who", "more", "local", "info"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        every = [np.frombuffer(x, "<u4") for c in ("one", "more") for x in table.column(c).to_pylist()]
-        s = np.sort(np.concatenate(every))
-        twice = s[1:][s[1:] == s[:-1]]
-        counts = []
-        for one, who, local in zip(table.column("one").to_pylist(), table.column("who").to_pylist(), table.column("local").to_pylist()):
-            t = np.frombuffer(one, "<u4")
-            w = np.frombuffer(who, "<u2" if len(who) == 2 * len(t) else "<u4")
-            at = np.searchsorted(twice, t)
-            at[at == len(twice)] = 0
-            hit = w[twice[at] == t] if len(twice) else w[:0]
-            docs_hit, n = np.unique(hit, return_counts=True)
-            counts.append(np.stack([docs_hit.astype("<i4"), n.astype("<i4")], 1).tobytes())
-        return pa.table({"part": table.column("part"), "slice": table.column("slice"), "counts": pa.array(counts, pa.binary()), "local": table.column("local"), "info": table.column("info")})
-
-    def total(table: pa.Table) -> pa.Table:
-        at = next(i for i, x in enumerate(table.column("info").to_pylist()) if x is not None)
-        info = pa.ipc.open_stream(table.column("info")[at].as_py()).read_all()
-        shared = np.frombuffer(table.column("local")[at].as_py(), "<i4").astype(np.int64)
-        for c in table.column("counts").to_pylist():
-            pairs = np.frombuffer(c, "<i4").reshape(-1, 2)
-            np.add.at(shared, pairs[:, 0], pairs[:, 1])
-        return info.append_column("shared", pa.array(shared))
-
-    packed = docs.mapInArrow(pack, "part long, slice long, range int, one binary, who binary, more binary, local binary, info binary")
-    counted = packed.groupBy("range").applyInArrow(answer, "part long, slice long, counts binary, local binary, info binary")
-    return counted.groupBy("part", "slice").applyInArrow(total, "doc_id long, node long, n long, shared long")
+            local = np.bincount(owner[np.repeat(size > 1, size)], minlength=len(sets))
+            some = np.flatnonzero(local)
+            key = np.concatenate([h[head].view(np.int64), node[some]])
+            of = np.concatenate([node[owner[head]], node[some]])
+            kind = np.concatenate([np.where(size > 1, SEVERAL, ONE), np.full(len(some), COUNTED)]).astype(np.int8)
+            n = np.concatenate([np.ones(len(head), np.int32), local[some].astype(np.int32)])
+            for at in range(0, len(key), 1 << 16):
+                columns = [pa.array(c[at : at + (1 << 16)]) for c in (key, of, kind, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "kind", "n"])
+
+    return docs.mapInArrow(run, "key long, node long, kind byte, n int")
+
+
+def _shared(firsts: DataFrame) -> DataFrame:
+    """node and shared: how many of its first shingles other sets have among theirs. Copies of a set in several
+    slices may count what they share there more than once, which keeps a set at worst."""
+
+    def run(batches):
+        held = None  # the last shingle, its set and whether another set has it too: it may go on in the next batch
+        for batch in batches:
+            key, node, kind, n = (np.asarray(kernel.column(batch, c)) for c in ("key", "node", "kind", "n"))
+            counted = kind == COUNTED
+            out = [(node[counted], n[counted])]
+            key, node, several = key[~counted], node[~counted], kind[~counted] == SEVERAL
+            if len(key):
+                if held is not None:
+                    key, node, several = (np.append(x, y) for x, y in zip(held, (key, node, several)))
+                new_key = np.append(True, key[1:] != key[:-1])
+                new = new_key | np.append(True, node[1:] != node[:-1])
+                run_of = np.cumsum(new_key) - 1
+                both = (np.bincount(run_of[new]) > 1) | (np.bincount(run_of, several) > 0)
+                got = node[new & ~several & both[run_of]]
+                out.append((got, np.ones(len(got), np.int32)))
+                held = (key[-1:], node[-1:], both[-1:])
+            nodes, at = np.unique(np.concatenate([x for x, _ in out]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([y for _, y in out]), minlength=len(nodes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(total)], names=["node", "shared"])
+
+    rows = firsts.repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(run, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
 def ordered(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -279,8 +306,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         sizes = np.array([len(s) for s in sets], np.int64)
         probes, cands = np.flatnonzero(is_probe), np.flatnonzero(is_cand)
         links = tree_join(nodes, probes, cands, sizes, sets, comp) if len(probes) and len(cands) else []
-        if len(nodes) > BLOCK // 2:
-            kernel.release()
+        kernel.release()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return rows.groupBy("block").applyInArrow(run, "a long, b long")
@@ -309,38 +335,42 @@ def _every_link(rows: DataFrame, count: bool) -> DataFrame:
             out.append((COUNT, node[some], n[some]))
         else:
             out.append((LINK, node[a], node[b]))
-        if len(node) > BLOCK // 2:
-            kernel.release()
+        kernel.release()
         kind = np.repeat(np.array([k for k, _, _ in out], np.int32), [len(x) for _, x, _ in out])
         return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([x for _, x, _ in out])), "b": pa.array(np.concatenate([y for _, _, y in out]))})
 
     return rows.groupBy("block").applyInArrow(run, "kind int, a long, b long")
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """block, node, probe and cand of the two ends of pairs block, a, b."""
+    a = pairs.select("block", F.col("a").alias("node"), F.lit(True).alias("probe"), F.lit(False).alias("cand"))
+    return a.union(pairs.select("block", F.col("b").alias("node"), F.lit(False).alias("probe"), F.lit(True).alias("cand")))
+
+
 def _compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among given pairs a, b: pairs of about the same a share a block."""
     n = pairs.count()
     width = max(1, n // 256)
     keyed = pairs.select(F.pmod(F.xxhash64("a"), F.lit(width)).alias("block"), "a", "b")
-    rows = keyed.select("block", F.col("a").alias("node"), F.lit(True).alias("probe"), F.lit(False).alias("cand")).union(keyed.select("block", F.col("b").alias("node"), F.lit(False).alias("probe"), F.lit(True).alias("cand"))).distinct()
-    return _blocks(rows.join(sets.select("node", "toks", F.col("node").alias("comp")), "node"))
+    return _blocks(_sides(keyed).distinct().join(sets.select("node", "toks", F.col("node").alias("comp")), "node"))
 
 
 def _pair_counts(entries: DataFrame) -> DataFrame:
-    """a, b, na, nb and shared of pairs of different components in groups of a key: rows key, node, n, comp,
-    whole groups of at most DENSE rows."""
+    """a, b, na, nb and shared of pairs of different components in groups of a key: rows key, node, n, index and
+    comp, whole groups of at most DENSE rows. shared counts the keys that the smaller set has in its index prefix."""
 
     def run(batches):
         rest = None
 
         def of(t):
-            key, node, n, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "node", "n", "comp"))
+            key, node, n, index, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "node", "n", "index", "comp"))
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             a, b = [], []
             for s, e in zip(head.tolist(), [*head[1:].tolist(), len(key)]):
                 i, j = np.triu_indices(e - s, 1)
                 i, j = i + s, j + s
-                use = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+                use = index[i] & (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
                 a.append(i[use]), b.append(j[use])
             a, b = np.concatenate(a), np.concatenate(b)
             turn = node[a] > node[b]
@@ -362,29 +392,35 @@ def _pair_counts(entries: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield of(rest)
 
-    found = entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, na long, nb long, shared long")
+    rows = entries.select("key", "node", "n", "index", "comp").repartition("key").sortWithinPartitions("key", "n", "node")
+    found = rows.mapInArrow(run, "a long, b long, na long, nb long, shared long")
     return found.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"))
 
 
-def _families(entries: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Links within families."""
-    return _blocks(_family_blocks(_family_of(entries), sets, comp))
+def _chunk():
+    """A part of a group of at most about CHUNK nodes."""
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col("g") / CHUNK)).alias("chunk")
 
 
 def _family_of(entries: DataFrame) -> DataFrame:
     """node and component of the nodes that groups of more than DENSE nodes put together."""
-    hub = entries.groupBy("key").agg(F.min("node").alias("hub"))
-    return components.components(entries.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    rows = entries.select("key", _chunk(), "node")
+    hubs = rows.groupBy("key", "chunk").agg(F.min("node").alias("hub"))
+    top = hubs.groupBy("key").agg(F.min("hub").alias("top"))
+    inside = rows.join(hubs, ["key", "chunk"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components.components(inside.union(hubs.join(top, "key").select(F.col("hub").alias("a"), F.col("top").alias("b"))))
 
 
-def _family_blocks(family: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+def _family_blocks(family: DataFrame, sets: DataFrame, comp: DataFrame, tables: store.Scratch) -> DataFrame:
     """The blocks that hold each pair of a family which may be linked, and is not of one comp, once."""
     # a linked pair lies in one band of sizes or in two that follow each other
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * (1 + 1e-9))).cast("int")
-    rows = family.join(sets.select("node", "n"), "node").join(comp, "node", "left").select("node", "component", band.alias("band"), F.coalesce("comp", "node").alias("comp"), F.xxhash64("node").alias("h"))
-    rows = store.cut(rows, "family")
-    blocks = rows.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = store.cut(rows.join(blocks, ["component", "band"]).withColumn("part", F.pmod("h", F.col("parts")).cast("int")).drop("h"), "family")
+    rows = family.join(sets.select("node", "n"), "node").join(comp, "node", "left")
+    rows = tables.cut(rows.select("node", "n", "component", band.alias("band"), F.coalesce("comp", "node").alias("comp")), "family")
+    parts = F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES).cast("int")
+    blocks = tables.cut(rows.groupBy("component", "band").agg(parts.alias("parts"), F.count("*").alias("_n")), "bands")
+    rows = hot.spread_join(rows.drop("n"), blocks, ["component", "band"], "_n", "node")
+    rows = tables.cut(rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts", "_n"), "family")
     each = rows.groupBy("component", "band", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     near = each.withColumn("next", F.explode(F.array("band", F.col("band") + 1)))
     other = each.select(F.col("component").alias("c2"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
@@ -395,28 +431,30 @@ def _family_blocks(family: DataFrame, sets: DataFrame, comp: DataFrame) -> DataF
 
 
 def _fewest(na: str, nb: str):
-    """The least number of shingles that the prefixes of linked sets share."""
-    larger = F.greatest(na, nb)
-    return F.ceil(PERCENT * (F.col(na) + F.col(nb)) / F.lit(100 + PERCENT)) - F.ceil(PERCENT * larger / F.lit(100)) + 1
+    """The least number of shingles in both the index prefix of the smaller and the prefix of the larger of two
+    linked sets: the overlap needed, less what may lie behind either prefix."""
+    n, larger, smaller = F.col(na) + F.col(nb), F.greatest(na, nb), F.least(na, nb)
+    behind = F.greatest(F.ceil(PERCENT * larger / F.lit(100)), F.ceil(2 * PERCENT * smaller / F.lit(100 + PERCENT)))
+    return F.ceil(PERCENT * n / F.lit(100 + PERCENT)) - behind + 1
 
 
-def _all_links(entries: DataFrame, sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _all_links(entries: DataFrame, sets: DataFrame, nodes: DataFrame, tables: store.Scratch) -> tuple[DataFrame, DataFrame]:
     """a, b that join the nodes of each component, and node and linked (documents of the nodes linked to it)."""
     copies = nodes.select("node", "copies")
-    family = store.cut(_family_of(entries.where(F.col("g") > DENSE)), "family")
-    inside = _every_link(_family_blocks(family, sets, nodes.select("node", F.col("node").alias("comp"))).join(copies, "node"), True)
-    inside = store.cut(inside, "links")
+    family = _family_of(entries.where(F.col("g") > DENSE))
+    blocks = _family_blocks(family, sets, nodes.select("node", F.col("node").alias("comp")), tables)
+    inside = tables.cut(_every_link(blocks.join(copies, "node"), True), "links")
     # pairs of one family are settled; others share no large group, so that small groups count all that they share
-    rows = entries.where(F.col("g") <= DENSE).join(family, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    pairs = store.cut(_pair_counts(rows).where(F.col("shared") >= _fewest("na", "nb")).select("a", "b"), "pairs")
+    rows = entries.where(F.col("g") <= DENSE).join(family, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    pairs = tables.cut(_pair_counts(rows).where(F.col("shared") >= _fewest("na", "nb")).select("a", "b"), "pairs")
     # pairs around one least node share a block, so that a set is seldom sent twice
-    hub = pairs.select(F.col("a").alias("node"), F.col("a").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))).groupBy("node").agg(F.min("other").alias("hub"))
+    ends = pairs.select(F.col("a").alias("node"), F.col("a").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    hub = ends.groupBy("node").agg(F.min("other").alias("hub"))
     width = max(1, pairs.count() // 256)
     keyed = pairs.join(hub, F.col("a") == F.col("node")).select(F.pmod(F.xxhash64("hub"), F.lit(width)).alias("block"), "a", "b")
-    sides = keyed.select("block", F.col("a").alias("node"), F.lit(True).alias("probe"), F.lit(False).alias("cand")).union(keyed.select("block", F.col("b").alias("node"), F.lit(False).alias("probe"), F.lit(True).alias("cand")))
-    sides = sides.groupBy("block", "node").agg(F.max("probe").alias("probe"), F.max("cand").alias("cand"))
+    sides = _sides(keyed).groupBy("block", "node").agg(F.max("probe").alias("probe"), F.max("cand").alias("cand"))
     placed = sides.join(sets.select("node", "toks"), "node").join(copies, "node").join(family, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    outside = store.cut(_every_link(placed, False), "links")
+    outside = tables.cut(_every_link(placed, False), "links")
     # a block may also link two of its nodes whose pair belongs to another
     links = outside.where(F.col("kind") == LINK).select("a", "b").distinct()
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -425,62 +463,56 @@ def _all_links(entries: DataFrame, sets: DataFrame, nodes: DataFrame) -> tuple[D
     return inside.union(outside).where(F.col("kind") == JOINED).select("a", "b"), found.groupBy("node").agg(F.sum("n").alias("linked"))
 
 
-def _joining_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def _joining_links(entries: DataFrame, sets: DataFrame, tables: store.Scratch) -> DataFrame:
     """Links a, b that join the nodes of each component."""
-    from pyspark.sql import Window
+    by_size = Window.partitionBy("key", "chunk").orderBy("n", "node")
+    chain = entries.withColumn("chunk", _chunk()).select("node", "n", F.lead("node").over(by_size).alias("b"), F.lead("n").over(by_size).alias("nb"))
+    chain = chain.where(f"b is not null and 100 * n >= {PERCENT} * nb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    links = tables.cut(_compare_pairs(tables.cut(chain, "pairs"), sets), "links")
+    comp = components.components(links).select("node", F.col("component").alias("comp"))
+
+    with_comp = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("_n")).where("lo <> hi").drop("lo", "hi")
+    with_comp = tables.cut(hot.spread_join(with_comp, tables.cut(mixed, "keys"), ["key"], "_n", "node").drop("_n"), "mixed")
+    light = _pair_counts(with_comp.where(F.col("g") <= DENSE)).where(F.col("shared") >= _fewest("na", "nb")).select("a", "b")
+    links2 = _compare_pairs(tables.cut(light, "pairs"), sets)
+    links3 = _blocks(_family_blocks(_family_of(with_comp.where(F.col("g") > DENSE)), sets, comp, tables))
+    return tables.cut(links.union(links2).union(links3), "links")
 
-    by_size = Window.partitionBy("key").orderBy("n", "node")
-    chain = entries.select("node", "n", F.lead("node").over(by_size).alias("b"), F.lead("n").over(by_size).alias("nb")).where(f"b is not null and 100 * n >= {PERCENT} * nb").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = store.cut(_compare_pairs(store.cut(chain, "pairs"), sets), "links")
-    comp = store.cut(components.components(links).select("node", F.col("component").alias("comp")), "comp")
 
-    with_comp = entries.join(comp, "node", "left").select("key", "node", "n", "g", F.coalesce("comp", "node").alias("comp"))
-    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    with_comp = store.cut(with_comp.join(mixed, "key", "left_semi"), "mixed")
-    light = _pair_counts(with_comp.where(F.col("g") <= DENSE)).where(F.col("shared") >= _fewest("na", "nb")).select("a", "b")
-    links2 = _compare_pairs(store.cut(light, "pairs"), sets)
-    links3 = _families(with_comp.where(F.col("g") > DENSE), sets, comp)
-    return store.cut(links.union(links2).union(links3), "links")
+def _prefixes(batches):
+    """key, node, n and index (whether it lies in the index prefix) of the prefixes of sets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            n = np.asarray(kernel.column(part, "n"))
+            count = prefix_size(n)
+            p = [np.frombuffer(t, "<u8")[:k] for t, k in zip(kernel.column(part, "toks").to_pylist(), count.tolist())]
+            index = kernel.ragged(np.zeros(len(n), np.int64), count) < np.repeat(index_size(n), count)
+            columns = [np.concatenate(p).view(np.int64), np.repeat(np.asarray(kernel.column(part, "node")), count), np.repeat(n, count), index]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "index"])
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) and n_links (the other rows that it
-    links with, those of an equal set among them) of each row of documents; without `links` no n_links, for
-    which pairs of one component need not be compared."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("doc_id"), F.col(text).alias("text"))
-    letters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(min(max(12, letters // (6 * RANGE_SHINGLES)), 1 << 16))
-    all_docs = store.cut(_candidates(rows, ranges), "sizes")
-    open_ = all_docs.where(f"n > 0 and 100 * shared >= {PERCENT} * n")
-    nodes = store.cut(open_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
-
-    def whole_sets(batches):
-        for batch in kernel.slices(batches, "text"):
-            data, offsets = kernel.flat(kernel.column(batch, "text"))
-            sets = sets_of(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "toks"])
+ENTRIES = "key long, node long, n long, index boolean"
 
-    chosen = rows.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
-    raw = chosen.mapInArrow(whole_sets, "node long, n long, toks binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    raw = store.cut(raw, "raw-sets")
 
-    def prefixes(batches, heavy=None, rank=None):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                n = np.asarray(kernel.column(part, "n"))
-                p = [np.frombuffer(t, "<u8")[: prefix_size(k)] for t, k in zip(kernel.column(part, "toks").to_pylist(), n.tolist())]
-                count = np.array([len(x) for x in p], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(np.asarray(kernel.column(part, "node")), count)), pa.array(np.repeat(n, count))], names=["key", "node", "n"])
-
-    schema = "key long, node long, n long"
-    counts = raw.mapInArrow(prefixes, schema).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).orderBy(F.desc("c"), "key").limit(MAX_HEAVY)
-    found = counts.toArrow()  # at most MAX_HEAVY rows
+def _entries(sets: DataFrame, tables: store.Scratch) -> DataFrame:
+    """Prefix shingles of the sets in groups g in which some pair may meet, the smaller with its index prefix."""
+    entries = sets.mapInArrow(_prefixes, ENTRIES)
+    size = F.struct("n", "node")
+    groups = entries.groupBy("key").agg(F.count("*").alias("g"), F.min(F.when(F.col("index"), size)).alias("_least")).where("g > 1 and _least is not null")
+    joined = hot.spread_join(entries, tables.cut(groups, "groups"), ["key"], "g", "node")
+    return tables.cut(joined.where(F.col("index") | (size > F.col("_least"))).drop("_least"), "entries")
+
+
+def _global_order(raw: DataFrame) -> DataFrame:
+    """The sets with their shingles in the global order."""
+    common = raw.mapInArrow(_prefixes, ENTRIES).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY)
+    found = common.orderBy(F.desc("c"), "key").limit(MAX_HEAVY).toArrow()  # at most MAX_HEAVY rows
     heavy = np.asarray(found.column("key").combine_chunks()).astype(np.int64).view(U)
     rank = np.arange(len(heavy), 0, -1).astype(U)  # the most frequent last
     by = np.argsort(heavy)
-    shared = spark.sparkContext.broadcast((heavy[by], rank[by]))
+    shared = raw.sparkSession.sparkContext.broadcast((heavy[by], rank[by]))
 
     def reorder(batches):
         hv, rk = shared.value
@@ -490,21 +522,47 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool =
                 toks = [ordered(np.frombuffer(t, "<u8"), hv, rk).tobytes() for t in kernel.column(part, "toks").to_pylist()]
                 yield pa.RecordBatch.from_arrays([kernel.column(part, "node"), kernel.column(part, "n"), pa.array(toks, pa.binary())], names=["node", "n", "toks"])
 
-    sets = store.cut(raw.mapInArrow(reorder, "node long, n long, toks binary"), "sets")
-    entries = sets.mapInArrow(prefixes, schema)
-    groups = entries.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
-    entries = store.cut(entries.join(groups, "key"), "entries")
-
-    if links:
-        every, linked = _all_links(entries, sets, nodes)
-    else:
-        every, linked = _joining_links(entries, sets), None
-    last = components.components(every)
-
-    least_id = nodes.join(last, "node", "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("component"))
-    ids = least_id.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = least_id.join(ids, "component").select("node", "copies", "component_id")
-    if links:
-        found = found.join(linked, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
-    none, more = F.lit(NONE), [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
-    return all_docs.join(found, "node", "left").select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("_c"), *more).select("doc_id", "n_shingles", F.nullif("_c", none).alias("component_id"), *(["n_links"] if links else []))
+    return raw.mapInArrow(reorder, "node long, n long, toks binary")
+
+
+def _whole_sets(batches):
+    for batch in kernel.slices(batches, "text"):
+        sets = sets_of(*kernel.flat(kernel.column(batch, "text")))
+        columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "toks"])
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and n_links (the other rows that it
+    links with, those of an equal set among them) of each row of documents; without `links` no n_links, for
+    which pairs of one component need not be compared."""
+    spark = docs.sparkSession
+    none = F.lit(NONE)
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc_id"), F.col(text).alias("text"))
+    all_docs = store.cut(_sizes(rows), "sizes")
+    with store.Scratch(spark, "ngram-join") as tables:
+        nodes = tables.cut(all_docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
+        near = _shared(_first_shingles(rows)).join(nodes, "node").where(F.col("shared") >= least_shared("n"))
+        open_ = tables.cut(near.select("node", "first_id"), "open")
+        chosen = rows.join(open_.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        raw = chosen.mapInArrow(_whole_sets, "node long, n long, toks binary").join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        raw = tables.cut(raw, "raw-sets")
+        sets = tables.cut(_global_order(raw), "sets")
+        tables.drop(raw)
+        entries = _entries(sets, tables)
+        if links:
+            every, linked = _all_links(entries, sets, nodes, tables)
+        else:
+            every, linked = _joining_links(entries, sets, tables), None
+        last = components.components(every)
+        joined = tables.cut(nodes.join(last, "node"), "joined")
+        ids = joined.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_n"))
+        found = hot.spread_join(joined.select("node", "component"), tables.cut(ids, "ids"), ["component"], "_n", "node").select("node", "component_id")
+        found = nodes.join(found, "node", "left").select("node", "copies", F.coalesce("component_id", "first_id").alias("component_id"))
+        if links:
+            found = found.join(linked, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+        found = store.cut(found, "nodes")
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    out = hot.spread_join(all_docs, found, ["node"], "copies", "doc_id", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, none).alias("component_id"), *more)

@@ -3,7 +3,7 @@
 import random
 import re
 
-from calorgrid.llm import linededup, ngramjoin
+from calorgrid.llm import hot, linededup, ngramjoin
 from tests.llm.conftest import SCHEMA, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +105,49 @@ def test_links_tables(docs):
     assert {r["doc_id"]: r["n_links"] for r in ngramjoin.join(docs).collect()} == want
 
 
+def templated(n, paragraphs=40, least=4, most=9, words=30, seed=8):
+    """Texts put together from shared paragraphs, a tenth of their words edited in some."""
+    rng = random.Random(seed)
+    shared = [prose(rng, words) for _ in range(paragraphs)]
+    rows = []
+    for k in range(n):
+        text = " ".join(rng.sample(shared, rng.randrange(least, most)))
+        if k % 3 == 0 and rows:
+            text = rng.choice(rows)[1]
+            w = text.split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(9)}"
+            text = " ".join(w)
+        rows.append((k, text))
+    return rows
+
+
+def test_families_in_several_blocks(spark, monkeypatch):
+    """Small bounds, so that groups are cut into chunks, families into blocks, and hot keys are spread."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_BYTES", 1 << 15)
+    monkeypatch.setattr(ngramjoin, "CHUNK", 64)
+    monkeypatch.setattr(hot, "HOT", 40)
+    rows = templated(900)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = ngramjoin.join(d).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == n_links(rows)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == groups(rows)
+    once = ngramjoin.join(d, links=False).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, once)) == groups(rows)
+
+
+def test_first_shingles_keep_linked_sets(spark, monkeypatch):
+    """Whatever is left out before sets are joined has no link: sets of all sizes near the threshold."""
+    rng = random.Random(2)
+    rows, vocabulary = [], [f"w{i}" for i in range(4000)]
+    for k in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([5, 6, 7, 8, 9, 11, 14, 20, 60]))]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[rng.randrange(3) :] + [rng.choice(vocabulary)] * rng.randrange(3))))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    assert {r["doc_id"]: r["n_links"] for r in ngramjoin.join(d).collect()} == n_links(rows)
+
+
 def lines_of(text):
     return [x.strip(" \t\n\r\v\f") for x in (text or "").split("\n") if WORD.search(x)]
 
