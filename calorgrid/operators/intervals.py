@@ -1,54 +1,117 @@
-"""Stretches [a, b) of a line with a factor: overlays, unions, sums and cuts, by sweeps of their ends."""
+"""Stretches [a, b) of a line with a factor: overlays, unions, sums and cuts, by sweeps of their ends.
+
+A line may be long and busy, so nothing is done per line in one task: stations fall into bins, windows run within
+a bin, and what a bin hands on to the next is carried by a second window over one row per bin.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+BIN = 64  # stations
+
+
+def _bin(at: Column) -> Column:
+    return F.floor(at / BIN).cast("long")
+
+
+def running(rows: DataFrame, key: list[str], order: list[str], value: str, how: str, out: str, before: bool = False) -> DataFrame:
+    """Add `out`: the running sum, max or min of `value` in the order of the columns `order`, of which the first is the
+    station; with `before` over the rows before this one. Null where there is none."""
+    rows = rows.withColumn("_bin", _bin(F.col(order[0])))
+    agg = getattr(F, how)
+    within = Window.partitionBy(*key, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    bins = rows.groupBy(*key, "_bin").agg(agg(value).alias("_of_bin"))
+    earlier = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*key, "_bin", agg("_of_bin").over(earlier).alias("_carry"))
+    total = F.coalesce(F.col("_own") + F.col("_carry"), "_own", "_carry")
+    both = {"sum": total, "max": F.greatest("_own", "_carry"), "min": F.least("_own", "_carry")}[how]
+    joined = rows.withColumn("_own", agg(value).over(within)).join(bins, [*key, "_bin"])
+    return joined.withColumn(out, both).drop("_own", "_carry", "_bin")
+
+
+def following(ends: DataFrame, key: list[str], at: str = "a", out: str = "b") -> DataFrame:
+    """Add `out`, the next station of the key after `at`; null after the last. `ends` has one row per station."""
+    rows = ends.withColumn("_bin", _bin(F.col(at)))
+    within = Window.partitionBy(*key, "_bin").orderBy(at)
+    firsts = rows.groupBy(*key, "_bin").agg(F.min(at).alias("_first"))
+    firsts = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy(*key).orderBy("_bin"))).drop("_first")
+    joined = rows.withColumn("_own", F.lead(at).over(within)).join(firsts, [*key, "_bin"])
+    return joined.withColumn(out, F.coalesce("_own", "_next")).drop("_own", "_next", "_bin")
 
 
 def elementary(zones: DataFrame, key: str = "line") -> DataFrame:
     """key, a, b: the stretches between successive ends."""
     ends = zones.select(key, F.explode(F.array("a", "b")).alias("a")).distinct()
-    return ends.withColumn("b", F.lead("a").over(Window.partitionBy(key).orderBy("a"))).where("b is not null")
+    return following(ends, [key]).where("b is not null")
+
+
+def islands(zones: DataFrame, by: list[str]) -> DataFrame:
+    """Stretches that touch or overlap become one: by, a, b and n, the number joined."""
+    rows = running(zones.select(*by, "a", "b"), by, ["a", "b"], "b", "max", "_top", before=True)
+    rows = rows.withColumn("_new", F.coalesce((F.col("a") > F.col("_top")).cast("long"), F.lit(1)))
+    rows = running(rows, by, ["a", "b"], "_new", "sum", "_group")
+    return rows.groupBy(*by, "_group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n")).drop("_group")
+
+
+def _pieces(stretches: DataFrame, key: str) -> DataFrame:
+    """Each stretch as _a, _b in the bins that it meets."""
+    bins = F.sequence(_bin(F.col("a")), _bin(F.col("b")))
+    rest = [c for c in stretches.columns if c not in (key, "a", "b")]
+    return stretches.select(F.col(key).alias("_key"), F.explode(bins).alias("_bin"), F.col("a").alias("_a"), F.col("b").alias("_b"), *rest)
+
+
+def _factors(zones: DataFrame, key: str) -> DataFrame:
+    """The zones of each factor as islands: there are few factors, so a station lies in few of them."""
+    return _pieces(islands(zones, [key, "k"]).drop("n"), key)
 
 
-def covering(zones: DataFrame, key: str = "line") -> DataFrame:
-    """Each elementary stretch with each zone over it: key, a, b and the zone's other columns."""
-    z = zones.select(key, F.col("a").alias("_a"), F.col("b").alias("_b"), *[c for c in zones.columns if c not in (key, "a", "b")])
-    return elementary(zones, key).join(z, key).where("_a <= a and _b >= b").drop("_a", "_b")
+def _overlay(parts: DataFrame, zones: DataFrame, key: str) -> DataFrame:
+    """parts (key, a, b, which no zone's end divides) with k, the largest factor over them; null if none."""
+    z = _factors(zones, key)
+    at = parts.withColumn("_at", _bin(F.col("a")))
+    over = (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")) & (F.col("_a") <= F.col("a")) & (F.col("_b") >= F.col("b"))
+    return at.join(z, over, "left").groupBy(*parts.columns).agg(F.max("k").alias("k"))
 
 
 def piecewise_max(zones: DataFrame, key: str = "line") -> DataFrame:
     """The largest factor k over each elementary stretch that has one; stretches aren't merged."""
-    return covering(zones, key).groupBy(key, "a", "b").agg(F.max("k").alias("k")).where("k > 1")
+    return _overlay(elementary(zones, key), zones, key).where("k > 1")
 
 
 def interval_sum(zones: DataFrame, value: str, key: str = "line") -> DataFrame:
-    """The sum of a value over each elementary stretch."""
-    return covering(zones, key).groupBy(key, "a", "b").agg(F.sum(value).alias("total"))
+    """The sum of a value over each elementary stretch that a zone covers: a zone adds it at its start and takes it
+    back at its end, and running sums say what holds."""
+    step = lambda at, sign: F.struct(F.col(at).alias("a"), (F.col(value) * sign).alias("v"), F.lit(sign).alias("n"))
+    steps = zones.select(key, F.explode(F.array(step("a", 1), step("b", -1))).alias("s")).select(key, "s.*")
+    steps = steps.groupBy(key, "a").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    rows = following(running(running(steps, [key], ["a"], "v", "sum", "total"), [key], ["a"], "n", "sum", "_open"), [key])
+    return rows.where("_open > 0 and b is not null").select(key, "a", "b", "total")
 
 
 def union_max(zones: DataFrame, key: str = "line") -> DataFrame:
-    """Zones that touch or overlap become one, with the largest factor and the number that it joins."""
-    order = Window.partitionBy(key).orderBy("a", "b", "k")
-    top = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = zones.withColumn("_new", F.coalesce((F.col("a") > top).cast("int"), F.lit(1)))
-    marked = marked.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(key, "_group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("k").alias("k"), F.count("*").alias("n")).drop("_group")
+    """Zones that touch or overlap become one, with the largest factor, the number that it joins, and the factors
+    among them in order (one of the catalogue's few each)."""
+    found = islands(zones, [key])
+    z = _pieces(found.select(key, "a", "b"), key)
+    at = zones.select(key, F.col("a").alias("_s"), "k").withColumn("_at", _bin(F.col("_s")))
+    of = at.join(z, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")) & F.col("_s").between(F.col("_a"), F.col("_b")))
+    best = of.groupBy(key, F.col("_a").alias("a")).agg(F.max("k").alias("k"), F.array_join(F.array_sort(F.collect_set(F.col("k").cast("string"))), "+").alias("sources"))
+    return found.join(best, [key, "a"]).select(key, "a", "b", "k", "n", "sources")
 
 
 def factor_at(zones: DataFrame, probes: DataFrame, key: str = "line") -> DataFrame:
     """key, s and the largest factor of the zones that hold station s (ends included), 1 if none does."""
-    z = zones.select(F.col(key).alias("_key"), "a", "b", "k")
-    hit = probes.join(z, (F.col(key) == F.col("_key")) & F.col("s").between(F.col("a"), F.col("b")), "left")
+    at = probes.withColumn("_at", _bin(F.col("s")))
+    hold = (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")) & F.col("s").between(F.col("_a"), F.col("_b"))
+    hit = at.join(_factors(zones, key), hold, "left")
     return hit.groupBy(key, "s").agg(F.coalesce(F.max("k"), F.lit(1).cast("decimal(4,2)")).alias("k"))
 
 
 def cut(lines: DataFrame, zones: DataFrame, key: str = "line") -> DataFrame:
-    """Cut lines (key, length) at the ends of their zones: key, piece, a, b, k (of the piece's middle)."""
-    stations = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long"), F.col("length")), F.coalesce("_ends", F.array().cast("array<bigint>")))))
-    ends = zones.select(key, F.explode(F.array("a", "b")).alias("_e")).groupBy(key).agg(F.collect_set("_e").alias("_ends"))
-    at = lines.join(ends, key, "left").select(key, "length", F.filter(stations, lambda s: s <= F.col("length")).alias("_s"))
-    pieces = at.select(key, F.posexplode(F.expr("transform(sequence(1, size(_s) - 1), i -> struct(_s[i - 1] as a, _s[i] as b))")).alias("piece", "_p")).select(key, "piece", "_p.a", "_p.b").where("b > a")
-    z = zones.select(key, F.col("a").alias("_a"), F.col("b").alias("_b"), "k")
-    over = pieces.join(z, key, "left").withColumn("k", F.when((F.col("_a") <= F.col("a")) & (F.col("_b") >= F.col("b")), F.col("k")))
-    return over.groupBy(key, "piece", "a", "b").agg(F.coalesce(F.max("k"), F.lit(1).cast("decimal(4,2)")).alias("k"))
+    """Cut lines (key, length) at the ends of their zones: key, piece, a, b, k (the largest over the piece)."""
+    inner = zones.select(key, F.explode(F.array("a", "b")).alias("a")).join(lines, key).where("a <= length").select(key, "a")
+    ends = lines.select(key, F.explode(F.array(F.lit(0).cast("long"), F.col("length"))).alias("a"))
+    pieces = following(ends.union(inner).distinct(), [key]).where("b is not null").withColumn("_one", F.lit(1).cast("long"))
+    pieces = running(pieces, [key], ["a"], "_one", "sum", "piece").select(key, (F.col("piece") - 1).cast("int").alias("piece"), "a", "b")
+    return _overlay(pieces, zones, key).withColumn("k", F.coalesce("k", F.lit(1).cast("decimal(4,2)")))

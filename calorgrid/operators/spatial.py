@@ -7,7 +7,9 @@ equi-join that Spark can shuffle, split when skewed, or broadcast when it measur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from calorgrid.operators.lineage import cut
 
 
 def _cells(df: DataFrame, box: tuple[Column, Column, Column, Column], cell: int, prefix: str) -> DataFrame:
@@ -30,14 +32,53 @@ def near(left: DataFrame, right: DataFrame, box: tuple, other: tuple, cell: int,
 def inside(points: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
     """point and ring of points inside rings: points (point, x, y), edges (ring, x1, y1, x2, y2), integers.
 
-    A ray to the left is counted against the edges that reach the point's height, half open, so holes that
-    share the ring's id cut out. Rows meet by bands of height.
+    Points first meet the boxes of rings by cells; only such pairs meet the ring's edges, by bands of height, and
+    a ray to the left is counted against the edges that reach the point's height, half open, so holes that share
+    the ring's id cut out.
     """
-    p = points.withColumn("_band", F.floor(F.col("y") / cell).cast("long"))
-    e = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell).cast("long"), F.floor(F.greatest("y1", "y2") / cell).cast("long"))))
+    box = edges.groupBy("ring").agg(
+        F.min(F.least("x1", "x2")).alias("_x1"), F.min(F.least("y1", "y2")).alias("_y1"),
+        F.max(F.greatest("x1", "x2")).alias("_x2"), F.max(F.greatest("y1", "y2")).alias("_y2"),
+    )
+    at = tuple(F.col(c) for c in ("x", "y", "x", "y"))
+    pairs = near(points.select("point", "x", "y"), box, at, tuple(F.col(c) for c in ("_x1", "_y1", "_x2", "_y2")), cell)
+    band = lambda y: F.floor(y / cell).cast("long")
+    p = pairs.select("point", "ring", "x", "y", band(F.col("y")).alias("_band"))
+    e = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
     up = (F.col("y1") <= F.col("y")) & (F.col("y") < F.col("y2"))
     down = (F.col("y2") <= F.col("y")) & (F.col("y") < F.col("y1"))
     side = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))
     # the edge lies right of the point if the point is left of it going up, right of it going down
     hit = (up & (side > 0)) | (down & (side < 0))
-    return p.join(e, "_band").where(hit).groupBy("point", "ring").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select("point", "ring")
+    return p.join(e, ["ring", "_band"]).where(hit).groupBy("point", "ring").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select("point", "ring")
+
+
+def nearest(points: DataFrame, others: DataFrame, box: tuple, score: Column, reach: Column, k: int, cell: int, tie: str) -> DataFrame:
+    """The k nearest of `others` to each point (point, x, y), ties to the least `tie`: the pairs with `rank`.
+
+    `box` is the box of an other, `score` orders pairs (a distance or its square) and `reach` is the score of the
+    distance `r`, a column. Rings of cells are searched in rounds of double the radius; a point is done when its k-th
+    score is within the radius searched, or when the radius holds all others. Only unfinished points go on.
+    """
+    found, r, left = None, cell, points
+    ends = others.agg(F.min(box[0]), F.min(box[1]), F.max(box[2]), F.max(box[3])).first()
+    if ends[0] is None:
+        return near(points, others, tuple(F.col(c) for c in ("x", "y", "x", "y")), box, cell).withColumn("rank", F.lit(1))
+    own = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    whole = max(abs(a - b) for a in ends for b in own if b is not None) if own[0] is not None else 0
+    best = Window.partitionBy("point").orderBy("_score", tie)
+    while True:
+        at = (F.col("x") - r, F.col("y") - r, F.col("x") + r, F.col("y") + r)
+        pairs = near(left, others, at, box, r).withColumn("_score", score).withColumn("r", F.lit(r))
+        ranked = cut(pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        if r >= whole:
+            done = ranked
+        else:
+            full = ranked.where((F.col("rank") == k) & (F.col("_score") <= reach)).select("point")
+            done = ranked.join(full, "point", "left_semi")
+            left = cut(left.join(full, "point", "left_anti"))
+        done = done.drop("_score", "r")
+        found = done if found is None else found.union(done)
+        if r >= whole or left.isEmpty():
+            return found
+        r *= 2

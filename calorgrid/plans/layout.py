@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from calorgrid.functions import catalog, pricing
-from calorgrid.operators import graph, tree
+from calorgrid.operators import graph, sizing, tree
 from calorgrid.plans.tables import DEEP, FLOWS, deep, flows, length_of, table
 from calorgrid.queries import register
 
@@ -46,10 +46,20 @@ def kinds(key):
     return F.element_at(F.array(*[F.lit(k) for k in ("road", "tram_tracks", "gas_pipeline", "power_cable", "heat_network", "park")]), (key % 6 + 1).cast("int"))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """Flows with dn, length, factor k and cost of the pipe of each consumer."""
+    f = rows.withColumns({
+        "dn": catalog.base_dn(F.col("flow")),
+        "length": length_of(F.col("custkey")),
+        "k": catalog.crossing_factor(kinds(F.col("custkey"))),
+    })
+    price = catalog.of_pipe(F.col("dn"), "new_price", "decimal(12,2)")
+    return f.withColumn("cost", pricing.piece_cost(F.col("length"), price, F.col("k")))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """custkey, nationkey, flow, dn, length, k and cost of the pipe of each connected consumer."""
-    f = flows(spark, sf_dir).where("connected").withColumns({"dn": catalog.base_dn(F.col("flow")), "length": length_of(F.col("custkey")), "k": catalog.crossing_factor(kinds(F.col("custkey")))})
-    return f.withColumn("cost", pricing.piece_cost(F.col("length"), catalog.of_pipe(F.col("dn"), "new_price", "decimal(12,2)"), F.col("k")))
+    """The pipes of connected consumers."""
+    return _sized(flows(spark, sf_dir).where("connected"))
 
 
 FACTOR = "CAST(CASE {} WHEN 'road' THEN 1.6 WHEN 'tram_tracks' THEN 1.75 WHEN 'gas_pipeline' THEN 1.25 WHEN 'power_cable' THEN 1.15 WHEN 'heat_network' THEN 1.05 ELSE 1 END AS DECIMAL(4,2))"
@@ -72,11 +82,18 @@ def penalty_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """regionkey, construction, chambers, penalty, cost, length, missing and score of a layout per region."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_regionkey").alias("regionkey"))
-    pieces = _pieces(spark, sf_dir)
-    by = pieces.groupBy("nationkey").agg(F.sum("cost").cast("decimal(20,2)").alias("construction"), F.sum("length").cast("decimal(18,9)").alias("length"), catalog.chamber_price(F.max("dn")).alias("chambers"))
-    lost = flows(spark, sf_dir).where("not connected").groupBy("nationkey").agg(F.count("*").alias("missing"), F.sum(pricing.penalty(F.col("flow"))).cast("decimal(20,2)").alias("penalty"))
+    f = _sized(flows(spark, sf_dir))
+    on, money = F.col("connected"), "decimal(20,2)"
+    by = f.groupBy("nationkey").agg(
+        F.sum(F.when(on, F.col("cost"))).cast(money).alias("construction"),
+        F.sum(F.when(on, F.col("length"))).cast("decimal(18,9)").alias("length"),
+        catalog.chamber_price(F.max(F.when(on, F.col("dn")))).alias("chambers"),
+        F.count_if(~on).alias("missing"),
+        F.sum(F.when(~on, pricing.penalty(F.col("flow")))).cast(money).alias("penalty"),
+    )
+    by = by.withColumn("chambers", F.when(F.col("construction").isNotNull(), F.col("chambers")))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    r = nations.join(by, "nationkey", "left").join(lost, "nationkey", "left").groupBy("regionkey").agg(*[F.sum(zero(F.col(c))).cast(t).alias(c) for c, t in (("construction", "decimal(18,2)"), ("chambers", "decimal(18,2)"), ("penalty", "decimal(18,2)"), ("length", "decimal(18,9)"), ("missing", "long"))])
+    r = nations.join(by, "nationkey", "left").groupBy("regionkey").agg(*[F.sum(zero(F.col(c))).cast(t).alias(c) for c, t in (("construction", "decimal(18,2)"), ("chambers", "decimal(18,2)"), ("penalty", "decimal(18,2)"), ("length", "decimal(18,9)"), ("missing", "long"))])
     r = r.withColumn("cost", (F.col("construction") + F.col("chambers") + F.col("penalty")).cast("decimal(18,2)"))
     return r.withColumn("score", pricing.score(F.col("cost"), F.col("length")))
 
@@ -120,9 +137,9 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = flows(spark, sf_dir).select(F.concat(F.lit("c"), "custkey").alias("node"), F.concat(F.lit("n"), "nationkey").alias("parent"), F.when(F.col("connected"), F.col("flow")).otherwise(0).cast("decimal(12,2)").alias("flow"))
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.lit(0).cast("decimal(12,2)").alias("flow"))
-    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("decimal(12,2)").alias("flow"))
+    c = flows(spark, sf_dir).select(F.concat(F.lit("c"), "custkey").alias("node"), F.concat(F.lit("n"), "nationkey").alias("parent"), F.when(F.col("connected"), F.col("flow")).otherwise(0).cast("decimal(18,2)").alias("flow"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.lit(0).cast("decimal(18,2)").alias("flow"))
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("decimal(18,2)").alias("flow"))
     return c.union(n).union(r)
 
 
@@ -185,46 +202,54 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 DN_OF = f"(SELECT min(dn) FROM {C} WHERE capacity >= {{}})"
 
 
+def _level(name: str, edges: str, below: str | None) -> str:
+    """SQL of one level of path diameters: edges (edge, parent, flow, length) above those of the CTE `below`."""
+    tails = f"(SELECT parent, max(dn) AS least FROM {below} GROUP BY parent)" if below else "(SELECT CAST(NULL AS VARCHAR) AS parent, 0 AS least)"
+    tail = f"(SELECT parent, dn, max(tail) AS tail FROM {below} GROUP BY parent, dn)" if below else "(SELECT CAST(NULL AS VARCHAR) AS parent, 0 AS dn, CAST(0 AS DECIMAL(18,9)) AS tail)"
+    return f"""{name}_options AS (SELECT e.*, c.dn, CAST(e.length + coalesce(x.tail, 0) AS DECIMAL(18,9)) AS tail, c.max_length FROM {edges} e
+  LEFT JOIN {tails} m ON m.parent = e.edge JOIN (SELECT * FROM {C}) c ON c.dn >= greatest(coalesce(m.least, 0), {DN_OF.format('e.flow')}) LEFT JOIN {tail} x ON x.parent = e.edge AND x.dn = c.dn),
+{name} AS (SELECT edge, parent, flow, dn, tail FROM (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY dn) AS rn FROM {name}_options WHERE tail <= max_length) WHERE rn = 1)"""
+
+
 @register("path_diameter", f"""WITH {FLOWS},
-leaf AS (SELECT custkey, nationkey, flow, {LENGTH.format('custkey')} AS length FROM flows WHERE connected),
-leaf_dn AS (SELECT l.*, (SELECT min(dn) FROM {C} WHERE capacity >= l.flow AND max_length >= l.length) AS dn FROM leaf l),
-trunk AS (SELECT nationkey, CAST(sum(flow) AS DECIMAL(12,2)) AS flow, {LENGTH.format('nationkey')} AS length, max(dn) AS below FROM leaf_dn GROUP BY nationkey),
-tails AS (SELECT nationkey, dn, max(length) AS tail FROM leaf_dn GROUP BY nationkey, dn),
-options AS (SELECT t.nationkey, t.flow, c.dn, CAST(t.length + coalesce(x.tail, 0) AS DECIMAL(18,9)) AS tail, c.max_length FROM trunk t JOIN (SELECT * FROM {C}) c ON c.dn >= greatest(t.below, {DN_OF.format('t.flow')}) LEFT JOIN tails x ON x.nationkey = t.nationkey AND x.dn = c.dn),
-picked AS (SELECT *, row_number() OVER (PARTITION BY nationkey ORDER BY dn) AS rn FROM options WHERE tail <= max_length)
-SELECT nationkey, flow, dn, tail FROM picked WHERE rn = 1""")
+c AS (SELECT 'c' || custkey AS edge, 'n' || nationkey AS parent, CAST(CASE WHEN connected THEN flow ELSE 0 END AS DECIMAL(12,2)) AS flow, {LENGTH.format('custkey')} AS length FROM flows),
+n AS (SELECT 'n' || n_nationkey AS edge, 'r' || n_regionkey AS parent, CAST(coalesce((SELECT sum(flow) FROM c WHERE c.parent = 'n' || n_nationkey), 0) AS DECIMAL(12,2)) AS flow, {LENGTH.format('n_nationkey')} AS length FROM nation),
+r AS (SELECT 'r' || r_regionkey AS edge, CAST(NULL AS VARCHAR) AS parent, CAST(coalesce((SELECT sum(flow) FROM n WHERE n.parent = 'r' || r_regionkey), 0) AS DECIMAL(12,2)) AS flow, {LENGTH.format('r_regionkey')} AS length FROM region),
+{_level('dc', 'c', None)}, {_level('dn_', 'n', 'dc')}, {_level('dr', 'r', 'dn_')},
+found AS (SELECT * FROM dc UNION ALL SELECT * FROM dn_ UNION ALL SELECT * FROM dr), every AS (SELECT * FROM c UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r)
+SELECT e.edge, e.flow, f.dn, f.tail FROM every e LEFT JOIN found f ON f.edge = e.edge""")
 def path_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = flows(spark, sf_dir).where("connected")
-    leaves = tree.path_dn(f.select(F.col("nationkey").alias("edge"), "custkey", "flow", length_of(F.col("custkey")).alias("length")))
-    trunks = f.groupBy("nationkey").agg(F.sum("flow").cast("decimal(12,2)").alias("flow")).select(F.col("nationkey").alias("edge"), "flow", length_of(F.col("nationkey")).alias("length"))
-    return tree.path_dn(trunks, leaves.select("edge", "dn", "tail")).where("dn is not null").select(F.col("edge").alias("nationkey"), "flow", "dn", "tail")
+    """Diameters of the forest of regions, nations and customers, sized along paths from the leaves up."""
+    f = _forest(spark, sf_dir)
+    key = F.regexp_extract("node", r"\d+", 0).cast("long")
+    return tree.path_diameters(f.select(F.col("node").alias("edge"), "parent", length_of(key).alias("length"), F.col("flow").alias("demand")))
 
 
 @register("component_uplift", f"""WITH {FLOWS}, e AS (SELECT custkey, nationkey, {DN_OF.format('flow')} AS dn, {LENGTH.format('custkey')} AS length FROM flows WHERE connected),
 g AS (SELECT nationkey, dn, sum(length) AS total FROM e GROUP BY nationkey, dn)
 SELECT e.custkey, e.dn, CASE WHEN g.total > c.max_length + CAST(0.000001 AS DECIMAL(18,9)) THEN (SELECT min(dn) FROM {C} WHERE dn > e.dn) ELSE e.dn END AS lifted FROM e JOIN g ON g.nationkey = e.nationkey AND g.dn = e.dn JOIN (SELECT * FROM {C}) c ON c.dn = e.dn""")
 def component_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = flows(spark, sf_dir).where("connected").select("custkey", "nationkey", catalog.base_dn(F.col("flow")).alias("dn"), length_of(F.col("custkey")).alias("length"))
-    g = e.groupBy("nationkey", "dn").agg(F.sum("length").alias("total"))
-    over = F.col("total") > catalog.of_pipe(F.col("dn"), "max_length", "decimal(18,9)") + F.lit("0.000001").cast("decimal(18,9)")
-    return e.join(g, ["nationkey", "dn"]).select("custkey", "dn", F.when(over, catalog.next_dn(F.col("dn"))).otherwise(F.col("dn")).alias("lifted"))
+    """The first round of lifting the components of one dn: pipes that leave one nation with one dn are one."""
+    e = flows(spark, sf_dir).where("connected").select(
+        F.col("custkey").alias("edge"), F.concat(F.lit("n"), "nationkey").alias("a"), F.concat(F.lit("c"), "custkey").alias("b"),
+        catalog.base_dn(F.col("flow")).alias("dn"), length_of(F.col("custkey")).alias("length"),
+    )
+    return sizing.uplift(e, rounds=1).select(F.col("edge").alias("custkey"), "dn", "lifted")
 
 
-@register("propagate_dn", f"""WITH RECURSIVE {DEEP}, down AS (SELECT node, parent, size AS dn FROM deep WHERE parent IS NULL UNION ALL SELECT d.node, d.parent, greatest(u.dn, d.size) FROM down u JOIN deep d ON d.parent = u.node) SELECT node, dn FROM down""")
-def propagate_dn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest size on the way from the root, in rounds over the paths."""
-    d = deep(spark, sf_dir)
-    way = tree.levels(d).select("node", F.explode("path").alias("above")).join(d.select(F.col("node").alias("above"), "size"), "above")
-    return way.groupBy("node").agg(F.max("size").alias("dn"))
+@register("path_maximum", f"""WITH RECURSIVE {DEEP}, down AS (SELECT node, parent, size AS dn FROM deep WHERE parent IS NULL UNION ALL SELECT d.node, d.parent, greatest(u.dn, d.size) FROM down u JOIN deep d ON d.parent = u.node) SELECT node, dn FROM down""")
+def path_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest size on the way from the root."""
+    return tree.climb(deep(spark, sf_dir), along={"size": "max"}).select("node", F.col("size").alias("dn"))
 
 
 @register("tie_in_walk", f"""WITH RECURSIVE {DEEP}, down AS (SELECT node, CASE WHEN node BETWEEN 1 AND 3 THEN node END AS root, {LENGTH.format('node')} AS length FROM deep WHERE node BETWEEN 1 AND 3 UNION ALL SELECT d.node, u.root, CAST(u.length + {LENGTH.format('d.node')} AS DECIMAL(18,9)) FROM down u JOIN deep d ON d.parent = u.node),
 s AS (SELECT root, count(*) AS served FROM down GROUP BY root), l AS (SELECT root, row_number() OVER (ORDER BY served DESC, root) AS label FROM s)
 SELECT d.node, d.root, d.length, CAST(l.label AS INTEGER) AS label FROM down d JOIN l ON l.root = d.root""")
 def tie_in_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = deep(spark, sf_dir)
-    cut_off = d.where("node > 0").withColumn("parent", F.when(F.col("node") > 3, F.col("parent")))
-    paths = tree.levels(cut_off)
-    way = paths.select("node", F.element_at("path", 1).alias("root"), F.explode("path").alias("above")).groupBy("node", "root").agg(F.sum(length_of(F.col("above"))).cast("decimal(18,9)").alias("length"))
-    labels = way.groupBy("root").agg(F.count("*").alias("served")).select("root", F.row_number().over(Window.orderBy(F.desc("served"), "root")).alias("label"))
+    """The way of each node to its tie-in, and labels of the tie-ins by how many they serve."""
+    d = deep(spark, sf_dir).where("node > 0").withColumn("parent", F.when(F.col("node") > 3, F.col("parent")))
+    way = tree.climb(d.withColumn("length", length_of(F.col("node"))), along={"length": "sum"})
+    labels = way.groupBy("root").agg(F.count("*").alias("served"))
+    labels = labels.select("root", F.row_number().over(Window.orderBy(F.desc("served"), "root")).alias("label"))
     return way.join(labels, "root").select("node", "root", "length", "label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from calorgrid.operators import intervals
+from calorgrid.operators import depth, intervals
 from calorgrid.plans.tables import table
 from calorgrid.queries import register
 
@@ -30,7 +30,8 @@ def zones_interval_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("zones_union_max", f"""WITH {ZONES}, m AS (SELECT *, max(b) OVER (PARTITION BY line ORDER BY a, b, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM zones),
-g AS (SELECT *, sum(CASE WHEN top IS NULL OR a > top THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY a, b, k ROWS UNBOUNDED PRECEDING) AS grp FROM m) SELECT line, min(a) AS a, max(b) AS b, max(k) AS k, count(*) AS n FROM g GROUP BY line, grp""")
+g AS (SELECT *, sum(CASE WHEN top IS NULL OR a > top THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY a, b, k ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+SELECT line, min(a) AS a, max(b) AS b, max(k) AS k, count(*) AS n, string_agg(DISTINCT CAST(k AS VARCHAR), '+' ORDER BY CAST(k AS VARCHAR)) AS sources FROM g GROUP BY line, grp""")
 def zones_union_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.union_max(zones(spark, sf_dir))
 
@@ -64,11 +65,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertices(spark, sf_dir).select("line", "event_id", "x", "y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"), F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
 
 
-@register("polyline_station", f"WITH {VERTICES}, {TURNS} SELECT line, event_id, CAST(sum(coalesce(abs(x - px) + abs(y - py), 0)) OVER (PARTITION BY line ORDER BY event_id) AS BIGINT) AS station FROM turns")
+@register("polyline_station", f"WITH {VERTICES}, {TURNS} SELECT line, event_id, round(sum(coalesce(sqrt(CAST((x - px) * (x - px) + (y - py) * (y - py) AS DOUBLE)), 0)) OVER (PARTITION BY line ORDER BY event_id), 6) AS station FROM turns")
 def polyline_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The station of each corner along streets: lengths are sums of both differences, which stay integers."""
-    step = F.coalesce(F.abs(F.col("x") - F.col("px")) + F.abs(F.col("y") - F.col("py")), F.lit(0))
-    return turns(spark, sf_dir).withColumn("_step", step).select("line", "event_id", F.sum("_step").over(Window.partitionBy("line").orderBy("event_id")).alias("station"))
+    """The station of each corner: the length of the line up to it."""
+    step = F.sqrt(F.expr("(x - px) * (x - px) + (y - py) * (y - py)").cast("double"))
+    rows = turns(spark, sf_dir).withColumn("_step", F.coalesce(step, F.lit(0.0)))
+    rows = intervals.running(rows, ["line"], ["event_id"], "_step", "sum", "station")
+    return rows.select("line", "event_id", F.round("station", 6).alias("station"))
 
 
 DOT = "((x - px) * (nx - x) + (y - py) * (ny - y))"
@@ -81,9 +84,9 @@ def polyline_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).where("px is not null and nx is not null").select("line", "event_id", (F.expr(DOT) >= 0).alias("allowed"), F.signum(F.expr(CROSS)).cast("int").alias("side"))
 
 
-@register("simplify_collinear", """WITH v AS (SELECT user_id AS line, event_id, event_id % 6 AS x, event_id % 3 AS y FROM events), t AS (SELECT line, event_id, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY line ORDER BY event_id))
+@register("straight_corners", """WITH v AS (SELECT user_id AS line, event_id, event_id % 6 AS x, event_id % 3 AS y FROM events), t AS (SELECT line, event_id, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM v WINDOW w AS (PARTITION BY line ORDER BY event_id))
 SELECT line, event_id, x, y FROM t WHERE px IS NULL OR nx IS NULL OR (x - px) * (ny - y) - (y - py) * (nx - x) <> 0 OR (x - px) * (nx - x) + (y - py) * (ny - y) < 0""")
-def simplify_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+def straight_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners without those that lie straight between their neighbours."""
     e, w = F.col("event_id"), Window.partitionBy("line").orderBy("event_id")
     v = table(spark, sf_dir, "events").select(F.col("user_id").alias("line"), "event_id", (e % 6).alias("x"), (e % 3).alias("y"))
@@ -111,14 +114,23 @@ def root_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("line", F.posexplode(both).alias("_n", "s")).select("line", "s", (F.col("_n") + 1).alias("n"))
 
 
-@register("depth_envelope", """WITH b AS (SELECT user_id AS line, event_id % 500 AS s, 100 + event_id % 300 AS low FROM events), x AS (SELECT DISTINCT user_id AS line, (event_id * 7) % 500 AS s FROM events WHERE event_id % 3 = 0)
-SELECT x.line, x.s, greatest(150, max(b.low - abs(x.s - b.s))) AS depth FROM x JOIN b ON b.line = x.line GROUP BY x.line, x.s""")
+BALLS = "balls AS (SELECT user_id AS line, event_id % 500 AS s, event_id % 4 AS r, CASE WHEN event_id % 3 > 0 THEN 100 + event_id % 300 END AS low, CASE WHEN event_id % 3 = 0 THEN 220 + event_id % 400 END AS high FROM events)"
+
+
+@register("depth_envelope", f"""WITH {BALLS}, x AS (SELECT DISTINCT user_id AS line, (event_id * 7) % 500 AS s FROM events),
+e AS (SELECT x.line, x.s, greatest(70, coalesce(max(b.low - greatest(0, abs(x.s - b.s) - b.r)), 70)) AS lower, min(b.high + greatest(0, abs(x.s - b.s) - b.r)) AS upper FROM x LEFT JOIN balls b ON b.line = x.line GROUP BY x.line, x.s)
+SELECT line, s, lower, upper, least(greatest(150, lower), coalesce(upper, 100000)) AS depth, coalesce(lower > upper, FALSE) AS infeasible FROM e""")
 def depth_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least depth (cm) at a station: the cover, or what each crossing asks for less the way to it."""
+    """The depth (cm) at every station: no less than the cover and what crossings below ask for, no more than those
+    above allow, both less strict by 1 cm a metre of the way to them."""
     e = table(spark, sf_dir, "events")
-    b = e.select(F.col("user_id").alias("line"), (F.col("event_id") % 500).alias("bs"), (100 + F.col("event_id") % 300).alias("low"))
-    x = e.where("event_id % 3 = 0").select(F.col("user_id").alias("line"), ((F.col("event_id") * 7) % 500).alias("s")).distinct()
-    return x.join(b, "line").groupBy("line", "s").agg(F.greatest(F.lit(150).cast("long"), F.max(F.col("low") - F.abs(F.col("s") - F.col("bs")))).alias("depth"))
+    id_ = F.col("event_id")
+    balls = e.select(
+        F.col("user_id").alias("line"), (id_ % 500).alias("s"), (id_ % 4).alias("r"),
+        F.when(id_ % 3 > 0, 100 + id_ % 300).alias("low"), F.when(id_ % 3 == 0, 220 + id_ % 400).alias("high"),
+    )
+    x = e.select(F.col("user_id").alias("line"), ((id_ * 7) % 500).alias("s")).distinct()
+    return depth.envelope(x, balls, normal=150, cover=70, slope=1)
 
 
 @register("depth_rules", """WITH d AS (SELECT user_id AS line, event_id, 80 + event_id % 300 AS depth, event_id % 1000 AS s, lag(event_id % 1000) OVER w AS ps, lag(80 + event_id % 300) OVER w AS pd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))

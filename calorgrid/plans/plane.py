@@ -6,6 +6,8 @@ supplier stands in; all coordinates are integers, so Spark and the oracle agree
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from calorgrid.functions import catalog, geometry
@@ -15,7 +17,7 @@ from calorgrid.queries import register
 
 CELL = 100
 XY = "({0} * 7919) % 5000 AS x, ({0} * 104729) % 5000 AS y"
-POINTS = f"points AS (SELECT c_custkey AS point, {XY.format('c_custkey')} FROM customer)"
+POINTS = "points AS (SELECT c_custkey AS point, (c_custkey * 7919) % 5000 + c_custkey % 23 - 11 AS x, (c_custkey * 104729) % 5000 + c_custkey % 19 - 9 AS y FROM customer)"
 BOXES = f"boxes AS (SELECT box, feature, x - r AS x1, y - r AS y1, x + r AS x2, y + r AS y2 FROM (SELECT p_partkey AS box, p_partkey // 5 AS feature, {XY.format('p_partkey')}, 5 + p_partkey % 20 AS r FROM part))"
 SEGMENTS = "segments AS (SELECT s_suppkey AS seg, (s_suppkey * 7919) % 5000 AS ax, (s_suppkey * 104729) % 5000 AS ay, (s_suppkey * 7919) % 5000 + (s_suppkey * 31) % 400 - 200 AS bx, (s_suppkey * 104729) % 5000 + (s_suppkey * 57) % 400 - 200 AS by_ FROM supplier)"
 
@@ -26,7 +28,8 @@ def _xy(key):
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("point"), *_xy(k))
+    x, y = (k * 7919) % 5000 + k % 23 - 11, (k * 104729) % 5000 + k % 19 - 9
+    return table(spark, sf_dir, "customer").select(k.alias("point"), x.alias("x"), y.alias("y"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,32 +139,49 @@ def part_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("box", F.col("o_box").alias("other"), F.expr("o_x1 >= x1 and o_x2 <= x2 and o_y1 >= y1 and o_y2 <= y2").alias("nested"))
 
 
-@register("nearest_line", f"WITH {POINTS}, c AS (SELECT s_suppkey AS line, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier), d AS (SELECT p.point, c.line, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d2 FROM points p JOIN c ON abs(p.x - c.x) <= 300 AND abs(p.y - c.y) <= 300), r AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, line) AS rn FROM d WHERE d2 <= 90000) SELECT point, line, d2 FROM r WHERE rn = 1")
+SEGMENT = ("ax", "ay", "bx", "by_")
+U = "(x - ax) * (bx - ax) + (y - ay) * (by_ - ay)"
+N = "(bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)"
+DISTANCE2 = f"""CASE WHEN {U} <= 0 OR {U} >= {N} THEN CAST(least((x - ax) * (x - ax) + (y - ay) * (y - ay), (x - bx) * (x - bx) + (y - by_) * (y - by_)) AS DOUBLE)
+  ELSE CAST(((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) * ((x - ax) * (by_ - ay) - (y - ay) * (bx - ax)) AS DOUBLE) / CAST({N} AS DOUBLE) END"""
+
+
+@register("nearest_line", f"""WITH {POINTS}, {SEGMENTS}, d AS (SELECT point, seg, {DISTANCE2} AS d2 FROM points, segments),
+r AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, seg) AS rn FROM d) SELECT point, seg AS line, d2 FROM r WHERE rn = 1 AND d2 <= 90000 AND d2 > 400""")
 def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest line within 300 m of each point, ties to the least id: a grouped minimum, no sort."""
-    k = F.col("s_suppkey")
-    c = table(spark, sf_dir, "supplier").select(k.alias("line"), ((k * 7919) % 5000).alias("lx"), ((k * 104729) % 5000).alias("ly"))
-    pairs = spatial.near(points(spark, sf_dir), c, _at(300), _box("lx", "ly", "lx", "ly"), 300)
-    pairs = pairs.withColumn("d2", F.expr("(x - lx) * (x - lx) + (y - ly) * (y - ly)")).where("d2 <= 90000")
-    return pairs.groupBy("point").agg(F.min(F.struct("d2", "line")).alias("m")).select("point", "m.line", "m.d2")
+    """The line that each point is tied to: the nearest within 300 m, ties to the least id, unless some line
+    touches the point (within 20 m). A grouped minimum, no sort: if the nearest does not touch, none does."""
+    pairs = spatial.near(points(spark, sf_dir), segments(spark, sf_dir), _at(300), _span(), 300)
+    d2 = geometry.distance2(*_box("x", "y", *SEGMENT))
+    best = pairs.withColumn("d2", d2).groupBy("point").agg(F.min(F.struct("d2", "seg")).alias("m"))
+    return best.select("point", F.col("m.seg").alias("line"), "m.d2").where("d2 <= 90000 and d2 > 400")
+
 
+CHAMBERS = "c AS (SELECT s_suppkey AS chamber, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier WHERE s_suppkey % 4 < 3)"
 
-@register("forces_chamber", f"WITH {POINTS}, c AS (SELECT s_suppkey AS chamber, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier WHERE s_suppkey % 4 < 3) SELECT point FROM points p WHERE EXISTS (SELECT 1 FROM c WHERE (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 10000)")
+
+@register("forces_chamber", f"WITH {POINTS}, {CHAMBERS} SELECT point, least(min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 10000) AS d2 FROM points p JOIN c ON (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 10000 GROUP BY point")
 def forces_chamber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points within 100 m of an eligible chamber."""
+    """Points within 100 m of an eligible chamber, those exactly at one among them."""
     k = F.col("s_suppkey")
-    c = table(spark, sf_dir, "supplier").where(k % 4 < 3).select(k.alias("chamber"), ((k * 7919) % 5000).alias("lx"), ((k * 104729) % 5000).alias("ly"))
+    c = table(spark, sf_dir, "supplier").where(k % 4 < 3).select(((k * 7919) % 5000).alias("lx"), ((k * 104729) % 5000).alias("ly"))
     pairs = spatial.near(points(spark, sf_dir), c, _at(100), _box("lx", "ly", "lx", "ly"), CELL)
-    return pairs.where("(x - lx) * (x - lx) + (y - ly) * (y - ly) <= 10000").select("point").distinct()
+    d2 = F.expr("(x - lx) * (x - lx) + (y - ly) * (y - ly)")
+    return pairs.where(d2 <= 10000).groupBy("point").agg(F.min(d2).alias("d2"))
+
 
+STATION = f"CAST({U} AS DOUBLE) / CAST({N} AS DOUBLE) * sqrt(CAST({N} AS DOUBLE))"
 
-@register("snap_marks", f"WITH {POINTS}, h AS (SELECT s_suppkey AS line, (s_suppkey * 104729) % 5000 AS y0, (s_suppkey * 7919) % 5000 AS xa, (s_suppkey * 7919) % 5000 + 300 AS xb FROM supplier) SELECT p.point, h.line, CASE WHEN p.x - h.xa <= 10 THEN 0 WHEN h.xb - p.x <= 10 THEN 300 ELSE p.x - h.xa END AS station FROM points p JOIN h ON abs(p.y - h.y0) <= 10 AND p.x BETWEEN h.xa - 10 AND h.xb + 10")
+
+@register("snap_marks", f"""WITH {POINTS}, {SEGMENTS}, m AS (SELECT point, seg, sqrt(CAST({N} AS DOUBLE)) AS length, {STATION} AS station, {DISTANCE2} AS d2 FROM points, segments WHERE {N} > 0)
+SELECT point, seg, round(CASE WHEN station <= 10 THEN 0 WHEN length - station <= 10 THEN length ELSE station END, 6) AS station FROM m WHERE d2 <= 400""")
 def snap_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations of points within 10 m of level lines; those within 10 m of an end are the end."""
-    k = F.col("s_suppkey")
-    h = table(spark, sf_dir, "supplier").select(k.alias("line"), ((k * 104729) % 5000).alias("y0"), ((k * 7919) % 5000).alias("xa")).withColumn("xb", F.col("xa") + 300)
-    pairs = spatial.near(points(spark, sf_dir), h, _at(10), _box("xa", "y0", "xb", "y0"), CELL)
-    return pairs.select("point", "line", F.expr("CASE WHEN x - xa <= 10 THEN 0 WHEN xb - x <= 10 THEN 300 ELSE x - xa END").cast("long").alias("station"))
+    """Stations of points within 20 m of lines; those within 10 m of an end are the end."""
+    pairs = spatial.near(points(spark, sf_dir), segments(spark, sf_dir), _at(20), _span(), CELL)
+    pairs = pairs.where((geometry.distance2(*_box("x", "y", *SEGMENT)) <= 400) & (F.expr(N) > 0))
+    at, length = F.expr(STATION), F.sqrt(F.expr(N).cast("double"))
+    end = F.when(at <= 10, F.lit(0.0)).when(length - at <= 10, length).otherwise(at)
+    return pairs.select("point", "seg", F.round(end, 6).alias("station"))
 
 
 @register("coincident_demands", "WITH p AS (SELECT c_custkey AS point, (c_custkey * 7919) % 50 AS x, (c_custkey * 104729) % 50 AS y FROM customer) SELECT x, y, min(point) AS leaf, count(*) AS demands FROM p GROUP BY x, y")
@@ -194,11 +214,62 @@ def utm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("point", F.round(lon, 9).alias("back_lon"), F.round(lat, 9).alias("back_lat"), F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
 
 
-@register("topk_roots", f"WITH {POINTS}, c AS (SELECT s_suppkey AS root, s_suppkey % 3 = 0 AS chamber, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier), d AS (SELECT p.point, c.root, c.chamber, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) AS d2 FROM points p JOIN c ON abs(p.x - c.x) <= 900 AND abs(p.y - c.y) <= 900), r AS (SELECT *, row_number() OVER (PARTITION BY point, chamber ORDER BY d2, root) AS rn FROM d) SELECT point, root, chamber, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= CASE WHEN chamber THEN 3 ELSE 5 END")
+@register("topk_roots", f"""WITH {POINTS}, c AS (SELECT s_suppkey AS root, s_suppkey % 3 = 0 AS chamber, (s_suppkey * 7919) % 5000 AS x, (s_suppkey * 104729) % 5000 AS y FROM supplier),
+r AS (SELECT p.point, c.root, c.chamber, row_number() OVER (PARTITION BY p.point, c.chamber ORDER BY (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.root) AS rn FROM points p CROSS JOIN c)
+SELECT point, root, chamber, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= CASE WHEN chamber THEN 3 ELSE 5 END""")
 def topk_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest chambers and five nearest line roots around each point."""
+    """The three nearest chambers and five nearest line roots around each point, however far."""
     k = F.col("s_suppkey")
     c = table(spark, sf_dir, "supplier").select(k.alias("root"), (k % 3 == 0).alias("chamber"), ((k * 7919) % 5000).alias("lx"), ((k * 104729) % 5000).alias("ly"))
-    pairs = spatial.near(points(spark, sf_dir), c, _at(900), _box("lx", "ly", "lx", "ly"), 900)
-    ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("point", "chamber").orderBy(F.expr("(x - lx) * (x - lx) + (y - ly) * (y - ly)"), "root")))
-    return ranked.where("rn <= if(chamber, 3, 5)").select("point", "root", "chamber", "rn")
+    d2, box = F.expr("(x - lx) * (x - lx) + (y - ly) * (y - ly)"), _box("lx", "ly", "lx", "ly")
+    found = [
+        spatial.nearest(points(spark, sf_dir), roots, box, d2, F.expr("cast(r as bigint) * r"), most, 450, "root")
+        for roots, most in ((c.where("chamber"), 3), (c.where("not chamber"), 5))
+    ]
+    return found[0].union(found[1]).select("point", "root", "chamber", F.col("rank").alias("rn"))
+
+
+ANGLES = " AND ".join(["a.seg < b.seg", CROSSING])
+DET = "((a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax))"
+LEN = "sqrt(CAST(({0}.bx - {0}.ax) * ({0}.bx - {0}.ax) + ({0}.by_ - {0}.ay) * ({0}.by_ - {0}.ay) AS DOUBLE))"
+
+
+@register("crossing_points", f"""WITH {SEGMENTS} SELECT a.seg, b.seg AS other,
+round(CAST((b.ax - a.ax) * (b.by_ - b.ay) - (b.ay - a.ay) * (b.bx - b.ax) AS DOUBLE) / CAST({DET} AS DOUBLE) * {LEN.format('a')}, 6) AS station,
+round(CAST((b.ax - a.ax) * (a.by_ - a.ay) - (b.ay - a.ay) * (a.bx - a.ax) AS DOUBLE) / CAST({DET} AS DOUBLE) * {LEN.format('b')}, 6) AS other_station,
+round(abs(CAST({DET} AS DOUBLE)) / ({LEN.format('a')} * {LEN.format('b')}), 9) AS sine,
+abs({DET}) >= abs((a.bx - a.ax) * (b.bx - b.ax) + (a.by_ - a.ay) * (b.by_ - b.ay)) AS steep FROM segments a JOIN segments b ON {ANGLES}""")
+def crossing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lines cross, as stations on both, the sine of the angle, and whether it is 45 degrees or more."""
+    o = _box(*[f"o_{c}" for c in SEGMENT])
+    a, b, c, d = _box("ax", "ay"), _box("bx", "by_"), o[:2], o[2:]
+    t, u, sine = geometry.crossing(a, b, c, d)
+    length = lambda p, q: F.sqrt(((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1])).cast("double"))
+    return _crossing_pairs(spark, sf_dir).select(
+        "seg", F.col("o_seg").alias("other"), F.round(t * length(a, b), 6).alias("station"),
+        F.round(u * length(c, d), 6).alias("other_station"), F.round(sine, 9).alias("sine"), geometry.steep(a, b, c, d).alias("steep"),
+    )
+
+
+def _d2(p: str, x: str, y: str, q: str) -> str:
+    """SQL of the squared distance of a point of `p` from the segment of `q`."""
+    out = DISTANCE2
+    for old, new in (("ax", f"{q}.ax"), ("ay", f"{q}.ay"), ("bx", f"{q}.bx"), ("by_", f"{q}.by_"), ("x", f"{p}.{x}"), ("y", f"{p}.{y}")):
+        out = re.sub(rf"(?<![\w.]){old}(?!\w)", new, out)
+    return out
+
+
+GAP2 = "least(" + ", ".join(_d2(p, x, y, q) for p, q in (("a", "b"), ("b", "a")) for x, y in (("ax", "ay"), ("bx", "by_"))) + ")"
+
+
+@register("clearance_margin", f"""WITH {SEGMENTS}, g AS (SELECT a.seg, CASE WHEN {CROSSING} THEN 0 ELSE {GAP2} END AS d2 FROM segments a JOIN segments b ON a.seg <> b.seg AND a.seg % 5 <> b.seg % 5)
+SELECT seg, min(d2) AS d2, CAST(sum(CASE WHEN d2 < 2500 THEN 1 ELSE 0 END) AS BIGINT) AS too_near FROM g WHERE d2 <= 10000 GROUP BY seg""")
+def clearance_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of lines of different kinds within 100 m of each other: the least distance of each line from another (as
+    a square), and how many are nearer than the 50 m required."""
+    other = segments(spark, sf_dir).select(*[F.col(c).alias("o_" + c) for c in ("seg", *SEGMENT)])
+    o = _box(*[f"o_{c}" for c in SEGMENT])
+    box = (F.least(o[0], o[2]), F.least(o[1], o[3]), F.greatest(o[0], o[2]), F.greatest(o[1], o[3]))
+    pairs = spatial.near(segments(spark, sf_dir), other, _span(100), box, CELL).where("seg <> o_seg and seg % 5 <> o_seg % 5")
+    pairs = pairs.withColumn("d2", geometry.gap2(_box("ax", "ay"), _box("bx", "by_"), o[:2], o[2:])).where("d2 <= 10000")
+    return pairs.groupBy("seg").agg(F.min("d2").alias("d2"), F.count_if(F.col("d2") < 2500).alias("too_near"))

@@ -35,9 +35,20 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORMAL = f"ids AS (SELECT c_custkey AS \"row\", regexp_replace(regexp_replace({IDS}, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS id FROM customer)"
 
 
-@register("id_collision", f"WITH {NORMAL} SELECT id, count(*) AS n, min(\"row\") AS first_row FROM ids GROUP BY id HAVING count(*) > 1")
+RESULT_IDS = "CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey * 2 AS VARCHAR) || '.00' WHEN s_suppkey % 3 = 1 THEN 'x' || CAST(s_suppkey AS VARCHAR) ELSE 'lct_' || CAST(s_suppkey // 6 AS VARCHAR) END"
+
+
+@register("id_collision", f"""WITH {NORMAL}, r AS (SELECT s_suppkey, regexp_replace(regexp_replace({RESULT_IDS}, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS id FROM supplier)
+SELECT s_suppkey, id, CASE WHEN id IN (SELECT id FROM ids) THEN 'input' ELSE 'result' END AS met FROM r WHERE id IN (SELECT id FROM ids) OR id IN (SELECT id FROM r GROUP BY id HAVING count(*) > 1)""")
 def id_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ids(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"), F.min("row").alias("first_row")).where("n > 1")
+    """Ids of a result that an input object has, or another object of the result."""
+    k = F.col("s_suppkey")
+    said = F.when(k % 3 == 0, F.concat((k * 2).cast("string"), F.lit(".00"))).when(k % 3 == 1, F.concat(F.lit("x"), k)).otherwise(F.concat(F.lit("lct_"), F.floor(k / 6)))
+    result = table(spark, sf_dir, "supplier").select("s_suppkey", plain_id(said).alias("id"))
+    taken = _ids(spark, sf_dir).select("id").distinct().withColumn("_taken", F.lit(True))
+    twice = result.groupBy("id").agg((F.count("*") > 1).alias("_twice"))
+    met = result.join(taken, "id", "left").join(twice, "id").where("_taken or _twice")
+    return met.select("s_suppkey", "id", F.when(F.col("_taken"), "input").otherwise("result").alias("met"))
 
 
 @register("duplicate_alias", f"WITH {NORMAL} SELECT \"row\", id || CASE WHEN row_number() OVER (PARTITION BY id ORDER BY \"row\") > 1 THEN '~dup' ELSE '' END AS id FROM ids")
