@@ -4,7 +4,7 @@ Sets of hashed shingles are put into one global order: shingles that are frequen
 by hash. Two sets of Jaccard similarity t share a shingle among their first n - ceil(t n) + 1, and among the
 first n - ceil(2 t / (1 + t) n) + 1 of the smaller one (its index prefix). The steps:
 
-1. Of every set the first part by hash, long enough that two linked sets share a quarter of what must be equal
+1. Of every set the first part by hash, long enough that two linked sets share an eighth of what must be equal
    (`sent`, `least_shared`), goes out as rows of hash and node. Sorted by hash they are read as a stream, and sets
    that share too little with any other link with nothing but their copies. Nothing is gathered: shingles that
    several sets of a slice have are counted there and go out once.
@@ -42,11 +42,13 @@ from calorgrid.llm import components, hot, kernel, store
 
 WORDS = 5
 PERCENT = 75
+LONGER = 8  # first shingles beyond the prefix: one in so many
 HEAVY = 32  # nodes with a shingle in their prefix, from which it comes last in the global order
 MAX_HEAVY = 1 << 17
 DENSE = 128
 BLOCK_BYTES = 1 << 21  # of the sets of a block
-CHUNK = 4096  # nodes of a group that are put in order together
+CHUNK = 1024  # nodes of a group that are put in order together
+BROADCAST_IDS = 1 << 20  # 8 bytes each
 PART = 1 << 19
 NONE = (1 << 63) - 1  # stands for a null id
 JOINED, LINK, COUNT = range(3)  # what a row a, b of blocks says: one component, a link, b links of a
@@ -70,13 +72,13 @@ def index_size(n):
 
 def sent(n):
     """How many first shingles by hash are held against those of others."""
-    return n - -(-PERCENT * n // 100) + np.maximum(1, n // 4)
+    return n - -(-PERCENT * n // 100) + np.maximum(1, n // LONGER)
 
 
 def least_shared(n: str):
     """The fewest of its first shingles that a set with a link shares with another's. Prefixes that are longer by
     k than the number of shingles that may differ share k, and the other set has t of this one's size at least."""
-    return F.greatest(F.lit(1), F.floor(F.ceil(PERCENT * F.col(n) / F.lit(100)) / 4))
+    return F.greatest(F.lit(1), F.floor(F.ceil(PERCENT * F.col(n) / F.lit(100)) / LONGER))
 
 
 def _sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -119,12 +121,12 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, node long, n long")
 
 
-ONE, SEVERAL, COUNTED = range(3)  # a shingle of one set of a slice, of several, and shingles counted in the slice
+ONE, SEVERAL = 0, -1  # in place of a count: a shingle of one set of a slice, of several
 
 
 def _first_shingles(docs: DataFrame) -> DataFrame:
-    """key, node, kind and n: the first shingles of the sets, those that several sets of a slice have once; and of
-    each set how many of these it has (its node as key, so that such rows go anywhere)."""
+    """key, node and n: the first shingles of the sets, with ONE or SEVERAL as n, those that several sets of a slice
+    have once; and of each set how many of these it has (its node as key, so that such rows go anywhere)."""
 
     def run(batches):
         for batch in kernel.slices(batches, "text", 1 << 22):
@@ -143,13 +145,12 @@ def _first_shingles(docs: DataFrame) -> DataFrame:
             some = np.flatnonzero(local)
             key = np.concatenate([h[head].view(np.int64), node[some]])
             of = np.concatenate([node[owner[head]], node[some]])
-            kind = np.concatenate([np.where(size > 1, SEVERAL, ONE), np.full(len(some), COUNTED)]).astype(np.int8)
-            n = np.concatenate([np.ones(len(head), np.int32), local[some].astype(np.int32)])
+            n = np.concatenate([np.where(size > 1, SEVERAL, ONE), local[some]]).astype(np.int32)
             for at in range(0, len(key), 1 << 16):
-                columns = [pa.array(c[at : at + (1 << 16)]) for c in (key, of, kind, n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "kind", "n"])
+                columns = [pa.array(c[at : at + (1 << 16)]) for c in (key, of, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n"])
 
-    return docs.mapInArrow(run, "key long, node long, kind byte, n int")
+    return docs.mapInArrow(run, "key long, node long, n int")
 
 
 def _shared(firsts: DataFrame) -> DataFrame:
@@ -159,10 +160,10 @@ def _shared(firsts: DataFrame) -> DataFrame:
     def run(batches):
         held = None  # the last shingle, its set and whether another set has it too: it may go on in the next batch
         for batch in batches:
-            key, node, kind, n = (np.asarray(kernel.column(batch, c)) for c in ("key", "node", "kind", "n"))
-            counted = kind == COUNTED
+            key, node, n = (np.asarray(kernel.column(batch, c)) for c in ("key", "node", "n"))
+            counted = n > 0
             out = [(node[counted], n[counted])]
-            key, node, several = key[~counted], node[~counted], kind[~counted] == SEVERAL
+            key, node, several = key[~counted], node[~counted], n[~counted] == SEVERAL
             if len(key):
                 if held is not None:
                     key, node, several = (np.append(x, y) for x, y in zip(held, (key, node, several)))
@@ -544,7 +545,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool =
         nodes = tables.cut(all_docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
         near = _shared(_first_shingles(rows)).join(nodes, "node").where(F.col("shared") >= least_shared("n"))
         open_ = tables.cut(near.select("node", "first_id"), "open")
-        chosen = rows.join(open_.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        ids = open_.select(F.col("first_id").alias("doc_id")).distinct()
+        if open_.count() <= BROADCAST_IDS:  # or else the texts are shuffled once
+            ids = F.broadcast(ids)
+        chosen = rows.join(ids, "doc_id", "left_semi")
         raw = chosen.mapInArrow(_whole_sets, "node long, n long, toks binary").join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"])
         raw = tables.cut(raw, "raw-sets")
         sets = tables.cut(_global_order(raw), "sets")
