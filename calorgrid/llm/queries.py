@@ -27,7 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.digests(warc.assemble(warc.read(spark, path, payload=False)))
+    records = store.cut(warc.read(spark, path, payload=False), "warc-records")  # three times read
+    return warc.digests(warc.assemble(records))
 
 
 ORACLES["op1_warc_transactions"] = f"""
