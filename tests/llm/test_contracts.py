@@ -73,6 +73,35 @@ def test_warc_edges(spark):
     assert warc.assemble(warc.read(spark, empty)).count() == 0
 
 
+def test_warc_members(spark):
+    """Each record is a gzip member; files roll by bytes; a page of 50 MB comes through; repeated ids and rows too."""
+    import glob
+    import gzip
+
+    rng = np.random.default_rng(0)
+    big = rng.integers(97, 123, 50_000_000, dtype=np.uint8).tobytes().decode()
+    rows = [(k, f"http://h/{k}", f"page {k} " * (k * 3)) for k in range(300)] + [(1000, "http://big", big), (7, "http://h/x", "other"), (8, "http://h/8", "page 8 " * 24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = store.new_path(spark, "warc-test")
+    warc.write(pages, path, file_bytes=4000)
+    files = glob.glob(path.removeprefix("file:") + "/*.txt")
+    assert len(files) > 10
+    small = min((open(f, "rb").read() for f in files), key=len)
+    assert gzip.decompress(small) == b"".join(map(bytes, warc._inflated(small)))
+    starts, left = 0, small
+    while left:
+        z = zlib.decompressobj(31)
+        starts += z.decompress(left).startswith(b"WARC/1.1\r\n")
+        left = z.unused_data
+    assert starts == sum(1 for _ in warc.parse(small))
+    captures = warc.assemble(warc.read(spark, path)).collect()
+    got = sorted((r["response"]["payload_bytes"], r["response"]["payload_digest"], len(r["metadata"])) for r in captures)
+    assert got == sorted((len(t.encode()), hashlib.sha1(t.encode()).hexdigest(), 1) for _, _, t in rows)
+    assert all(r["request"]["target_uri"].startswith("http://") for r in captures)
+    with pytest.raises(ValueError):
+        list(warc.parse(small[: len(small) // 2]))
+
+
 def _encoded(byte_bpe, rows):
     t = Tokenizer.from_file(byte_bpe)
     return [t.encode(r or "", add_special_tokens=False).ids for r in rows]
@@ -90,13 +119,50 @@ def test_token_files(spark, docs, byte_bpe):
 
 
 def test_token_file_detects_damage(byte_bpe):
-    content = b"".join(f + b"\n" for f in rans.group([1, 2], np.array([3, 5]), np.arange(8) % 5))
-    keys, counts, ids = next(iter(rans.unpack(content)))
-    assert list(keys) == [1, 2] and list(counts) == [3, 5] and list(ids) == [i % 5 for i in range(8)]
-    broken = bytearray(content)
-    broken[len(broken) // 2] ^= 1
-    with pytest.raises(Exception):
-        list(rans.unpack(bytes(broken)))
+    content = b"".join(rans.group([1, 2], np.array([3, 5]), np.arange(8) % 5))
+    assert [k for k, _ in rans.frames(content)] == [b"TABL", b"DOCS", b"BLCK"]
+    for at in range(17, len(content), 29):
+        broken = bytearray(content)
+        broken[at] ^= 1
+        with pytest.raises(Exception):
+            list(rans.frames(bytes(broken)))
+
+
+def test_stretches_decode_alone(monkeypatch):
+    """Every stretch between two checkpoints gives its ids, and notices wrong ones."""
+    monkeypatch.setattr(rans, "CHECKPOINT", 7)
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 16, 17, 3000, 70001):
+        ids = (rng.zipf(1.3, n) % 500).astype(np.uint32)
+        coder = rans.Coder(*rans.frequencies(ids))
+        found = list(rans.stretches(coder.encode(ids)))
+        assert [s.first for s in found] == np.cumsum([0, *[s.n for s in found]])[:-1].tolist()
+        for s in reversed(found):
+            assert (coder.decode(s) == ids[s.first : s.first + s.n]).all()
+        with pytest.raises(ValueError):
+            coder.decode(found[0]._replace(crc=found[0].crc ^ 1))
+
+
+def test_checksums_combine():
+    a, b = b"some bytes", b"and some more of them" * 50
+    assert rans.combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert rans.combine(0, zlib.crc32(b), len(b)) == zlib.crc32(b)
+
+
+def test_token_files_of_several_ranges(spark, byte_bpe):
+    """Several files per partition, several stretches per file, documents over several stretches."""
+    rows = [(k, f"{k} words " * (1 + k % 7 * 40 + 9000 * (k == 12))) for k in range(60)] + [(None, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = store.new_path(spark, "rans-test")
+    rans.write(docs, path, byte_bpe, group_ids=5000, block=500)
+    assert rans.units(spark, path).count() > 60
+    got = {r["key"]: r for r in rans.with_starts(rans.read(spark, path)).collect()}
+    start = 0
+    for k, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        ids = np.array([*_encoded(byte_bpe, [text])[0], 0], "<u4").tobytes()
+        r = got[k]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (start, len(ids) // 4, zlib.crc32(ids), ids)
+        start += len(ids) // 4
 
 
 def test_language(docs):
