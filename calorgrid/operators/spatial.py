@@ -29,28 +29,31 @@ def near(left: DataFrame, right: DataFrame, box: tuple, other: tuple, cell: int,
     return joined.where(meet & home).drop(*drop)
 
 
-def inside(points: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
-    """point and ring of points inside rings: points (point, x, y), edges (ring, x1, y1, x2, y2), integers.
+def inside(points: DataFrame, edges: DataFrame, cell: int, keys: list[str] | None = None) -> DataFrame:
+    """point and ring of points inside rings: points (point, x, y), edges (ring, x1, y1, x2, y2), exact for integers;
+    only those with equal `keys`, columns of both, meet.
 
     Points first meet the boxes of rings by cells; only such pairs meet the ring's edges, by bands of height, and
     a ray to the left is counted against the edges that reach the point's height, half open, so holes that share
     the ring's id cut out.
     """
-    box = edges.groupBy("ring").agg(
+    keys = keys or []
+    box = edges.groupBy(*keys, "ring").agg(
         F.min(F.least("x1", "x2")).alias("_x1"), F.min(F.least("y1", "y2")).alias("_y1"),
         F.max(F.greatest("x1", "x2")).alias("_x2"), F.max(F.greatest("y1", "y2")).alias("_y2"),
     )
     at = tuple(F.col(c) for c in ("x", "y", "x", "y"))
-    pairs = near(points.select("point", "x", "y"), box, at, tuple(F.col(c) for c in ("_x1", "_y1", "_x2", "_y2")), cell)
+    pairs = near(points.select(*keys, "point", "x", "y"), box, at, tuple(F.col(c) for c in ("_x1", "_y1", "_x2", "_y2")), cell, keys)
     band = lambda y: F.floor(y / cell).cast("long")
-    p = pairs.select("point", "ring", "x", "y", band(F.col("y")).alias("_band"))
+    p = pairs.select(*keys, "point", "ring", "x", "y", band(F.col("y")).alias("_band"))
     e = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
     up = (F.col("y1") <= F.col("y")) & (F.col("y") < F.col("y2"))
     down = (F.col("y2") <= F.col("y")) & (F.col("y") < F.col("y1"))
     side = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))
     # the edge lies right of the point if the point is left of it going up, right of it going down
     hit = (up & (side > 0)) | (down & (side < 0))
-    return p.join(e, ["ring", "_band"]).where(hit).groupBy("point", "ring").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select("point", "ring")
+    met = p.join(e, [*keys, "ring", "_band"]).where(hit).groupBy(*keys, "point", "ring").agg(F.count("*").alias("_n"))
+    return met.where("_n % 2 = 1").select(*keys, "point", "ring")
 
 
 def nearest(points: DataFrame, others: DataFrame, box: tuple, score: Column, reach: Column, k: int, cell: int, tie: str) -> DataFrame:
