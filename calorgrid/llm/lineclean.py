@@ -1,7 +1,8 @@
 """Line-first cleaning with DataFrame functions only.
 
-Each line is judged by rules on its punctuation, on navigation and on boilerplate; lines that fail are
-removed, and a document that loses more than MAX_LOSS of its text is rejected.
+Each line is judged by rules on its punctuation (no end though it is long, runs of marks, one word over and over),
+on navigation and on boilerplate in four languages; lines that fail are removed, and a document that loses more than
+MAX_LOSS_PERCENT of its text is rejected.
 
 Defined cases: a null text has no words, lines or symbols, and fails the base rule; lines without a word are
 kept in the cleaned text and count as no loss; other columns are kept as they are; an empty table gives an
@@ -17,12 +18,24 @@ MAX_REPEAT_PERCENT = 20
 MAX_LOSS_PERCENT = 50
 WINDOW = 5
 SPACE = r"[\x20\x09-\x0D]"
-#: A line of prose ends like this; a line of this many words is no prose if it doesn't.
+WORD = r"[^\x20\x09-\x0D]+"
+#: A line of prose ends like this; a line of LONG_LINE words is no prose if it doesn't, a shorter one is a heading.
 END = r"""[.!?:;,…"'”’»)\]][\x20\x09-\x0D]*$"""
-LONG_LINE = 40
-#: Words of menus, and phrases of page furniture.
-NAVIGATION = "home|menu|login|log in|sign in|sign up|register|next|previous|prev|back to top|skip to content|read more|share|search|sitemap|contact|about us|subscribe"
-BOILERPLATE = "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|terms and conditions|lorem ipsum|enable javascript|licensed under|released under|copyright ©|©"
+LONG_LINE = 12
+STUTTER = 6  # words, of which a third or fewer differ
+#: Words of menus, and phrases of page furniture, in English, German, French and Spanish.
+NAVIGATION = (
+    "home|menu|login|log in|sign in|sign up|register|next|previous|prev|back to top|skip to content|read more|share|search|sitemap|contact|about us|subscribe"
+    "|startseite|menü|anmelden|registrieren|weiter|weiterlesen|zurück|nach oben|suche|kontakt|über uns|impressum"
+    "|accueil|connexion|se connecter|s.inscrire|suivant|précédent|haut de page|lire la suite|rechercher|à propos"
+    "|inicio|menú|iniciar sesión|registrarse|siguiente|anterior|volver arriba|leer más|buscar|contacto|acerca de"
+)
+BOILERPLATE = (
+    "all rights reserved|cookie policy|privacy policy|terms of use|terms of service|terms and conditions|lorem ipsum|enable javascript|licensed under|released under|copyright ©|©"
+    "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|cookie-richtlinie"
+    "|tous droits réservés|politique de confidentialité|mentions légales|conditions d.utilisation|politique de cookies"
+    "|todos los derechos reservados|política de privacidad|términos de uso|aviso legal|política de cookies"
+)
 
 
 def let(value: Column, body) -> Column:
@@ -40,10 +53,16 @@ def fails(line: Column) -> Column:
     many_symbols = 10 * F.regexp_count(line, F.lit(r"[#*$%&|<>{}\\\[\]~^_=+]")) > 3 * F.length(line)
     no_letters = ~line.rlike(r"[\p{L}\p{N}]")
     bangs = line.rlike(r"[!?#*$%&|]{4,}")
-    runs_on = (~line.rlike(END)) & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= LONG_LINE)
+    noise = F.regexp_count(line, F.lit(r"[#*$%&|<>]{3,}"))
+    unended = ~line.rlike(END)
+
+    def by_words(w: Column) -> Column:
+        n = F.size(w)
+        return (unended & (n >= LONG_LINE)) | ((n >= 2) & (2 * noise >= n)) | ((n >= STUTTER) & (3 * F.size(F.array_distinct(w)) <= n))
+
     menu = low.rlike(rf"^[\x20\x09-\x0D]*(?:{NAVIGATION})(?:[\x20\x09-\x0D]*[|>»·/-][\x20\x09-\x0D]*[^|>»·/]{{1,30}})*[\x20\x09-\x0D]*$") | line.rlike(r"^[^|»>]{0,30}(?:[\x20\x09-\x0D]*[|»>][^|»>]{0,30}){2,}$")
     furniture = (F.length(line) <= 200) & low.rlike(BOILERPLATE)
-    return many_symbols | no_letters | bangs | runs_on | menu | furniture
+    return many_symbols | no_letters | bangs | menu | furniture | let(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), by_words)
 
 
 def repeated(words: Column) -> Column:

@@ -6,7 +6,7 @@ weight (water filling, in closed form over running sums of the sources). A docum
 floor(rate) times, and once more with the probability of the rest, by a hash of its id.
 
 Defined cases: a null text has size 0; a source without words has target 0 and its documents a rate of 0;
-a null doc_id is hashed as such; repeated rows are drawn alike; `mix` keeps extra columns of any name but those
+a null doc_id is hashed as such; more than MAX_SOURCES sources are an error; repeated rows are drawn alike; `mix` keeps extra columns of any name but those
 that begin with two underscores, which are kept for the steps inside.
 """
 
@@ -18,6 +18,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20240
 SALTS = 256
+MAX_SOURCES = 1 << 20  # rows of the table of sources, which a few windows put in order as a whole
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,8 +28,11 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size, target of a table with source and __size. One row per source."""
+    """source, source_size, target of a table with source and __size. One row per source; more than MAX_SOURCES
+    fail, since water filling orders all sources at once: name coarser ones then."""
     by = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    by = by.withColumn("__few", F.count("*").over(Window.partitionBy(F.lit(1))) <= MAX_SOURCES)
+    by = by.where(F.col("__few") | F.raise_error(F.lit(f"more than {MAX_SOURCES} sources")).cast("boolean"))
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     w = by.withColumn("weight", F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("long"))
     # Sources are capped from the least cap per weight on; the k-th is capped if the level that the others

@@ -55,9 +55,10 @@ rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, word
 gap AS (SELECT rid, sum(CASE WHEN nx IS NULL OR nx - i > 5 THEN 5 ELSE nx - i END) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM rep) GROUP BY rid),
 ws AS (SELECT rid, count(*) AS n, sum(length(word)) AS chars FROM w0 GROUP BY rid),
 l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-l1 AS (SELECT rid, line, lower(line) AS low, len(regexp_extract_all(line, '[#*$%&|<>{{}}\\\[\]~^_=+]')) AS sym, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l1 AS (SELECT rid, line, lower(line) AS low, len(regexp_extract_all(line, '[#*$%&|<>{{}}\\\[\]~^_=+]')) AS sym, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(line, '[#*$%&|<>]{{3,}}')) AS noise FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 l2 AS (SELECT *, 10 * sym > 3 * length(line) OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]') OR regexp_matches(line, '[!?#*$%&|]{{4,}}')
-  OR (NOT regexp_matches(line, '[.!?:;,…"''”’»)\]][\x20\x09-\x0D]*$') AND words >= {lineclean.LONG_LINE})
+  OR (NOT regexp_matches(line, '[.!?:;,…"''”’»)\]][\x20\x09-\x0D]*$') AND len(w) >= {lineclean.LONG_LINE})
+  OR (len(w) >= 2 AND 2 * noise >= len(w)) OR (len(w) >= {lineclean.STUTTER} AND 3 * len(list_distinct(w)) <= len(w))
   OR regexp_matches(low, '^[\x20\x09-\x0D]*(?:{lineclean.NAVIGATION})(?:[\x20\x09-\x0D]*[|>»·/-][\x20\x09-\x0D]*[^|>»·/]{{1,30}})*[\x20\x09-\x0D]*$')
   OR regexp_matches(line, '^[^|»>]{{0,30}}(?:[\x20\x09-\x0D]*[|»>][^|»>]{{0,30}}){{2,}}$')
   OR (length(line) <= 200 AND regexp_matches(low, '{lineclean.BOILERPLATE}')) AS bad FROM l1),

@@ -54,6 +54,34 @@ def test_empty(runs, empty, op):
     assert runs[op](empty).count() == 0
 
 
+def test_junk_lines(spark):
+    """Precision and recall on planted lines: noise, menus, stutter and furniture among prose of four languages."""
+    import random
+
+    rng = random.Random(11)
+    words = {"en": "the river of stone and market light", "de": "der Fluss und die große Brücke über", "fr": "la rivière où le marché était déjà", "es": "el río y la canción del año más"}
+    furniture = {"en": ["Read more", "All rights reserved.", "Home | News | Contact"], "de": ["Weiterlesen", "Alle Rechte vorbehalten.", "Startseite | Kontakt | Suche"], "fr": ["Lire la suite", "Tous droits réservés.", "Accueil > Connexion > Recherche"], "es": ["Leer más", "Todos los derechos reservados.", "Inicio | Buscar | Contacto"]}
+    rows = []
+    for lang, w in words.items():
+        w = w.split()
+        prose = lambda n, w=w: " ".join(rng.choice(w) + rng.choice(["", "s", "en", "er", "a", "o", "ung", "ly"]) for _ in range(n))
+        for _ in range(60):
+            rows += [(prose(rng.randrange(3, 40)).capitalize() + rng.choice(".!?"), False), (prose(rng.randrange(1, 6)).title(), False)]
+            rows += [(" ".join(rng.choice(w) + rng.choice(["###", "***", "%%%", "&&&"]) for _ in range(rng.randrange(3, 20))), True)]
+            rows += [(" | ".join(rng.choice(w) for _ in range(rng.randrange(4, 20))) + " |", True), (" ".join([rng.choice(w)] * rng.randrange(8, 60)), True)]
+            rows += [(rng.choice(furniture[lang]), True), (prose(rng.randrange(20, 60)), True)]
+    df = spark.createDataFrame(rows, "line string, junk boolean")
+    got = df.select("junk", lineclean.fails(df["line"]).alias("bad")).collect()
+    hit = sum(r["junk"] and r["bad"] for r in got)
+    assert hit >= 0.98 * sum(r["junk"] for r in got) and hit >= 0.98 * sum(r["bad"] for r in got)
+
+
+def test_too_many_sources(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(Exception, match="more than 2 sources"):
+        mixing.digest(docs).collect()
+
+
 def test_warc_edges(spark):
     long = "x" * 2000
     rows = [(1, "http://a/\r\nb", long), (2, None, long), (3, "http://c", None), (None, "http://d", "ü\r\n\r\nWARC/1.1"), (5, "http://e", "s"), (6, "http://e", "s"), (7, "http://f", "€" * 400), (7, "http://f", "€" * 400)]
