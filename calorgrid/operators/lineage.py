@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 
+_kept: list[tuple[SparkSession, str]] = []  # what this process has written, read until it ends
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, written to the checkpoint folder. Where the session names none a temporary one is set on a local
-    master; on any other master that is an error, as executors share no local folder."""
-    spark = df.sparkSession
+
+def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-            at = tempfile.mkdtemp(prefix="calorgrid-")
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="calorgrid-")
         context.setCheckpointDir(at)
-    return df.checkpoint()
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written to the checkpoint folder and read back. Where the session names none a temporary one is set
+    on a local master; on any other master that is an error, as executors share no local folder.
+
+    A written table also tells the planner its true size. Checkpoints keep the estimate of their plan, which in a
+    loop of joins grows as a power with each round.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/rounds-{uuid.uuid4().hex}"
+    _kept.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _delete() -> None:
+    for spark, path in _kept:
+        try:
+            context = spark.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        except (AttributeError, OSError, PySparkException):  # the session has ended before: its folder goes with it
+            return

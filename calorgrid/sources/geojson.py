@@ -210,7 +210,7 @@ def segments(parts: DataFrame) -> DataFrame:
 def fingerprint(rings: Column, digits: int = 6) -> Column:
     """A hash of a line or of rings that does not depend on the direction in which they are given."""
     def text(r: Column) -> Column:
-        points = F.transform(r, lambda p: F.concat_ws(" ", F.format_number(p["x"], digits), F.format_number(p["y"], digits)))
+        points = F.transform(r, lambda p: F.format_string(f"%.{digits}f %.{digits}f", p["x"].cast("double"), p["y"].cast("double")))
         return F.least(F.array_join(points, ","), F.array_join(F.reverse(points), ","))
 
     return F.sha2(F.array_join(F.array_sort(F.transform(rings, text)), ";"), 256)
