@@ -298,8 +298,8 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:  # a document has one piece, a long one a few
-                r["ids_crc32"] = 0
-                for p in r["pieces"]:
+                r["ids_crc32"] = r["pieces"][0]["crc"]
+                for p in r["pieces"][1:]:
                     r["ids_crc32"] = combine(r["ids_crc32"], p["crc"], 4 * p["n"])
                 if ids:
                     r["ids"] = b"".join(p["ids"] for p in r["pieces"])
