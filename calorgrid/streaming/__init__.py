@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Maps that keep arriving: files are read once each as a stream and land in the typed tables."""

@@ -31,10 +31,12 @@ def rows(columns: list[str], values) -> list:
     return sorted((tuple(plain(r[i]) for i in order) for r in values), key=repr)
 
 
-def same(df, con: duckdb.DuckDBPyConnection, sql: str) -> None:
+def same(df, con: duckdb.DuckDBPyConnection, sql: str) -> int:
+    """Hold the rows against those of the SQL; how many there are."""
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     got, want = rows(df.columns, df.collect()), rows(names, cur.fetchall())
     assert len(got) == len(want)
     assert got == want
+    return len(got)

@@ -57,7 +57,7 @@ def test_propagate_dn(spark):
 def test_uplift_until_stable(spark):
     rng = random.Random(9)
     sizes = sorted(DN)
-    rows = [(k, f"n{rng.randrange(12)}", f"m{rng.randrange(12)}", rng.choice([50, 65, 80]), rng.choice([20.0, 60.0, 110.0])) for k in range(40)]
+    rows = [(k, f"n{rng.randrange(5)}", f"m{rng.randrange(5)}", rng.choice([50, 65, 80]), rng.choice([20.0, 60.0, 110.0])) for k in range(16)]
     lifted, failed = {r[0]: r[3] for r in rows}, set()
     for _ in range(18):
         label = {r[0]: r[0] for r in rows}
