@@ -1,12 +1,14 @@
-"""Verification of stand-in results with planted faults: a map per nation, a star of pipes around its chamber."""
+"""Verification of stand-in results with planted faults (a map per nation, a star of pipes around its chamber), the
+gate before publication, and diagnostics of consumers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calorgrid.functions import catalog, pricing
-from calorgrid.operators import verify
+from calorgrid.operators import publish, spatial, verify
 from calorgrid.plans.layout import C, DN_OF
+from calorgrid.plans.plane import BOXES, CELL, POINTS, boxes, points
 from calorgrid.plans.tables import FLOWS, flows, table
 from calorgrid.queries import register
 from calorgrid.sources import geojson
@@ -65,3 +67,35 @@ SELECT scene_id, code, CAST(n AS BIGINT) AS n FROM found""")
 def verify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule is broken in each map of the stand-in."""
     return verify.verify(*stand_in(spark, sf_dir)).groupBy("scene_id", "code").agg(F.count("*").alias("n"))
+
+
+@register("publish_gate", f"""WITH {FLOWS}, v AS (SELECT o_custkey % 25 AS scene_id, o_orderkey AS variant_id, CAST(o_orderkey % 4 AS BIGINT) AS missing, CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS cost FROM orders WHERE o_custkey % 25 <> 3),
+s AS (SELECT v.*, CAST(cost * CAST(0.000000028 AS DECIMAL(10,9)) AS DECIMAL(28,12)) AS score FROM v WHERE variant_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 9 = 0)),
+k AS (SELECT * FROM (SELECT *, min(missing) OVER (PARTITION BY scene_id) AS least FROM s) WHERE missing = least),
+d AS (SELECT nationkey AS scene_id, count(*) AS missing, CAST(sum(CAST(100000000 + flow * 500000 AS DECIMAL(20,2))) AS DECIMAL(18,2)) AS cost FROM flows WHERE nationkey NOT IN (SELECT scene_id FROM k) GROUP BY nationkey)
+SELECT scene_id, CAST(variant_id AS VARCHAR) AS variant_id, missing, cost, score, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY score, variant_id) AS INTEGER) AS rank, FALSE AS fallback FROM k
+UNION ALL SELECT scene_id, 'none', missing, cost, CAST(cost * CAST(0.000000028 AS DECIMAL(10,9)) AS DECIMAL(28,12)), 1, TRUE FROM d""")
+def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants of each scene that may be published, and the fallback where none may."""
+    o = table(spark, sf_dir, "orders").where("o_custkey % 25 <> 3")
+    cost = F.round("o_totalprice", 2).cast("decimal(18,2)")
+    v = o.select((F.col("o_custkey") % 25).alias("scene_id"), F.col("o_orderkey").alias("variant_id"), (F.col("o_orderkey") % 4).alias("missing"), cost.alias("cost"), pricing.score(cost, F.lit(0)).alias("score"))
+    bad = table(spark, sf_dir, "lineitem").where("l_partkey % 9 = 0").select(F.col("l_orderkey").alias("variant_id")).distinct()
+    demands = flows(spark, sf_dir).select(F.col("nationkey").cast("long").alias("scene_id"), F.col("custkey").alias("demand"), "flow")
+    return publish.gate(v, v.join(bad, "variant_id").select("scene_id", "variant_id"), demands)
+
+
+@register("terminal_diagnostics", f"""WITH {FLOWS}, {POINTS}, {BOXES}, p AS (SELECT p.* FROM points p JOIN flows f ON f.custkey = p.point WHERE NOT f.connected),
+d AS (SELECT p.point, b.box, greatest(b.x1 - p.x, p.x - b.x2, 0) * greatest(b.x1 - p.x, p.x - b.x2, 0) + greatest(b.y1 - p.y, p.y - b.y2, 0) * greatest(b.y1 - p.y, p.y - b.y2, 0) AS d2 FROM p JOIN boxes b ON greatest(b.x1 - p.x, p.x - b.x2, 0) <= 60 AND greatest(b.y1 - p.y, p.y - b.y2, 0) <= 60)
+SELECT p.point, count(d.box) AS near, coalesce(sum(CASE WHEN d.d2 = 0 THEN 1 ELSE 0 END), 0)::BIGINT AS inside, min(d.d2) AS d2, arg_min(d.box, d.d2 * 10000000 + d.box) AS box FROM p LEFT JOIN d ON d.point = p.point AND d.d2 <= 3600 GROUP BY p.point""")
+def terminal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a consumer may have stayed unconnected: the objects within 60 m of it, those that it lies in, the nearest."""
+    lost = flows(spark, sf_dir).where("not connected").select(F.col("custkey").alias("point"))
+    p = points(spark, sf_dir).join(lost, "point")
+    at = tuple(F.col(c) + m for c, m in (("x", -60), ("y", -60), ("x", 60), ("y", 60)))
+    pairs = spatial.near(p, boxes(spark, sf_dir), at, tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), CELL)
+    dx, dy = (F.greatest(F.col(f"{c}1") - F.col(c), F.col(c) - F.col(f"{c}2"), F.lit(0)) for c in ("x", "y"))
+    near = pairs.withColumn("d2", dx * dx + dy * dy).where("d2 <= 3600").groupBy("point")
+    near = near.agg(F.count("*").alias("near"), F.count_if(F.col("d2") == 0).alias("inside"), F.min(F.struct("d2", "box")).alias("m"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return p.select("point").join(near, "point", "left").select("point", zero("near"), zero("inside"), "m.d2", "m.box")
