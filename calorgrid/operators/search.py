@@ -31,7 +31,7 @@ def routes(demands: DataFrame, roots: DataFrame, walls: DataFrame, most: int = 8
     or tracks at less than 45 degrees, is left out; each special object crossed costs its factor on the stretch that
     it asks for.
     """
-    named = demands.withColumn("point", F.concat_ws("\u0001", "scene_id", "demand"))
+    named = demands.withColumn("point", F.struct("scene_id", "demand"))
     pairs = _nearest(named, roots, most)
     dn = catalog.base_dn(F.col("flow").cast("decimal(12,2)"))
     length = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
@@ -68,7 +68,7 @@ def _nearest(points: DataFrame, roots: DataFrame, most: int) -> DataFrame:
         last = r >= whole
         full = ranked.where((F.col("rank") == most) & (F.col("_d") <= r)).select("point")
         done = (ranked if last else ranked.join(full, "point", "left_semi")).drop("_d", "rank")
-        found = done if found is None else found.union(done)
+        found = done if found is None else found.unionByName(done)
         if last:
             return found
         left = cut(left.join(full, "point", "left_anti"))

@@ -81,7 +81,7 @@ def nearest(points: DataFrame, others: DataFrame, box: tuple, score: Column, rea
             done = ranked.join(full, "point", "left_semi")
             left = cut(left.join(full, "point", "left_anti"))
         done = done.drop("_score", "r")
-        found = done if found is None else found.union(done)
+        found = done if found is None else found.unionByName(done)
         if r >= whole or left.isEmpty():
             return found
         r *= 2

@@ -226,3 +226,37 @@ def test_climb(spark, n):
             ways[k].append(up[ways[k][-1]])
     got = tree.climb(spark.createDataFrame(rows, "node long, parent long, v long").selectExpr("*", "v AS w", "v AS z"), along={"v": "sum", "w": "max"}, below={"z": "sum"}).collect()
     assert {(r["node"], r["root"], r["depth"], r["v"], r["w"], r["z"]) for r in got} == {(k, w[-1], len(w) - 1, sum(v[x] for x in w), max(v[x] for x in w), sum(v[c] for c in up if k in ways[c])) for k, w in ways.items()}
+
+
+def test_routes_and_variants(spark):
+    """Ways to roots near and far, walls that shut some, and layouts that respect the rays of roots."""
+    rng = random.Random(7)
+    demands = [("s", k, rng.random() * 900, rng.random() * 900, 5.0) for k in range(20)]
+    roots = [("s", r, rng.random() * 3000, rng.random() * 3000, 1 + r % 3) for r in range(12)]
+    walls = [("s", w, ["road", "metro"][w % 2], x := rng.random() * 900, y := rng.random() * 900, x + 300, y + 40 * w) for w in range(6)]
+    d = spark.createDataFrame(demands, "scene_id string, demand long, x double, y double, flow double")
+    r = spark.createDataFrame(roots, "scene_id string, root long, rx double, ry double, free int")
+    w = spark.createDataFrame(walls, "scene_id string, wall long, kind string, x1 double, y1 double, x2 double, y2 double")
+    ways = search.routes(d, r, w, most=4)
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    want = set()
+    for _, k, x, y, _ in demands:
+        for _, root, rx, ry, _ in sorted(roots, key=lambda q: ((q[2] - x) ** 2 + (q[3] - y) ** 2, q[1]))[:4]:
+            shut = False
+            for _, _, kind, x1, y1, x2, y2 in walls:
+                a, b, p, q = (x, y), (rx, ry), (x1, y1), (x2, y2)
+                if side(a, b, p) * side(a, b, q) < 0 and side(p, q, a) * side(p, q, b) < 0:
+                    u, v = (rx - x, ry - y), (x2 - x1, y2 - y1)
+                    shut |= kind == "metro" or abs(u[0] * v[1] - u[1] * v[0]) < abs(u[0] * v[0] + u[1] * v[1])
+            if not shut:
+                want.add((k, root))
+    assert {(q["demand"], q["root"]) for q in ways.collect()} == want
+    chosen, ranked = search.variants(ways, d, restarts=3)
+    free = {q[1]: q[4] for q in roots}
+    used = {}
+    for q in chosen.where("rank = 1").collect():
+        used[q["root"]] = used.get(q["root"], 0) + 1
+    assert used and all(n <= free[k] for k, n in used.items())
+    rows = ranked.orderBy("rank").collect()
+    assert [q["rank"] for q in rows] == list(range(1, len(rows) + 1)) and [q["score"] for q in rows] == sorted(q["score"] for q in rows)
+    assert len({q["signature"] for q in rows}) == len(rows) and len({q["missing"] for q in rows}) == 1
