@@ -113,8 +113,8 @@ def variants(ways: DataFrame, demands: DataFrame, restarts: int = 4, most: int =
     runs = demands.select("scene_id").distinct().withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
     mark = F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "demand", "root"))), ";")
     made = chosen.groupBy("scene_id", "restart").agg(F.sum("paid").cast("decimal(18,2)").alias("pipes"), F.sum("length").cast("decimal(18,9)").alias("length"), F.count_distinct("root").alias("ties"), F.sha2(mark, 256).alias("signature"))
-    free = demands.crossJoin(F.broadcast(demands.sparkSession.range(restarts).select(F.col("id").cast("int").alias("restart"))))  # `restarts` rows
-    lost = free.join(chosen.select("scene_id", "restart", "demand"), ["scene_id", "restart", "demand"], "left_anti")
+    every = demands.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    lost = every.join(chosen.select("scene_id", "restart", "demand"), ["scene_id", "restart", "demand"], "left_anti")
     lost = lost.groupBy("scene_id", "restart").agg(F.count("*").alias("missing"), F.sum(pricing.penalty(F.col("flow"))).alias("penalty"))
     rows = runs.join(made, ["scene_id", "restart"], "left").join(lost, ["scene_id", "restart"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -124,7 +124,7 @@ def variants(ways: DataFrame, demands: DataFrame, restarts: int = 4, most: int =
     first = Window.partitionBy("scene_id", "signature").orderBy("score", "restart")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     least = F.min("missing").over(Window.partitionBy("scene_id"))
-    ranked = cut(network.best_of(rows.where("true").withColumn("_least", least).where("missing = _least").drop("_least"), ["scene_id"], ["score", "restart"], most))
+    ranked = cut(network.best_of(rows.withColumn("_least", least).where("missing = _least").drop("_least"), ["scene_id"], ["score", "restart"], most))
     return chosen.join(ranked.select("scene_id", "restart", "rank"), ["scene_id", "restart"]), ranked
 
 
