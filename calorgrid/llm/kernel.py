@@ -22,6 +22,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LETTER = np.arange(256) >= 0x80  # of words of letters and digits, lower-cased
+_LETTER[0x30:0x3A] = _LETTER[0x61:0x7B] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,6 +138,23 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1], dtype=np.int64) + np.repeat(starts - (total - counts), counts)
 
 
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of texts with A-Z in lower case: the number of each word, the
+    distinct words, and the first word of each text. Words are told apart by their bytes."""
+    low = _LOWER[data]
+    inside = _LETTER[low]
+    new = np.zeros(len(data) + 1, bool)
+    new[offsets] = True  # a text begins a word anew
+    before = np.zeros(len(data), bool)
+    before[1:] = inside[:-1]
+    starts = np.flatnonzero(inside & (~before | new[:-1]))
+    total = np.concatenate([[0], np.cumsum(inside)])
+    bounds = np.append(total[starts], total[-1])
+    got = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(low[inside]))
+    coded = got.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary, np.searchsorted(starts, offsets)
+
+
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts in a row and their offsets."""
     total = np.zeros(len(data) + 1, np.int64)
