@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from calorgrid.llm import fim, langid, linededup, lineclean, mixing, ngramjoin, ordminhash, rans, spsample, store, tokcount, warc
+from calorgrid.llm import fim, importance, langid, licences, linededup, lineclean, mixing, ngramjoin, ordminhash, rans, spsample, store, tokcount, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -146,3 +146,38 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
   sha256(text) AS restored_sha256 FROM p
 """
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ORACLES["op13_importance_resampling"] = rf"""
+WITH RECURSIVE step(i, k, c) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS v FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '{_LETTERS}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), {_CAPITALS}), '{_LETTERS}') AS w FROM benchmark),
+dw AS (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+word AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+hashed AS (SELECT word, xor(list_reduce(list_transform(range(1, octet_length(encode(word)) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS BIGINT)),
+  lambda c, x: xor(c >> 8, v[CAST(xor(c, x) & 255 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % {importance.BUCKETS} AS bucket FROM word, crc),
+s AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS t FROM bw JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + {importance.BUCKETS})) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + {importance.BUCKETS})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT rid, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY rid),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w USING (rid)),
+r AS (SELECT *, CASE WHEN n_features >= {importance.MIN_WORDS} THEN row_number() OVER (PARTITION BY n_features >= {importance.MIN_WORDS} ORDER BY score DESC, doc_id NULLS FIRST) END AS place,
+  {importance.DRAW_PERCENT} * (count(*) FILTER (n_features >= {importance.MIN_WORDS}) OVER ()) // 100 AS draw FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= draw THEN place END AS rank FROM r
+"""
+
+
+@query
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(table(spark, sf_dir, "documents"))
