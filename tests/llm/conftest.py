@@ -61,7 +61,7 @@ def clashing(edge):
     """Columns named as those that operators add or use inside."""
     from pyspark.sql import functions as F
 
-    names = "score lang_pred size target taken n_words n_shingles component_id n_tokens start n_lines n_removed fingerprint copies decoded piece_ids prefix_deltas source_size _size _t _id _h _cuts _words _lines _salt node kept"
+    names = "score lang_pred size taken n_words n_shingles component_id n_tokens start n_lines n_removed fingerprint copies decoded piece_ids prefix_deltas source_size _size _t _id _h _cuts _words _lines _salt node kept n form output labels matches rank weight slice place w0 id gram target"
     return edge.select("*", *[F.lit(7).alias(n) for n in names.split()])
 
 

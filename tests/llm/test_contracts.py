@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from calorgrid.llm import langid, linededup, lineclean, mixing, ngramjoin, ordminhash, queries, rans, spsample, store, tokcount, warc
+from calorgrid.llm import fim, importance, langid, licences, linededup, lineclean, mixing, ngramjoin, ordminhash, queries, rans, spsample, store, tokcount, warc
 from tests.compare import connect, same
 from tests.llm.conftest import SCHEMA
 
@@ -33,10 +33,13 @@ def runs(byte_bpe, piece_bpe):
         "op9": mixing.digest,
         "op9-mix": mixing.mix,
         "op10": lambda d: spsample.decode(spsample.encode(d, piece_bpe), piece_bpe),
+        "op11": licences.scan,
+        "op12": fim.transform,
+        "op13": lambda d: importance.digest(d, d),
     }
 
 
-OPS = ["op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+OPS = [f"op{n}" for n in range(2, 14)]
 
 
 @pytest.mark.parametrize("op", [*OPS, "op9-mix"])
