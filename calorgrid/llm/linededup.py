@@ -1,12 +1,17 @@
 """Line dedup by winnowing over line hashes.
 
-A document is the sequence of its lines with a word, without white space at their ends. A gram is the
-shortest run of lines from a line on with GRAM_WORDS words or more. Of the grams that start in any stretch of
-lines with GUARANTEE words the one with the least hash is selected, so every run of GUARANTEE words that two
-places share, be it a single line or a whole text, has a selected gram in common. A selected gram that stands earlier (by doc_id, then place) is
-matched with its first place; the match is extended both ways line by line as long as the lines are equal, by
-up to REACH words, beyond which the next selected gram of the run takes over. The lines of later places are
-deleted. The line of a first place that is deleted itself stands earlier still, so one copy of each stays.
+A document is the sequence of its lines with a word, without white space at their ends. Lines are deleted that
+belong to a run of lines with GUARANTEE words or more which also stands at an earlier place (by doc_id, then hash of
+the text, then line), whichever place that is; so the first place of every line stays.
+
+A gram is the shortest run of lines from a line on with GRAM_WORDS words or more; a stretch is the shortest with
+GUARANTEE words or more. Of the grams inside a stretch the one with the least hash is its fingerprint, so places
+that share a stretch share a fingerprint, at the same line of it. Fingerprints that stand once end there. The others
+are joined with their places and extended both ways, to the stretches that chose them and to the shortest runs
+of GUARANTEE words that end at a line and begin with such a stretch. For each of these runs the earliest place is
+found, and the lines of later places go. That is every line of every repeated run: in a run that two places share,
+a line lies in the stretch from the first line, in the shortest run that ends with the last, or before the
+latter, and then in the stretch from itself; all of these lie in the run and have a fingerprint in it.
 
 Defined cases: a null or empty text has no lines and stays as it is; lines without a word are no part of a
 run and stay; rows that share doc_id and text are one document and keep or lose the same lines; rows that
@@ -20,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from calorgrid.llm import kernel
+from calorgrid.llm import hot, kernel, store
 
-GRAM_WORDS = 25
-GUARANTEE = GRAM_WORDS  # a single line of GRAM_WORDS words is a stretch, and so is a text of as many
-REACH = 50
+GRAM_WORDS = 8
+GUARANTEE = 25  # a single line of as many words is a run, and so is a text
 U = np.uint64
 
 
@@ -44,78 +48,90 @@ def lines(data: np.ndarray, offsets: np.ndarray):
     return h, line[head] - np.searchsorted(breaks, offsets[doc[head]]), last - head + 1, doc[head]
 
 
-def fingerprints(h: np.ndarray, n_words: np.ndarray, doc: np.ndarray):
-    """Selected grams: (hash, first line, line after the last), lines numbered over all texts."""
+def runs(h: np.ndarray, n_words: np.ndarray, doc: np.ndarray):
+    """Hash, first line and line after the last of the runs of GUARANTEE words, lines numbered over all texts, with the
+    hash and the line of the fingerprint of each; in order of the latter."""
     n = len(h)
-    z = np.zeros(0, np.int64)
-    if not n:
-        return np.zeros(0, U), z, z
     total = np.concatenate([[0], np.cumsum(n_words)])
     close = np.searchsorted(doc, doc, side="right")  # the line after the text's last
     end = np.searchsorted(total, total[:-1] + GRAM_WORDS)
     gram = np.flatnonzero(end <= close)
-    if not len(gram):
-        return np.zeros(0, U), z, z
     key = np.full(n, U(0xFFFFFFFFFFFFFFFF))
     key[gram] = kernel.span_hash(h, gram, end[gram])
-    # a stretch from line i holds the grams that end within GUARANTEE words
     stretch = np.searchsorted(total, total[:-1] + GUARANTEE)
     i = np.flatnonzero(stretch <= close)
     best, j = i.copy(), i + 1
-    on = np.flatnonzero((j < close[i]) & (end[np.minimum(j, n - 1)] <= stretch[i]))
+    on = np.flatnonzero((j < close[i]) & (end[np.minimum(j, n - 1)] <= stretch[i])) if n else i
     while len(on):
         less = key[j[on]] < key[best[on]]
         best[on[less]] = j[on[less]]
         j[on] += 1
         on = on[(j[on] < close[i[on]]) & (end[np.minimum(j[on], n - 1)] <= stretch[i[on]])]
-    at = np.unique(best)
-    return key[at], at, end[at]
+    chosen = np.zeros(n, np.int64)
+    chosen[i] = best
+    # the latest first line of a run that ends with each line; one that is a stretch is there already
+    last = np.arange(n)
+    first = np.searchsorted(total, total[1:] - GUARANTEE, side="right") - 1
+    back = np.flatnonzero(first >= np.searchsorted(doc, doc))
+    back = back[stretch[first[back]] != last[back] + 1]
+    start, to = np.concatenate([i, first[back]]), np.concatenate([stretch[i], last[back] + 1])
+    order = np.argsort(chosen[start], kind="stable")
+    start, to = start[order], to[order]
+    return kernel.span_hash(h, start, to), start, to, key[chosen[start]], chosen[start]
+
+
+def _gram_counts(docs: DataFrame, text: str) -> DataFrame:
+    """_gram and n: the fingerprints that stand at several places, and at how many."""
 
+    def run(batches):
+        for batch in kernel.slices(batches, "text"):
+            h, _, n_words, doc = lines(*kernel.flat(kernel.column(batch, "text")))
+            *_, gram, at = runs(h, n_words, doc)
+            key, n = np.unique(gram[np.unique(at, return_index=True)[1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["_gram", "n"])
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "_gram long, n long")
+    return found.groupBy("_gram").agg(F.sum("n").alias("n")).where("n > 1")
 
-def _grams(docs: DataFrame, text: str) -> DataFrame:
-    """_gram, doc_id, _t, at, to, before and after (line hashes outward from the gram) of selected grams."""
+
+def _places(docs: DataFrame, text: str) -> DataFrame:
+    """_gram, doc_id, _t (hash of the text), at and runs (key, start, end) of each place of a fingerprint."""
 
     def run(batches):
         for batch in kernel.slices(batches, "text"):
-            data, offsets = kernel.flat(kernel.column(batch, "text"))
-            h, _, n_words, doc = lines(data, offsets)
-            key, at, end = fingerprints(h, n_words, doc)
-            if not len(at):
+            h, _, n_words, doc = lines(*kernel.flat(kernel.column(batch, "text")))
+            key, start, to, gram, at = runs(h, n_words, doc)
+            if not len(key):
                 continue
-            total = np.concatenate([[0], np.cumsum(n_words)])
-            open_, close = np.searchsorted(doc, doc[at]), np.searchsorted(doc, doc[at], side="right")
-            low = np.maximum(open_, np.searchsorted(total, total[at] - REACH, side="right") - 1)
-            high = np.minimum(close, np.searchsorted(total, total[end] + REACH))
-            signed = h.view(np.int64)
-            before = signed[np.repeat(at - 1, at - low) - kernel.ragged(np.zeros(len(at), np.int64), at - low)]
-            after = signed[kernel.ragged(end, high - end)]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32()), pa.array(v)) for v, c in ((before, at - low), (after, high - end))]
-            rows = pa.array(doc[at])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), kernel.column(batch, "doc_id").take(rows), kernel.column(batch, "_t").take(rows), pa.array((at - open_).astype(np.int32)), pa.array((end - open_).astype(np.int32)), *lists], names=["_gram", "doc_id", "_t", "at", "to", "before", "after"])
+            head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            open_ = np.searchsorted(doc, doc[start])
+            each = [pa.array(key.view(np.int64)), pa.array((start - open_).astype(np.int32)), pa.array((to - open_).astype(np.int32))]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(key)), pa.int32()), pa.StructArray.from_arrays(each, names=["key", "start", "end"]))
+            rows = pa.array(doc[at[head]])
+            columns = [pa.array(gram[head].view(np.int64)), kernel.column(batch, "doc_id").take(rows), kernel.column(batch, "_t").take(rows), pa.array((at - open_)[head].astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["_gram", "doc_id", "_t", "at", "runs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "_gram long, doc_id long, _t long, at int, to int, before array<long>, after array<long>")
-
-
-def _shared(a: Column, b: Column) -> Column:
-    """How many first elements of two arrays are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, F.lit(False))
-    return F.when(at == 0, F.size(same)).otherwise((at - 1).cast("int"))
+    return rows.mapInArrow(run, "_gram long, doc_id long, _t long, at int, runs array<struct<key: long, start: int, end: int>>")
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _t (hash of the text) and cuts: stretches [start, end) of lines with words to delete."""
-    grams = _grams(docs, text)
-    first = grams.groupBy("_gram").agg(F.min(F.struct("doc_id", "_t", "at", "before", "after")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = grams.join(first, "_gram").where("not (doc_id <=> f.doc_id and _t = f._t and at = f.at)")
-    cut = F.struct((F.col("at") - _shared(F.col("before"), F.col("f.before"))).alias("start"), (F.col("to") + _shared(F.col("after"), F.col("f.after"))).alias("end"))
-    return hits.select("doc_id", "_t", cut.alias("cut")).distinct().groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    """doc_id, _t (hash of the text) and cuts: stretches [start, end) of lines with words to delete; written."""
+    with store.Scratch(docs.sparkSession, "lines") as tables:
+        grams = tables.cut(_gram_counts(docs, text), "grams")
+        shared = hot.spread_join(_places(docs, text), grams, ["_gram"], "n", "_t")
+        found = tables.cut(shared.select("doc_id", "_t", F.explode("runs").alias("run")).select("doc_id", "_t", "run.*"), "runs")
+        place = F.struct("doc_id", "_t", "start")
+        first = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+        first = tables.cut(first.where("first <> last").drop("last"), "first")
+        later = hot.spread_join(found, first, ["key"], "n", "_t").where(~place.eqNullSafe(F.col("first")))
+        cuts = later.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+        return store.cut(cuts, "cuts")
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by what is left of it; add n_lines (with a word) and n_removed. The texts are shuffled
-    once, to meet the lines that they lose; grams are a small part of them."""
+    once, to meet the lines that they lose."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     cuts = repeats(docs, text).select(F.col("doc_id").alias("__id"), F.col("_t").alias("__h"), F.col("cuts").alias("__cuts"))
     rows = docs.select(*[F.col(f"`{c}`") for c in names])

@@ -153,50 +153,24 @@ def lines_of(text):
 
 
 def by_hand(rows):
-    """The operator's definition with plain loops: doc_id -> lines that stay."""
-    import numpy as np
-
-    kernel = linededup.kernel
-    docs = {}
-    for k, text in rows:
-        own = lines_of(text)
-        h, _, n, _ = linededup.lines(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
-        assert [len(WORD.findall(x)) for x in own] == n.tolist()
-        docs[k] = (own, h, n)
-    first, places = {}, []
+    """The operator's definition with plain loops, against all earlier places: doc_id -> lines that stay."""
+    docs = {k: lines_of(text) for k, text in rows}
+    earliest, runs = {}, []
     for k in sorted(docs):
-        own, h, n = docs[k]
-        grams = {}
+        own = docs[k]
+        n = [len(WORD.findall(x)) for x in own]
         for i in range(len(own)):
             for j in range(i + 1, len(own) + 1):
-                if sum(n[i:j]) >= linededup.GRAM_WORDS:
-                    grams[i] = (j, int(kernel.span_hash(h, np.array([i]), np.array([j]))[0]))
-                    break
-        chosen = set()
-        for i in range(len(own)):
-            to = next((j for j in range(i + 1, len(own) + 1) if sum(n[i:j]) >= linededup.GUARANTEE), None)
-            inside = [(grams[g][1], g) for g in range(i, to) if g in grams and grams[g][0] <= to] if to else []
-            if inside:
-                chosen.add(min(inside)[1])
-        for i in sorted(chosen):
-            places.append((grams[i][1], k, i, grams[i][0]))
-            first.setdefault(grams[i][1], (k, i, grams[i][0]))
+                if sum(n[i:j]) >= linededup.GUARANTEE:
+                    runs.append((k, i, j))
+                    earliest.setdefault(tuple(own[i:j]), (k, i))
+                if sum(n[i + 1 : j - 1]) >= linededup.GUARANTEE:
+                    break  # longer runs that two places share hold a shorter one around each of their lines
     gone = {k: set() for k in docs}
-    for g, k, i, to in places:
-        fk, fi, fto = first[g]
-        if (fk, fi) == (k, i):
-            continue
-        a, b, n = docs[k][0], docs[fk][0], docs[k][2]
-        s, left = 0, 0
-        while i - s > 0 and fi - s > 0 and left < linededup.GUARANTEE and a[i - s - 1] == b[fi - s - 1]:
-            left += n[i - s - 1]
-            s += 1
-        e, right = 0, 0
-        while to + e < len(a) and fto + e < len(b) and right < linededup.GUARANTEE and a[to + e] == b[fto + e]:
-            right += n[to + e]
-            e += 1
-        gone[k] |= set(range(i - s, to + e))
-    return {k: [x for i, x in enumerate(own) if i not in gone[k]] for k, (own, _, _) in docs.items()}
+    for k, i, j in runs:
+        if earliest[tuple(docs[k][i:j])] != (k, i):
+            gone[k] |= set(range(i, j))
+    return {k: [x for i, x in enumerate(own) if i not in gone[k]] for k, own in docs.items()}
 
 
 def test_lines_tables(docs):
@@ -231,3 +205,44 @@ def test_lines_short_runs(spark):
     got = {r["doc_id"]: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: r["n_removed"] for k, r in got.items()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 3}
     assert got[2]["text"] == rows[1][1].split("\n")[0] and got[3]["text"] == got[5]["text"] == ""
+
+
+def test_lines_beyond_the_first_place(spark):
+    """A run that goes on longer at a later place than at the first is a repeat of that later place."""
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, n) for n in (13, 13, 10, 9))
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"{d}\n{a}\n{b}\n{c}"), (5, f"{c}\n{d}\n{a}\n{b}"), (6, f"{d}\n{a}")]
+    got = {r["doc_id"]: lines_of(r["text"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == by_hand(rows) == {1: [a, b], 2: [c], 3: [], 4: [d], 5: [c], 6: [d, a]}
+
+
+def test_lines_of_few_words(spark):
+    """Lines drawn from a few, so that runs repeat, overlap and go on in many ways."""
+    rng = random.Random(12)
+    some = [prose(rng, n) for n in (1, 2, 3, 5, 8, 9, 13, 24, 25, 30)]
+    rows = [(k, "\n".join(rng.choice(some) for _ in range(rng.randrange(1, 14)))) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: lines_of(r["text"]) for r in linededup.dedup(d).collect()} == by_hand(rows)
+
+
+def test_fingerprints_are_few(docs):
+    """Winnowing selects a part of the grams."""
+    import numpy as np
+
+    texts = "\n".join(f"{prose(random.Random(k), 3)}" for k in range(3000)).encode()
+    h, _, n, doc = linededup.lines(np.frombuffer(texts, np.uint8), np.array([0, len(texts)]))
+    *_, at = linededup.runs(h, n, doc)
+    assert len(np.unique(at)) < 0.35 * len(h)
+
+
+def test_boilerplate_makes_no_family(spark, monkeypatch):
+    """Texts that share many words, but are not linked, are not compared in pairs."""
+    rng = random.Random(6)
+    page = prose(rng, 60)
+    rows = [(k, f"{page} {prose(rng, 100)}") for k in range(700)]
+    sizes, family = [], ngramjoin._family_of
+    monkeypatch.setattr(ngramjoin, "_family_of", lambda e: sizes.append(e.count()) or family(e))
+    for links in (True, False):
+        got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string"), links=links).collect()
+        assert all(r["doc_id"] == r["component_id"] for r in got)
+    assert sizes == [0, 0]
