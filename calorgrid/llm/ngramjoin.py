@@ -1,7 +1,7 @@
 """Similarity join of word n-gram sets by prefix filtering and a prefix tree, and its components.
 
-Sets of hashed shingles are put into one global order: shingles that are frequent in prefixes last, the others
-by hash. Two sets of Jaccard similarity t share a shingle among their first n - ceil(t n) + 1, and among the
+Sets of hashed shingles are put into one global order: shingles that many whole sets have last, the commonest at
+the end, the others by hash. Two sets of Jaccard similarity t share a shingle among their first n - ceil(t n) + 1, and among the
 first n - ceil(2 t / (1 + t) n) + 1 of the smaller one (its index prefix). The steps:
 
 1. Of every set the first part by hash, long enough that two linked sets share an eighth of what must be equal
@@ -43,7 +43,7 @@ from calorgrid.llm import components, hot, kernel, store
 WORDS = 5
 PERCENT = 75
 LONGER = 8  # first shingles beyond the prefix: one in so many
-HEAVY = 32  # nodes with a shingle in their prefix, from which it comes last in the global order
+HEAVY = 32  # nodes with a shingle, from which it comes last in the global order
 MAX_HEAVY = 1 << 17
 DENSE = 128
 BLOCK_BYTES = 1 << 21  # of the sets of a block
@@ -506,9 +506,18 @@ def _entries(sets: DataFrame, tables: store.Scratch) -> DataFrame:
     return tables.cut(joined.where(F.col("index") | (size > F.col("_least"))).drop("_least"), "entries")
 
 
+def _counts(batches):
+    """key and c: how many sets of a slice have each shingle. Whole sets count: what is frequent must not move into
+    the prefixes of the new order because it lay behind those of the old one."""
+    for batch in kernel.slices(batches, "toks", 1 << 22):
+        data, _ = kernel.flat(kernel.column(batch, "toks"))
+        key, c = np.unique(np.frombuffer(data.tobytes(), np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
+
+
 def _global_order(raw: DataFrame) -> DataFrame:
     """The sets with their shingles in the global order."""
-    common = raw.mapInArrow(_prefixes, ENTRIES).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY)
+    common = raw.mapInArrow(_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > HEAVY)
     found = common.orderBy(F.desc("c"), "key").limit(MAX_HEAVY).toArrow()  # at most MAX_HEAVY rows
     heavy = np.asarray(found.column("key").combine_chunks()).astype(np.int64).view(U)
     rank = np.arange(len(heavy), 0, -1).astype(U)  # the most frequent last
