@@ -88,6 +88,9 @@ def dictionary(slices: DataFrame) -> DataFrame:
 
 def _tuples(slices: DataFrame, words: DataFrame, longest: int) -> DataFrame:
     """slice, target, gram (its number in the slice), count and w0, w1, ...: ids of the words, null after its last."""
+    if longest == 1:  # the n-grams are the words
+        each = slices.select("slice", "target", F.posexplode(F.arrays_zip("words", "counts")).alias("gram", "g"))
+        return each.join(words, F.col("g.words") == F.col("word")).select("slice", "target", "gram", F.col("g.counts").alias("count"), F.col("id").alias("w0"))
     ids = slices.select("slice", F.posexplode("words").alias("at", "word")).join(words, "word")
     ids = ids.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
     own = slices.select("slice", "target", "grams", "starts", "sizes", "counts").join(ids, "slice")
