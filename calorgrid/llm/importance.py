@@ -80,17 +80,23 @@ def _slices(docs: DataFrame, target: bool, longest: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SLICES)
 
 
-def dictionary(slices: DataFrame) -> DataFrame:
-    """word and id: an integer for each distinct word, written so that it stays."""
+def dictionary(slices: DataFrame, buckets: int) -> DataFrame:
+    """word, id and bucket: an integer for each distinct word, which is hashed once as the n-gram that it is by
+    itself; written so that it stays."""
     words = slices.select(F.explode("words").alias("word")).distinct()
-    return store.cut(words.select("word", F.monotonically_increasing_id().alias("id")), "dictionary")
+    return store.cut(words.select("word", F.monotonically_increasing_id().alias("id"), _bucket(F.col("word"), buckets)), "dictionary")
+
+
+def _bucket(text: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(text), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _tuples(slices: DataFrame, words: DataFrame, longest: int) -> DataFrame:
-    """slice, target, gram (its number in the slice), count and w0, w1, ...: ids of the words, null after its last."""
-    if longest == 1:  # the n-grams are the words
+    """slice, target, gram (its number in the slice), count and w0, w1, ...: ids of the words, null after its last. Single
+    words are the dictionary's entries and have their bucket from it."""
+    if longest == 1:
         each = slices.select("slice", "target", F.posexplode(F.arrays_zip("words", "counts")).alias("gram", "g"))
-        return each.join(words, F.col("g.words") == F.col("word")).select("slice", "target", "gram", F.col("g.counts").alias("count"), F.col("id").alias("w0"))
+        return each.join(words, F.col("g.words") == F.col("word")).select("slice", "target", "gram", F.col("g.counts").alias("count"), F.col("id").alias("w0"), "bucket")
     ids = slices.select("slice", F.posexplode("words").alias("at", "word")).join(words, "word")
     ids = ids.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
     own = slices.select("slice", "target", "grams", "starts", "sizes", "counts").join(ids, "slice")
@@ -112,18 +118,23 @@ def _joined(a: DataFrame, b: DataFrame, longest: int) -> DataFrame:
     return a.join(b, on).drop(*[f"v{k}" for k in range(longest)])
 
 
+def _counted(uses: DataFrame, *keys: str) -> DataFrame:
+    """keys, s and t: how often documents and target have them."""
+    count = F.when(F.col("target"), F.lit(0)).otherwise(F.col("count")), F.when(F.col("target"), F.col("count")).otherwise(F.lit(0))
+    return uses.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(n) for c, n in zip(count, "st")])
+
+
 def hashed(uses: DataFrame, words: DataFrame, longest: int, buckets: int) -> DataFrame:
     """w0, w1, ..., bucket, s and t: each distinct tuple, hashed once, and how often documents and target have it."""
     keys = [f"w{k}" for k in range(longest)]
-    count = F.when(F.col("target"), F.lit(0)).otherwise(F.col("count")), F.when(F.col("target"), F.col("count")).otherwise(F.lit(0))
-    found = uses.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(n) for c, n in zip(count, "st")])
+    found = _counted(uses, *keys)
     for k in range(longest):
         named = words.select(F.col("word").alias(f"b{k}"), F.col("id").alias(f"i{k}"))
         found = found.join(named, F.col(f"w{k}") == F.col(f"i{k}"), "inner" if k == 0 else "left").drop(f"i{k}")
     text = F.col("b0")
     for k in range(1, longest):
         text = F.when(F.col(f"b{k}").isNull(), text).otherwise(F.concat(text, F.lit(b" "), F.col(f"b{k}")))
-    return found.select(*keys, F.pmod(F.crc32(text), F.lit(buckets)).cast("int").alias("bucket"), "s", "t")
+    return found.select(*keys, _bucket(text, buckets), "s", "t")
 
 
 def gains(tuples: DataFrame, buckets: int) -> DataFrame:
@@ -158,11 +169,14 @@ def weights(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets:
     """doc_id, slice and place (which tell rows apart), n_words, n_features and weight of each row of docs."""
     texts = target.select(F.lit(None).cast("long").alias("doc_id"), "text")
     slices = store.cut(_slices(docs, False, longest).union(_slices(texts, True, longest)), "slices")
-    words = dictionary(slices)
+    words = dictionary(slices, buckets)
     uses = store.cut(_tuples(slices, words, longest), "uses")
-    tuples = store.cut(hashed(uses, words, longest, buckets), "tuples")
-    value = tuples.join(F.broadcast(gains(tuples, buckets)), "bucket").drop("bucket", "s", "t")
-    back = _joined(uses.where("not target").drop("target", "count"), value, longest)
+    own = uses.where("not target").drop("target", "count")
+    if longest == 1:
+        back = own.join(F.broadcast(gains(_counted(uses, "bucket"), buckets)), "bucket")
+    else:
+        tuples = store.cut(hashed(uses, words, longest, buckets), "tuples")
+        back = _joined(own, tuples.join(F.broadcast(gains(tuples, buckets)), "bucket").drop("bucket", "s", "t"), longest)
     back = back.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "gain"))), lambda x: x["gain"]).alias("gain"))
     return _weights(slices, back)
 
