@@ -135,7 +135,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     cuts = repeats(docs, text).select(F.col("doc_id").alias("__id"), F.col("_t").alias("__h"), F.col("cuts").alias("__cuts"))
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    joined = rows.join(cuts, (F.xxhash64(text) == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
+    joined = rows.join(cuts.hint("shuffle_hash"), (F.xxhash64(text) == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id", "__h")
 
     def run(batches):
         for batch in kernel.slices(batches, text):
