@@ -1,7 +1,7 @@
 """Joins in the plane: windows, cells, polygons, clearances, crossings, nearest lines.
 
-Customers and suppliers are points, parts are boxes, and suppliers' segments lead to where their nation's next
-supplier stands in; all coordinates are integers, so Spark and the oracle agree exactly.
+Customers and suppliers are points, parts are boxes, and each customer has a segment in a denser square of its
+own; all coordinates are integers, so Spark and the oracle agree exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ CELL = 100
 XY = "({0} * 7919) % 5000 AS x, ({0} * 104729) % 5000 AS y"
 POINTS = "points AS (SELECT c_custkey AS point, (c_custkey * 7919) % 5000 + c_custkey % 23 - 11 AS x, (c_custkey * 104729) % 5000 + c_custkey % 19 - 9 AS y FROM customer)"
 BOXES = f"boxes AS (SELECT box, feature, x - r AS x1, y - r AS y1, x + r AS x2, y + r AS y2 FROM (SELECT p_partkey AS box, p_partkey // 5 AS feature, {XY.format('p_partkey')}, 5 + p_partkey % 20 AS r FROM part))"
-SEGMENTS = "segments AS (SELECT s_suppkey AS seg, (s_suppkey * 7919) % 5000 AS ax, (s_suppkey * 104729) % 5000 AS ay, (s_suppkey * 7919) % 5000 + (s_suppkey * 31) % 400 - 200 AS bx, (s_suppkey * 104729) % 5000 + (s_suppkey * 57) % 400 - 200 AS by_ FROM supplier)"
+SEGMENTS = "segments AS (SELECT c_custkey AS seg, (c_custkey * 7907) % 2500 AS ax, (c_custkey * 104723) % 2500 AS ay, (c_custkey * 7907) % 2500 + (c_custkey * 31) % 400 - 200 AS bx, (c_custkey * 104723) % 2500 + (c_custkey * 57) % 400 - 200 AS by_ FROM customer)"
 
 
 def _xy(key):
@@ -39,9 +39,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    ax, ay = (k * 7919) % 5000, (k * 104729) % 5000
-    return table(spark, sf_dir, "supplier").select(k.alias("seg"), ax.alias("ax"), ay.alias("ay"), (ax + (k * 31) % 400 - 200).alias("bx"), (ay + (k * 57) % 400 - 200).alias("by_"))
+    k = F.col("c_custkey")
+    ax, ay = (k * 7907) % 2500, (k * 104723) % 2500
+    return table(spark, sf_dir, "customer").select(k.alias("seg"), ax.alias("ax"), ay.alias("ay"), (ax + (k * 31) % 400 - 200).alias("bx"), (ay + (k * 57) % 400 - 200).alias("by_"))
 
 
 def _at(margin: int = 0):
