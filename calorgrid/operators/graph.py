@@ -43,5 +43,5 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         large = _least(both, many).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = _least(large, many)
         small = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        stars = cut(small.distinct())
+        stars = cut(small.distinct(), stars)
     raise RuntimeError("labels did not settle")

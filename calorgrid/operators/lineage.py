@@ -23,26 +23,35 @@ def _folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """The table, written to the checkpoint folder and read back. Where the session names none a temporary one is set
     on a local master; on any other master that is an error, as executors share no local folder.
 
     A written table also tells the planner its true size. Checkpoints keep the estimate of their plan, which in a
-    loop of joins grows as a power with each round.
+    loop of joins grows as a power with each round. `last`, the written table of the round before, is deleted once
+    this one stands; nothing else may read it.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/rounds-{uuid.uuid4().hex}"
     _kept.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if last is not None:
+        _drop(spark, last._written)
+        _kept.remove((spark, last._written))
+    return out
 
 
 @atexit.register
 def _delete() -> None:
     for spark, path in _kept:
         try:
-            context = spark.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            _drop(spark, path)
         except (AttributeError, OSError, PySparkException):  # the session has ended before: its folder goes with it
             return

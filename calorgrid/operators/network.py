@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from calorgrid.operators import graph, intervals, spatial, tree
@@ -110,17 +112,21 @@ def leaves(edges: DataFrame) -> DataFrame:
 
 
 def depths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, depth and parent (the least of those one step nearer) by breadth from the sources, in rounds."""
+    """node, depth and parent (the least of those one step nearer) by breadth from the sources. A round per step, which
+    reads and writes its fronts only."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    found = cut(sources.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("parent")))
-    front = found
+    start = sources.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("parent"))
+    # a neighbour of the front lies in it, one step nearer or one farther: the two last fronts tell which is new
+    fronts, before = [cut(start)], None
     while True:
-        step = front.select(F.col("node").alias("a"), (F.col("depth") + 1).alias("depth")).join(both, "a")
-        new = step.join(found.select(F.col("node").alias("b")), "b", "left_anti").groupBy(F.col("b").alias("node")).agg(F.min("depth").alias("depth"), F.min("a").alias("parent"))
-        front = cut(new)
-        if front.isEmpty():
-            return found
-        found = cut(found.union(front))
+        front = fronts[-1]
+        step = front.select(F.col("node").alias("a"), (F.col("depth") + 1).alias("depth")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("depth").alias("depth"), F.min("a").alias("parent"))
+        known = front.select("node") if before is None else front.select("node").union(before.select("node"))
+        new = cut(step.join(known, "node", "left_anti"))
+        if new.isEmpty():
+            return reduce(DataFrame.union, fronts)
+        before = front
+        fronts.append(new)
 
 
 def best_of(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:

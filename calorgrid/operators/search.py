@@ -36,8 +36,15 @@ def routes(demands: DataFrame, roots: DataFrame, walls: DataFrame, most: int = 8
     dn = catalog.base_dn(F.col("flow").cast("decimal(12,2)"))
     length = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
     pairs = cut(pairs.withColumns({"dn": dn, "length": length}).where("dn is not null and length > 0"))
+    ways = passable(pairs.withColumn("way", F.struct("scene_id", "demand", "root")), walls)
+    return ways.select("scene_id", "demand", "root", "flow", "dn", "length", "free", "cost")
+
+
+def passable(ways: DataFrame, walls: DataFrame) -> DataFrame:
+    """Of straight ways (way, scene_id, x, y to rx, ry, dn, length) those that the walls allow, with their cost."""
     box = lambda a, b, c, d: (F.least(a, c), F.least(b, d), F.greatest(a, c), F.greatest(b, d))
-    hit = spatial.near(pairs, walls, box("x", "y", "rx", "ry"), box("x1", "y1", "x2", "y2"), CELL, ["scene_id"])
+    lines = ways.select("way", "scene_id", "x", "y", "rx", "ry")
+    hit = spatial.near(lines, walls, box("x", "y", "rx", "ry"), box("x1", "y1", "x2", "y2"), CELL, ["scene_id"])
     p = lambda x, y: (F.col(x), F.col(y))
     quad = (p("x", "y"), p("rx", "ry"), p("x1", "y1"), p("x2", "y2"))
     hit = hit.where(geometry.crosses(*quad)).withColumn("steep", geometry.steep(*quad))
@@ -45,11 +52,10 @@ def routes(demands: DataFrame, roots: DataFrame, walls: DataFrame, most: int = 8
     shut = ~special | (F.col("kind").isin("road", "tram_tracks") & ~F.col("steep"))
     reach = F.coalesce(F.element_at(F.create_map(*[x for k, v in catalog.EXTENSION.items() for x in (F.lit(k), F.lit(v))]), F.col("kind")), F.lit(2))
     extra = (catalog.crossing_factor(F.col("kind")).cast("double") - 1) * 2 * reach
-    met = hit.groupBy("scene_id", "demand", "root").agg(F.max(shut).alias("shut"), F.sum(F.when(special, extra)).alias("extra"))
-    ways = pairs.join(met, ["scene_id", "demand", "root"], "left").where("not coalesce(shut, false)")
+    met = hit.groupBy("way").agg(F.max(shut).alias("shut"), F.sum(F.when(special, extra)).alias("extra"))
     price = catalog.of_pipe(F.col("dn"), "new_price", "decimal(12,2)").cast("double")
     cost = price * (F.col("length") + F.least(F.col("length"), F.coalesce("extra", F.lit(0.0))))
-    return ways.select("scene_id", "demand", "root", "flow", "dn", "length", "free", F.round(cost, 2).alias("cost"))
+    return ways.join(met, "way", "left").where("not coalesce(shut, false)").withColumn("cost", F.round(cost, 2)).drop("way", "shut", "extra")
 
 
 def _nearest(points: DataFrame, roots: DataFrame, most: int) -> DataFrame:

@@ -33,7 +33,7 @@ def climb(
     n, one = start.agg(F.count("*"), F.count_distinct("node")).first()
     if one < n:
         raise RuntimeError("a node has two parents")
-    state = start.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0))
+    state, written = start.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0)), start
     pick = {"sum": lambda a, b: a + b, "max": F.greatest}
     for k in range(ceil(log2(n + 1)) + 1 if n else 0):
         if state.where("up is not null").isEmpty():
@@ -54,7 +54,7 @@ def climb(
             F.when(met, F.col("depth") + F.coalesce("_depth", F.lit(0))).otherwise(F.col("depth")).cast("int").alias("depth"),
             *[F.coalesce(pick[how](F.col(c), F.col(f"_{c}")), F.col(c)).cast(kind[c]).alias(c) for c, how in [*along.items(), *below.items()]],
         )
-        state = cut(state)
+        state = written = cut(state, written)
     return state.where("up is null and root is not null").select("node", "parent", "root", "depth", *values)
 
 

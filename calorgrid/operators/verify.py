@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calorgrid.functions import catalog, geometry, pricing
-from calorgrid.operators import graph, spatial, tree
+from calorgrid.operators import graph, spatial, tours, tree
 from calorgrid.operators.lineage import cut
 from calorgrid.sources import geojson
 
@@ -155,22 +155,8 @@ def oriented(lines: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFr
     ]
     sound = stats.where("edges = nodes - 1 and roots = 1").select("label")
     good = label.join(sound, "label", "left_semi")
-    left = cut(edges.join(good.select(F.col("node").alias("a")), "a", "left_semi"))
-    front = good.join(tops.select("node"), "node", "left_semi").select("node")
-    done = None
-    while True:  # one round per step away from the roots, over all scenes
-        hit = _union([
-            left.join(front.withColumnRenamed("node", "a"), "a").select(*BY, "id", F.col("a").alias("up"), F.col("b").alias("down")),
-            left.join(front.withColumnRenamed("node", "b"), "b").select(*BY, "id", F.col("b").alias("up"), F.col("a").alias("down")),
-        ])
-        hit = cut(hit)
-        if hit.isEmpty():
-            break
-        done = hit if done is None else done.union(hit)
-        front, left = hit.select(F.col("down").alias("node")), cut(left.join(hit.select(*BY, "id"), [*BY, "id"], "left_anti"))
-    if done is None:
-        done = edges.where("false").select(*BY, "id", F.col("a").alias("up"), F.col("b").alias("down"))
-    return done, found
+    trees = edges.join(good.select(F.col("node").alias("a")), "a", "left_semi").select(*BY, "id", "a", "b")
+    return tours.orient(trees, good.join(tops.select("node"), "node", "left_semi")), found
 
 
 def _key(*columns: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from calorgrid.functions import catalog, pricing
-from calorgrid.operators import graph, sizing, tree
+from calorgrid.operators import graph, network, sizing, tours, tree
 from calorgrid.plans.tables import DEEP, FLOWS, deep, flows, length_of, table
 from calorgrid.queries import register
 
@@ -167,6 +167,29 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.levels(deep(spark, sf_dir)).select("node", "parent", "depth")
 
 
+@register("orient_tree", f"WITH RECURSIVE {DEEP}, {DESCEND} SELECT node AS id, parent AS up, node AS down FROM down WHERE parent IS NOT NULL")
+def orient_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deep tree's edges, given without a direction, turned away from the root by round trips."""
+    d = deep(spark, sf_dir).where("parent is not null")
+    turned = F.col("node") % 2 == 0
+    edges = d.select(F.col("node").alias("id"), F.when(turned, F.col("node")).otherwise(F.col("parent")).alias("a"), F.when(turned, F.col("parent")).otherwise(F.col("node")).alias("b"))
+    return tours.orient(edges, deep(spark, sf_dir).where("parent is null").select("node"))
+
+
+CHORDS = """chords AS (SELECT node AS a, parent AS b FROM deep WHERE parent IS NOT NULL UNION SELECT node, node // 50 FROM deep WHERE node % 7 = 0),
+sides AS (SELECT a, b FROM chords UNION SELECT b, a FROM chords), walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN sides ON a = node WHERE depth < 24),
+least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
+
+
+@register("breadth_depths", f"WITH RECURSIVE {DEEP}, {CHORDS} SELECT l.node, l.depth, min(u.node) AS parent FROM least l LEFT JOIN sides ON sides.b = l.node LEFT JOIN least u ON u.node = sides.a AND u.depth = l.depth - 1 GROUP BY l.node, l.depth")
+def breadth_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from node 0 over the deep tree and chords of every seventh node."""
+    d = deep(spark, sf_dir)
+    edges = d.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    edges = edges.union(d.where("node % 7 = 0").select("node", F.floor(F.col("node") / 50).cast("long")))
+    return network.depths(edges, d.where("node = 0").select("node"))
+
+
 def _looped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deep tree with node 5 put below its own descendant 17: a cycle that no root reaches."""
     return deep(spark, sf_dir).withColumn("parent", F.when(F.col("node") == 5, 17).otherwise(F.col("parent")))
