@@ -110,15 +110,16 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, node and n of each document."""
+    """doc_id, node and n of each document, and the hash of its text if there is one."""
+    more = [c for c in docs.columns if c == "text_hash"]
 
     def run(batches):
         for batch in kernel.slices(batches, "text"):
             sets = sets_of(*kernel.flat(kernel.column(batch, "text")))
             columns = [kernel.column(batch, "doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([*columns, *(kernel.column(batch, c) for c in more)], names=["doc_id", "node", "n", *more])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "node", "n", *more)))
 
 
 ONE, SEVERAL = 0, -1  # in place of a count: a shingle of one set of a slice, of several
@@ -542,14 +543,16 @@ def _whole_sets(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "toks"])
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = True, groups: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and n_links (the other rows that it
     links with, those of an equal set among them) of each row of documents; without `links` no n_links, for
-    which pairs of one component need not be compared."""
+    which pairs of one component need not be compared. With `groups` also text_hash (xxhash64 of the text) and
+    group, equal for the rows of one component and for no others (null without shingles): ids may repeat, so
+    component_id alone doesn't tell components apart."""
     spark = docs.sparkSession
     none = F.lit(NONE)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc_id"), F.col(text).alias("text"))
-    all_docs = store.cut(_sizes(rows), "sizes")
+    all_docs = store.cut(_sizes(rows.withColumn("text_hash", F.xxhash64("text")) if groups else rows), "sizes")
     with store.Scratch(spark, "ngram-join") as tables:
         nodes = tables.cut(all_docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
         near = _shared(_first_shingles(rows)).join(nodes, "node").where(F.col("shared") >= least_shared("n"))
@@ -570,12 +573,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool =
         last = components.components(every)
         joined = tables.cut(nodes.join(last, "node"), "joined")
         ids = joined.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_n"))
-        found = hot.spread_join(joined.select("node", "component"), tables.cut(ids, "ids"), ["component"], "_n", "node").select("node", "component_id")
-        found = nodes.join(found, "node", "left").select("node", "copies", F.coalesce("component_id", "first_id").alias("component_id"))
+        found = hot.spread_join(joined.select("node", "component"), tables.cut(ids, "ids"), ["component"], "_n", "node").select("node", "component", "component_id")
+        found = nodes.join(found, "node", "left").select("node", "copies", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "first_id").alias("component_id"))
         if links:
             found = found.join(linked, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
         found = store.cut(found, "nodes")
     more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    more += ["text_hash", F.when(F.col("n") > 0, F.col("group")).alias("group")] if groups else []
     out = hot.spread_join(all_docs, found, ["node"], "copies", "doc_id", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, none).alias("component_id"), *more)
