@@ -1,6 +1,13 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read by the next.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds the sampled pieces.
+
+Defined cases, for all stages: other columns than those of documents, of any name, are dropped; an empty table
+gives an empty one; texts are whole however long. Language: null texts and texts without a letter are `und` and
+go; a null lang teaches nothing. Lines: an empty text stays as it is. Near duplicates: texts without a word are
+linked with nothing and stay; of rows that share id and text one stays; rows that share only the id are told apart
+by their texts. Mixing: a null text has no words, a null source is a source of its own, repeated rows are drawn
+alike; a source without words is taken not at all. Pieces: a null text gives no pieces and lossless is null.
 """
 
 from __future__ import annotations
@@ -29,10 +36,15 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar n-gram sets join, keep the one with the least id. Of rows that share
-    an id and a text one stays; only such ids are shuffled again for it."""
-    kept = ngramjoin.join(docs, links=False).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS, "_again")
+    """Of documents that links of similar n-gram sets join, keep the one with the least id, of several with that id
+    the one with the least hash of its text. Rows without words are linked with nothing; of rows that share an id
+    and a text one stays, and only such ids are shuffled again for it."""
+    docs = docs.select(*COLUMNS)
+    least = ngramjoin.join(docs, links=False, groups=True).where("doc_id <=> component_id")
+    own = F.coalesce("group", "text_hash").alias("_group")
+    kept = least.groupBy(F.col("doc_id").alias("_id"), (F.col("n_shingles") > 0).alias("_linked"), own).agg(F.min("text_hash").alias("_hash"), (F.count("*") > 1).alias("_again"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    found = docs.join(kept, same).select(*COLUMNS, "_again")
     once = found.where("not _again").select(*COLUMNS)
     return once.union(found.where("_again").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
