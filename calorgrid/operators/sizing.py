@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from calorgrid.functions import catalog
-from calorgrid.operators import graph
+from calorgrid.operators import graph, intervals, tree
 from calorgrid.operators.lineage import cut
 
 SLACK = "0.000001"  # m
@@ -78,3 +78,26 @@ def propagate_dn(lines: DataFrame, touching: DataFrame) -> DataFrame:
             break
     found = state.select("id", F.coalesce("dn", F.lit(ASSUMED_DN)).alias("dn"))
     return found.join(lines.select("id", (~known).alias("assumed")), "id")
+
+
+def reconstruction(edges: DataFrame, ties: DataFrame) -> DataFrame:
+    """The stretches of an existing forest that new consumers make too narrow: edge, a, b, added and new_dn (null where
+    no row of the catalogue carries the flow).
+
+    edges has edge, parent (the edge above), length, flow and dn; ties has edge, station (from the upper end) and
+    flow. An edge carries in full what is tied in below it, which one climb sums up for all edges, and up to its
+    station what is tied in on it, which a sweep over the stations of the edge adds; ways are never listed.
+    """
+    flow = "decimal(18,2)"
+    own = ties.groupBy("edge").agg(F.sum("flow").cast(flow).alias("own"))
+    rows = edges.select("edge", "parent").join(own, "edge", "left").withColumn("own", F.coalesce("own", F.lit(0).cast(flow)))
+    below = tree.climb(rows.withColumn("all", F.col("own")), "edge", below={"all": "sum"}).select(F.col("node").alias("edge"), "all")
+    passing = rows.join(below, "edge").join(edges.select("edge", "length"), "edge")
+    zone = lambda b, v: ("edge", F.lit(0).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.col(v).cast(flow).alias("v"))
+    passing = passing.withColumn("rest", F.col("all") - F.col("own")).where("rest > 0 and length > 0").select(*zone("length", "rest"))
+    # ties at one station are one zone before anything is swept
+    tied = ties.where("station > 0").groupBy("edge", "station").agg(F.sum("flow").alias("flow")).where("flow > 0").select(*zone("station", "flow"))
+    parts = intervals.interval_sum(passing.union(tied), "v", key="edge").withColumnRenamed("total", "added")
+    joined = parts.join(edges.select("edge", F.col("flow").alias("_flow"), "dn"), "edge")
+    joined = joined.withColumn("new_dn", catalog.base_dn((F.col("_flow") + F.col("added")).cast(flow)))
+    return joined.where("new_dn is null or new_dn > dn").select("edge", "a", "b", F.col("added").cast(flow).alias("added"), "new_dn")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from calorgrid.functions import geometry
 from calorgrid.operators.lineage import cut
 
 
@@ -56,6 +57,39 @@ def inside(points: DataFrame, edges: DataFrame, cell: int, keys: list[str] | Non
     return met.where("_n % 2 = 1").select(*keys, "point", "ring")
 
 
+def pieces(lines: DataFrame, edges: DataFrame, cell: int, least: float = 1e-6) -> DataFrame:
+    """The pieces of straight lines (line, ax, ay, bx, by_) inside rings (ring, x1, y1, x2, y2): line, ring, entry and
+    exit (m along the line), from the first piece on as `piece`, steep (whether it enters at 45 degrees or more; null
+    where the line begins inside) and single (whether the line has this piece of the ring alone).
+
+    The sides that the endless line crosses, half open, are even in number, so in order of their places the first and
+    second bound a piece, the third and fourth the next; holes share the ring's id. What lies beyond the line's ends is
+    cut off, and pieces of up to `least` metres are touches and no pieces. A side that the line runs along belongs to
+    what lies left of the line. Lines meet the sides of those rings whose boxes they meet.
+    """
+    a, b, p, q = (tuple(F.col(c) for c in n) for n in (("ax", "ay"), ("bx", "by_"), ("x1", "y1"), ("x2", "y2")))
+    box = edges.groupBy("ring").agg(
+        F.min(F.least("x1", "x2")).alias("_x1"), F.min(F.least("y1", "y2")).alias("_y1"),
+        F.max(F.greatest("x1", "x2")).alias("_x2"), F.max(F.greatest("y1", "y2")).alias("_y2"),
+    )
+    span = (F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[0], b[0]), F.greatest(a[1], b[1]))
+    pairs = near(lines.select("line", *a, *b), box, span, tuple(F.col(c) for c in ("_x1", "_y1", "_x2", "_y2")), cell)
+    met = pairs.select("line", *a, *b, "ring").join(edges.select("ring", *p, *q), "ring")
+    met = met.where((geometry.turn(*a, *b, *p) > 0) != (geometry.turn(*a, *b, *q) > 0))
+    det = (b[0] - a[0]) * (q[1] - p[1]) - (b[1] - a[1]) * (q[0] - p[0])
+    t = ((p[0] - a[0]) * (q[1] - p[1]) - (p[1] - a[1]) * (q[0] - p[0])).cast("double") / det.cast("double")
+    length = F.sqrt(((b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1])).cast("double"))
+    met = met.select("line", "ring", t.alias("_t"), length.alias("_m"), geometry.steep(a, b, p, q).alias("steep"), "x1", "y1", "x2", "y2")
+    way = Window.partitionBy("line", "ring").orderBy("_t", "x1", "y1", "x2", "y2")
+    both = met.withColumns({"_n": F.row_number().over(way), "_out": F.lead("_t").over(way)}).where("_n % 2 = 1 and _out > 0 and _t < 1")
+    cut_ = both.select(
+        "line", "ring", (F.greatest("_t", F.lit(0.0)) * F.col("_m")).alias("entry"), (F.least("_out", F.lit(1.0)) * F.col("_m")).alias("exit"),
+        F.when(F.col("_t") >= 0, F.col("steep")).alias("steep"),
+    ).where(F.col("exit") - F.col("entry") > least)
+    of = Window.partitionBy("line", "ring")
+    return cut_.withColumns({"piece": F.row_number().over(of.orderBy("entry")), "single": F.count("*").over(of) == 1})
+
+
 def nearest(points: DataFrame, others: DataFrame, box: tuple, score: Column, reach: Column, k: int, cell: int, tie: str) -> DataFrame:
     """The k nearest of `others` to each point (point, x, y), ties to the least `tie`: the pairs with `rank`.
 

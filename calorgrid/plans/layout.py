@@ -276,3 +276,19 @@ def tie_in_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = way.groupBy("root").agg(F.count("*").alias("served"))
     labels = labels.select("root", F.row_number().over(Window.orderBy(F.desc("served"), "root")).alias("label"))
     return way.join(labels, "root").select("node", "root", "length", "label")
+
+
+@register("reconstruction_loads", f"""WITH RECURSIVE {DEEP}, e AS (SELECT node AS edge, parent, 5 + (node * 37) % 200 AS length, CAST(size AS DECIMAL(12,2)) AS flow FROM deep),
+ties AS (SELECT l_partkey AS edge, l_orderkey % (6 + (l_partkey * 37) % 200) AS station, sum(CAST(l_quantity AS DECIMAL(12,2))) AS flow FROM lineitem GROUP BY 1, 2),
+ways AS (SELECT edge, station AS b, flow FROM ties UNION ALL SELECT up.edge, up.length, w.flow FROM ways w JOIN e AS down ON down.edge = w.edge JOIN e AS up ON up.edge = down.parent),
+zones AS (SELECT edge, b, sum(flow) AS flow FROM ways WHERE b > 0 GROUP BY edge, b),
+ends AS (SELECT edge, 0 AS a FROM zones UNION SELECT edge, b FROM zones), parts AS (SELECT * FROM (SELECT edge, a, lead(a) OVER (PARTITION BY edge ORDER BY a) AS b FROM ends) WHERE b IS NOT NULL),
+loads AS (SELECT p.edge, p.a, p.b, CAST(sum(z.flow) AS DECIMAL(18,2)) AS added FROM parts p JOIN zones z ON z.edge = p.edge AND z.b >= p.b GROUP BY p.edge, p.a, p.b),
+sized AS (SELECT l.*, (SELECT min(dn) FROM {C} WHERE capacity >= e.flow) AS old_dn, (SELECT min(dn) FROM {C} WHERE capacity >= e.flow + l.added) AS new_dn FROM loads l JOIN e ON e.edge = l.edge)
+SELECT edge, a, b, added, new_dn FROM sized WHERE new_dn IS NULL OR new_dn > old_dn""")
+def reconstruction_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of the deep tree, an edge above each part, that the line items tied in on it make too narrow."""
+    e = deep(spark, sf_dir).select(F.col("node").alias("edge"), "parent", (5 + (F.col("node") * 37) % 200).alias("length"), F.col("size").cast("decimal(12,2)").alias("flow"))
+    station = F.col("l_orderkey") % (6 + (F.col("l_partkey") * 37) % 200)
+    ties = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("edge"), station.alias("station"), F.col("l_quantity").cast("decimal(12,2)").alias("flow"))
+    return sizing.reconstruction(e.withColumn("dn", catalog.base_dn(F.col("flow"))), ties)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from calorgrid.operators import depth, intervals
+from calorgrid.operators import depth, intervals, lines
 from calorgrid.plans.tables import table
 from calorgrid.queries import register
 
@@ -156,3 +156,9 @@ def depth_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners whose angle is none of 0, 45, 90 (and 135, 180) degrees cost more."""
     return turns(spark, sf_dir).where("px is not null and nx is not null").select("line", "event_id", (~F.expr(f"{CROSS} = 0 or {DOT} = 0 or abs({CROSS}) = abs({DOT})")).alias("premium"))
+
+
+@register("thinned_lines")
+def thinned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polylines of users without the corners that lie within 1500 m of what is left."""
+    return lines.thin(vertices(spark, sf_dir).withColumnRenamed("event_id", "seq"), 1500.0)

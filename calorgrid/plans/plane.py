@@ -74,17 +74,21 @@ SELECT box AS ring, x1, y1, x2, y1 AS y2 FROM corners UNION ALL SELECT box, x2,
 UNION ALL SELECT box, x1 + h, y1 + h, x2 - h, y1 + h FROM corners UNION ALL SELECT box, x2 - h, y1 + h, x2 - h, y2 - h FROM corners UNION ALL SELECT box, x2 - h, y2 - h, x1 + h, y2 - h FROM corners UNION ALL SELECT box, x1 + h, y2 - h, x1 + h, y1 + h FROM corners)"""
 
 
-@register("point_in_polygon", f"""WITH {POINTS}, {BOXES}, {RINGS} SELECT point, ring FROM (SELECT p.point, r.ring, count(*) AS n FROM points p JOIN rings r ON
-(r.y1 <= p.y AND p.y < r.y2 AND (r.x2 - r.x1) * (p.y - r.y1) - (r.y2 - r.y1) * (p.x - r.x1) > 0) OR (r.y2 <= p.y AND p.y < r.y1 AND (r.x2 - r.x1) * (p.y - r.y1) - (r.y2 - r.y1) * (p.x - r.x1) < 0) GROUP BY p.point, r.ring) WHERE n % 2 = 1""")
-def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points in boxes with a square hole."""
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sides of boxes with a square hole."""
     c = boxes(spark, sf_dir).withColumn("h", F.floor((F.col("x2") - F.col("x1")) / 4).cast("long"))
     sides = []
     for m in ("0", "h"):
         p = [(f"x1 + {m}", f"y1 + {m}"), (f"x2 - {m}", f"y1 + {m}"), (f"x2 - {m}", f"y2 - {m}"), (f"x1 + {m}", f"y2 - {m}")]
         sides += [f"struct({a[0]} AS x1, {a[1]} AS y1, {b[0]} AS x2, {b[1]} AS y2)" for a, b in zip(p, p[1:] + p[:1])]
-    edges = c.select(F.col("box").alias("ring"), F.explode(F.expr(f"array({', '.join(sides)})")).alias("e")).select("ring", "e.x1", "e.y1", "e.x2", "e.y2")
-    return spatial.inside(points(spark, sf_dir), edges, CELL)
+    return c.select(F.col("box").alias("ring"), F.explode(F.expr(f"array({', '.join(sides)})")).alias("e")).select("ring", "e.x1", "e.y1", "e.x2", "e.y2")
+
+
+@register("point_in_polygon", f"""WITH {POINTS}, {BOXES}, {RINGS} SELECT point, ring FROM (SELECT p.point, r.ring, count(*) AS n FROM points p JOIN rings r ON
+(r.y1 <= p.y AND p.y < r.y2 AND (r.x2 - r.x1) * (p.y - r.y1) - (r.y2 - r.y1) * (p.x - r.x1) > 0) OR (r.y2 <= p.y AND p.y < r.y1 AND (r.x2 - r.x1) * (p.y - r.y1) - (r.y2 - r.y1) * (p.x - r.x1) < 0) GROUP BY p.point, r.ring) WHERE n % 2 = 1""")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in boxes with a square hole."""
+    return spatial.inside(points(spark, sf_dir), rings(spark, sf_dir), CELL)
 
 
 @register("host_sibling", f"WITH {BOXES} SELECT a.box, b.box AS sibling FROM boxes a JOIN boxes b ON a.feature = b.feature AND a.box <> b.box")
@@ -273,3 +277,21 @@ def clearance_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spatial.near(segments(spark, sf_dir), other, _span(100), box, CELL).where("seg <> o_seg and seg % 5 <> o_seg % 5")
     pairs = pairs.withColumn("d2", geometry.gap2(_box("ax", "ay"), _box("bx", "by_"), o[:2], o[2:])).where("d2 <= 10000")
     return pairs.groupBy("seg").agg(F.min("d2").alias("d2"), F.count_if(F.col("d2") < 2500).alias("too_near"))
+
+
+@register("polygon_pieces", f"""WITH {SEGMENTS}, {BOXES}, {RINGS},
+met AS (SELECT seg, ring, {LEN.format('s')} AS m, (bx - ax) * (y2 - y1) - (by_ - ay) * (x2 - x1) AS det, (x1 - ax) * (y2 - y1) - (y1 - ay) * (x2 - x1) AS num, (bx - ax) * (x2 - x1) + (by_ - ay) * (y2 - y1) AS dot, x1, y1, x2, y2
+  FROM segments s JOIN rings r ON ((bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax) > 0) <> ((bx - ax) * (y2 - ay) - (by_ - ay) * (x2 - ax) > 0)),
+placed AS (SELECT *, CAST(num AS DOUBLE) / CAST(det AS DOUBLE) AS t FROM met),
+runs AS (SELECT *, row_number() OVER w AS n, lead(t) OVER w AS t2 FROM placed WINDOW w AS (PARTITION BY seg, ring ORDER BY t, x1, y1, x2, y2)),
+parts AS (SELECT seg, ring, greatest(t, 0) * m AS entry, least(t2, 1) * m AS exit_, CASE WHEN t >= 0 THEN abs(det) >= abs(dot) END AS steep FROM runs WHERE n % 2 = 1 AND t2 > 0 AND t < 1)
+SELECT seg, ring, CAST(row_number() OVER (PARTITION BY seg, ring ORDER BY entry) AS INTEGER) AS piece, round(entry, 6) AS entry, round(exit_, 6) AS "exit", round((entry + exit_) / 2, 6) AS station, round((exit_ - entry) / 2 + 3, 6) AS radius, steep, count(*) OVER (PARTITION BY seg, ring) = 1 AS single FROM parts WHERE exit_ - entry > 0.000001""")
+def polygon_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lines pass through boxes with holes: each piece, its middle, the radius over which a depth is bound (half
+    of it and 3 m), whether it is entered at 45 degrees or more, and whether it is the only one of its box."""
+    got = spatial.pieces(segments(spark, sf_dir).withColumnRenamed("seg", "line"), rings(spark, sf_dir), CELL)
+    half = (F.col("exit") - F.col("entry")) / 2
+    return got.select(
+        F.col("line").alias("seg"), "ring", "piece", F.round("entry", 6).alias("entry"), F.round("exit", 6).alias("exit"),
+        F.round((F.col("entry") + F.col("exit")) / 2, 6).alias("station"), F.round(half + 3, 6).alias("radius"), "steep", "single",
+    )
