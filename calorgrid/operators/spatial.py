@@ -83,7 +83,7 @@ def pieces(lines: DataFrame, edges: DataFrame, cell: int, least: float = 1e-6) -
     way = Window.partitionBy("line", "ring").orderBy("_t", "x1", "y1", "x2", "y2")
     both = met.withColumns({"_n": F.row_number().over(way), "_out": F.lead("_t").over(way)}).where("_n % 2 = 1 and _out > 0 and _t < 1")
     cut_ = both.select(
-        "line", "ring", (F.greatest("_t", F.lit(0.0)) * F.col("_m")).alias("entry"), (F.least("_out", F.lit(1.0)) * F.col("_m")).alias("exit"),
+        "line", "ring", (F.when(F.col("_t") > 0, F.col("_t")).otherwise(0.0) * F.col("_m")).alias("entry"), (F.least("_out", F.lit(1.0)) * F.col("_m")).alias("exit"),
         F.when(F.col("_t") >= 0, F.col("steep")).alias("steep"),
     ).where(F.col("exit") - F.col("entry") > least)
     of = Window.partitionBy("line", "ring")

@@ -284,7 +284,7 @@ met AS (SELECT seg, ring, {LEN.format('s')} AS m, (bx - ax) * (y2 - y1) - (by_ -
   FROM segments s JOIN rings r ON ((bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax) > 0) <> ((bx - ax) * (y2 - ay) - (by_ - ay) * (x2 - ax) > 0)),
 placed AS (SELECT *, CAST(num AS DOUBLE) / CAST(det AS DOUBLE) AS t FROM met),
 runs AS (SELECT *, row_number() OVER w AS n, lead(t) OVER w AS t2 FROM placed WINDOW w AS (PARTITION BY seg, ring ORDER BY t, x1, y1, x2, y2)),
-parts AS (SELECT seg, ring, greatest(t, 0) * m AS entry, least(t2, 1) * m AS exit_, CASE WHEN t >= 0 THEN abs(det) >= abs(dot) END AS steep FROM runs WHERE n % 2 = 1 AND t2 > 0 AND t < 1)
+parts AS (SELECT seg, ring, CASE WHEN t > 0 THEN t ELSE 0 END * m AS entry, least(t2, 1) * m AS exit_, CASE WHEN t >= 0 THEN abs(det) >= abs(dot) END AS steep FROM runs WHERE n % 2 = 1 AND t2 > 0 AND t < 1)
 SELECT seg, ring, CAST(row_number() OVER (PARTITION BY seg, ring ORDER BY entry) AS INTEGER) AS piece, round(entry, 6) AS entry, round(exit_, 6) AS "exit", round((entry + exit_) / 2, 6) AS station, round((exit_ - entry) / 2 + 3, 6) AS radius, steep, count(*) OVER (PARTITION BY seg, ring) = 1 AS single FROM parts WHERE exit_ - entry > 0.000001""")
 def polygon_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where lines pass through boxes with holes: each piece, its middle, the radius over which a depth is bound (half
