@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from calorgrid.operators import intervals
+from calorgrid.operators import intervals, tree
+from calorgrid.operators.lineage import cut
 
 NORMAL, COVER, SLOPE, SPLIT = 3.0, 0.7, 0.1, 3.0  # m, m, m a metre, the depth from which digging costs more
 
@@ -43,6 +44,71 @@ def envelope(probes: DataFrame, balls: DataFrame, normal=NORMAL, cover=COVER, sl
     return both.select(key, "s", "lower", "upper", depth.alias("depth"), F.coalesce(F.col("lower") > F.col("upper"), F.lit(False)).alias("infeasible"))
 
 
+def _reached(links: DataFrame, asks: DataFrame) -> DataFrame:
+    """edge, a, b, length, kind and value: the stretches of edges that asks (edge, s, r, kind, value) cover, at most r
+    from their station on all ways. An ask that reaches an end of its edge goes on from there with what is left of
+    its radius; of those of one value that leave an edge by one end the farthest reaching does for all."""
+    own = asks.join(links.where("up").select("edge", "length", "far", F.col("node").alias("_low")), "edge")
+    a, b = F.greatest(F.col("s") - F.col("r"), F.lit(0)), F.least(F.col("s") + F.col("r"), F.col("length"))
+    found = [cut(own.select("edge", a.alias("a"), b.alias("b"), "length", "kind", "value"))]
+    on = F.array(F.struct(F.col("far").alias("node"), (F.col("r") - F.col("s")).alias("left")), F.struct(F.col("_low").alias("node"), (F.col("r") - F.col("length") + F.col("s")).alias("left")))
+    front = own.select(F.col("edge").alias("via"), "kind", "value", F.explode(on).alias("_on")).select("via", "kind", "value", "_on.*")
+    while True:
+        front = cut(front.where("left > 0").groupBy("node", "via", "kind", "value").agg(F.max("left").alias("left")))
+        if front.isEmpty():
+            break
+        met = front.join(links, "node").where("edge <> via")
+        into = F.least("left", "length")
+        a, b = F.when(F.col("up"), F.col("length") - into).otherwise(F.lit(0)), F.when(F.col("up"), F.col("length")).otherwise(into)
+        found.append(cut(met.select("edge", a.alias("a"), b.alias("b"), "length", "kind", "value")))
+        front = met.select(F.col("edge").alias("via"), "kind", "value", F.col("far").alias("node"), (F.col("left") - F.col("length")).alias("left"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def tree_envelope(nodes: DataFrame, balls: DataFrame, probes: DataFrame, normal=NORMAL, cover=COVER, slope=SLOPE) -> DataFrame:
+    """`envelope` where the way from a ball to a probe leads through a tree: edge, s, lower, upper, depth, infeasible.
+
+    nodes has node, parent (null at roots) and length, that of the edge from its parent, which bears the node's name
+    (a root's counts as 0); balls (edge, s, r, low, high) and probes (edge, s) lie s from the edge's upper end. Probes on edges that no root
+    reaches, or that are none, are left out; without balls the normal depth holds.
+
+    No pair of a ball and a probe is formed. Balls become the stretches that they cover, stretches what they ask at
+    the ends of their edges. The strictest of what hangs on a node, less the slope times the way up, is one climb, as
+    value - slope * way from the root; the strictest of all ancestors, less the way down, is another: an ancestor's
+    value that came from the node's own branch has gone a longer way than need be, and so is never too strict. Then
+    each edge is a line with its stretches and its two ends. Rounds are a logarithm of the tree's depth, and the number
+    of edges that the widest ball passes; rows are the edges that balls touch.
+    """
+    nodes = nodes.select("node", "parent", F.when(F.col("parent").isNull(), 0).otherwise(F.col("length")).alias("len"))
+    way = tree.climb(nodes.withColumn("way", F.col("len")), along={"way": "sum"}).select("node", "parent", "way")
+    edges = cut(way.join(nodes.select("node", "len"), "node"))
+    real = edges.where("parent is not null")
+    links = real.select(F.col("node"), F.col("node").alias("edge"), F.col("parent").alias("far"), F.col("len").alias("length"), F.lit(True).alias("up"))
+    links = cut(links.union(real.select("parent", "node", "node", "len", F.lit(False))))
+    # what is asked as a maximum: lower bounds as they are, upper bounds with the other sign
+    kinds = F.array(F.struct(F.lit("low").alias("kind"), F.col("low").alias("value")), F.struct(F.lit("high").alias("kind"), (-F.col("high")).alias("value")))
+    asks = balls.select("edge", "s", "r", F.explode(kinds).alias("_k")).select("edge", "s", "r", "_k.*").where("value is not null")
+    reached = cut(_reached(links, asks))
+    ends = F.array(F.struct(F.lit(True).alias("up"), F.col("a").alias("off")), F.struct(F.lit(False).alias("up"), (F.col("length") - F.col("b")).alias("off")))
+    at = reached.select("edge", "kind", "value", F.explode(ends).alias("_e")).join(real.select(F.col("node").alias("edge"), "parent"), "edge")
+    at = at.select(F.when(F.col("_e.up"), F.col("parent")).otherwise(F.col("edge")).alias("node"), "kind", (F.col("value") - slope * F.col("_e.off")).alias("value"))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(kind)
+    own = edges.join(at.groupBy("node").agg(pick("low"), pick("high")), "node", "left")
+    up = tree.climb(own.select("node", "parent", "way", *[(F.col(c) - slope * F.col("way")).alias(c) for c in ("low", "high")]), below={"low": "max", "high": "max"})
+    down = tree.climb(up.join(edges.select("node", "way"), "node").select("node", "parent", *[(F.col(c) + 2 * slope * F.col("way")).alias(c) for c in ("low", "high")]), along={"low": "max", "high": "max"})
+    best = cut(down.join(edges.select("node", "way", "len"), "node").select("node", "parent", "len", *[(F.col(c) - slope * F.col("way")).alias(c) for c in ("low", "high")]))
+    lower_end = best.where("parent is not null").select(F.col("node").alias("edge"), F.col("len").alias("a"), F.col("len").alias("b"), "low", "high")
+    upper_end = real.select(F.col("node").alias("edge"), F.col("parent").alias("node")).join(best.drop("parent"), "node").select("edge", F.lit(0).alias("a"), F.lit(0).alias("b"), "low", "high")
+    inside = reached.select("edge", "a", "b", *[F.when(F.col("kind") == c, F.col("value")).alias(c) for c in ("low", "high")])
+    all_ = inside.union(lower_end).union(upper_end)
+    lines = all_.select("edge", ((F.col("a") + F.col("b")) / 2).cast("double").alias("s"), ((F.col("b") - F.col("a")) / 2).cast("double").alias("r"), F.col("low").cast("double").alias("low"), (-F.col("high")).cast("double").alias("high"))
+    asked = probes.join(real.select(F.col("node").alias("edge")), "edge", "left_semi").withColumn("s", F.col("s").cast("double"))
+    return envelope(asked, cut(lines), normal, cover, slope, "edge")
+
+
 def ramp_cost(length: Column, price: Column, start: Column, end: Column) -> Column:
     """The price of a ramp: its coefficient grows by a tenth a metre below SPLIT, where a ramp through that depth is
     cut in two; null where it is too shallow or too steep."""

@@ -218,6 +218,29 @@ def crossing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(radius, 9).alias("radius"), F.round(below, 9).alias("below"), F.round(above, 9).alias("above"))
 
 
+TREE = f"""{DEEP}, edges AS (SELECT node AS edge, parent, 5 + (node * 37) % 200 AS length FROM deep WHERE parent IS NOT NULL),
+balls AS (SELECT edge, (edge * 31) % (length + 1) AS s, (edge * 17) % 90 AS r, CASE WHEN edge % 3 > 0 THEN 100 + (edge * 7) % 900 END AS low, CASE WHEN edge % 3 = 0 THEN 420 + (edge * 11) % 900 END AS high FROM edges),
+probes AS (SELECT edge, unnest([0, length // 2, length]) AS s FROM edges)"""
+
+
+@register("tree_depths", f"""WITH RECURSIVE {TREE}, up AS (SELECT edge, parent AS at, 0 AS way FROM edges UNION ALL SELECT up.edge, e.parent, up.way + e.length FROM up JOIN edges e ON e.edge = up.at),
+b AS (SELECT b.*, u.at, b.s + u.way AS way FROM balls b JOIN up u ON u.edge = b.edge UNION ALL SELECT b.*, b.edge, e.length - b.s FROM balls b JOIN edges e ON e.edge = b.edge),
+p AS (SELECT p.*, u.at, p.s + u.way AS way FROM probes p JOIN up u ON u.edge = p.edge UNION ALL SELECT p.*, p.edge, e.length - p.s FROM probes p JOIN edges e ON e.edge = p.edge),
+d AS (SELECT p.edge, p.s, p.way + b.way - b.r AS d, b.low, b.high FROM p JOIN b ON b.at = p.at UNION ALL SELECT p.edge, p.s, abs(p.s - b.s) - b.r, b.low, b.high FROM probes p JOIN balls b ON b.edge = p.edge),
+e AS (SELECT edge, s, greatest(70, coalesce(max(low - 10 * greatest(0, d)), 70)) AS lower, min(high + 10 * greatest(0, d)) AS upper FROM d GROUP BY edge, s)
+SELECT edge, CAST(s AS BIGINT) AS s, CAST(lower AS BIGINT) AS lower, CAST(upper AS BIGINT) AS upper, CAST(least(greatest(300, lower), upper) AS BIGINT) AS depth, coalesce(lower > upper, FALSE) AS infeasible FROM e""")
+def tree_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth (cm) at both ends and in the middle of every edge of the deep tree, which each edge's crossed object
+    bounds from above or below along all ways, by 10 cm a metre less strictly."""
+    k, length = F.col("node"), F.expr("5 + (node * 37) % 200")
+    nodes = deep(spark, sf_dir).select(k, "parent", length.alias("length"))
+    edges = nodes.where("parent is not null")
+    balls = edges.select(k.alias("edge"), ((k * 31) % (F.col("length") + 1)).alias("s"), ((k * 17) % 90).alias("r"), F.when(k % 3 > 0, 100 + (k * 7) % 900).alias("low"), F.when(k % 3 == 0, 420 + (k * 11) % 900).alias("high"))
+    probes = edges.select(k.alias("edge"), F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.expr("length div 2"), "length"))).alias("s"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("s", "lower", "upper", "depth")]
+    return depth.tree_envelope(nodes, balls, probes, normal=300, cover=70, slope=10).select("edge", *whole, "infeasible")
+
+
 @register("side_choice", """WITH RECURSIVE x AS (SELECT l_orderkey AS scene, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n, l_partkey % 7 AS over_cost, l_suppkey % 7 AS under_cost, l_partkey % 3 AS over_depth, 3 + l_suppkey % 3 AS under_depth FROM lineitem),
 m AS (SELECT scene, n, 0 AS mask, over_cost AS cost, over_depth AS low, over_depth AS high FROM x WHERE n = 0 UNION ALL SELECT scene, n, 1, under_cost, under_depth, under_depth FROM x WHERE n = 0
 UNION ALL SELECT m.scene, x.n, m.mask + CAST(s.s * power(2, x.n) AS BIGINT), m.cost + CASE s.s WHEN 0 THEN x.over_cost ELSE x.under_cost END, least(m.low, CASE s.s WHEN 0 THEN x.over_depth ELSE x.under_depth END), greatest(m.high, CASE s.s WHEN 0 THEN x.over_depth ELSE x.under_depth END) FROM m JOIN x ON x.scene = m.scene AND x.n = m.n + 1 CROSS JOIN (VALUES (0), (1)) s(s) WHERE x.n < 8),
