@@ -48,10 +48,12 @@ def elementary(zones: DataFrame, key: str = "line") -> DataFrame:
 
 def islands(zones: DataFrame, by: list[str]) -> DataFrame:
     """Stretches that touch or overlap become one: by, a, b and n, the number joined."""
-    rows = running(zones.select(*by, "a", "b"), by, ["a", "b"], "b", "max", "_top", before=True)
+    # equal stretches are one row, as the two sums below have to take rows in the same order
+    one = zones.groupBy(*by, "a", "b").agg(F.count("*").alias("_same"))
+    rows = running(one, by, ["a", "b"], "b", "max", "_top", before=True)
     rows = rows.withColumn("_new", F.coalesce((F.col("a") > F.col("_top")).cast("long"), F.lit(1)))
     rows = running(rows, by, ["a", "b"], "_new", "sum", "_group")
-    return rows.groupBy(*by, "_group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n")).drop("_group")
+    return rows.groupBy(*by, "_group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("_same").alias("n")).drop("_group")
 
 
 def _pieces(stretches: DataFrame, key: str) -> DataFrame:
