@@ -1,10 +1,11 @@
-"""Queries of areas: free space between walls."""
+"""Queries of areas: free space between walls, hulls and least rectangles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from calorgrid.operators import pockets
+from calorgrid.operators import hulls, pockets
+from calorgrid.plans.lines import VERTICES, vertices
 from calorgrid.plans.tables import table
 from calorgrid.queries import register
 
@@ -39,3 +40,21 @@ SELECT l.scene, l.l.x AS x, l.l.y AS y, count(*) AS area, bool_or(s.x IS NOT NUL
 def closed_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free space that walls close in, and whether a supply stands in it."""
     return pockets.pockets(bars(spark, sf_dir), stands(spark, sf_dir))
+
+
+@register("least_rectangles", f"""WITH {VERTICES}, pts AS (SELECT DISTINCT line, x, y FROM vertices),
+t AS (SELECT p.line, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy, (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) AS u, (r.y - p.y) * (q.x - p.x) - (r.x - p.x) * (q.y - p.y) AS w, (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) AS n FROM pts p JOIN pts q ON p.line = q.line AND (p.x <> q.x OR p.y <> q.y) JOIN pts r ON r.line = p.line),
+s AS (SELECT line, px, py, qx, qy, n, max(u) - min(u) AS along, max(w) AS across FROM t GROUP BY line, px, py, qx, qy, n HAVING min(w) >= 0 AND bool_and(w <> 0 OR u BETWEEN 0 AND n)),
+b AS (SELECT *, count(*) OVER (PARTITION BY line) AS corners, CAST(along * across AS DOUBLE) / CAST(n AS DOUBLE) AS area, greatest(along, across) AS more, least(along, across) AS less FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY area, px, py, qx, qy) AS rn FROM b),
+c AS (SELECT line, arg_max(x, event_id) - arg_min(x, event_id) AS cx, arg_max(y, event_id) - arg_min(y, event_id) AS cy FROM vertices GROUP BY line),
+a AS (SELECT f.*, c.cx, c.cy, CASE WHEN along >= across THEN qx - px ELSE py - qy END AS ax, CASE WHEN along >= across THEN qy - py ELSE qx - px END AS ay FROM f JOIN c ON c.line = f.line WHERE rn = 1)
+SELECT line, corners, round(area, 6) AS area, round(more / sqrt(CAST(n AS DOUBLE)), 6) AS length, round(less / sqrt(CAST(n AS DOUBLE)), 6) AS width, CASE WHEN less > 0 AND 5 * more >= 6 * less THEN abs(ax * cy - ay * cx) >= abs(ax * cx + ay * cy) END AS across FROM a""")
+def least_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least rectangle around each user's corners, and whether the way from the first corner to the last crosses
+    its axis at 45 degrees or more; null where the shape has no axis."""
+    v = vertices(spark, sf_dir)
+    way = lambda c: (F.max_by(c, "event_id") - F.min_by(c, "event_id")).alias(f"c{c}")
+    found = hulls.least_rectangles(v).join(v.groupBy("line").agg(way("x"), way("y")), "line")
+    digits = [F.round(c, 6).alias(c) for c in ("area", "length", "width")]
+    return found.select("line", "corners", *digits, F.expr("abs(ax * cy - ay * cx) >= abs(ax * cx + ay * cy)").alias("across"))

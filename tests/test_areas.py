@@ -2,7 +2,7 @@
 
 import random
 
-from calorgrid.operators import intervals, pockets
+from calorgrid.operators import hulls, intervals, pockets
 
 WALLS, STANDS = "scene string, x1 int, y1 int, x2 int, y2 int", "scene string, x int, y int"
 
@@ -66,3 +66,37 @@ def test_pockets(spark):
     assert ("rings", 1, 1, 298 * 298 - 100 * 100, True) in want and ("corner", 0, 1, 1, False) in want
     empty = spark.createDataFrame([], WALLS)
     assert pockets.pockets(empty, spark.createDataFrame(stands, STANDS)).count() == 0
+
+
+def wrap(points):
+    """Sides by every pair of points with all others to its left, as (p, q, along, across)."""
+    points = sorted(set(points))
+    if len(points) == 1:
+        return {(*points[0], *points[0], 0, 0)}
+    out = set()
+    for px, py in points:
+        for qx, qy in points:
+            dx, dy = qx - px, qy - py
+            u = [(x - px) * dx + (y - py) * dy for x, y in points]
+            w = [(y - py) * dx - (x - px) * dy for x, y in points]
+            if (dx or dy) and min(w) >= 0 and all(b or 0 <= a <= dx * dx + dy * dy for a, b in zip(u, w)):
+                out.add((px, py, qx, qy, max(u) - min(u), max(w)))
+    return out
+
+
+def test_hulls(spark):
+    """Grids with many points on a side, thin and steep shapes over several blocks, single points, pairs, points on a
+    line in every direction, repeated rows and nulls, and an empty table."""
+    rng = random.Random(6)
+    shapes = {f"r{k}": [(rng.randrange(-m, m), rng.randrange(-h, h)) for _ in range(n)] for k, (n, m, h) in enumerate([(3, 9, 9), (40, 4, 4), (60, 3000, 5), (60, 5, 3000), (80, 2500, 2500), (5, 2, 2), (4, 2, 2), (30, 6, 3)])}
+    shapes |= {"one": [(5, -5)], "same": [(2, 2)] * 5, "two": [(0, 0), (-3000, 7)], "flat": [(k, 3) for k in range(9)], "up": [(3, k) for k in range(9)], "slope": [(700 * k, -k) for k in range(6)], "box": [(x, y) for x in range(5) for y in range(4)]}
+    rows = [(s, *p) for s, of in shapes.items() for p in of] + [("one", None, 3), ("one", 3, None), ("nothing", None, None)]
+    df = spark.createDataFrame(rows, "line string, x int, y int")
+    got = {}
+    for r in hulls.sides(df).collect():
+        got.setdefault(r["line"], []).append(tuple(r)[1:])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(wrap(p)) for k, p in shapes.items()}
+    best = {r["line"]: r for r in hulls.least_rectangles(df).collect()}
+    assert best["box"]["area"] == 12 and (best["box"]["ax"], best["box"]["ay"]) == (4, 0)
+    assert all(best[k]["ax"] is None and best[k]["area"] == 0 for k in ("one", "two", "flat", "up", "slope"))
+    assert hulls.sides(df.where("false")).count() == 0
