@@ -19,12 +19,16 @@ def catalog_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).select("custkey", "flow", catalog.base_dn(F.col("flow")).alias("dn"))
 
 
-@register("catalog_boundaries", f"""WITH p AS (SELECT c.dn AS of_dn, d.d AS shift, CAST(c.capacity + d.d AS DECIMAL(12,2)) AS flow FROM {C} CROSS JOIN (VALUES (CAST(-0.01 AS DECIMAL(4,2))), (CAST(0 AS DECIMAL(4,2))), (CAST(0.01 AS DECIMAL(4,2)))) d(d))
-SELECT of_dn, flow, (SELECT min(dn) FROM {C} WHERE capacity >= flow) AS dn, CAST({CHAMBER.format('of_dn')} AS INTEGER) AS chamber FROM p""".replace("c.dn", "catalog.dn").replace("c.capacity", "catalog.capacity"))
+@register("catalog_boundaries", f"""WITH c AS (SELECT dn, capacity, row_number() OVER (ORDER BY dn) - 1 AS n FROM (SELECT * FROM {C})),
+p AS (SELECT c_custkey, c.dn AS of_dn, CAST(c.capacity + (c_custkey // 18 % 3 - 1) * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS flow FROM customer JOIN c ON c.n = c_custkey % 18)
+SELECT c_custkey, of_dn, flow, (SELECT min(dn) FROM {C} WHERE capacity >= flow) AS dn, CAST({CHAMBER.format('of_dn')} AS INTEGER) AS chamber FROM p""")
 def catalog_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifts = F.explode(F.array(*[F.lit(x).cast("decimal(4,2)") for x in ("-0.01", "0", "0.01")]))
-    p = catalog.frame(spark).withColumn("shift", shifts).select(F.col("dn").alias("of_dn"), (F.col("capacity") + F.col("shift")).cast("decimal(12,2)").alias("flow"))
-    return p.select("of_dn", "flow", catalog.base_dn(F.col("flow")).alias("dn"), catalog.chamber_price(F.col("of_dn")).alias("chamber"))
+    """The pipe and the chamber's price for flows at, just below and just above what a pipe of the catalogue carries."""
+    k = F.col("c_custkey")
+    row = lambda column, kind: F.element_at(F.array(*[F.lit(p[column]).cast(kind) for p in sorted(catalog.PIPES)]), (k % 18 + 1).cast("int"))
+    shift = (F.floor(k / 18) % 3 - 1).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(4,2)")
+    p = table(spark, sf_dir, "customer").select("c_custkey", row(0, "int").alias("of_dn"), (row(1, "decimal(12,2)") + shift).cast("decimal(12,2)").alias("flow"))
+    return p.select("c_custkey", "of_dn", "flow", catalog.base_dn(F.col("flow")).alias("dn"), catalog.chamber_price(F.col("of_dn")).alias("chamber"))
 
 
 @register("dn_normalise", f"WITH p AS (SELECT p_partkey, p_size * 37 AS said FROM part) SELECT p_partkey, said, coalesce((SELECT min(dn) FROM {C} WHERE dn >= said), 1400) AS dn, coalesce((SELECT min(dn) FROM {C} WHERE dn >= said), 1400) <> said AS changed FROM p")

@@ -42,6 +42,16 @@ def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.components(chain.union(ring), k.where("k % 4 = 0").select(F.col("k").alias("node")))
 
 
+@register("breadth_depths", f"""WITH RECURSIVE {DEEP}, e AS (SELECT parent AS a, node AS b FROM deep WHERE parent IS NOT NULL UNION ALL SELECT node, node + 1 FROM deep WHERE node % 5 = 0 AND node + 1 IN (SELECT node FROM deep)), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+s AS (SELECT node, 0 AS d FROM deep WHERE node = 0 OR node % 97 = 50 UNION SELECT w.b, s.d + 1 FROM s JOIN ways w ON w.a = s.node WHERE s.d < 16), m AS (SELECT node, min(d) AS depth FROM s GROUP BY node)
+SELECT m.node, m.depth, (SELECT min(b.b) FROM ways b JOIN m n ON n.node = b.b WHERE b.a = m.node AND n.depth = m.depth - 1) AS parent FROM m""")
+def breadth_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from the nearest of several sources in a network with rings, and the neighbour that leads there."""
+    k, nodes = F.col("node"), deep(spark, sf_dir)
+    on = nodes.where("node % 5 = 0").select(k.alias("a"), (k + 1).alias("b")).join(nodes.select(k.alias("b")), "b", "left_semi").select("a", "b")
+    return network.depths(_tree_edges(spark, sf_dir).union(on), nodes.where("node = 0 or node % 97 = 50").select("node"))
+
+
 MARKS = """lines AS (SELECT o_orderkey AS line, 100.0::DOUBLE + o_orderkey % 900 AS length FROM orders),
 marks AS (SELECT l_orderkey AS line, CAST(l_partkey % 1100 AS DOUBLE) AS s, 'm' || (l_suppkey % 50) AS node FROM lineitem),
 ends AS (SELECT line, 0.0::DOUBLE AS s, NULL AS node FROM lines UNION ALL SELECT line, length, NULL FROM lines UNION ALL SELECT m.line, m.s, m.node FROM marks m JOIN lines l ON l.line = m.line WHERE m.s <= l.length),

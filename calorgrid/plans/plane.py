@@ -194,14 +194,16 @@ def coincident_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("x", "y").agg(F.min("point").alias("leaf"), F.count("*").alias("demands"))
 
 
-@register("clearance_matrix", f"""WITH k(kind) AS (VALUES ('building'), ('road'), ('tram_tracks'), ('gas_pipeline'), ('power_cable'), ('park'))
-SELECT kind, dn, CAST((CASE kind WHEN 'building' THEN CASE WHEN dn < 500 THEN 5 WHEN dn < 900 THEN 7 ELSE 9 END WHEN 'road' THEN 1.5 WHEN 'tram_tracks' THEN 1.5 WHEN 'gas_pipeline' THEN 2 WHEN 'power_cable' THEN 2 ELSE 1 END) * 10000 + width * 5000 + CASE kind WHEN 'gas_pipeline' THEN 2000 WHEN 'power_cable' THEN 1000 ELSE 0 END AS BIGINT) AS required FROM k CROSS JOIN (SELECT * FROM {catalog.VALUES_SQL})""")
+@register("clearance_matrix", f"""WITH k(n, kind) AS (VALUES (0, 'building'), (1, 'road'), (2, 'tram_tracks'), (3, 'gas_pipeline'), (4, 'power_cable'), (5, 'park')), c AS (SELECT dn, width, row_number() OVER (ORDER BY dn) - 1 AS n FROM (SELECT * FROM {catalog.VALUES_SQL}))
+SELECT p_partkey, kind, dn, CAST((CASE kind WHEN 'building' THEN CASE WHEN dn < 500 THEN 5 WHEN dn < 900 THEN 7 ELSE 9 END WHEN 'road' THEN 1.5 WHEN 'tram_tracks' THEN 1.5 WHEN 'gas_pipeline' THEN 2 WHEN 'power_cable' THEN 2 ELSE 1 END) * 10000 + width * 5000 + CASE kind WHEN 'gas_pipeline' THEN 2000 WHEN 'power_cable' THEN 1000 ELSE 0 END AS BIGINT) AS required
+FROM part JOIN c ON c.n = p_partkey % 18 JOIN k ON k.n = p_partkey // 18 % 6""")
 def clearance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distance each kind needs from each pipe, in tenths of a millimetre: 108 rows of two fixed lists."""
+    """The distance that each part, an object of some kind, needs from a pipe, in tenths of a millimetre."""
     names = ("building", "road", "tram_tracks", "gas_pipeline", "power_cable", "park")
-    m = catalog.frame(spark).select("dn", F.explode(F.array(*[F.lit(n) for n in names])).alias("kind"))
+    k, pick = F.col("p_partkey"), lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    m = table(spark, sf_dir, "part").select("p_partkey", pick(names, F.floor(k / 18) % 6).alias("kind"), pick(sorted(p[0] for p in catalog.PIPES), k % 18).alias("dn"))
     own = catalog.by_kind(F.col("kind"), catalog.OWN_WIDTH, "0")
-    return m.select("kind", "dn", (catalog.required_distance(F.col("kind"), F.col("dn"), own) * 10000).cast("long").alias("required"))
+    return m.select("p_partkey", "kind", "dn", (catalog.required_distance(F.col("kind"), F.col("dn"), own) * 10000).cast("long").alias("required"))
 
 
 # Both engines round to the millimetre, and degrees to nine places.
