@@ -93,5 +93,11 @@ def unconnected_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("disjoint_groups", "WITH m AS (SELECT DISTINCT s_suppkey AS g, (s_suppkey * k) % 400 AS d FROM supplier, (VALUES (3), (7), (11)) t(k)) SELECT x.g AS a, y.g AS b, count(*) AS shared FROM m x JOIN m y ON x.d = y.d AND x.g < y.g GROUP BY x.g, y.g")
 def disjoint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of groups that are not disjoint, and how many demands they share."""
-    m = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("g"), F.explode(F.array_distinct(F.array(*[(F.col("s_suppkey") * k) % 400 for k in (3, 7, 11)]))).alias("d"))
-    return m.select(F.col("g").alias("a"), "d").join(m.select(F.col("g").alias("b"), "d"), "d").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    g = F.col("s_suppkey")
+    m = table(spark, sf_dir, "supplier").select(g.alias("a"), F.array_sort(F.array_distinct(F.array(*[(g * k) % 400 for k in (3, 7, 11)]))).alias("d"))
+    # a pair is kept at the least demand that it shares, so nothing is grouped; the join is told to shuffle, as few rows make many pairs
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = m.distinct().withColumn("k", F.explode("d")).repartition(n, "k")
+    right = left.select(F.col("a").alias("b"), F.col("d").alias("e"), "k").hint("merge")
+    both = F.array_intersect("d", "e")
+    return left.join(right, "k").where("a < b").withColumn("both", both).where(F.array_min("both") == F.col("k")).select("a", "b", F.size("both").cast("long").alias("shared"))
