@@ -96,6 +96,7 @@ def terminal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spatial.near(p, boxes(spark, sf_dir), at, tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), CELL)
     dx, dy = (F.greatest(F.col(f"{c}1") - F.col(c), F.col(c) - F.col(f"{c}2"), F.lit(0)) for c in ("x", "y"))
     near = pairs.withColumn("d2", dx * dx + dy * dy).where("d2 <= 3600").groupBy("point")
-    near = near.agg(F.count("*").alias("near"), F.count_if(F.col("d2") == 0).alias("inside"), F.min(F.struct("d2", "box")).alias("m"))
+    order = F.col("d2").cast("decimal(20,0)") * F.lit("1e19").cast("decimal(20,0)") + F.col("box")  # a number, as a least pair takes a sort
+    near = near.agg(F.count("*").alias("near"), F.count_if(F.col("d2") == 0).alias("inside"), F.min("d2").alias("d2"), F.min_by("box", order).alias("box"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return p.select("point").join(near, "point", "left").select("point", zero("near"), zero("inside"), "m.d2", "m.box")
+    return p.select("point").join(near, "point", "left").select("point", zero("near"), zero("inside"), "d2", "box")
