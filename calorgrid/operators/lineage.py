@@ -9,6 +9,8 @@ import uuid
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+LARGE = 1 << 20  # bytes of a written table beyond which no join sends it through the driver
+
 _kept: list[tuple[SparkSession, str]] = []  # what this process has written, read until it ends
 
 
@@ -28,12 +30,18 @@ def _drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def cut(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """The table, written to the checkpoint folder and read back. Where the session names none a temporary one is set
     on a local master; on any other master that is an error, as executors share no local folder.
 
-    A written table also tells the planner its true size. Checkpoints keep the estimate of their plan, which in a
-    loop of joins grows as a power with each round. `last`, the written table of the round before, is deleted once
+    A written table also tells the planner its size, but that of the files: keys and labels that take a byte a row there
+    take many times that in memory, so a table beyond LARGE asks to be joined by a shuffle. Checkpoints keep the
+    estimate of their plan, which in a loop of joins grows as a power with each round. `last`, the written table of the round before, is deleted once
     this one stands; nothing else may read it.
     """
     spark = df.sparkSession
@@ -41,6 +49,8 @@ def cut(df: DataFrame, last: DataFrame | None = None) -> DataFrame:
     _kept.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if _size(spark, path) > LARGE:
+        out = out.hint("merge")
     out._written = path
     if last is not None:
         _drop(spark, last._written)
