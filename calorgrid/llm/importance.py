@@ -30,6 +30,7 @@ MIN_WORDS = 20
 DRAW_PERCENT = 10
 SEED = 2024
 SLICE = 1 << 22
+GROUP = 1  # slices that a reader takes at once
 SLICES = """slice long, target boolean, words array<binary>, grams array<int>, starts array<int>, sizes array<int>, counts array<long>,
   doc_ids array<long>, n_words array<long>, ends array<long>, doc_grams array<int>, doc_counts array<int>"""
 
@@ -146,29 +147,31 @@ def gains(tuples: DataFrame, buckets: int) -> DataFrame:
 
 
 def _weights(slices: DataFrame, values: DataFrame) -> DataFrame:
-    """doc_id, slice, place, n_words, n_features and weight of each document: values has slice and, in order of the
-    slice's n-grams, their gains."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(j)[i].values for j, c in enumerate(batch.schema.names) if c != "slice"}
-                count, gram = np.asarray(row["doc_counts"]).astype(np.int64), np.asarray(row["doc_grams"])
-                gain = np.asarray(row["gain"]) if row["gain"] is not None else np.zeros(0, np.int64)
-                first = np.concatenate([[0], np.asarray(row["ends"])])
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (count, count * gain[gram])]
-                n, weight = (x[first[1:]] - x[first[:-1]] for x in sums)
-                ids = row["doc_ids"]
-                yield pa.RecordBatch.from_arrays([ids, pa.repeat(batch.column(batch.schema.get_field_index("slice"))[i], len(ids)), pa.array(np.arange(len(ids))), row["n_words"], pa.array(n), pa.array(weight)], names=["doc_id", "slice", "place", "n_words", "n_features", "weight"])
-
-    rows = slices.where("not target").select("slice", "doc_ids", "n_words", "ends", "doc_grams", "doc_counts").join(values, "slice", "left")
-    return rows.mapInArrow(run, "doc_id long, slice long, place long, n_words long, n_features long, weight long")
+    """doc_id, slice, place, n_words, n_features and weight of each document: values has slice, gram and gain, a row for
+    each of a slice's n-grams. A slice meets its gains in one group, so a task holds those of one slice at a time."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # a slice of the target
+            return pa.Table.from_arrays([pa.array([], t) for t in [pa.int64()] * 6], names=["doc_id", "slice", "place", "n_words", "n_features", "weight"])
+        row = {c: left.column(c).chunk(0)[0].values for c in left.schema.names if c != "slice"}
+        count, gram = np.asarray(row["doc_counts"]).astype(np.int64), np.asarray(row["doc_grams"])
+        gain = np.zeros(right.num_rows, np.int64)
+        gain[right.column("gram").to_numpy()] = right.column("gain").to_numpy()
+        first = np.concatenate([[0], np.asarray(row["ends"])])
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (count, count * gain[gram])]
+        n, weight = (x[first[1:]] - x[first[:-1]] for x in sums)
+        ids = row["doc_ids"]
+        return pa.Table.from_arrays([ids, pa.array(np.full(len(ids), key[0].as_py())), pa.array(np.arange(len(ids))), row["n_words"], pa.array(n), pa.array(weight)], names=["doc_id", "slice", "place", "n_words", "n_features", "weight"])
+
+    rows = slices.where("not target").select("slice", "doc_ids", "n_words", "ends", "doc_grams", "doc_counts")
+    both = rows.groupBy("slice").cogroup(values.select("slice", "gram", "gain").groupBy("slice"))
+    return both.applyInArrow(run, "doc_id long, slice long, place long, n_words long, n_features long, weight long")
 
 
 def weights(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, slice and place (which tell rows apart), n_words, n_features and weight of each row of docs."""
     texts = target.select(F.lit(None).cast("long").alias("doc_id"), "text")
-    slices = store.cut(_slices(docs, False, longest).union(_slices(texts, True, longest)), "slices")
+    slices = store.cut(_slices(docs, False, longest).union(_slices(texts, True, longest)), "slices", GROUP)
     words = dictionary(slices, buckets)
     uses = store.cut(_tuples(slices, words, longest), "uses")
     own = uses.where("not target").drop("target", "count")
@@ -177,7 +180,6 @@ def weights(docs: DataFrame, target: DataFrame, longest: int = LONGEST, buckets:
     else:
         tuples = store.cut(hashed(uses, words, longest, buckets), "tuples")
         back = _joined(own, tuples.join(F.broadcast(gains(tuples, buckets)), "bucket").drop("bucket", "s", "t"), longest)
-    back = back.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "gain"))), lambda x: x["gain"]).alias("gain"))
     return _weights(slices, back)
 
 

@@ -47,10 +47,13 @@ def _delete_results() -> None:
             return
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends, executors may be lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+def cut(df: DataFrame, name: str = "table", group: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends, executors may be lost. `group` is the number
+    of rows of a row group of a table of very large rows: a reader takes up to 4096 rows of a group in one batch."""
+    path, writer = new_path(df.sparkSession, name), df.write
+    if group:
+        writer = writer.option("parquet.block.row.count.limit", group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

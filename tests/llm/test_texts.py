@@ -168,3 +168,24 @@ def test_letter_words():
     codes, distinct, first = kernel.letter_words(*kernel.flat(pa.array(texts, pa.string())))
     got = [distinct[c].as_py() for c in codes.tolist()]
     assert [got[a:b] for a, b in zip(first[:-1], first[1:])] == [words(t) for t in texts]
+
+
+def test_importance_slices_one_by_one(spark, monkeypatch):
+    """A reader takes one slice at a time, however many a task has written, and no group of lists forms all of them."""
+    import glob
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    from calorgrid.llm import importance, store
+
+    monkeypatch.setattr(importance, "SLICE", 1 << 8)
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 50}" for j in range(30))) for k in range(40)] + [(90, ""), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made = importance.weights(docs, spark.createDataFrame([("w1 w2 w3",)], "text string"))
+    plan = made._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    assert {r["doc_id"]: r["n_features"] for r in made.collect()} == {k: len((t or "").split()) for k, t in rows}
+    for path in [p for _, p in store._kept if "/slices-" in p][-1:]:
+        groups = [pq.ParquetFile(f).metadata for f in glob.glob(urlparse(path).path + "/*.parquet")]
+        assert sum(m.num_rows for m in groups) > 10 and all(m.row_group(k).num_rows == 1 for m in groups for k in range(m.num_row_groups))
