@@ -155,8 +155,9 @@ def _weights(slices: DataFrame, values: DataFrame) -> DataFrame:
             return pa.Table.from_arrays([pa.array([], t) for t in [pa.int64()] * 6], names=["doc_id", "slice", "place", "n_words", "n_features", "weight"])
         row = {c: left.column(c).chunk(0)[0].values for c in left.schema.names if c != "slice"}
         count, gram = np.asarray(row["doc_counts"]).astype(np.int64), np.asarray(row["doc_grams"])
-        gain = np.zeros(right.num_rows, np.int64)
-        gain[right.column("gram").to_numpy()] = right.column("gain").to_numpy()
+        packed = right.column("packed").to_numpy()
+        gain = np.zeros(len(packed), np.int64)
+        gain[packed >> 32] = packed.astype(np.int32)  # the low half, with its sign
         first = np.concatenate([[0], np.asarray(row["ends"])])
         sums = [np.concatenate([[0], np.cumsum(x)]) for x in (count, count * gain[gram])]
         n, weight = (x[first[1:]] - x[first[:-1]] for x in sums)
@@ -164,7 +165,9 @@ def _weights(slices: DataFrame, values: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([ids, pa.array(np.full(len(ids), key[0].as_py())), pa.array(np.arange(len(ids))), row["n_words"], pa.array(n), pa.array(weight)], names=["doc_id", "slice", "place", "n_words", "n_features", "weight"])
 
     rows = slices.where("not target").select("slice", "doc_ids", "n_words", "ends", "doc_grams", "doc_counts")
-    both = rows.groupBy("slice").cogroup(values.select("slice", "gram", "gain").groupBy("slice"))
+    # both numbers in one, as these rows are most of what is shuffled; a gain is far below 2^31
+    packed = F.shiftleft(F.col("gram").cast("long"), 32).bitwiseOR(F.col("gain").bitwiseAND(F.lit((1 << 32) - 1)))
+    both = rows.groupBy("slice").cogroup(values.select("slice", packed.alias("packed")).groupBy("slice"))
     return both.applyInArrow(run, "doc_id long, slice long, place long, n_words long, n_features long, weight long")
 
 
