@@ -57,24 +57,25 @@ def propagate_dn(lines: DataFrame, touching: DataFrame) -> DataFrame:
     time = cut(lines.select("id", F.when(known, 0).alias("sweep")))
     pairs = cut(touching.select(F.col("a").alias("id"), F.col("b").alias("other")).where("id <> other").distinct())
     step = F.when(F.col("_sweep") == 0, 1).otherwise(F.col("_sweep") + (F.col("other") > F.col("id")).cast("int"))
-    while True:  # each round settles the lines that are one step farther
-        of = time.where("sweep is not null").select(F.col("id").alias("other"), F.col("sweep").alias("_sweep"))
+    front = time
+    while True:  # each round settles the lines that are one step farther, from those that the last one moved
+        of = front.where("sweep is not null").select(F.col("id").alias("other"), F.col("sweep").alias("_sweep"))
         best = pairs.join(of, "other").groupBy("id").agg(F.min(step).alias("_best"))
         new = cut(time.join(best, "id", "left").select("id", F.least("sweep", "_best").alias("sweep"), (F.coalesce(F.least("sweep", "_best"), F.lit(-1)) != F.coalesce("sweep", F.lit(-1))).alias("moved")))
-        time = new.drop("moved")
-        if new.where("moved").isEmpty():
+        time, front = new.drop("moved"), new.where("moved")
+        if front.isEmpty():
             break
     rows = cut(lines.select("id", "dn").join(time, "id"))
     before = rows.select(F.col("id").alias("other"), F.col("sweep").alias("_sweep"))
     earlier = (F.col("_sweep") < F.col("sweep")) | ((F.col("_sweep") == F.col("sweep")) & (F.col("other") < F.col("id")))
     ways = cut(pairs.join(rows.where("sweep > 0").select("id", "sweep"), "id").join(before, "other").where(earlier).select("id", "other"))
-    state = rows.select("id", "dn")
+    state = front = rows.select("id", "dn")
     while True:
-        of = state.where("dn is not null").select(F.col("id").alias("other"), F.col("dn").alias("_dn"))
+        of = front.where("dn is not null").select(F.col("id").alias("other"), F.col("dn").alias("_dn"))
         best = ways.join(of, "other").groupBy("id").agg(F.max("_dn").alias("_best"))
         new = cut(state.join(best, "id", "left").select("id", F.greatest("dn", "_best").alias("dn"), (F.coalesce(F.greatest("dn", "_best"), F.lit(0)) != F.coalesce("dn", F.lit(0))).alias("moved")))
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
+        state, front = new.drop("moved"), new.where("moved")
+        if front.isEmpty():
             break
     found = state.select("id", F.coalesce("dn", F.lit(ASSUMED_DN)).alias("dn"))
     return found.join(lines.select("id", (~known).alias("assumed")), "id")
