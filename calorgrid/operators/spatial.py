@@ -133,21 +133,21 @@ def nearest(points: DataFrame, others: DataFrame, box: tuple, score: Column, rea
         r *= 2
 
 
-def _along(lines: DataFrame, cell: int) -> DataFrame:
-    """Lines in the cells that they pass: per column of cells those between the heights at its two sides, a little
-    widened, so a line has as many rows as it passes cells and not as its box has."""
+def along(lines: DataFrame, cell: int, margin: float = 0, by: str = "by_") -> DataFrame:
+    """Lines in the cells _cx, _cy that they pass or come within `margin` of: per column of cells those between the
+    heights at its two sides, a little widened, so a line has as many rows as it passes cells and not as its box has."""
     low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
-    column = F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long")))
+    column = F.explode(F.sequence(F.floor((low - margin) / cell).cast("long"), F.floor((high + margin) / cell).cast("long")))
     out = lines.withColumn("_cx", column)
-    slope = (F.col("by_") - F.col("ay")).cast("double") / (F.col("bx") - F.col("ax")).cast("double")
+    slope = (F.col(by) - F.col("ay")).cast("double") / F.nullif((F.col("bx") - F.col("ax")).cast("double"), F.lit(0.0))
 
     def height(x: Column) -> Column:
         return F.col("ay") + (F.least(F.greatest(x, low), high) - F.col("ax")) * slope
 
-    sides = height(F.col("_cx") * cell), height((F.col("_cx") + 1) * cell)
+    sides = height(F.col("_cx") * cell - margin), height((F.col("_cx") + 1) * cell + margin)
     level = F.col("ax") == F.col("bx")
-    below = F.when(level, F.least("ay", "by_").cast("double")).otherwise(F.least(*sides) - 1e-6 * cell)
-    above = F.when(level, F.greatest("ay", "by_").cast("double")).otherwise(F.greatest(*sides) + 1e-6 * cell)
+    below = F.when(level, F.least("ay", by).cast("double")).otherwise(F.least(*sides) - 1e-6 * cell) - margin
+    above = F.when(level, F.greatest("ay", by).cast("double")).otherwise(F.greatest(*sides) + 1e-6 * cell) + margin
     return out.withColumn("_cy", F.explode(F.sequence(F.floor(below / cell).cast("long"), F.floor(above / cell).cast("long"))))
 
 
@@ -168,7 +168,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, most: int) -> DataFrame:
         cell = max(cell, r)
         span = lambda c, r=r, cell=cell: F.explode(F.sequence(F.floor((F.col(c) - r) / cell).cast("long"), F.floor((F.col(c) + r) / cell).cast("long")))
         at = left.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
-        pairs = at.join(_along(lines, cell).hint("merge"), ["_cx", "_cy"]).select("point", "line", d2.alias("d2")).where(F.col("d2") <= r * r)
+        pairs = at.join(along(lines, cell).hint("merge"), ["_cx", "_cy"]).select("point", "line", d2.alias("d2")).where(F.col("d2") <= r * r)
         # the least distance first and then the least line that has it, as a least pair would be found by a sort
         best = pairs.groupBy("point", "d2").agg(F.min("line").alias("line"))
         best = cut(best.groupBy("point").agg(F.min_by("line", "d2").alias("line"), F.min("d2").alias("d2")))

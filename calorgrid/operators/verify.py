@@ -69,6 +69,10 @@ def _union(found: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _written(found: list[DataFrame]) -> DataFrame:
+    return cut(_union(found))
+
+
 def identities(r: Result, objects: DataFrame) -> list[DataFrame]:
     """Ids met twice or taken by the map, the numbers of variants and of summaries, variants that are alike."""
     ids = _union([t.select(*BY, "id") for t in (r.lines, r.nodes, r.summaries)])
@@ -164,15 +168,20 @@ def _key(*columns: str) -> Column:
 
 
 def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
-    """scene_id, variant_id, id, code and said of every violation of every variant."""
+    """scene_id, variant_id, id, code and said of every violation of every variant.
+
+    The rows of each set of rules are written as soon as they are found: one plan of all rules, with the tables that
+    they share planned again in each, takes the driver's memory, however small the maps.
+    """
     r = Result(cut(r.lines), cut(r.nodes), cut(r.summaries))
+    scenes = geojson.Scenes(cut(scenes.objects), cut(scenes.parts), scenes.notes)
     one = F.element_at(F.element_at("rings", 1), 1)
     placed = cut(scenes.objects.join(scenes.parts.where("part = 0").select("scene_id", "id", "dim", "rings", one.alias("p")), ["scene_id", "id"]))
     points = placed.where("dim = 0").select("scene_id", F.lit(None).cast("string").alias("variant_id"), "id", "id_type", "p", "object_type", "dn")
     own = r.nodes.select(*BY, "id", "id_type", "p", "object_type", "dn")
-    found = identities(r, scenes.objects)
-    found += ends(r.lines, points.where("object_type in ('oks_connection_point', 'heat_chamber')").union(own))
-    found += measures(r.lines)
+    done = [_written(identities(r, scenes.objects))]
+    done.append(_written(ends(r.lines, points.where("object_type in ('oks_connection_point', 'heat_chamber')").union(own))))
+    done.append(_written(measures(r.lines)))
 
     variants = r.summaries.select(*BY).distinct()
     pipes = geojson.segments(scenes.parts.join(scenes.objects.where("object_type = 'heat_network'").select("scene_id", "id", F.col("dn").alias("pipe_dn")), ["scene_id", "id"], "left_semi"))
@@ -192,7 +201,7 @@ def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
     roots = cut(ties.select(*BY, "node", "met", F.lit(False).alias("old")).union(degree.join(old.select("scene_id", "node", "met"), ["scene_id", "node"]).select(*BY, "node", "met", F.lit(True).alias("old"))))
     way, broken = oriented(r.lines, roots)
     way = cut(way)
-    found += broken
+    done.append(_written(broken))
 
     # flows and diameters of sound trees
     demands = scenes.objects.where("object_type = 'oks_connection_point'")
@@ -201,15 +210,16 @@ def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
     spot = F.struct(F.round("dp.x", 5).alias("x"), F.round("dp.y", 5).alias("y"))
     spots = cut(spots.withColumn("spot", spot))
     leaf = spots.groupBy("scene_id", "spot").agg(F.sum("need").alias("need"), F.collect_set("demand").alias("at"))  # consumers at one point
-    down = way.withColumn("node", F.element_at(F.split("down", "\u0001"), -1))
-    leaves = down.join(spots.select("scene_id", F.col("demand").alias("node"), "spot"), ["scene_id", "node"]).select(*BY, "id", "down", "spot")
+    leaf = cut(leaf)
+    down = cut(way.withColumn("node", F.element_at(F.split("down", "\u0001"), -1)))
+    leaves = cut(down.join(spots.select("scene_id", F.col("demand").alias("node"), "spot"), ["scene_id", "node"]).select(*BY, "id", "down", "spot"))
     carried = down.select(*BY, "id", "up", "down").join(leaves.join(leaf, ["scene_id", "spot"]).select(*BY, "id", "need"), [*BY, "id"], "left")
     above = way.select(F.col("down").alias("up"), F.col("id").alias("above"))
     tree_edges = cut(carried.join(above, "up", "left").join(r.lines.select(*BY, "id", "length"), [*BY, "id"]).select(_key(*BY, "id").alias("edge"), F.when(F.col("above").isNotNull(), _key(*BY, "above")).alias("parent"), "length", F.coalesce("need", F.lit(0)).cast("decimal(18,6)").alias("demand")))
     sized = cut(tree.path_diameters(tree_edges.withColumn("demand", F.col("demand").cast("decimal(18,2)"))).withColumnRenamed("flow", "_f"))
     flows = tree.climb(tree_edges, "edge", below={"demand": "sum"}).select(F.col("node").alias("edge"), F.col("demand").alias("sum"))
-    checked = r.lines.withColumn("edge", _key(*BY, "id")).join(flows, "edge").join(sized.select("edge", F.col("dn").alias("least")), "edge")
-    found += [
+    checked = cut(r.lines.withColumn("edge", _key(*BY, "id")).join(flows, "edge").join(sized.select("edge", F.col("dn").alias("least")), "edge"))
+    found = [
         _row(checked.where("flow is null or flow <> sum"), "VALUE_MISMATCH", F.concat(F.lit("flow_tph "), F.col("sum").cast("string"))),
         _row(checked.where("least is null"), "LENGTH_LIMIT"),
         _row(checked.where("dn <> least"), "DIAMETER", F.col("least")),
@@ -219,15 +229,16 @@ def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
     shaped = shaped.withColumn("points", F.when(forward, F.col("points")).otherwise(F.reverse("points"))).select(*BY, "id", "up", "down", "points")
     pairs = shaped.select(F.col("up").alias("down"), *BY, "id", F.col("points").alias("q")).join(shaped.select("down", F.col("points").alias("p")), "down")
     found.append(_row(pairs.where(turn(F.element_at("p", -2), F.element_at("p", -1), F.element_at("q", 2)) > TURN), "TURN_ANGLE", "at its node"))
+    done.append(_written(found))
 
     # nodes
-    met = roots.join(degree, [*BY, "node"], "left").withColumn("rays", F.coalesce("rays", F.lit(0)))
-    found.append(_row(met.where(F.col("rays") + F.col("met") > RAYS), "NODE_DEGREE", F.col("rays") + F.col("met"), "node"))
+    met = cut(roots.join(degree, [*BY, "node"], "left").withColumn("rays", F.coalesce("rays", F.lit(0))))
+    found = [_row(met.where(F.col("rays") + F.col("met") > RAYS), "NODE_DEGREE", F.col("rays") + F.col("met"), "node")]
     free = old.where("met < 4 and met > 0").select("scene_id", F.col("node").alias("camera"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("met").alias("camera_met"))
     near = spatial.near(ties.select(*BY, "node", "x", "y"), free, at(RADIUS), tuple(F.col(c) for c in ("cx", "cy", "cx", "cy")), CELL, ["scene_id"])
     near = near.where(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= RADIUS + 1e-6).join(degree.select(*BY, "node", F.col("rays")), [*BY, "node"]).join(degree.select(*BY, F.col("node").alias("camera"), F.col("rays").alias("camera_rays")), [*BY, "camera"], "left")
     found.append(_row(near.where(F.col("camera_met") + F.coalesce("camera_rays", F.lit(0)) + F.col("rays") <= RAYS), "NEARBY_CHAMBER", F.col("camera"), "node"))
-    own_nodes = r.nodes.withColumnRenamed("id", "node").join(degree, [*BY, "node"], "left").join(ties.select(*BY, "node", "pipe_dn"), [*BY, "node"], "left").withColumn("rays", F.coalesce("rays", F.lit(0)))
+    own_nodes = cut(r.nodes.withColumnRenamed("id", "node").join(degree, [*BY, "node"], "left").join(ties.select(*BY, "node", "pipe_dn"), [*BY, "node"], "left").withColumn("rays", F.coalesce("rays", F.lit(0))))
     technical, chamber = own_nodes.where("object_type = 'technical_node'"), own_nodes.where("object_type = 'heat_chamber'")
     right = F.greatest(F.coalesce("top_dn", F.lit(50)), F.col("pipe_dn"))
     found += [
@@ -236,16 +247,18 @@ def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
         _row(chamber.where(F.col("dn") != right), "CHAMBER_DN", right, "node"),
         _row(chamber.where(F.col("cost") != catalog.chamber_price(F.col("dn"))), "VALUE_MISMATCH", "cost", "node"),
     ]
+    done.append(_written(found))
 
     # consumers
     linked = leaves.join(leaf.select("scene_id", "spot", F.explode("at").alias("demand")), ["scene_id", "spot"]).select(*BY, "demand").distinct()
     transit = down.select(*BY, "node", "down").join(way.select(F.col("up").alias("down")).distinct(), "down").join(valid.select("scene_id", F.col("demand").alias("node")), ["scene_id", "node"])
-    found.append(_row(transit, "DEMAND_TRANSIT", "", "node"))
+    found = [_row(transit, "DEMAND_TRANSIT", "", "node")]
     all_demands = variants.join(demands.select("scene_id", F.col("id").alias("demand"), "id_type", F.coalesce("flow", F.lit(0)).alias("need")), "scene_id")
     missed = cut(all_demands.join(linked, [*BY, "demand"], "left_anti"))
     said = r.summaries.select(*BY, F.explode("unconnected").alias("u")).select(*BY, F.col("u.id").alias("demand"), F.col("u.kind").alias("kind"))
     differ = missed.join(said, [*BY, "demand"], "full").where("kind is null or id_type is null or (kind = 'STRING') <> (id_type = 'STRING')")
     found.append(_row(differ, "UNCONNECTED_IDS", "", "demand"))
+    done.append(_written(found))
 
     # totals
     money = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(24,2)")
@@ -253,7 +266,7 @@ def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
     factor = r.lines.where("depth_start is not null and method = 'base'")
     plain = r.lines.where((F.col("depth_start").isNull()) & (F.col("method") == "base") & (F.col("cost") != pricing.money(F.col("length") * price)))
     deep = factor.where(F.abs(F.col("cost") - pricing.money((F.col("length") * price).cast("double") * pricing.depth_factor(F.col("depth_start"), F.col("depth_end")))) > 0.01)
-    found += [_row(plain, "VALUE_MISMATCH", "cost"), _row(deep, "VALUE_MISMATCH", "cost")]
+    found = [_row(plain, "VALUE_MISMATCH", "cost"), _row(deep, "VALUE_MISMATCH", "cost")]
     sums = variants.join(r.lines.groupBy(*BY).agg(F.sum("cost").alias("pipes"), F.sum("length").alias("length")), BY, "left")
     sums = sums.join(chamber.groupBy(*BY).agg(F.sum("cost").alias("chambers")), BY, "left").join(met.where("old").groupBy(*BY).agg(F.sum("rays").alias("ties")), BY, "left")
     sums = sums.join(missed.groupBy(*BY).agg(F.sum(pricing.penalty(F.col("need"))).alias("penalty")), BY, "left")
@@ -265,29 +278,31 @@ def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
         "unconnected_penalty": money("penalty"), "calculated_cost": F.col("_cost"), "new_network_length": F.col("_length"),
         "existing_chamber_tie_in_count": F.coalesce("ties", F.lit(0)), "score": pricing.score(F.col("_cost"), F.col("_length")),
     }
-    sums = sums.select(*BY, *[v.alias(f"_{k}") for k, v in right_of.items()])
+    sums = cut(sums.select(*BY, *[v.alias(f"_{k}") for k, v in right_of.items()]))
     wrong = [F.when(~F.coalesce(F.col(k) == F.col(f"_{k}"), F.lit(False)), F.concat(F.lit(f"{k} "), F.col(f"_{k}").cast("string"))) for k in right_of]
     told = r.summaries.join(sums, BY).select(*BY, "id", F.explode(F.array_compact(F.array(*wrong))).alias("said"))
     found.append(_row(told, "VALUE_MISMATCH", F.col("said")))
     order = Window.partitionBy("scene_id").orderBy("rank", "variant_id")
     ranks = r.summaries.withColumns({"_nth": F.row_number().over(order), "_before": F.lag("score").over(order)})
     found.append(_row(ranks.where("rank <> _nth or score < _before"), "RANK", F.col("_nth")))
+    done.append(_written(found))
 
-    found += clearances(r.lines, scenes)
-    found += intersections(r.lines)
-    found += depths(r.lines)
-    return _union(found)
+    done += [_written(clearances(r.lines, scenes)), _written(intersections(r.lines)), _written(depths(r.lines))]
+    return _union(done)
 
 
 def _sides(lines: DataFrame) -> DataFrame:
     side = F.transform(F.sequence(F.lit(2), F.size("points")), lambda i: F.struct(F.element_at("points", i - 1).alias("a"), F.element_at("points", i).alias("b")))
-    rows = lines.select(*BY, "id", "dn", "start", "end", F.posexplode(side).alias("seq", "_s"))
-    return rows.select(*BY, "id", "dn", "start", "end", "seq", F.col("_s.a.x").alias("ax"), F.col("_s.a.y").alias("ay"), F.col("_s.b.x").alias("bx"), F.col("_s.b.y").alias("by"))
+    rows = lines.select(*BY, "id", "dn", "start", "end", (F.size("points") - 2).alias("last"), F.posexplode(side).alias("seq", "_s"))
+    return rows.select(*BY, "id", "dn", "start", "end", "seq", (F.col("seq") == F.col("last")).alias("last"), F.col("_s.a.x").alias("ax"), F.col("_s.a.y").alias("ay"), F.col("_s.b.x").alias("bx"), F.col("_s.b.y").alias("by"))
 
 
-def _box(margin, *names: str):
-    a, b, c, d = (F.col(n) for n in names)
-    return (F.least(a, c) - margin, F.least(b, d) - margin, F.greatest(a, c) + margin, F.greatest(b, d) + margin)
+def _in_cells(sides: DataFrame, margin: float) -> tuple[DataFrame, int]:
+    """Sides in the cells within `margin` of them, and the width of a cell: CELL, or more where sides are so long on
+    the average that each would pass dozens of cells."""
+    mean = sides.agg(F.avg(F.abs(F.col("bx") - F.col("ax")) + F.abs(F.col("by") - F.col("ay")))).first()[0]
+    cell = max(CELL, int((mean or 0) / 16))
+    return spatial.along(sides, cell, margin, "by"), cell
 
 
 def clearances(lines: DataFrame, scenes: geojson.Scenes) -> list[DataFrame]:
@@ -296,7 +311,10 @@ def clearances(lines: DataFrame, scenes: geojson.Scenes) -> list[DataFrame]:
     widest = 9 + 1.725 + 0.2
     walls = geojson.segments(scenes.parts.join(scenes.objects.where("kind is not null").select("scene_id", "id"), ["scene_id", "id"], "left_semi"))
     walls = walls.join(scenes.objects.select("scene_id", "id", "kind", F.col("dn").alias("wall_dn")), ["scene_id", "id"]).withColumnRenamed("id", "wall").drop("part", "ring", "seq")
-    pairs = spatial.near(_sides(lines), walls, _box(widest, "ax", "ay", "bx", "by"), _box(0, "x1", "y1", "x2", "y2"), CELL, ["scene_id"])
+    # a pair that meets in several cells counts once, as below only maxima are taken of it
+    at, cell = _in_cells(_sides(lines).drop("last"), widest)
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell).cast("long"), F.floor(F.greatest(a, b) / cell).cast("long")))
+    pairs = at.join(walls.withColumn("_cx", span("x1", "x2")).withColumn("_cy", span("y1", "y2")).hint("merge"), ["scene_id", "_cx", "_cy"]).drop("_cx", "_cy")
     p = lambda x, y: (F.col(x), F.col(y))
     quad = (p("ax", "ay"), p("bx", "by"), p("x1", "y1"), p("x2", "y2"))
     own = F.coalesce(catalog.of_pipe(F.col("wall_dn"), "width", "decimal(6,3)"), catalog.by_kind(F.col("kind"), catalog.OWN_WIDTH, "0"))
@@ -309,24 +327,37 @@ def clearances(lines: DataFrame, scenes: geojson.Scenes) -> list[DataFrame]:
     ends_at = ends_at.select("scene_id", F.col("id").alias("point"), F.col("rings")[0][0]["x"].alias("x"), F.col("rings")[0][0]["y"].alias("y"))
     rings = walls.where("kind = 'building'").select("scene_id", F.col("wall").alias("ring"), "x1", "y1", "x2", "y2")
     hosts = spatial.inside(ends_at, rings, CELL, ["scene_id"]).select("scene_id", F.col("point").alias("end"), F.col("ring").alias("wall"))
-    last = F.col("seq") == F.max("seq").over(Window.partitionBy("scene_id", "variant_id", "id"))
-    entries = _sides(lines).withColumn("last", last).where("last").join(hosts, ["scene_id", "end"]).select(*BY, "id", "seq", "wall")
+    entries = _sides(lines).where("last").join(hosts, ["scene_id", "end"]).select(*BY, "id", "seq", "wall")
     pairs = pairs.join(entries, [*BY, "id", "seq", "wall"], "left_anti")
     found = pairs.groupBy(*BY, "id", "wall", "kind").agg(F.max(~special).alias("shut"), F.max(special & ~F.col("crossed")).alias("beside"), F.max(F.col("hit") & ~F.col("steep") & F.col("kind").isin("road", "tram_tracks")).alias("flat"))
     return [_row(found.where("shut"), "CLEARANCE", F.col("wall")), _row(found.where("beside"), "SPECIAL_CORRIDOR", F.col("wall")), _row(found.where("flat"), "CROSSING_ANGLE", F.col("wall"))]
 
 
 def intersections(lines: DataFrame) -> list[DataFrame]:
-    """New lines that cross each other, or that lie too near without a common node; lines that cross themselves."""
-    a = _sides(lines)
-    b = a.select("scene_id", "variant_id", *[F.col(c).alias(f"o_{c}") for c in ("id", "dn", "start", "end", "seq", "ax", "ay", "bx", "by")])
-    pairs = spatial.near(a, b, _box(3.1, "ax", "ay", "bx", "by"), _box(0, "o_ax", "o_ay", "o_bx", "o_by"), CELL, BY)
-    pairs = pairs.where("id < o_id or (id = o_id and seq + 1 < o_seq)")
+    """New lines that cross each other, or that lie too near without a common node; lines that cross themselves.
+
+    Sides that begin or end at one node, at the very same point, neither cross nor lie too near, however many a node
+    has. So in each cell the node with most sides is its hub, and only pairs with a side that is not at the hub are
+    formed: the pipes of a star, all within a few metres of each other around it, meet nothing.
+    """
+    end = lambda c, x, y: F.struct(F.col(c).alias("node"), F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = F.array_compact(F.array(F.when(F.col("seq") == 0, end("start", "ax", "ay")), F.when(F.col("last"), end("end", "bx", "by"))))
+    sides = _sides(lines).withColumn("ends", ends).drop("last")
+    half = max(float(p[7]) for p in catalog.PIPES) / 2 + 0.01  # what lies between two sides of too near pipes is this near to both
+    at = cut(_in_cells(sides, half)[0])
+    here = [*BY, "_cx", "_cy"]
+    hub = at.select(*here, F.explode("ends").alias("hub")).where("hub.node is not null").groupBy(*here, "hub").agg(F.count("*").alias("n")).groupBy(*here).agg(F.max(F.struct("n", "hub"))["hub"].alias("hub"))
+    at = cut(at.join(hub, here, "left").withColumn("at_hub", F.coalesce(F.array_contains("ends", F.col("hub")), F.lit(False))).drop("hub", "ends"))
+    b = at.select(*here, *[F.col(c).alias(f"o_{c}") for c in ("id", "dn", "start", "end", "seq", "ax", "ay", "bx", "by", "at_hub")])
+    pairs = at.where("not at_hub").drop("at_hub").join(b.hint("merge"), here).drop("_cx", "_cy")
+    # of two sides not at the hub both orders occur
+    pairs = pairs.where("case when o_at_hub then id <> o_id or abs(seq - o_seq) > 1 else id < o_id or (id = o_id and seq + 1 < o_seq) end")
     p = lambda x, y: (F.col(x), F.col(y))
     quad = (p("ax", "ay"), p("bx", "by"), p("o_ax", "o_ay"), p("o_bx", "o_by"))
     width = (catalog.of_pipe(F.col("dn"), "width", "double") + catalog.of_pipe(F.col("o_dn"), "width", "double")) / 2
     joint = (F.col("start") == F.col("o_start")) | (F.col("start") == F.col("o_end")) | (F.col("end") == F.col("o_start")) | (F.col("end") == F.col("o_end"))
-    pairs = cut(pairs.withColumns({"hit": geometry.crosses(*quad), "near": geometry.gap2(*quad) < width * width, "joint": joint}))
+    pairs = pairs.withColumns({"hit": geometry.crosses(*quad), "near": geometry.gap2(*quad) < width * width, "joint": joint}).where("hit or near")
+    pairs = cut(pairs.select(*BY, F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("o_id"), "hit", "near", "joint"))
     other = F.col("o_id")
     return [
         _row(pairs.where("hit and id = o_id").dropDuplicates([*BY, "id"]), "SELF_INTERSECTION"),

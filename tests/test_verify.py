@@ -146,3 +146,43 @@ def test_every_fault_is_found(spark, places, tmp_path):
             assert code in codes, (name, got.get(name))
     assert {"VALUE_MISMATCH"} == {c for c, _, _ in got["length"] | got["flow"]}
     assert {c for c, _, _ in got["too wide"]} <= {"DIAMETER", "VALUE_MISMATCH"}
+
+
+def _lines(spark, rows):
+    """id, dn, start, end and the corners of lines of one variant."""
+    lines = spark.createDataFrame(rows, "id string, dn int, start string, end string, points array<struct<x double, y double>>")
+    return lines.withColumns({"scene_id": F.lit("s"), "variant_id": F.lit("v")})
+
+
+def _codes(lines):
+    return sorted((r["code"], r["id"], r["said"]) for found in verify.intersections(lines) for r in found.collect())
+
+
+def test_star_forms_no_pairs(spark, monkeypatch):
+    """Pipes around one node are no pairs, however near each other; what crosses them still is found, and so are pipes
+    that end at one point under two names, and the widest pipes at their full width."""
+    formed = []
+    gap2 = geometry.gap2
+    monkeypatch.setattr(geometry, "gap2", lambda *quad: formed.append(1) or gap2(*quad))
+    written = []
+    cut = verify.cut
+    monkeypatch.setattr(verify, "cut", lambda df, *a: written.append(cut(df, *a)) or written[-1])
+    star = [(f"l{i:03}", 80, "hub", f"e{i}", [(0.0, 0.0), (300.0 * (i % 7 - 3), 1000.0 + i)]) for i in range(200)]
+    assert _codes(_lines(spark, star)) == [] and formed
+    assert written[-1].count() == 0  # before, 19,900 pairs
+    other = [("x", 80, "p", "q", [(-2000.0, 500.0), (2000.0, 500.0)]), ("y", 80, "other", "z", [(0.0, 0.0), (0.0, -40.0)])]
+    got = _codes(_lines(spark, star + other))
+    assert [g for g in got if g[0] == "NEW_INTERSECTION"] == [("NEW_INTERSECTION", f"l{i:03}", "x") for i in range(200)]
+    assert {g[1:] for g in got if g[0] == "NEW_GABARIT_OVERLAP"} == {(f"l{i:03}", "y") for i in range(200)}
+    wide = [("a", 1400, "1", "2", [(0.0, 0.0), (50.0, 0.0)]), ("b", 1400, "3", "4", [(0.0, 3.3), (50.0, 3.3)])]
+    assert _codes(_lines(spark, wide)) == [("NEW_GABARIT_OVERLAP", "a", "b")]
+    bent = [("c", 80, "1", "2", [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (20.0, -20.0)]), ("d", 80, "3", "4", [(0.0, 300.0), (99.0, 300.0)])]
+    assert _codes(_lines(spark, bent)) == [("SELF_INTERSECTION", "c", "")]
+
+
+def test_found_rows_are_written(spark, sf_dir):
+    """The rows of the rules come from written tables; as one plan of all rules they took the driver's memory."""
+    from calorgrid.plans import audits
+
+    plan = verify.verify(*audits.stand_in(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") < 20
