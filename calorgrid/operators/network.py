@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from calorgrid.operators import graph, intervals, spatial, tree
 from calorgrid.operators.lineage import cut
 
 SNAP = 0.1  # m
+TILES = (64, 16)  # sides of the tiles in which points are snapped in order, in snaps
+MAX_PAIRS = 1 << 19  # of near points that one tile may take; where one has more, rounds of joins settle them
 
 
 def snap_points(points: DataFrame, snap: float = SNAP, cell: int = 10, key: str = "scene_id") -> DataFrame:
@@ -18,32 +22,76 @@ def snap_points(points: DataFrame, snap: float = SNAP, cell: int = 10, key: str
     In their order points join the first node whose centre, its first point, is within `snap`, if no point that has
     joined it before is farther away than that and their anchors don't differ; else they become a node. So a and c
     may stay apart though b is near both. A point depends on earlier ones within twice the distance only: in each
-    round all are settled whose earlier neighbours are, however many scenes there are.
+    round all are settled whose earlier neighbours are, however many scenes there are; a tile of neighbours settles many rounds at once.
+
+    Points of one place and anchor are one: the first of them. Those after it join its node, as all others in it are
+    near them too, and no node before it that was full for the first takes them later; nor do they keep others out.
     """
-    p = points.select(key, "k", "x", "y", "anchor")
+    given = cut(points.select(key, "k", "x", "y", "anchor"))
+    real = F.col(key).isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")) & F.col("x").isNotNull() & F.col("y").isNotNull()
+    placed = given.where(F.coalesce(real, F.lit(False)))
+    first = cut(placed.groupBy(key, "x", "y", "anchor").agg(F.min("k").alias("k")))
+    node = _snapped(first, snap, cell, key)
+    same = (placed["x"] == first["x"]) & (placed["y"] == first["y"]) & placed["anchor"].eqNullSafe(first["anchor"]) & (placed[key] == first[key])
+    of = placed.join(first.withColumnRenamed("k", "_first"), same).select(placed[key], placed["k"], "_first")
+    found = of.join(node.withColumnRenamed("k", "_first"), [key, "_first"]).select(key, "k", "node")
+    return found.union(given.where(~F.coalesce(real, F.lit(False))).select(key, "k", F.col("k").alias("node")))
+
+
+def _snapped(p: DataFrame, snap: float, cell: int, key: str) -> DataFrame:
     o = p.select(key, *[F.col(c).alias(f"o_{c}") for c in ("k", "x", "y", "anchor")])
     at = lambda a, b, m: (F.col(a) - m, F.col(b) - m, F.col(a) + m, F.col(b) + m)
     pairs = spatial.near(p, o, at("x", "y", 2 * snap), at("o_x", "o_y", 0), cell, [key]).where("o_k < k")
     pairs = pairs.withColumn("d", F.hypot(F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y"))).where(F.col("d") <= 2 * snap)
     same = F.col("anchor").isNull() | F.col("o_anchor").isNull() | (F.col("anchor") == F.col("o_anchor"))
-    pairs = cut(pairs.select(key, "k", "o_k", (F.col("d") <= snap).alias("fits"), same.alias("same")))
-    left, done = cut(p.select(key, "k")), None
-    while True:
-        waiting = pairs.join(left.select(key, F.col("k").alias("o_k")), [key, "o_k"], "left_semi").select(key, "k").distinct()
-        ready = left.join(waiting, [key, "k"], "left_anti")
-        if done is None:
-            new = ready.withColumn("node", F.col("k"))
+    pairs = cut(pairs.select(key, "k", "o_k", "x", "y", (F.col("d") <= snap).alias("fits"), same.alias("same")))
+    done = cut(p.select(key, "k").join(pairs.select(key, "k").distinct(), [key, "k"], "left_anti").withColumn("node", F.col("k")))
+    sides = [t * snap for t in TILES if _densest(pairs, key, t * snap) <= MAX_PAIRS]
+    kind = dict(p.dtypes)
+    for n in count():
+        met = pairs.join(done.select(key, F.col("k").alias("o_k"), "node"), [key, "o_k"], "left")
+        if sides:  # tiles in four turns, so what lies on the border of one lies within another
+            sx, sy = ((0, 0), (1, 1), (1, 0), (0, 1))[n % 4]
+            tiles = met.withColumns({"_tx": F.floor(F.col("x") / sides[0] + sx / 2), "_ty": F.floor(F.col("y") / sides[0] + sy / 2)}).drop("x", "y")
+            new = tiles.groupBy(key, "_tx", "_ty").applyInArrow(lambda t: _settled(t, key), f"`{key}` {kind[key]}, k {kind['k']}, node {kind['k']}")
         else:
-            met = pairs.join(ready, [key, "k"], "left_semi").join(done.select(key, F.col("k").alias("o_k"), "node"), [key, "o_k"])
+            ready = met.groupBy(key, "k").agg(F.bool_and(F.col("node").isNotNull()).alias("ready")).where("ready").select(key, "k")
             centre = F.max(F.when(F.col("o_k") == F.col("node"), F.col("same")))
-            nodes = met.groupBy(key, "k", "node").agg(F.min("fits").alias("fits"), centre.alias("same")).where("fits and same")
-            new = ready.join(nodes.groupBy(key, "k").agg(F.min("node").alias("node")), [key, "k"], "left").withColumn("node", F.coalesce("node", "k"))
+            nodes = met.join(ready, [key, "k"], "left_semi").groupBy(key, "k", "node").agg(F.min("fits").alias("fits"), centre.alias("same")).where("fits and same")
+            new = ready.join(nodes.groupBy(key, "k").agg(F.min("node").alias("node")), [key, "k"], "left").select(key, "k", F.coalesce("node", "k").alias("node"))
         new = cut(new)
         if new.isEmpty():
-            break
-        done = new if done is None else cut(done.union(new))
-        left = cut(left.join(new, [key, "k"], "left_anti"))
-    return done if done is not None else left.withColumn("node", F.col("k"))
+            return done
+        done = cut(done.union(new))
+        pairs = cut(pairs.join(new.select(key, "k"), [key, "k"], "left_anti"))
+
+
+def _densest(pairs: DataFrame, key: str, side: float) -> int:
+    """The most pairs in a tile, wherever the tiles begin: up to four of their neighbours may come together."""
+    tiles = pairs.groupBy(key, F.floor(F.col("x") / side), F.floor(F.col("y") / side)).agg(F.count("*").alias("n"))
+    return 4 * (tiles.agg(F.max("n")).first()[0] or 0)
+
+
+def _settled(rows: pa.Table, key: str) -> pa.Table:
+    """k and node of the points of a tile whose earlier neighbours have a node or get one here."""
+    near: dict = {}
+    for r in rows.drop_columns([key]).to_pylist():
+        near.setdefault(r["k"], []).append(r)
+    nodes: dict = {}
+    for k in sorted(near):
+        fits, same = {}, {}
+        for r in near[k]:
+            node = r["node"] if r["node"] is not None else nodes.get(r["o_k"])
+            if node is None:
+                break
+            fits[node] = fits.get(node, True) and r["fits"]
+            if r["o_k"] == node:
+                same[node] = r["same"]
+        else:
+            nodes[k] = min((n for n in fits if fits[n] and same.get(n)), default=k)
+    scene = rows[key][0].as_py()
+    types = {c: rows.schema.field(c).type for c in (key, "k")}
+    return pa.table({key: pa.array([scene] * len(nodes), types[key]), "k": pa.array(list(nodes), types["k"]), "node": pa.array(list(nodes.values()), types["k"])})
 
 
 def edges_at(lines: DataFrame, marks: DataFrame, key: str = "line") -> DataFrame:
