@@ -32,6 +32,14 @@ def near(left: DataFrame, right: DataFrame, box: tuple, other: tuple, cell: int,
     return joined.where(meet & home).drop(*drop)
 
 
+def copies(rows: DataFrame, name: str, shape: list[str], most: int = 1024) -> DataFrame:
+    """The names of the rows of each shape, in lists `_names` of about `most` at the most: shapes that occur many times
+    are met once, and pairs of them are spread over their names at the end, within tasks."""
+    top = rows.groupBy(*shape).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64(name), F.lit(top // most + 1))
+    return rows.groupBy(*shape, part.alias("_part")).agg(F.collect_list(name).alias("_names")).drop("_part")
+
+
 def inside(points: DataFrame, edges: DataFrame, cell: int, keys: list[str] | None = None) -> DataFrame:
     """point and ring of points inside rings: points (point, x, y), edges (ring, x1, y1, x2, y2), exact for integers;
     only those with equal `keys`, columns of both, meet.
