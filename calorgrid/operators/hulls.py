@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 1024  # columns of unit width whose points one task takes at first
@@ -21,10 +25,37 @@ def _bend(points: list[tuple[int, int]], sign: int) -> list[tuple[int, int]]:
     return kept
 
 
-def _borders(pdf: pd.DataFrame) -> tuple[list, list]:
-    pdf = pdf.groupby("x", sort=True).agg(low=("low", "min"), high=("high", "max"))
-    x = pdf.index.tolist()
-    return _bend(list(zip(x, pdf["low"].tolist())), 1), _bend(list(zip(x, pdf["high"].tolist())), -1)
+def _borders(x: list[int], low: list[int], high: list[int]) -> tuple[list, list]:
+    """The lower and the upper border of columns in order of x; equal x follow each other."""
+    lows, highs = {}, {}
+    for i, j, k in zip(x, low, high):
+        lows[i], highs[i] = min(lows.get(i, j), j), max(highs.get(i, k), k)
+    return _bend(list(lows.items()), 1), _bend(list(highs.items()), -1)
+
+
+def _shapes(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.DataType, list[tuple]]]:
+    """The groups of rows in order of `by`, x that each batch ends: the type of the first of `by`, and per group its
+    value and lists of x, low and high."""
+    kind, name, held = None, None, ([], [], [])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.schema.field(by[0]).type
+        codes = [np.asarray(pc.dictionary_encode(batch.column(c), null_encoding="encode").indices) for c in by]
+        heads = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist()]
+        names = list(zip(*(batch.column(c).take(pa.array(heads)).to_pylist() for c in by)))
+        values = [batch.column(c).to_pylist() for c in ("x", "low", "high")]
+        done = []
+        for key, start, end in zip(names, heads, [*heads[1:], batch.num_rows]):
+            if held[0] and key != name:
+                done.append((name[0], *held))
+                held = ([], [], [])
+            name = key
+            for h, v in zip(held, values):
+                h += v[start:end]
+        yield kind, done
+    if held[0]:
+        yield kind, [(name[0], *held)]
 
 
 def _spans(hull: list[tuple[int, int]]) -> list[tuple]:
@@ -57,21 +88,30 @@ def sides(points: DataFrame, key: str = "line") -> DataFrame:
     """
     kind = dict(points.dtypes)[key]
     columns = points.where("x is not null and y is not null").groupBy(key, F.col("x").cast("long").alias("x")).agg(F.min("y").cast("long").alias("low"), F.max("y").cast("long").alias("high"))
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        both = [p for side in _borders(pdf) for p in side]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(both), "x": [p[0] for p in both], "low": [p[1] for p in both], "high": [p[1] for p in both]})
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = _borders(pdf)
-        back = high[::-1]
-        hull = low + [p for p in back if p != low[-1] and p != low[0]]
-        rows = _spans(hull) if len(hull) > 1 else [(*hull[0], *hull[0], 0, 0)]
-        return pd.DataFrame([(pdf[key].iloc[0], *r) for r in rows], columns=[key, "px", "py", "qx", "qy", "along", "across"])
-
-    blocks = columns.withColumn("_block", F.floor(F.col("x") / BLOCK))
-    parts = blocks.groupBy(key, "_block").applyInPandas(partial, f"`{key}` {kind}, x long, low long, high long")
-    return parts.groupBy(key).applyInPandas(whole, f"`{key}` {kind}, px long, py long, qx long, qy long, along long, across long")
+    parts_of, sides_of = ["x", "low", "high"], ["px", "py", "qx", "qy", "along", "across"]
+
+    def table(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        of = zip(*rows) if rows else [()] * (len(names) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(of, [kind] + [pa.int64()] * len(names))], names=[key, *names])
+
+    # groups follow each other in a stream, as there may be very many small ones
+    def partial(batches):
+        for kind, done in _shapes(batches, [key, "_block"]):
+            yield table([(name, x, y, y) for name, *columns in done for border in _borders(*columns) for x, y in border], kind, parts_of)
+
+    def whole(batches):
+        for kind, done in _shapes(batches, [key]):
+            rows = []
+            for name, *columns in done:
+                low, high = _borders(*columns)
+                hull = low + [p for p in high[::-1] if p != low[-1] and p != low[0]]
+                rows += [(name, *r) for r in (_spans(hull) if len(hull) > 1 else [(*hull[0], *hull[0], 0, 0)])]
+            yield table(rows, kind, sides_of)
+
+    longs = lambda names: ", ".join([f"`{key}` {kind}", *(f"{c} long" for c in names)])
+    blocks = columns.withColumn("_block", F.floor(F.col("x") / BLOCK)).repartition(key, "_block").sortWithinPartitions(key, "_block", "x")
+    parts = blocks.mapInArrow(partial, longs(parts_of))
+    return parts.repartition(key).sortWithinPartitions(key, "x").mapInArrow(whole, longs(sides_of))
 
 
 def least_rectangles(points: DataFrame, key: str = "line") -> DataFrame:

@@ -100,3 +100,23 @@ def test_hulls(spark):
     assert best["box"]["area"] == 12 and (best["box"]["ax"], best["box"]["ay"]) == (4, 0)
     assert all(best[k]["ax"] is None and best[k]["area"] == 0 for k in ("one", "two", "flat", "up", "slope"))
     assert hulls.sides(df.where("false")).count() == 0
+
+
+def test_hulls_stream(spark, capsys):
+    """Shapes follow each other in a stream instead of a call per shape, whatever batches divide them."""
+    rng = random.Random(9)
+    shapes = {k: [(rng.randrange(-1500, 1500), rng.randrange(-40, 40)) for _ in range(rng.randrange(1, 40))] for k in [None, *range(30)]}
+    df = spark.createDataFrame([(k, *p) for k, of in shapes.items() for p in of], "line long, x int, y int")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        found = hulls.sides(df)
+        found.explain()
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["line"], []).append(tuple(r)[1:])
+    finally:
+        spark.conf.set(size, before)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(wrap(p)) for k, p in shapes.items()}
+    assert "FlatMapGroups" not in capsys.readouterr().out
