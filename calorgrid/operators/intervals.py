@@ -1,7 +1,8 @@
 """Stretches [a, b) of a line with a factor: overlays, unions, sums and cuts, by sweeps of their ends.
 
 A line may be long and busy, so nothing is done per line in one task: stations fall into bins, windows run within
-a bin, and what a bin hands on to the next is carried by a second window over one row per bin.
+a bin, and what a bin hands on to the next is carried by a second window over one row per bin. The bins of sweeps are
+wide, as most lines then have one and nothing to carry; those in which stretches meet others are narrow.
 """
 
 from __future__ import annotations
@@ -9,35 +10,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BIN = 64  # stations
+WIDE = 1 << 14  # stations of a bin of a sweep
 
 
 def _bin(at: Column) -> Column:
     return F.floor(at / BIN).cast("long")
 
 
+def sweep(rows: DataFrame, key: list[str], order: list[str], totals: dict[str, tuple[str, str]] | None = None, nexts: dict[str, str] | None = None, before: bool = False) -> DataFrame:
+    """Add, in the order of the columns `order`, of which the first is the station: `totals`, running values by name, each
+    of a column and its sum, max or min, with `before` over the rows before this one, null where there is none; and
+    `nexts`, columns of the row at the next station by name, null after the last, for which stations have one row each.
+
+    Rows are shuffled once, for the windows within bins and what the bins hand on alike; of that, only rows that say
+    something are joined back.
+    """
+    totals, nexts = totals or {}, nexts or {}
+    rows = rows.withColumn("_bin", F.floor(F.col(order[0]) / WIDE).cast("long")).repartition(*key, "_bin")
+    within, bins_of = Window.partitionBy(*key, "_bin").orderBy(*order), Window.partitionBy(*key).orderBy("_bin")
+    to, earlier = (w.rowsBetween(Window.unboundedPreceding, end) for w, end in ((within, -1 if before else 0), (bins_of, -1)))
+    # a station alone is grouped by hashes, a row with more to tell by a sort
+    row = F.struct(F.col(order[0]).alias("_at"), *[F.col(c).alias(out) for out, c in nexts.items()]) if set(nexts.values()) - {order[0]} else F.col(order[0])
+    of = {out: getattr(F, how) for out, (_, how) in totals.items()}
+    own = {f"_own_{out}": of[out](value).over(to) for out, (value, _) in totals.items()}
+    bins = rows.groupBy(*key, "_bin").agg(*[of[out](value).alias(f"_of_{out}") for out, (value, _) in totals.items()], *([F.min(row).alias("_first")] if nexts else []))
+    carry = {f"_carry_{out}": f(f"_of_{out}").over(earlier) for out, f in of.items()}
+    if nexts:
+        own["_own_next"], carry["_carry_next"] = F.lead(row).over(within), F.lead("_first").over(bins_of)
+    bins = bins.select(*key, "_bin", *[c.alias(name) for name, c in carry.items()])
+    bins = bins.where(" or ".join(f"{name} is not null" for name in carry))
+    joined = rows.withColumns(own).join(bins, [*key, "_bin"], "left")
+
+    def both(out: str, how: str) -> Column:
+        a, b = F.col(f"_own_{out}"), F.col(f"_carry_{out}")
+        return F.coalesce(a + b, a, b) if how == "sum" else {"max": F.greatest, "min": F.least}[how](a, b)
+
+    found = {out: both(out, how) for out, (_, how) in totals.items()}
+    after = F.coalesce("_own_next", "_carry_next")
+    found |= {out: after[out] if set(nexts.values()) - {order[0]} else after for out in nexts}
+    return joined.withColumns(found).drop(*own, *carry, "_bin")
+
+
 def running(rows: DataFrame, key: list[str], order: list[str], value: str, how: str, out: str, before: bool = False) -> DataFrame:
     """Add `out`: the running sum, max or min of `value` in the order of the columns `order`, of which the first is the
     station; with `before` over the rows before this one. Null where there is none."""
-    rows = rows.withColumn("_bin", _bin(F.col(order[0])))
-    agg = getattr(F, how)
-    within = Window.partitionBy(*key, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    bins = rows.groupBy(*key, "_bin").agg(agg(value).alias("_of_bin"))
-    earlier = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*key, "_bin", agg("_of_bin").over(earlier).alias("_carry"))
-    total = F.coalesce(F.col("_own") + F.col("_carry"), "_own", "_carry")
-    both = {"sum": total, "max": F.greatest("_own", "_carry"), "min": F.least("_own", "_carry")}[how]
-    joined = rows.withColumn("_own", agg(value).over(within)).join(bins, [*key, "_bin"])
-    return joined.withColumn(out, both).drop("_own", "_carry", "_bin")
+    return sweep(rows, key, order, {out: (value, how)}, before=before)
 
 
 def following(ends: DataFrame, key: list[str], at: str = "a", out: str = "b") -> DataFrame:
     """Add `out`, the next station of the key after `at`; null after the last. `ends` has one row per station."""
-    rows = ends.withColumn("_bin", _bin(F.col(at)))
-    within = Window.partitionBy(*key, "_bin").orderBy(at)
-    firsts = rows.groupBy(*key, "_bin").agg(F.min(at).alias("_first"))
-    firsts = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy(*key).orderBy("_bin"))).drop("_first")
-    joined = rows.withColumn("_own", F.lead(at).over(within)).join(firsts, [*key, "_bin"])
-    return joined.withColumn(out, F.coalesce("_own", "_next")).drop("_own", "_next", "_bin")
+    return sweep(ends, key, [at], nexts={out: at})
 
 
 def elementary(zones: DataFrame, key: str = "line") -> DataFrame:
@@ -87,7 +109,7 @@ def interval_sum(zones: DataFrame, value: str, key: str = "line") -> DataFrame:
     step = lambda at, sign: F.struct(F.col(at).alias("a"), (F.col(value) * sign).alias("v"), F.lit(sign).alias("n"))
     steps = zones.select(key, F.explode(F.array(step("a", 1), step("b", -1))).alias("s")).select(key, "s.*")
     steps = steps.groupBy(key, "a").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    rows = following(running(running(steps, [key], ["a"], "v", "sum", "total"), [key], ["a"], "n", "sum", "_open"), [key])
+    rows = sweep(steps, [key], ["a"], {"total": ("v", "sum"), "_open": ("n", "sum")}, {"b": "a"})
     return rows.where("_open > 0 and b is not null").select(key, "a", "b", "total")
 
 

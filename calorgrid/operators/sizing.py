@@ -94,11 +94,14 @@ def reconstruction(edges: DataFrame, ties: DataFrame) -> DataFrame:
     rows = edges.select("edge", "parent").join(own, "edge", "left").withColumn("own", F.coalesce("own", F.lit(0).cast(flow)))
     below = tree.climb(rows.withColumn("all", F.col("own")), "edge", below={"all": "sum"}).select(F.col("node").alias("edge"), "all")
     passing = rows.join(below, "edge").join(edges.select("edge", "length"), "edge")
-    zone = lambda b, v: ("edge", F.lit(0).cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.col(v).cast(flow).alias("v"))
+    # hundredths, as sums of long decimals are slow
+    zone = lambda b, v: ("edge", F.lit(0).cast("long").alias("a"), F.col(b).cast("long").alias("b"), (F.col(v).cast(flow) * 100).cast("long").alias("v"))
     passing = passing.withColumn("rest", F.col("all") - F.col("own")).where("rest > 0 and length > 0").select(*zone("length", "rest"))
     # ties at one station are one zone before anything is swept
     tied = ties.where("station > 0").groupBy("edge", "station").agg(F.sum("flow").alias("flow")).where("flow > 0").select(*zone("station", "flow"))
-    parts = intervals.interval_sum(passing.union(tied), "v", key="edge").withColumnRenamed("total", "added")
+    parts = intervals.interval_sum(passing.union(tied), "v", key="edge").withColumn("added", (F.col("total").cast("decimal(18,0)") / 100).cast(flow))
     joined = parts.join(edges.select("edge", F.col("flow").alias("_flow"), "dn"), "edge")
-    joined = joined.withColumn("new_dn", catalog.base_dn((F.col("_flow") + F.col("added")).cast(flow)))
-    return joined.where("new_dn is null or new_dn > dn").select("edge", "a", "b", F.col("added").cast(flow).alias("added"), "new_dn")
+    # the flow is added up once, not for each row of the catalogue
+    new_dn = F.transform(F.array((F.col("_flow") + F.col("added")).cast(flow)), catalog.base_dn)[0]
+    narrow = joined.withColumn("new_dn", new_dn).where(F.coalesce(F.col("new_dn") > F.col("dn"), F.col("new_dn").isNull()))
+    return narrow.select("edge", "a", "b", "added", "new_dn")
