@@ -100,18 +100,27 @@ def edges_at(lines: DataFrame, marks: DataFrame, key: str = "line") -> DataFrame
     ends = lines.select(key, F.explode(F.array(F.lit(0).cast("double"), F.col("length").cast("double"))).alias("s"), F.lit(None).cast("string").alias("node"))
     rows = ends.union(marks.join(lines.select(key, "length"), key).where("s between 0 and length").select(key, F.col("s").cast("double"), "node"))
     at = rows.groupBy(key, F.round("s", 8).alias("s")).agg(F.max("node").alias("node"))
-    name = F.coalesce("node", F.concat_ws("@", F.col(key).cast("string"), F.col("s").cast("string")))
-    at = at.withColumn("node", name)
-    nexts = intervals.following(at.select(key, F.col("s").alias("a"), F.col("node").alias("u")), [key]).where("b is not null")
-    return nexts.join(at.select(key, F.col("s").alias("b"), F.col("node").alias("v")), [key, "b"]).select(key, "a", "b", "u", "v")
+    name = lambda node, s: F.coalesce(node, F.concat_ws("@", F.col(key).cast("string"), F.col(s).cast("string"))).alias(node)
+    nexts = intervals.sweep(at.select(key, F.col("s").alias("a"), F.col("node").alias("u")), [key], ["a"], nexts={"b": "a", "v": "u"}).where("b is not null")
+    return nexts.select(key, "a", "b", name("u", "a"), name("v", "b"))
 
 
 def edge_of(edges: DataFrame, probes: DataFrame, key: str = "line") -> DataFrame:
-    """The edge at each station (key, s): the first that holds it, ends included; by bins of stations."""
-    bins = lambda c: F.floor(c / intervals.BIN).cast("long")
-    e = edges.withColumn("_bin", F.explode(F.sequence(bins(F.col("a")), bins(F.col("b")))))
-    hit = probes.withColumn("_bin", bins(F.col("s"))).join(e, [key, "_bin"]).where("s between a and b")
-    return hit.groupBy(key, "s").agg(F.min(F.struct("a", "b", "u", "v")).alias("e")).select(key, "s", "e.*")
+    """The edge at each station (key, s): the first that holds it, ends included.
+
+    Edges and stations are shuffled once, by wide bins; an edge is put into each that it meets. An edge counts beyond
+    the ends of those before it only, so the edge of a station is the one that ends next, if it has begun by then.
+    """
+    bins = lambda c: F.floor(F.col(c) / intervals.WIDE).cast("long")
+    e = edges.where(F.col(key).isNotNull()).where("a <= b").select(key, F.explode(F.sequence(bins("a"), bins("b"))).alias("_bin"), F.lit(None).cast(dict(probes.dtypes)["s"]).alias("s"), "a", "b", "u", "v")
+    p = probes.where(F.col(key).isNotNull()).where("s is not null").select(key, bins("s").alias("_bin"), "s", *[F.lit(None).cast(t).alias(c) for c, t in edges.dtypes if c in "abuv"])
+    of = Window.partitionBy(key, "_bin")
+    before = F.max("b").over(of.orderBy("a", "b", "u", "v").rowsBetween(Window.unboundedPreceding, -1))
+    rows = e.unionByName(p).withColumn("_top", before)
+    back = of.orderBy(F.coalesce("s", "b").desc(), F.col("s").isNotNull())
+    edge = F.when(F.col("s").isNull() & F.coalesce(F.col("_top") < F.col("b"), F.lit(True)), F.struct("a", "b", "u", "v"))
+    rows = rows.withColumns({"_e": F.last(edge, True).over(back), "_again": F.lag("s").over(back) == F.col("s")})
+    return rows.where("s is not null and _e.a <= s and not coalesce(_again, false)").select(key, "s", "_e.*")
 
 
 def components(edges: DataFrame, sources: DataFrame) -> DataFrame:

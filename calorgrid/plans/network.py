@@ -74,7 +74,7 @@ def edge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("edge_at", f"WITH {MARKS}, p AS (SELECT DISTINCT l_orderkey AS line, CAST(l_suppkey * 7 % 1000 AS DOUBLE) AS s FROM lineitem) SELECT line, s, a, b, u, v FROM (SELECT p.line, p.s, e.a, e.b, e.u, e.v, row_number() OVER (PARTITION BY p.line, p.s ORDER BY e.a) AS rn FROM p JOIN edges e ON e.line = p.line AND p.s BETWEEN e.a AND e.b) WHERE rn = 1")
 def edge_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edge at each of many stations."""
-    probes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), (F.col("l_suppkey") * 7 % 1000).cast("double").alias("s")).distinct()
+    probes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), (F.col("l_suppkey") * 7 % 1000).cast("double").alias("s"))
     return network.edge_of(_edges(spark, sf_dir), probes)
 
 
