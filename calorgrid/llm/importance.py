@@ -31,6 +31,7 @@ DRAW_PERCENT = 10
 SEED = 2024
 SLICE = 1 << 22
 GROUP = 1  # slices that a reader takes at once
+HELD = 1 << 20  # gains that a task holds before it sends them to their slices
 SLICES = """slice long, target boolean, words array<binary>, grams array<int>, starts array<int>, sizes array<int>, counts array<long>,
   doc_ids array<long>, n_words array<long>, ends array<long>, doc_grams array<int>, doc_counts array<int>"""
 
@@ -72,7 +73,10 @@ def _slices(docs: DataFrame, target: bool, longest: int) -> DataFrame:
             pairs, count = np.unique(owner * max(len(sizes), 1) + number, return_counts=True)
             of, gram = np.divmod(pairs, max(len(sizes), 1))
             ends = np.searchsorted(of, np.arange(batch.num_rows), side="right")
-            columns = [flat.astype(np.int32), (np.cumsum(sizes) - sizes).astype(np.int32), sizes, np.bincount(number, minlength=len(sizes)), None, np.diff(first), ends, gram.astype(np.int32), count.astype(np.int32)]
+            tuples = [flat.astype(np.int32), (np.cumsum(sizes) - sizes).astype(np.int32), sizes]
+            if longest == 1:  # the n-grams are the words by their numbers, which need not be written
+                tuples = [c[:0] for c in tuples]
+            columns = [*tuples, np.bincount(number, minlength=len(sizes)), None, np.diff(first), ends, gram.astype(np.int32), count.astype(np.int32)]
             lists = [words.cast(pa.binary()), *(kernel.column(batch, "doc_id").cast(pa.int64()) if c is None else c for c in columns)]
             row = [_lists(np.array([0, len(c)]), c) for c in lists]
             yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([target]), *row], names=[c.split()[0] for c in SLICES.split(",")])
@@ -146,6 +150,30 @@ def gains(tuples: DataFrame, buckets: int) -> DataFrame:
     return by.select("bucket", F.floor(F.log(ratio) * 1000).alias("gain"))
 
 
+def _gathered(batches):
+    """slice and lists of gram and gain: the gains of a slice that a task has, HELD rows at a time, in one row, as
+    rows of their own take more when shuffled."""
+    held, n = [], 0
+
+    def rows():
+        of, gram, gain = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((gram, of))
+        of, gram, gain = of[order], gram[order], gain[order]
+        head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        ends = np.append(head, len(of)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c)) for c in (gram.astype(np.int32), gain.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(of[head]), *lists], names=["slice", "gram", "gain"])
+
+    for batch in batches:
+        held.append([np.asarray(kernel.column(batch, c)) for c in ("slice", "gram", "gain")])
+        n += batch.num_rows
+        if n >= HELD:
+            yield rows()
+            held, n = [], 0
+    if n:
+        yield rows()
+
+
 def _weights(slices: DataFrame, values: DataFrame) -> DataFrame:
     """doc_id, slice, place, n_words, n_features and weight of each document: values has slice, gram and gain, a row for
     each of a slice's n-grams. A slice meets its gains in one group, so a task holds those of one slice at a time."""
@@ -155,9 +183,10 @@ def _weights(slices: DataFrame, values: DataFrame) -> DataFrame:
             return pa.Table.from_arrays([pa.array([], t) for t in [pa.int64()] * 6], names=["doc_id", "slice", "place", "n_words", "n_features", "weight"])
         row = {c: left.column(c).chunk(0)[0].values for c in left.schema.names if c != "slice"}
         count, gram = np.asarray(row["doc_counts"]).astype(np.int64), np.asarray(row["doc_grams"])
-        packed = right.column("packed").to_numpy()
-        gain = np.zeros(len(packed), np.int64)
-        gain[packed >> 32] = packed.astype(np.int32)  # the low half, with its sign
+        flat = [pa.concat_arrays([x.flatten() for x in right.column(c).chunks]) for c in ("gram", "gain")] if right.num_rows else [np.zeros(0, np.int32)] * 2
+        at, value = (np.asarray(x) for x in flat)
+        gain = np.zeros(len(at), np.int64)
+        gain[at] = value
         first = np.concatenate([[0], np.asarray(row["ends"])])
         sums = [np.concatenate([[0], np.cumsum(x)]) for x in (count, count * gain[gram])]
         n, weight = (x[first[1:]] - x[first[:-1]] for x in sums)
@@ -165,9 +194,9 @@ def _weights(slices: DataFrame, values: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([ids, pa.array(np.full(len(ids), key[0].as_py())), pa.array(np.arange(len(ids))), row["n_words"], pa.array(n), pa.array(weight)], names=["doc_id", "slice", "place", "n_words", "n_features", "weight"])
 
     rows = slices.where("not target").select("slice", "doc_ids", "n_words", "ends", "doc_grams", "doc_counts")
-    # both numbers in one, as these rows are most of what is shuffled; a gain is far below 2^31
-    packed = F.shiftleft(F.col("gram").cast("long"), 32).bitwiseOR(F.col("gain").bitwiseAND(F.lit((1 << 32) - 1)))
-    both = rows.groupBy("slice").cogroup(values.select("slice", packed.alias("packed")).groupBy("slice"))
+    # a gain is far below 2^31
+    lists = values.select("slice", "gram", F.col("gain").cast("int").alias("gain")).mapInArrow(_gathered, "slice long, gram array<int>, gain array<int>")
+    both = rows.groupBy("slice").cogroup(lists.groupBy("slice"))
     return both.applyInArrow(run, "doc_id long, slice long, place long, n_words long, n_features long, weight long")
 
 

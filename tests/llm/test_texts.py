@@ -189,3 +189,25 @@ def test_importance_slices_one_by_one(spark, monkeypatch):
     for path in [p for _, p in store._kept if "/slices-" in p][-1:]:
         groups = [pq.ParquetFile(f).metadata for f in glob.glob(urlparse(path).path + "/*.parquet")]
         assert sum(m.num_rows for m in groups) > 10 and all(m.row_group(k).num_rows == 1 for m in groups for k in range(m.num_row_groups))
+
+
+def test_importance_gains_in_lists(spark, monkeypatch):
+    """The gains of a slice leave a task in lists, whatever batches and held rows divide them."""
+    from calorgrid.llm import importance
+
+    rows = [(s, g, (g * 31 + s) % 700 - 350) for s in (5, 1 << 33, (7 << 32) + 1) for g in range(400)]
+    df = spark.createDataFrame(rows, "slice long, gram int, gain int").repartition(2)
+    for held, most in ((1 << 20, 6), (100, 60)):
+        monkeypatch.setattr(importance, "HELD", held)
+        got = df.mapInArrow(importance._gathered, "slice long, gram array<int>, gain array<int>").collect()
+        assert sorted((r["slice"], g, v) for r in got for g, v in zip(r["gram"], r["gain"])) == sorted(rows)
+        assert len(got) <= most
+
+
+def test_importance_words_written_once(spark):
+    from calorgrid.llm import importance
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, None)], "doc_id long, text string")
+    for longest, want in ((1, []), (2, [1] * 3 + [2] * 3)):
+        row = importance._slices(docs.coalesce(1), False, longest).first()
+        assert row["sizes"] == want and len(row["counts"]) == (3 if longest == 1 else 6)
