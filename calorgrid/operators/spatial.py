@@ -15,15 +15,16 @@ from calorgrid.functions import geometry
 from calorgrid.operators.lineage import cut
 
 
-def _cells(df: DataFrame, box: tuple[Column, Column, Column, Column], cell: int, prefix: str) -> DataFrame:
+def _cells(df: DataFrame, box: tuple[Column, Column, Column, Column], cell: int | Column, prefix: str) -> DataFrame:
     low = [F.floor(c / cell).cast("long") for c in box]
     out = df.withColumns({f"_{prefix}{i}": c for i, c in enumerate(box)})
     out = out.withColumn("_cx", F.explode(F.sequence(low[0], low[2])))
     return out.withColumn("_cy", F.explode(F.sequence(low[1], low[3])))
 
 
-def near(left: DataFrame, right: DataFrame, box: tuple, other: tuple, cell: int, keys: list[str] | None = None) -> DataFrame:
-    """Pairs whose boxes (min x, min y, max x, max y as columns of their side) meet, ends included."""
+def near(left: DataFrame, right: DataFrame, box: tuple, other: tuple, cell: int | Column, keys: list[str] | None = None) -> DataFrame:
+    """Pairs whose boxes (min x, min y, max x, max y as columns of their side) meet, ends included. A cell that depends
+    on the keys is a column, which both sides have under one name and the keys name too."""
     a, b = _cells(left, box, cell, "l"), _cells(right, other, cell, "r")
     joined = a.join(b.hint("merge"), ["_cx", "_cy", *(keys or [])])
     meet = (F.col("_l0") <= F.col("_r2")) & (F.col("_r0") <= F.col("_l2")) & (F.col("_l1") <= F.col("_r3")) & (F.col("_r1") <= F.col("_l3"))
@@ -32,6 +33,17 @@ def near(left: DataFrame, right: DataFrame, box: tuple, other: tuple, cell: int,
     return joined.where(meet & home).drop(*drop)
 
 
+def own_cells(sides: DataFrame, ends: tuple[str, str, str, str], key: str = "line", most: int = 128) -> DataFrame:
+    """Add _cell, the cells in which the sides of each line (ends ax, ay, bx, by) meet those of the same: so wide that
+    a line of up to `most` sides lies in about one, and as many as suit its sides otherwise. Most lines are short, and
+    narrower cells would multiply their sides to part few pairs."""
+    of = Window.partitionBy(key)
+    ax, ay, bx, by = ends
+    wide, high = (F.max(F.greatest(a, b)).over(of) - F.min(F.least(a, b)).over(of) for a, b in ((ax, bx), (ay, by)))
+    n = F.floor(F.sqrt(F.count("*").over(of) / most))
+    return sides.withColumn("_cell", F.floor(F.greatest(wide, high) / F.greatest(n, F.lit(1))).cast("long") + 1)
+
+
 def copies(rows: DataFrame, name: str, shape: list[str], most: int = 1024) -> DataFrame:
     """The names of the rows of each shape, in lists `_names` of about `most` at the most: shapes that occur many times
     are met once, and pairs of them are spread over their names at the end, within tasks."""

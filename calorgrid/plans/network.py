@@ -144,9 +144,10 @@ def ring_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, w = F.col("event_id"), Window.partitionBy("line").orderBy("event_id")
     v = table(spark, sf_dir, "events").select(F.col("user_id").alias("line"), "event_id", ((e * 7919) % 500).alias("ax"), ((e * 104729) % 500).alias("ay"))
     s = v.select("line", F.row_number().over(w).alias("seq"), "ax", "ay", F.lead("ax").over(w).alias("bx"), F.lead("ay").over(w).alias("by_")).where("bx is not null")
-    o = s.select("line", *[F.col(c).alias(f"o_{c}") for c in ("seq", "ax", "ay", "bx", "by_")])
+    s = spatial.own_cells(s, ("ax", "ay", "bx", "by_"))
+    o = s.select("line", "_cell", *[F.col(c).alias(f"o_{c}") for c in ("seq", "ax", "ay", "bx", "by_")])
     box = lambda a, b, c, d: (F.least(a, c), F.least(b, d), F.greatest(a, c), F.greatest(b, d))
-    pairs = spatial.near(s, o, box("ax", "ay", "bx", "by_"), box("o_ax", "o_ay", "o_bx", "o_by_"), CELL, ["line"]).where("seq + 1 < o_seq")
+    pairs = spatial.near(s, o, box("ax", "ay", "bx", "by_"), box("o_ax", "o_ay", "o_bx", "o_by_"), F.col("_cell"), ["line", "_cell"]).where("seq + 1 < o_seq")
     p = lambda x, y: (F.col(x), F.col(y))
     hit = geometry.crosses(p("ax", "ay"), p("bx", "by_"), p("o_ax", "o_ay"), p("o_bx", "o_by_"))
     return pairs.where(hit).select("line", "seq", F.col("o_seq").alias("other"))

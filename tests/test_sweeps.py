@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 import calorgrid.plans  # noqa: F401
-from calorgrid.operators import intervals, network
+from calorgrid.operators import intervals, network, spatial
 from calorgrid.queries import QUERIES
 
 
@@ -61,3 +61,15 @@ def test_shuffles(spark, sf_dir, capsys):
     steps = spark.range(9).select(F.lit("l").alias("line"), F.col("id").alias("a"), F.lit(1).alias("v"), (F.col("id") + 1).alias("b"))
     assert shuffles(capsys, intervals.interval_sum(steps, "v")) <= 6
     assert shuffles(capsys, QUERIES["edge_at"](spark, sf_dir)) <= 7
+
+
+def test_own_cells(spark):
+    """A short line lies in one cell or a few, so its sides are hardly multiplied; a long one is parted. Before, cells were 100 wide."""
+    rng = random.Random(2)
+    step = lambda: rng.randrange(500)
+    rows = [("short", step(), step(), step(), step()) for _ in range(60)] + [("long", x := step(), y := step(), x + 3, y + 3) for _ in range(3200)]
+    cells = spatial.own_cells(spark.createDataFrame(rows, "line string, ax long, ay long, bx long, by_ long"), ("ax", "ay", "bx", "by_"))
+    box = tuple(F.least(a, b) for a, b in (("ax", "bx"), ("ay", "by_"))) + tuple(F.greatest(a, b) for a, b in (("ax", "bx"), ("ay", "by_")))
+    placed = spatial._cells(cells, box, F.col("_cell"), "l")
+    n = {r["line"]: (r["n"], r["most"]) for r in placed.groupBy("line", "_cx", "_cy").count().groupBy("line").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()}
+    assert n["short"][0] < 1.5 * 60 and n["long"][0] < 2 * 3200 and n["long"][1] < 400
