@@ -21,7 +21,8 @@ first n - ceil(2 t / (1 + t) n) + 1 of the smaller one (its index prefix). The s
 Steps 2 and 3 leave out pairs of one component, which is enough for components alone. Where links are counted
 nothing is left out: the nodes that large groups put together form families, all pairs of a family are compared
 in its blocks, each pair in one block, and all other pairs by the counts of step 3; a node counts for as many
-links as documents have its set. The work of a family that is linked throughout thus grows with its links.
+links as documents have its set. The work of a family that is linked throughout thus grows with its links, but no
+row and no memory does: its links are counted as they are found.
 
 No cap drops a pair; the least ids of components follow from grouped minima. Shingles, sets and nodes are told
 apart by 64-bit hashes. Keys that many rows share are spread (`hot`), and long groups are cut into chunks.
@@ -33,6 +34,7 @@ equal sets; a null doc_id takes part and counts for no minimum; extra columns ar
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,29 +195,21 @@ def ordered(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.sort(np.where(hit, _TOP | rank[at], s)) if hit.any() else s
 
 
-def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, every: bool = False) -> list[tuple[int, int]] | np.ndarray:
-    """Links between probing sets and candidate sets (positions in `sets`), as a spanning forest: pairs that
-    are in one component, given or found before, are not reported again. With `every`, all linked pairs of
-    different given components, as positions, the lower first, each once."""
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def found_links(probes: np.ndarray, cands: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
+    """Candidates and the probing sets that each links with, itself among them if it probes too, as positions in
+    `sets`. A candidate comes again for each part of the probes; no pair is kept."""
+    if not len(probes) or not len(cands):
+        return
     # only shingles that both sides have matter; the sizes stay those of the whole sets
     both = np.intersect1d(np.unique(np.concatenate([sets[p] for p in probes])), np.unique(np.concatenate([sets[c] for c in cands])), assume_unique=True)
     if not len(both):
-        return np.zeros((0, 2), np.int64) if every else []
+        return
 
     def codes(k):
         at = np.searchsorted(both, sets[k])
         at[at == len(both)] = 0
         return at[both[at] == sets[k]]
 
-    links = []
     seqs = [codes(c) for c in cands]
     order = sorted(range(len(cands)), key=lambda k: seqs[k].tolist())
     cands, seqs = cands[order], [seqs[k] for k in order]
@@ -266,17 +260,55 @@ def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: n
             left = len(seq) - depth
             if (overlap + left >= goal).any():
                 got = overlap + has[seq[depth:]].sum(axis=0, dtype=np.int32)
-                if every:
-                    a = some[got >= goal]
-                    a = a[comp[a] != comp[cands[i]]]
-                    links.append(np.stack([np.minimum(a, cands[i]), np.maximum(a, cands[i])], 1))
-                for j in () if every else np.flatnonzero(got >= goal):
-                    a, b = some[j], cands[i]
-                    if a != b and find(("c", comp[a])) != find(("c", comp[b])):
-                        root[find(("c", comp[a]))] = find(("c", comp[b]))
-                        links.append((int(nodes[a]), int(nodes[b])))
+                if (got >= goal).any():
+                    yield some[got >= goal], cands[i]
             i += 1
-    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *links]), axis=0) if every else links
+
+
+def tree_join(nodes: np.ndarray, probes: np.ndarray, cands: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links between probing sets and candidate sets, as a spanning forest: pairs that are in one component, given
+    or found before, are not reported again."""
+    root, links = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for found, b in found_links(probes, cands, sizes, sets):
+        for a in found:
+            if a != b and find(("c", comp[a])) != find(("c", comp[b])):
+                root[find(("c", comp[a]))] = find(("c", comp[b]))
+                links.append((int(nodes[a]), int(nodes[b])))
+    return links
+
+
+def listed_links(probes: np.ndarray, cands: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], comp: np.ndarray) -> np.ndarray:
+    """All linked pairs of different components, as positions, the lower first, each once."""
+    links = [np.zeros((0, 2), np.int64)]
+    for a, b in found_links(probes, cands, sizes, sets):
+        a = a[comp[a] != comp[b]]
+        links.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    return np.unique(np.concatenate(links), axis=0)
+
+
+def counted_links(probes: np.ndarray, cands: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the documents of the sets of other components that it links with, and the least position
+    that links join it to. Links are counted as they are found, so that memory follows the sets and not the links."""
+    n, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    probing, other = np.zeros(len(sets), bool), np.ones(len(sets), bool)
+    probing[probes], other[cands] = True, False
+    for a, b in found_links(probes, cands, sizes, sets):
+        a = a[comp[a] != comp[b]]
+        n[b] += copies[a].sum()
+        # where both probe and are candidates, the pair comes a second time, the other way round
+        n[a[other[a]] if probing[b] else a] += copies[b]
+        if (label[a] != label[b]).any():
+            joined = np.zeros(len(sets), bool)
+            joined[label[a]] = joined[label[b]] = True
+            label[joined[label]] = np.argmax(joined)
+    return n, label
 
 
 def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -307,7 +339,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             sets[k], comp[k] = np.frombuffer(toks, "<u8"), c
         sizes = np.array([len(s) for s in sets], np.int64)
         probes, cands = np.flatnonzero(is_probe), np.flatnonzero(is_cand)
-        links = tree_join(nodes, probes, cands, sizes, sets, comp) if len(probes) and len(cands) else []
+        links = tree_join(nodes, probes, cands, sizes, sets, comp)
         kernel.release()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
@@ -325,18 +357,16 @@ def _every_link(rows: DataFrame, count: bool) -> DataFrame:
         sets = [np.frombuffer(t, "<u8") for t in table.column("toks").take(pa.array(at)).to_pylist()]
         sizes = np.array([len(s) for s in sets], np.int64)
         probes, cands = np.flatnonzero(probe), np.flatnonzero(cand)
-        a, b = (tree_join(node, probes, cands, sizes, sets, comp, True) if len(probes) and len(cands) else np.zeros((0, 2), np.int64)).T
-        label = least_joined(len(node), a, b)
-        own = np.flatnonzero(label != np.arange(len(node)))
-        out = [(JOINED, node[own], node[label[own]])]
         if count:
-            n = np.zeros(len(node), np.int64)
-            np.add.at(n, a, copies[b])
-            np.add.at(n, b, copies[a])
+            n, label = counted_links(probes, cands, sizes, sets, comp, copies)
             some = np.flatnonzero(n)
-            out.append((COUNT, node[some], n[some]))
+            out = [(COUNT, node[some], n[some])]
         else:
-            out.append((LINK, node[a], node[b]))
+            a, b = listed_links(probes, cands, sizes, sets, comp).T
+            label = least_joined(len(node), a, b)
+            out = [(LINK, node[a], node[b])]
+        own = np.flatnonzero(label != np.arange(len(node)))
+        out.append((JOINED, node[own], node[label[own]]))
         kernel.release()
         kind = np.repeat(np.array([k for k, _, _ in out], np.int32), [len(x) for _, x, _ in out])
         return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([x for _, x, _ in out])), "b": pa.array(np.concatenate([y for _, _, y in out]))})
@@ -360,13 +390,16 @@ def _compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _pair_counts(entries: DataFrame) -> DataFrame:
     """a, b, na, nb and shared of pairs of different components in groups of a key: rows key, node, n, index and
-    comp, whole groups of at most DENSE rows. shared counts the keys that the smaller set has in its index prefix."""
+    comp, whole groups of at most DENSE nodes. shared counts the keys that the smaller set has in its index prefix.
+    Where a node stands twice with a key, the row whose comp is not the node itself holds."""
 
     def run(batches):
         rest = None
 
         def of(t):
-            key, node, n, index, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "node", "n", "index", "comp"))
+            columns = [np.asarray(t.column(c).combine_chunks()) for c in ("key", "node", "n", "index", "comp")]
+            first = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
+            key, node, n, index, comp = (c[first] for c in columns)
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             a, b = [], []
             for s, e in zip(head.tolist(), [*head[1:].tolist(), len(key)]):
@@ -394,7 +427,7 @@ def _pair_counts(entries: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield of(rest)
 
-    rows = entries.select("key", "node", "n", "index", "comp").repartition("key").sortWithinPartitions("key", "n", "node")
+    rows = entries.select("key", "node", "n", "index", "comp").repartition("key").sortWithinPartitions("key", "n", "node", F.col("comp") == F.col("node"))
     found = rows.mapInArrow(run, "a long, b long, na long, nb long, shared long")
     return found.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("shared").alias("shared"))
 
@@ -447,7 +480,9 @@ def _all_links(entries: DataFrame, sets: DataFrame, nodes: DataFrame, tables: st
     blocks = _family_blocks(family, sets, nodes.select("node", F.col("node").alias("comp")), tables)
     inside = tables.cut(_every_link(blocks.join(copies, "node"), True), "links")
     # pairs of one family are settled; others share no large group, so that small groups count all that they share
-    rows = entries.where(F.col("g") <= DENSE).join(family, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    small = entries.where(F.col("g") <= DENSE).select("key", "node", "n", "index")
+    # most sets are in no family: only the shingles of those that are meet it
+    rows = small.withColumn("comp", F.col("node")).union(small.join(family, "node").select("key", "node", "n", "index", "component"))
     pairs = tables.cut(_pair_counts(rows).where(F.col("shared") >= _fewest("na", "nb")).select("a", "b"), "pairs")
     # pairs around one least node share a block, so that a set is seldom sent twice
     ends = pairs.select(F.col("a").alias("node"), F.col("a").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))

@@ -246,3 +246,98 @@ def test_boilerplate_makes_no_family(spark, monkeypatch):
         got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string"), links=links).collect()
         assert all(r["doc_id"] == r["component_id"] for r in got)
     assert sizes == [0, 0]
+
+
+def rows_joined_left(spark, since):
+    """The rows that left joins by node made in the executions from `since` on, and the number of the next one."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, made, last = store.executionsList(), 0, since
+    for i in range(runs.size()):
+        k = runs.apply(i).executionId()
+        if k < since:
+            continue
+        last, nodes, values = max(last, k + 1), store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for j in range(nodes.size()):
+            if re.search(r"Join \[node#\d+L?\], \[node#\d+L?\], LeftOuter", nodes.apply(j).desc()):
+                metrics = nodes.apply(j).metrics()
+                got = [values.get(metrics.apply(m).accumulatorId()) for m in range(metrics.size()) if metrics.apply(m).name() == "number of output rows"]
+                made += sum(int(v.get().replace(",", "")) for v in got if v.isDefined())
+    return made, last
+
+
+def test_only_families_are_joined(spark, monkeypatch):
+    """Where there are families, sets and not their shingles are joined with them: rows follow the documents."""
+    monkeypatch.setattr(ngramjoin, "DENSE", 8)
+    rng = random.Random(11)
+    rows = []
+    for k in range(150):  # two long texts that are linked and in no family
+        words = prose(rng, 400).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "edit"]))]
+    page = prose(rng, 80).split()
+    rows += [(1000 + k, " ".join([*page[:-1], f"end{k}"])) for k in range(20)]  # a family
+    _, since = rows_joined_left(spark, 0)
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == n_links(rows)
+    made, _ = rows_joined_left(spark, since)
+    assert 0 < made <= 6 * len(rows)  # joined with their shingles, these were 18,037
+
+
+class OneBlock:
+    """Stands for rows of blocks and runs what is applied to a group on one table, here."""
+
+    def __init__(self, table):
+        self.table = table
+
+    def groupBy(self, _):
+        return self
+
+    def applyInArrow(self, run, _):
+        return run(self.table)
+
+
+def test_links_of_a_block_are_counted_in_little_memory():
+    """Memory follows the sets of a block, not its links: 2,500 short sets, all linked, and 500 linked with none."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, apart = 2500, 500
+    sets = [np.sort(np.array([*range(7), 1000 + k], "<u8")) for k in range(n)] + [np.arange(9000 + 9 * k, 9008 + 9 * k).astype("<u8") for k in range(apart)]
+    table = pa.table({
+        "block": [1] * len(sets), "probe": [True] * len(sets), "cand": [True] * len(sets), "node": range(len(sets)), "comp": range(len(sets)),
+        "copies": [1 + k % 3 for k in range(len(sets))], "toks": [s.tobytes() for s in sets],
+    })
+    tracemalloc.start()
+    out = ngramjoin._every_link(OneBlock(table), True).to_pylist()
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    total = sum(1 + k % 3 for k in range(n))
+    assert {r["a"]: r["b"] for r in out if r["kind"] == ngramjoin.COUNT} == {k: total - 1 - k % 3 for k in range(n)}
+    assert {r["a"]: r["b"] for r in out if r["kind"] == ngramjoin.JOINED} == {k: 0 for k in range(1, n)}
+    assert peak < 64 << 20  # two numbers for each of the links alone are 50 million bytes, listed twice and sorted
+
+
+def test_counted_links_of_overlapping_sides():
+    """Probes and candidates apart, equal and in part the same: counts as those of listed pairs."""
+    import numpy as np
+
+    rng = random.Random(5)
+    base = [rng.sample(range(400), 30) for _ in range(4)]
+    sets = []
+    for _ in range(90):
+        s = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            s[rng.randrange(30)] = rng.randrange(400, 500)
+        sets.append(np.unique(np.array(s, np.uint64)))
+    sizes, copies = np.array([len(s) for s in sets]), np.array([rng.randrange(1, 4) for _ in sets])
+    some = np.arange(90)
+    for comp in (some, some % 7):
+        for probes, cands in ((some, some), (some[:40], some[40:]), (some[:60], some[30:])):
+            pairs = {(min(a, b), max(a, b)) for a in probes for b in cands if a != b and comp[a] != comp[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+            assert pairs == set(map(tuple, ngramjoin.listed_links(probes, cands, sizes, sets, comp).tolist())) and pairs
+            n, label = ngramjoin.counted_links(probes, cands, sizes, sets, comp, copies)
+            want = [sum(int(copies[b if a == k else a]) for a, b in pairs if k in (a, b)) for k in range(90)]
+            assert n.tolist() == want
+            a, b = np.array(sorted(pairs)).T
+            assert label.tolist() == ngramjoin.least_joined(90, a, b).tolist()
