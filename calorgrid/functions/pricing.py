@@ -27,8 +27,8 @@ def penalty(flow: Column) -> Column:
 
 
 def score(cost: Column, length: Column) -> Column:
-    """0.7 x cost / 25e6 + 0.3 x length / 100; both quotients are finite decimals."""
-    return (cost.cast("decimal(18,2)") * F.lit(COST_PER_UNIT).cast("decimal(10,9)") + length.cast("decimal(18,9)") * F.lit(LENGTH_PER_UNIT).cast("decimal(4,3)")).cast("decimal(28,12)")
+    """0.7 x cost / 25e6 + 0.3 x length / 100; both quotients are finite decimals. Cost and length are sums of networks."""
+    return (cost.cast("decimal(24,2)") * F.lit(COST_PER_UNIT).cast("decimal(10,9)") + length.cast("decimal(28,9)") * F.lit(LENGTH_PER_UNIT).cast("decimal(4,3)")).cast("decimal(28,12)")
 
 
 def depth_factor(a: Column, b: Column) -> Column:

@@ -271,7 +271,7 @@ def verify(scenes: geojson.Scenes, r: Result) -> DataFrame:
     sums = sums.join(chamber.groupBy(*BY).agg(F.sum("cost").alias("chambers")), BY, "left").join(met.where("old").groupBy(*BY).agg(F.sum("rays").alias("ties")), BY, "left")
     sums = sums.join(missed.groupBy(*BY).agg(F.sum(pricing.penalty(F.col("need"))).alias("penalty")), BY, "left")
     ties_cost = F.coalesce("ties", F.lit(0)) * catalog.TIE_IN_PRICE
-    sums = sums.withColumns({"_built": money("pipes") + money("chambers") + ties_cost, "_length": F.coalesce("length", F.lit(0)).cast("decimal(18,9)")})
+    sums = sums.withColumns({"_built": money("pipes") + money("chambers") + ties_cost, "_length": F.coalesce("length", F.lit(0)).cast("decimal(28,9)")})
     sums = sums.withColumn("_cost", (F.col("_built") + money("penalty")).cast("decimal(24,2)"))
     right_of = {
         "construction_cost": F.col("_built"), "chamber_construction_cost": money("chambers"), "existing_chamber_tie_in_cost": ties_cost,

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from calorgrid.functions import geometry
+from calorgrid.functions import geometry, pricing
 from calorgrid.operators import verify
 from calorgrid.sources import geojson
 
@@ -186,3 +186,16 @@ def test_found_rows_are_written(spark, sf_dir):
 
     plan = verify.verify(*audits.stand_in(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Relation") < 20
+
+
+def test_sums_of_long_networks(spark, sf_dir):
+    """Lengths that together pass 10^9 m, which a length of one line can't; before, their sum was an error."""
+    from calorgrid.plans import audits
+
+    scenes, r = audits.stand_in(spark, sf_dir)
+    r.lines = r.lines.withColumn("length", F.lit("900000000").cast("decimal(18,9)"))
+    n = {x["scene_id"]: x["count"] for x in r.lines.groupBy("scene_id").count().collect()}
+    told = verify.verify(scenes, r).where("code = 'VALUE_MISMATCH' and id = 'sum' and said like 'new_network_length%'").collect()
+    assert {x["scene_id"]: Decimal(x["said"].split()[1]) for x in told}["n0"] == 900_000_000 * n["n0"] > 10**9
+    cost, length = F.lit("200000000000000000").cast("decimal(24,2)"), F.lit("600000000000").cast("decimal(28,9)")
+    assert spark.range(1).select(pricing.score(cost, length)).first()[0] == 5_600_000_000 + 1_800_000_000
