@@ -9,6 +9,9 @@ tasks that read the other side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calorgrid.functions import geometry
@@ -52,6 +55,28 @@ def copies(rows: DataFrame, name: str, shape: list[str], most: int = 1024) -> Da
     return rows.groupBy(*shape, part.alias("_part")).agg(F.collect_list(name).alias("_names")).drop("_part")
 
 
+def pairs_of_lines(lines: DataFrame, ends: list[str], margin: int, measure: Callable, out: str, more: list[str], where: str = "true", cell: int = 200) -> DataFrame:
+    """Pairs of lines (rows of `ends`, integers, and the columns `more`, all of them different) whose boxes are within
+    `margin`, each pair once and the greater row as o_, with `out`, a name and its type: `measure` of the four ends of
+    both, pairs of numpy columns."""
+    columns = [*ends, *more]
+    other = lines.select(*[F.col(c).alias(f"o_{c}") for c in columns])
+    ax, ay, bx, by = map(F.col, ends)
+    ox, oy, px, py = (F.col(f"o_{c}") for c in ends)
+    box = (F.least(ax, bx) - margin, F.least(ay, by) - margin, F.greatest(ax, bx) + margin, F.greatest(ay, by) + margin)
+    pairs = near(lines.select(*columns), other, box, (F.least(ox, px), F.least(oy, py), F.greatest(ox, px), F.greatest(oy, py)), cell)
+    pairs = pairs.where(F.struct(*columns) < F.struct(*[f"o_{c}" for c in columns])).where(where)
+
+    def measured(parts):
+        for part in parts:
+            at = [part.column(f"{o}{c}").to_numpy() for o in ("", "o_") for c in ends]
+            got = measure(*zip(at[::2], at[1::2]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], names=[*part.schema.names, out.split()[0]])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in pairs.dtypes)
+    return pairs.mapInArrow(measured, f"{kinds}, {out}")
+
+
 def inside(points: DataFrame, edges: DataFrame, cell: int, keys: list[str] | None = None) -> DataFrame:
     """point and ring of points inside rings: points (point, x, y), edges (ring, x1, y1, x2, y2), exact for integers;
     only those with equal `keys`, columns of both, meet.
