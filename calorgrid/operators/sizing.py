@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from calorgrid.functions import catalog
 from calorgrid.operators import graph, intervals, tree
@@ -44,41 +44,66 @@ def uplift(edges: DataFrame, rounds: int = 18) -> DataFrame:
     return state
 
 
+def _better(old: DataFrame, new: DataFrame) -> DataFrame:
+    """like, dn and at of both, without rows of a `like` of which another says a dn as large as early; new is 1 where the
+    row was not among the old."""
+    rows = old.select("like", "dn", "at", F.lit(0).alias("new")).union(new.select("like", "dn", "at", F.lit(1)))
+    rows = rows.groupBy("like", "dn").agg(F.min(F.struct("at", "new")).alias("_a")).select("like", "dn", "_a.*")
+    wider = Window.partitionBy("like").orderBy(F.desc("dn")).rowsBetween(Window.unboundedPreceding, -1)
+    return cut(rows.withColumn("_before", F.min("at").over(wider)).where("_before is null or at < _before").drop("_before"))
+
+
 def propagate_dn(lines: DataFrame, touching: DataFrame) -> DataFrame:
     """Give lines without dn that of the lines that they touch: lines (id, dn), touching (a, b), both ways.
 
     Lines are taken in order of their ids, sweep after sweep; one is settled as soon as a line that it touches is
-    known, also if that happened earlier in the sweep, and gets the largest dn of those known by then. When a line
-    is settled is a shortest path (a step to a greater id costs no sweep), found by rounds of grouped minima; its dn
-    then depends on lines settled before it alone, found by rounds of grouped maxima. What touches no known line
-    gets ASSUMED_DN. Adds assumed: whether the dn was not given.
+    known, also if that happened earlier in the sweep, and gets the largest dn of those known by then. What touches no
+    known line gets ASSUMED_DN. Adds assumed: whether the dn was not given.
+
+    Lines that touch the same ones and each other may share a name in a column `like`, and touching then has pairs of
+    such names. A line is settled in the sweep of the first among those that it touches, if its id is greater, or in
+    the next, so of a `like` the first line settled is all that others have to know; it is found by rounds of grouped
+    minima. Of dn they have to know when a line of each dn is first settled, which rounds find in the same way.
     """
-    known = F.col("dn").isNotNull()
-    time = cut(lines.select("id", F.when(known, 0).alias("sweep")))
-    pairs = cut(touching.select(F.col("a").alias("id"), F.col("b").alias("other")).where("id <> other").distinct())
-    step = F.when(F.col("_sweep") == 0, 1).otherwise(F.col("_sweep") + (F.col("other") > F.col("id")).cast("int"))
-    front = time
-    while True:  # each round settles the lines that are one step farther, from those that the last one moved
-        of = front.where("sweep is not null").select(F.col("id").alias("other"), F.col("sweep").alias("_sweep"))
-        best = pairs.join(of, "other").groupBy("id").agg(F.min(step).alias("_best"))
-        new = cut(time.join(best, "id", "left").select("id", F.least("sweep", "_best").alias("sweep"), (F.coalesce(F.least("sweep", "_best"), F.lit(-1)) != F.coalesce("sweep", F.lit(-1))).alias("moved")))
-        time, front = new.drop("moved"), new.where("moved")
+    if "like" not in lines.columns:
+        lines = lines.withColumn("like", F.col("id"))
+    rows = cut(lines.select("id", "like", "dn"))
+    known, unknown = rows.where("dn is not null"), cut(rows.where("dn is null").select("like", "id"))
+    within = rows.groupBy("like").agg(F.count("*").alias("n")).where("n > 1").select("like", F.col("like").alias("other"))
+    pairs = cut(touching.select(F.col("a").alias("like"), F.col("b").alias("other")).where("like <> other").union(within).distinct())
+    named = lambda sweep: F.struct(F.lit(sweep).alias("sweep"), F.col("id"))
+    given = cut(known.groupBy("like").agg(F.max("dn").alias("dn"), F.min(named(0)).alias("at")))
+    spread = lambda front, *by: pairs.join(front.withColumnRenamed("like", "other"), "other").groupBy("like", *by).agg(F.min("at").alias("at"))
+
+    # by: the first that a line touches; at: the first line of a `like`
+    first = cut(rows.select("like").distinct().join(given.select("like", "at"), "like", "left").select("like", F.lit(None).cast(given.schema["at"].dataType).alias("by"), "at"))
+    front = first.where("at is not null")
+    while True:  # each round goes on from what the last one moved
+        met = spread(front.select("like", "at")).withColumnRenamed("at", "_by")
+        met = cut(met.join(first, "like").where("by is null or _by < by").select("like", "_by"))
+        after = F.col("id") > F.col("_by.id")
+        at = F.when(F.col("_by.sweep") == 0, named(1)).when(after, F.struct(F.col("_by.sweep").alias("sweep"), "id")).otherwise(F.struct((F.col("_by.sweep") + 1).alias("sweep"), "id"))
+        own = met.join(unknown, "like").groupBy("like").agg(F.min(at).alias("_at"))
+        new = first.join(met, "like", "left").join(own, "like", "left")
+        new = cut(new.select("like", F.least("by", "_by").alias("by"), F.least("at", "_at").alias("at"), F.coalesce(F.col("_at").isNotNull() & (F.col("at").isNull() | (F.col("_at") < F.col("at"))), F.lit(False)).alias("moved")))
+        first, front = new.drop("moved"), new.where("moved")
         if front.isEmpty():
             break
-    rows = cut(lines.select("id", "dn").join(time, "id"))
-    before = rows.select(F.col("id").alias("other"), F.col("sweep").alias("_sweep"))
-    earlier = (F.col("_sweep") < F.col("sweep")) | ((F.col("_sweep") == F.col("sweep")) & (F.col("other") < F.col("id")))
-    ways = cut(pairs.join(rows.where("sweep > 0").select("id", "sweep"), "id").join(before, "other").where(earlier).select("id", "other"))
-    state = front = rows.select("id", "dn")
+    by = F.col("by")
+    sweep = F.when(by["sweep"] == 0, 1).when(F.col("id") > by["id"], by["sweep"]).otherwise(by["sweep"] + 1)
+    settled = cut(unknown.join(first.where("by is not null"), "like").select("like", F.struct(sweep.alias("sweep"), "id").alias("_own")))
+
+    says, hears, front = given, given.where("false"), given
     while True:
-        of = front.where("dn is not null").select(F.col("id").alias("other"), F.col("dn").alias("_dn"))
-        best = ways.join(of, "other").groupBy("id").agg(F.max("_dn").alias("_best"))
-        new = cut(state.join(best, "id", "left").select("id", F.greatest("dn", "_best").alias("dn"), (F.coalesce(F.greatest("dn", "_best"), F.lit(0)) != F.coalesce("dn", F.lit(0))).alias("moved")))
-        state, front = new.drop("moved"), new.where("moved")
+        hears = _better(hears, spread(front, "dn"))
+        own = hears.where("new = 1").join(settled, "like").where("_own > at").groupBy("like", "dn").agg(F.min("_own").alias("at"))
+        says = _better(says, own)
+        front = says.where("new = 1")
         if front.isEmpty():
             break
-    found = state.select("id", F.coalesce("dn", F.lit(ASSUMED_DN)).alias("dn"))
-    return found.join(lines.select("id", (~known).alias("assumed")), "id")
+    best = settled.join(hears.drop("new"), "like").where("at < _own").groupBy(F.col("_own.id").alias("id")).agg(F.max("dn").alias("_dn"))
+    found = rows.join(best, "id", "left")
+    return found.select("id", F.coalesce("dn", "_dn", F.lit(ASSUMED_DN)).alias("dn"), F.col("dn").isNull().alias("assumed"))
 
 
 def reconstruction(edges: DataFrame, ties: DataFrame) -> DataFrame:

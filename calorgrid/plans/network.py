@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from calorgrid.functions import catalog, geometry
+from calorgrid.functions import batches, catalog, geometry
 from calorgrid.operators import depth, network, sizing, spatial
-from calorgrid.plans.plane import BOXES, CELL, SEGMENTS, boxes, points, segments
+from calorgrid.operators.lineage import cut
+from calorgrid.plans.plane import BOXES, SEGMENT, SEGMENTS, boxes, points, segments
 from calorgrid.plans.tables import DEEP, deep, table
 from calorgrid.queries import register
 from calorgrid.sources import geojson, write
@@ -105,15 +106,12 @@ def snap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def propagate_dn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diameters of lines that state none, from the lines whose ends lie within 60 m of theirs."""
     s = segments(spark, sf_dir)
-    other = s.select(*[F.col(c).alias(f"o_{c}") for c in ("seg", "ax", "ay", "bx", "by_")])
-    box = lambda m, *c: (F.least(c[0], c[2]) - m, F.least(c[1], c[3]) - m, F.greatest(c[0], c[2]) + m, F.greatest(c[1], c[3]) + m)
-    cols = lambda *names: tuple(F.col(n) for n in names)
-    a, o = cols("ax", "ay", "bx", "by_"), cols("o_ax", "o_ay", "o_bx", "o_by_")
-    pairs = spatial.near(s, other, box(60, *a), box(0, *o), CELL).where("seg <> o_seg")
-    r = F.lit(60)
-    touch = geometry.within(a[0], a[1], *o, r) | geometry.within(a[2], a[3], *o, r) | geometry.within(o[0], o[1], *a, r) | geometry.within(o[2], o[3], *a, r)
+    shapes = cut(s.groupBy(*SEGMENT).agg(F.min("seg").alias("like")))  # equal lines touch each other and the same others
+    pairs = spatial.pairs_of_lines(shapes, list(SEGMENT), 60, lambda *quad: batches.ends_within(*quad, 60), "touch boolean", ["like"]).where("touch")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("like").alias("a"), F.col("o_like").alias("b")), F.struct(F.col("o_like").alias("a"), F.col("like").alias("b")))).alias("p")).select("p.*")
     dn = F.when(F.col("seg") % 5 == 0, F.element_at(F.array(*[F.lit(p[0]) for p in catalog.PIPES]), (F.col("seg") % 18 + 1).cast("int")))
-    return sizing.propagate_dn(s.select(F.col("seg").alias("id"), dn.alias("dn")), pairs.where(touch).select(F.col("seg").alias("a"), F.col("o_seg").alias("b")))
+    lines = s.join(shapes.hint("merge"), list(SEGMENT)).select(F.col("seg").alias("id"), "like", dn.alias("dn"))
+    return sizing.propagate_dn(lines, both)
 
 
 @register("near_chamber", """WITH p AS (SELECT c_custkey AS point, CAST(c_custkey % 41 AS DOUBLE) / 2 AS d FROM customer) SELECT point, d <= 10 + 0.000001 AS inclusive, d < 10 - 0.000001 AS exclusive FROM p""")

@@ -260,3 +260,26 @@ def test_routes_and_variants(spark):
     rows = ranked.orderBy("rank").collect()
     assert [q["rank"] for q in rows] == list(range(1, len(rows) + 1)) and [q["score"] for q in rows] == sorted(q["score"] for q in rows)
     assert len({q["signature"] for q in rows}) == len(rows) and len({q["missing"] for q in rows}) == 1
+
+
+def test_propagate_dn_alike(spark):
+    """Lines of one shape, some known, and chains of shapes over several sweeps: as if every pair of lines were named."""
+    rng = random.Random(12)
+    like = {i: rng.randrange(60) for i in range(300)}
+    name = {g: min(i for i in like if like[i] == g) for g in set(like.values())}
+    dn = {i: rng.choice([50, 80, 100, 200]) if like[i] < 6 and rng.random() < 0.6 else None for i in like}
+    near = {(a, b) for a in range(60) for b in range(60) if 0 < abs(a - b) <= 2 and (a < 45) == (b < 45) and rng.random() < 0.7}
+    near |= {(b, a) for a, b in near}
+    ids = "a long, b long"
+    lines = spark.createDataFrame([(i, name[g], dn[i]) for i, g in like.items()], "id long, like long, dn int")
+    got = sizing.propagate_dn(lines, spark.createDataFrame([(name[a], name[b]) for a, b in near if a in name and b in name], ids))
+    state, moved = dict(dn), True
+    while moved:  # sweeps by the rule itself
+        moved = False
+        for i in sorted(state):
+            if state[i] is None:
+                of = [state[o] for o in state if o != i and state[o] is not None and (like[o] == like[i] or (like[i], like[o]) in near)]
+                if of:
+                    state[i], moved = max(of), True
+    assert {r["id"]: (r["dn"], r["assumed"]) for r in got.collect()} == {i: (state[i] or 300, dn[i] is None) for i in state}
+    assert None in state.values()
