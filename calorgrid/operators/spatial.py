@@ -55,6 +55,13 @@ def copies(rows: DataFrame, name: str, shape: list[str], most: int = 1024) -> Da
     return rows.groupBy(*shape, part.alias("_part")).agg(F.collect_list(name).alias("_names")).drop("_part")
 
 
+def alike(rows: DataFrame, name: str, shape: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The shapes, each under the least name that has it, and the names of all rows (`_names`, short lists) by that."""
+    shapes = cut(rows.groupBy(*shape).agg(F.min(name).alias(name)))
+    of = rows.select(*shape, F.col(name).alias("_each")).join(shapes.hint("merge"), shape)
+    return shapes, copies(of, "_each", [name])
+
+
 def pairs_of_lines(lines: DataFrame, ends: list[str], margin: int, measure: Callable, out: str, more: list[str], where: str = "true", cell: int = 200) -> DataFrame:
     """Pairs of lines (rows of `ends`, integers, and the columns `more`, all of them different) whose boxes are within
     `margin`, each pair once and the greater row as o_, with `out`, a name and its type: `measure` of the four ends of

@@ -64,3 +64,12 @@ def test_batches(spark):
     assert 50 < got["ends"].sum() < 2000 and (got["gap"] == 0).sum() > 50
     with pytest.raises(OverflowError):
         batches.gap2(*[(p + (1 << 20) * k, q) for k, (p, q) in enumerate(at)])
+
+
+@pytest.mark.parametrize("name", ["point_in_polygon"])
+def test_copies_of_boxes(spark, twice, monkeypatch, name):
+    met = []
+    near = spatial.near
+    monkeypatch.setattr(spatial, "near", lambda a, b, *more: met.append((a.count(), b.count())) or near(a, b, *more))
+    assert same(QUERIES[name](spark, twice), connect(twice), ORACLES[name]) > 0
+    assert met == [(180 if name == "point_in_polygon" else 60, 60)]  # before, all 180 boxes
