@@ -66,7 +66,7 @@ def test_batches(spark):
         batches.gap2(*[(p + (1 << 20) * k, q) for k, (p, q) in enumerate(at)])
 
 
-@pytest.mark.parametrize("name", ["point_in_polygon", "polygon_pieces"])
+@pytest.mark.parametrize("name", ["point_in_polygon", "part_overlap", "polygon_pieces"])
 def test_copies_of_boxes(spark, twice, monkeypatch, name):
     met = []
     near = spatial.near
