@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from calorgrid.operators import hulls, intervals, pockets
 
 WALLS, STANDS = "scene string, x1 int, y1 int, x2 int, y2 int", "scene string, x int, y int"
@@ -120,3 +122,33 @@ def test_hulls_stream(spark, capsys):
         spark.conf.set(size, before)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(wrap(p)) for k, p in shapes.items()}
     assert "FlatMapGroups" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("high, most", [(8, 1 << 13), (1, 1 << 13), (64, 60)])
+def test_pockets_in_tiles(spark, monkeypatch, high, most):
+    """Pockets over many tiles, tiles that no wall meets, tiles over several batches, and scenes that have too many walls
+    in one, which go by runs alone; with tiles no row of a wall is shuffled on its own."""
+    monkeypatch.setattr(pockets, "HIGH", high)
+    monkeypatch.setattr(pockets, "MOST", most)
+    rng = random.Random(high)
+    walls = []
+    for k in range(220):
+        x, y, m = rng.randrange(-30, 30), rng.randrange(-40, 40), rng.randrange(4, 25)
+        walls.append((f"s{k % 3}", x, y, *((x + m, y + 1) if rng.random() < 0.5 else (x + 1, y + m))))
+    ring = lambda s, a, b: [(s, a, a, b, a + 1), (s, a, b - 1, b, b), (s, a, a, a + 1, b), (s, b - 1, a, b, b)]
+    walls += ring("rings", 0, 90) + ring("rings", 30, 60) + ring("far", 0, 5) + ring("far", 70, 75) + [(None, 0, 0, 5, 5)]
+    walls += [("comb", 0, 0, 41, 1), ("comb", 0, 0, 1, 40), ("comb", 40, 0, 41, 40), ("comb", 0, 40, 41, 41)] + [("comb", 4 * k, 1 if k % 2 else 4, 4 * k + 1, 37 if k % 2 else 40) for k in range(1, 10)]
+    stands = [(f"s{k % 3}", rng.randrange(-30, 50), rng.randrange(-40, 60)) for k in range(90)] + [("comb", 39, 39), ("far", 300, 1), ("far", 2, 2), ("rings", 1, 1), ("gone", 1, 1), ("rings", None, 1)]
+    runs = []
+    free_runs = pockets.free_runs
+    monkeypatch.setattr(pockets, "free_runs", lambda w, key: runs.append(w.count()) or free_runs(w, key))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)
+    try:
+        got = pockets.pockets(spark.createDataFrame(walls, WALLS), spark.createDataFrame(stands, STANDS)).collect()
+    finally:
+        spark.conf.set(size, before)
+    want = flood([w for w in walls if w[0]], stands)
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
+    assert bool(runs) == (most == 60) and sum(runs) < len(walls)  # before, always and all
